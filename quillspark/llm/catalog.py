@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import linededup, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
+        "op2_secret_spans": secrets.op2_secret_spans,
+        "op4_host_quality": quality.op4_host_quality,
+        "op5_toxicity_scores": toxicity.op5_toxicity_scores,
         "op10_sampled_sharding": sharding.op10_sampled_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_line_dedup": linededup.OP1_SQL,
+        "op4_host_quality": quality.OP4_SQL,
+    }
