@@ -111,8 +111,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_spans(buf: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word in a byte buffer."""
+def word_spans(buf: np.ndarray, lower: bool = False, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word in a byte buffer.  With ``prefix`` the
+    hash covers a word's first so many bytes."""
     space = np.empty(len(buf) + 2, bool)
     space[0] = space[-1] = True
     space[1:-1] = _IS_SPACE[buf]
@@ -124,8 +125,13 @@ def word_spans(buf: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.nda
     first = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     letters = buf[~space[1:-1]]
-    terms = (_T_LOWER if lower else _T)[letters] * _powers(int(lengths.max()))[within]
-    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64)), starts, ends
+    hashed = lengths
+    if prefix is not None:
+        head = within < prefix
+        letters, within, hashed = letters[head], within[head], np.minimum(lengths, prefix)
+        first = np.cumsum(hashed) - hashed
+    terms = (_T_LOWER if lower else _T)[letters] * _powers(int(hashed.max()))[within]
+    return mix(np.add.reduceat(terms, first) + hashed.astype(np.uint64)), starts, ends
 
 
 def slices(texts: list[bytes], limit: int = _SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -141,10 +147,10 @@ def slices(texts: list[bytes], limit: int = _SLICE_BYTES) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
-def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes], lower: bool = False, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, one after another, and each text's word count."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    hashes, starts, _ = word_spans(joined, lower)
+    hashes, starts, _ = word_spans(joined, lower, prefix)
     ends_of_text = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, ends_of_text), prepend=0)
     return hashes, counts

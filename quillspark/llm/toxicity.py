@@ -1,13 +1,14 @@
 """Toxicity scores (operator 5).
 
 FTRL-proximal logistic regression over hashed word unigrams, bigrams and
-skip-bigrams (one word left out): each coordinate has its own rate, and the L1
+skip-bigrams (one word left out), and over each word's first four and five bytes, crude
+stems that join inflected forms: each coordinate has its own rate, and the L1
 term keeps most weights at zero, so the model that is broadcast is a short list
 of (index, weight), at most ``2 ** BITS`` long.
 
 Fitting uses a bounded sample of labelled rows: at most about ``SAMPLE_ROWS``,
-chosen by a hash of the id, divided into ``SHARDS`` groups, each trained in a
-task of its own; the groups' weights are averaged.  Scoring covers every whole
+chosen by a hash of the id, divided into groups of about ``SHARD_ROWS``, each
+trained in a task of its own; the groups' weights are averaged.  Scoring covers every whole
 text.
 
 Edge cases: null and empty texts have no features and get the score of the bias
@@ -19,6 +20,7 @@ columns are ignored unless carried.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,10 @@ from .common import hashed_words, inside, ngrams, slices, table, text_bytes
 
 BITS = 20
 SAMPLE_ROWS = 20_000
-SHARDS = 8
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+SHARD_ROWS = 2_500
+STEMS = (4, 5)
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 HELD_OUT_MOD = 5  # fixed by the contract
 _PUNCTUATION = bytes.maketrans(b".,;:!?\"'()[]{}", b" " * 14)
 
@@ -41,9 +44,12 @@ _PUNCTUATION = bytes.maketrans(b".,;:!?\"'()[]{}", b" " * 14)
 def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature index) of every feature occurrence in the texts.
     Punctuation separates words here, so that a word is itself at a line's end."""
-    hashes, counts = hashed_words([t.translate(_PUNCTUATION) for t in texts], lower=True)
+    texts = [t.translate(_PUNCTUATION) for t in texts]
+    hashes, counts = hashed_words(texts, lower=True)
     of = np.repeat(np.arange(len(texts)), counts)
     found = [(of, hashes)]
+    for stem in STEMS:
+        found.append((of, hashed_words(texts, lower=True, prefix=stem)[0] * np.uint64(0x9FB21C651E98DF25 + 2 * stem)))
     pairs = ngrams(hashes, 2)
     ok = inside(counts, 2)
     found.append((of[: len(pairs)][ok], pairs[ok]))
@@ -97,9 +103,10 @@ def train(texts: list[bytes], labels: list[int], bits: int = BITS, epochs: int =
     return used[w != 0], w[w != 0]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, limit: int, id_col: str, text_col: str) -> DataFrame:
-    """A sample of at most about ``limit`` labelled documents.  It is drawn from
-    the labels alone, so it is small before it meets the texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, limit: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """A sample of at most about ``limit`` labelled documents, and about how many
+    it has.  It is drawn from the labels alone, so it is small before it meets
+    the texts."""
     known = labels.where(usable & F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     n = known.count()
@@ -107,16 +114,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, limit: int
     known = known.where(draw < F.lit(int((1 << 30) * min(1.0, limit / max(1, n)))))
     known = known.select(F.col(id_col).alias("labelled_id"), "toxic")
     # Broadcast: at most about ``limit`` rows, as just counted.
-    return docs.join(F.broadcast(known), F.col(id_col) == F.col("labelled_id")).select("labelled_id", F.col(text_col).alias("text"), "toxic")
+    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("labelled_id"))
+    return rows.select("labelled_id", F.col(text_col).alias("text"), "toxic"), min(n, limit)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    rows = training_rows(docs, labels, usable, limit, id_col, text_col)
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "labelled_id"), F.lit(SHARDS)).cast("int")
+    rows, n = training_rows(docs, labels, usable, limit, id_col, text_col)
+    shards = max(1, round(n / SHARD_ROWS))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "labelled_id"), F.lit(shards)).cast("int")
 
     def train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort([hash(int(i) * 2654435761 % 2**32) for i in pdf["labelled_id"]], kind="stable")
-        pdf = pdf.iloc[order]
+        pdf = pdf.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in pdf["labelled_id"]], kind="stable")]
         labels = [int(y) for y in pdf["toxic"]]
         index, weight = (np.empty(0, np.int64), np.empty(0))
         if len(set(labels)) == 2:
@@ -125,10 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = SAMPLE_
 
     parts = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(train_shard, "i bigint, w double")
     bias = 1 << BITS
-    got = parts.groupBy("i").agg((F.sum("w") / F.lit(SHARDS)).alias("w"), F.count("*").alias("n")).toPandas()
+    got = parts.groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()
     # Each trained group has a bias: their number is the divisor.
     trained = int(got.loc[got["i"] == bias, "n"].sum())
-    return got["i"].to_numpy(np.int64), got["w"].to_numpy() * (SHARDS / max(1, trained))
+    return got["i"].to_numpy(np.int64), got["w"].to_numpy() / max(1, trained)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
