@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, quality, secrets, sharding, toxicity
+from . import decontaminate, linededup, packing, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_secret_spans": secrets.op2_secret_spans,
         "op4_host_quality": quality.op4_host_quality,
         "op5_toxicity_scores": toxicity.op5_toxicity_scores,
+        "op7_edit_matches": decontaminate.op7_edit_matches,
+        "op8_bin_slack_packing": packing.op8_bin_slack_packing,
         "op10_sampled_sharding": sharding.op10_sampled_sharding,
     }
 
