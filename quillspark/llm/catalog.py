@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, packing, quality, secrets, sharding, toxicity
+from . import decontaminate, linededup, neardup, packing, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_toxicity_scores": toxicity.op5_toxicity_scores,
         "op7_edit_matches": decontaminate.op7_edit_matches,
         "op8_bin_slack_packing": packing.op8_bin_slack_packing,
+        "op9_sketch_neardup": neardup.op9_sketch_neardup,
         "op10_sampled_sharding": sharding.op10_sampled_sharding,
     }
 
