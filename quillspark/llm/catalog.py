@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, neardup, packing, quality, secrets, sharding, toxicity
+from . import decontaminate, linededup, neardup, packing, quality, secrets, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_secret_spans": secrets.op2_secret_spans,
         "op4_host_quality": quality.op4_host_quality,
         "op5_toxicity_scores": toxicity.op5_toxicity_scores,
+        "op6_fingerprint_runs": substrings.op6_fingerprint_runs,
         "op7_edit_matches": decontaminate.op7_edit_matches,
         "op8_bin_slack_packing": packing.op8_bin_slack_packing,
         "op9_sketch_neardup": neardup.op9_sketch_neardup,
