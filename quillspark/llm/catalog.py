@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, neardup, packing, quality, secrets, sharding, substrings, toxicity
+from . import decontaminate, licenses, linededup, neardup, packing, quality, secrets, sharding, substrings, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_secret_spans": secrets.op2_secret_spans,
+        "op3_license_windows": licenses.op3_license_windows,
         "op4_host_quality": quality.op4_host_quality,
         "op5_toxicity_scores": toxicity.op5_toxicity_scores,
         "op6_fingerprint_runs": substrings.op6_fingerprint_runs,
