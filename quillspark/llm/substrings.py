@@ -13,9 +13,10 @@ shuffle, so a corpus of n batches keeps about log n runs.
 
 Candidates are then verified on the texts: windows under a candidate anchor are
 shipped as digests, a row for each anchor position, keyed by fingerprint (64
-bits) and digest (64 more over all words).  Each Arrow batch first settles what
-it can by itself and ships one row for each distinct window at most, so a
-passage that a third of all documents share reaches the shuffle once a batch.
+bits) and digest (64 more over all words).  Every ``FLUSH_BYTES`` of text first
+settle what they can by themselves and ship each distinct window once at most,
+so a passage that a third of all documents share is shuffled once for so much
+text.
 What starts later than an equal window is removed from its document.
 
 Candidates and removals are broadcast behind a check of their size; beyond it
@@ -35,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +44,7 @@ from .common import hashed_words, inside, materialize, mix, ngrams, slices, tabl
 WINDOW = 20  # fixed by the contract
 GRAM = 8
 BATCHES = 4
+FLUSH_BYTES = 6 << 20  # of text: windows are settled so much at a time
 MAX_BROADCAST_KEYS = 4_000_000
 MAX_BROADCAST_DOCS = 500_000
 _D = np.random.Generator(np.random.PCG64(99)).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,10 +134,6 @@ class RunIndex:
         self._drop(list(self.runs))
 
 
-def text_key(text: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
-
-
 def _first(fp, digest, doc, start) -> tuple[np.ndarray, np.ndarray]:
     """Of (fp, digest) occurrences: which are the earliest, and which are the
     only ones of their place that need to be told on (one a group)."""
@@ -177,51 +174,55 @@ def suspect_windows(docs: DataFrame, known) -> DataFrame:
     """Windows under a candidate anchor.  The candidates are ``known`` (a
     broadcast sorted array) or else each document's own column ``suspects``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_bytes(batch.column(1))
-            ids = batch.column(0).cast(pa.int64()).fill_null(_NONE).to_numpy(zero_copy_only=False)
-            keys = np.array([text_key(t) for t in texts], np.int64)
-            parts = []
-            for begin, end in slices(texts):
-                hashes, counts = hashed_words(texts[begin:end])
-                at, fp, place = anchors(hashes, counts)
-                if not len(at):
-                    continue
-                firsts = np.cumsum(counts) - counts
-                doc = np.searchsorted(np.cumsum(counts), at, "right")
-                heads = run_starts(place)
-                if known is not None:
-                    hit = np.isin(fp[heads].astype(np.int64), known.value) if len(known.value) < 1000 else _member(fp[heads].astype(np.int64), known.value)
-                else:
-                    own = batch.column(2).slice(begin, end - begin)
-                    hit = _member_pairs(doc[heads], fp[heads].astype(np.int64), own)
-                use = np.repeat(hit, np.diff(np.append(heads, len(at))))
-                w = at[use]
-                digest = np.zeros(len(w), np.uint64)
-                for j in range(WINDOW):
-                    digest += hashes[w + j] * _D[j]
-                owner = doc[use]
-                parts.append((fp[use].astype(np.int64), mix(digest).astype(np.int64), owner + begin, w - firsts[owner], place[use]))
-            if not parts:
+    def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """fp, digest, row, start, anchor of each suspected window, by slice."""
+        texts = text_bytes(batch.column(1))
+        for begin, end in slices(texts):
+            hashes, counts = hashed_words(texts[begin:end])
+            at, fp, place = anchors(hashes, counts)
+            if not len(at):
                 continue
-            fp, digest, row, start, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            doc, tkey = ids[row], keys[row]
-            earliest, told = _first(fp, digest, doc, start)
-            # Settled here: what starts after an equal window of this batch.
-            late = np.flatnonzero(~earliest)
-            heads = _runs_of(row[late], start=start[late])
-            n = np.diff(np.append(heads, len(late)))
-            late = late[heads]
-            if len(late):
-                spread = mix((doc[late] + start[late]).astype(np.uint64)).astype(np.int64)
-                yield _shipped(spread, doc[late], tkey[late], start[late], n, np.zeros(len(late) + 1), [])
-            # Left open: one occurrence of each window, by anchor position.
-            open_ = np.flatnonzero(told)
-            heads = _runs_of(row[open_], fp[open_], place[open_], start=start[open_])
-            n = np.diff(np.append(heads, len(open_)))
-            rows = open_[heads]
-            yield _shipped(fp[rows], doc[rows], tkey[rows], start[rows], n, np.append(heads, len(open_)), digest[open_])
+            firsts = np.cumsum(counts) - counts
+            doc = np.searchsorted(np.cumsum(counts), at, "right")
+            heads = run_starts(place)
+            own = fp[heads].astype(np.int64)
+            hit = _member(own, known.value) if known is not None else _member_pairs(doc[heads], own, batch.column(3).slice(begin, end - begin))
+            use = np.repeat(hit, np.diff(np.append(heads, len(at))))
+            w, owner = at[use], doc[use]
+            digest = np.zeros(len(w), np.uint64)
+            for j in range(WINDOW):
+                digest += hashes[w + j] * _D[j]
+            yield fp[use].astype(np.int64), mix(digest).astype(np.int64), owner + begin, w - firsts[owner], place[use]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lengths = whole.column(1).cast(pa.binary()).fill_null(b"")
+            sizes = np.diff(np.frombuffer(lengths.buffers()[1], np.int32)[lengths.offset : lengths.offset + len(lengths) + 1])
+            edges = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // FLUSH_BYTES, prepend=-1, append=-1))
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield from settle(whole.slice(a, b - a))
+
+    def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not (parts := list(found(batch))):
+            return
+        fp, digest, row, start, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids = batch.column(0).fill_null(_NONE).to_numpy(zero_copy_only=False)
+        doc, tkey = ids[row], batch.column(2).to_numpy()[row]
+        earliest, told = _first(fp, digest, doc, start)
+        # Settled here: what starts after an equal window of these texts.
+        late = np.flatnonzero(~earliest)
+        heads = _runs_of(row[late], start=start[late])
+        n = np.diff(np.append(heads, len(late)))
+        late = late[heads]
+        if len(late):
+            spread = mix((doc[late] + start[late]).astype(np.uint64)).astype(np.int64)
+            yield _shipped(spread, doc[late], tkey[late], start[late], n, np.zeros(len(late) + 1), [])
+        # Left open: one occurrence of each window, by anchor position.
+        open_ = np.flatnonzero(told)
+        heads = _runs_of(row[open_], fp[open_], place[open_], start=start[open_])
+        n = np.diff(np.append(heads, len(open_)))
+        rows = open_[heads]
+        yield _shipped(fp[rows], doc[rows], tkey[rows], start[rows], n, np.append(heads, len(open_)), digest[open_])
 
     return docs.mapInArrow(run, _SHIPPED)
 
@@ -321,7 +322,7 @@ def _with_suspects(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     pairs = docs.mapInArrow(own, "of_text string, fp bigint").distinct().join(candidates, "fp", "left_semi")
     lists = pairs.groupBy("of_text").agg(F.collect_list("fp").alias("suspects"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return docs.join(lists, digest == F.col("of_text")).select("doc_id", "text", "suspects")
+    return docs.join(lists, digest == F.col("of_text")).select("doc_id", "text", "tkey", "suspects")
 
 
 def removed_words(docs: DataFrame, candidates: DataFrame, max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
@@ -347,11 +348,6 @@ def strip_words(docs: DataFrame, removed: DataFrame, max_broadcast_docs: int = M
     counted = removed.agg(F.count("*"), F.sum(F.size("lo"))).first()
     small = counted[0] <= max_broadcast_docs and (counted[1] or 0) <= 8 * max_broadcast_docs
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([text_key(t) for t in text_bytes(batch.column(1))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["doc_id", "text", "tkey"])
-
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
@@ -370,9 +366,8 @@ def strip_words(docs: DataFrame, removed: DataFrame, max_broadcast_docs: int = M
             )
 
     removed = removed.select(F.col("doc_id").alias("rid"), F.col("tkey").alias("rkey"), "lo", "hi")
-    keyed = docs.mapInArrow(key, "doc_id bigint, text string, tkey bigint")
     on = (F.coalesce("doc_id", F.lit(_NONE)) == F.col("rid")) & (F.col("tkey") == F.col("rkey"))
-    joined = keyed.join(F.broadcast(removed) if small else removed, on, "left")
+    joined = docs.join(F.broadcast(removed) if small else removed, on, "left")
     return joined.select("doc_id", "text", "lo", "hi").mapInArrow(strip, "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
@@ -381,13 +376,14 @@ def dedup_substrings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc
 
     The documents enter the index in ``batches`` by id, as they would arrive."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tkey"))
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
     number = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     index, candidates = RunIndex(spark), None
     try:
         for b in range(len(cuts) + 1):
-            found = index.add(docs.where(number == b))
+            found = index.add(docs.where(number == b), "text")
             candidates = found if candidates is None else candidates.unionByName(found)
     finally:
         index.close()
