@@ -20,6 +20,8 @@ dropped; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,60 +40,103 @@ _MARK = "<|endoftext|>"
 _CACHE_WORDS = 400_000
 
 
-class Encoder:
-    """Whole-text ids from the ids of white-space separated parts.
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other
+    bytes for the code points from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
 
-    The vocabulary's splitting never joins text across white space, so a text's
-    ids are those of its parts in order.  Parts are kept with their ids; unknown
-    ones are encoded together, separated by a special token.  A text that
-    contains the special token's opening is encoded whole.
+class Encoder:
+    """Whole-text ids from the ids of parts.
+
+    The vocabulary's splitting never joins text across white space, nor a letter
+    or digit with punctuation, so a text's ids are those of its parts in order.
+    Parts are kept with their ids.  An unknown part that is one Latin-1 word in
+    small letters is already normalized and a single unit, so the vocabulary's
+    model takes it as it is; other unknown parts go through the whole tokenizer
+    together, separated by a special token.  A text that contains the special
+    token's opening is encoded whole.
     """
 
+    _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+    _POINT = re.compile(rb"[.,;:!?](?=[ \t\n\r\f\v]|\Z)(?:(?<=[a-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.mark = self.tokenizer.token_to_id(_MARK)
-        self._reset()
-
-    def _reset(self) -> None:
+        self.chars = _byte_chars()
         self.known: dict[bytes, int] = {}
         self.start = np.zeros(1, np.int64)  # ids of part k: flat[start[k] : start[k + 1]]
         self.flat = np.zeros(0, np.uint32)
+        self.used = np.zeros(0, np.int64)
 
     def _learn(self, parts: list[bytes]) -> None:
-        texts = [_MARK.join(p.decode() for p in parts[i : i + 256]) for i in range(0, len(parts), 256)]
-        runs = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        pieces = [np.append(np.array(r.ids, np.uint32), np.uint32(self.mark)) for r in runs]
-        ids = np.concatenate(pieces)
-        ends = np.flatnonzero(ids == self.mark)
-        lengths = np.diff(ends, prepend=-1) - 1
         first = len(self.known)
-        for k, part in enumerate(parts):
-            self.known[part] = first + k
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, ids[ids != self.mark]])
+        plain, other = [], []
+        for part in parts:
+            word = part.decode()
+            (plain if self._PLAIN.fullmatch(word) else other).append(word)
+        lengths, ids = [], []
+        for word in plain:
+            text = word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)
+            tokens = self.model.tokenize(text)
+            lengths.append(len(tokens))
+            ids += [t.id for t in tokens]
+        texts = [_MARK.join(other[i : i + 256]) for i in range(0, len(other), 256)]
+        for run in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            at = -1
+            for i in [i for i, x in enumerate(run.ids) if x == self.mark] + [len(run.ids)]:
+                lengths.append(i - at - 1)
+                at = i
+            ids += [x for x in run.ids if x != self.mark]
+        for k, word in enumerate(plain + other):
+            self.known[word.encode()] = first + k
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(lengths, np.int64))])
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.used = np.concatenate([self.used, np.zeros(len(lengths), np.int64)])
+
+    def _forget(self) -> None:
+        """Keep the parts that were used most."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: _CACHE_WORDS // 2])
+        size = np.diff(self.start)[keep]
+        self.flat = self.flat[_spread(self.start[keep], size)]
+        self.start = np.append(0, np.cumsum(size))
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.used = self.used[keep] // 2
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > _CACHE_WORDS:
-            self._reset()
+            self._forget()
         whole = [b"<|" in t for t in texts]
-        parts = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        known = self.known
-        if unknown := list({p for own in parts for p in own if p not in known}):
-            self._learn(unknown)
-        out = []
-        for text, own, special in zip(texts, parts, whole, strict=True):
-            if special:
-                out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32))
-                continue
-            k = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-            begin, size = self.start[k], self.start[k + 1] - self.start[k]
-            shift = np.repeat(begin - (np.cumsum(size) - size), size)
-            out.append(self.flat[shift + np.arange(len(shift))])
+        parts = [[] if w else self._POINT.sub(rb" \g<0>", t.lower()).split() for t, w in zip(texts, whole, strict=True)]
+        counts = np.array([len(p) for p in parts])
+        flat = list(itertools.chain.from_iterable(parts))
+        k = np.fromiter(map(self.known.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        if len(new := np.flatnonzero(k < 0)):
+            self._learn(list({flat[i] for i in new.tolist()}))
+            k[new] = [self.known[flat[i]] for i in new.tolist()]
+        self.used += np.bincount(k, minlength=len(self.used))
+        size = self.start[k + 1] - self.start[k]
+        ids = self.flat[_spread(self.start[k], size)]
+        ends = np.append(0, np.cumsum(size))[np.cumsum(counts)]
+        out = np.split(ids, ends[:-1]) if len(texts) else []
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, np.uint32)
         return out
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of size[0], then of the next."""
+    shift = np.repeat(begin - (np.cumsum(size) - size), size)
+    return shift + np.arange(len(shift))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
