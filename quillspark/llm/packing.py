@@ -21,6 +21,7 @@ dropped; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ CAPACITY = 4096
 SEPARATOR = 1
 BUCKET_ROWS = 20_000
 _MARK = "<|endoftext|>"
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -64,6 +65,8 @@ class Encoder:
     _POINT = re.compile(rb"[.,;:!?](?=[ \t\n\r\f\v]|\Z)(?:(?<=[a-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))")
 
     def __init__(self, path: str):
+        # A task has one core; a pool of threads would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
