@@ -1,0 +1,85 @@
+"""Folds against plain loops, and chunk rules."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import chunking
+
+
+def fold(sentences, size, least, overlap):
+    """Chunks by a plain loop over sentences."""
+    out, own = [], []
+    for s in sentences:
+        if own and len(" ".join([*own, s])) > size:
+            if len(" ".join(own)) >= least or not overlap:
+                out.append(" ".join(own))
+            own = [*own[-overlap:], s] if overlap else [s]
+        else:
+            own.append(s)
+    if own and len(" ".join(own)) >= least:
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_folds(spark, seed):
+    rng = random.Random(seed)
+    rows = [([rng.choice("abcdefg") * rng.randint(1, 14) for _ in range(rng.randint(0, 30))],) for _ in range(40)]
+    df = spark.createDataFrame(rows, "s array<string>")
+    got = df.select("s", chunking.sentence_windows(F.col("s"), 20, 6).alias("w"), chunking.long_split(F.col("s"), 20, 6).alias("l")).collect()
+    for r in got:
+        assert r["w"] == fold(r["s"], 20, 6, 2)
+        assert r["l"] == fold(r["s"], 20, 6, 0)
+
+
+def test_written_folds(spark):
+    df = spark.createDataFrame([(["aaaa", "bbbb", "cccc", "dddd", "eeee"],)], "s array<string>")
+    assert df.select(chunking.sentence_windows(F.col("s"), 14, 4)).first()[0] == ["aaaa bbbb cccc", "bbbb cccc dddd", "cccc dddd eeee"]
+    df = spark.createDataFrame([(["aaaa", "bbbbbbbbbbbb", "cc"],)], "s array<string>")
+    assert df.select(chunking.sentence_windows(F.col("s"), 10, 6)).first()[0] == ["aaaa bbbbbbbbbbbb", "aaaa bbbbbbbbbbbb cc"]
+
+
+def structure(spark, text, **more):
+    df = spark.createDataFrame([(text,)], "t string")
+    return df.select(chunking.structure_chunks(F.col("t"), F.lit(3), **more).alias("c")).first()["c"]
+
+
+# The letters after which no point, bracket or space makes an option.
+PROSE = "öü" * 60
+
+
+def test_structure_merges_and_flushes(spark):
+    question = "Question: " + PROSE
+    got = structure(spark, f"{PROSE}\n\n{PROSE}\n\n{question}\n\n{PROSE}", size=1000)
+    assert [(c["content_type"], c["chunk_index"]) for c in got] == [("paragraph", 0), ("mcq", 1), ("paragraph", 2)]
+    assert got[0]["content"] == f"{PROSE}\n\n{PROSE}"
+    assert got[1]["chunk_id"] == "page_3_mcq_1"
+
+
+def test_structure_semantics_of_long_sections(spark):
+    text = " ".join(f"{'öü' * 60}!" for _ in range(4))
+    observed, intended = structure(spark, text, size=200, semantics="observed"), structure(spark, text, size=200)
+    assert len(observed) == 1 and len(intended) == 4
+    assert observed[0]["content"] == intended[0]["content"]
+
+
+def test_structure_attaches_tables(spark):
+    table = "öü öü öü|öü|öü|" * 8
+    got = structure(spark, f"{PROSE}\n\n{table}", size=2000)
+    assert len(got) == 1 and got[0]["content"] == f"{PROSE}\n\nTable:\n{table}"
+
+
+def test_first_of_equal_chunks_stays(spark):
+    rows = [(1, 1, 0, "A" * 120), (1, 1, 1, " " + "a" * 120), (1, 2, 0, "b" * 99), (2, 1, 0, "a" * 120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source_page int, seq int, content string").withColumn("char_count", F.length("content"))
+    assert sorted((r["doc_id"], r["seq"]) for r in chunking.dedup_chunks(df).collect()) == [(1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("strategy", ["hsc_structure", "paragraphs", "sentences", "mixed"])
+def test_strategies(spark, strategy):
+    rows = [(1, 1, f"{PROSE}. {PROSE}! {PROSE}"), (1, 2, ""), (2, 1, None)]
+    pages = spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")
+    got = chunking.chunk_pages(pages, strategy).collect()
+    assert got and {r["doc_id"] for r in got} == {1}

@@ -1,0 +1,98 @@
+"""Text rules on written rows (expected values worked out by hand)."""
+
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.operators import answering, documents, evaluation
+
+
+def apply(spark, f, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r[0] for r in rows.orderBy("i").select(f(F.col("t")).alias("x")).collect()]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("নদী   জল", "নদী জল"),
+        ("ক‍খ", "কখ"),
+        ("সন্ ধ্যা", "সন্ধ্যা"),
+        ("পাখ ির", "পাখির"),
+        ("১২abc", "১২ abc"),
+        ("abc১২", "abc ১২"),
+        ("5টি", "5 টি"),
+        ("ক 7", "ক 7"),
+        ("a\t\tb  \n  c\n\n\n\nd", "a b\nc\n\nd"),
+        (None, ""),
+        ("", ""),
+    ],
+)
+def test_normalize(spark, text, want):
+    assert apply(spark, T.normalize, text) == [want]
+
+
+def test_nfc_decomposes_excluded_letters(spark):
+    assert apply(spark, T.nfc, "ড়") == [unicodedata.normalize("NFC", "ড়")] == ["ড়"]
+
+
+def test_marks_join_only_as_intended(spark):
+    assert apply(spark, T.rejoin_marks, "কি ং") == ["কিং"]
+    assert apply(spark, lambda c: T.rejoin_marks(c, "observed"), "কি ং") == ["কি ং"]
+
+
+def test_languages(spark):
+    texts = ["আজ নদীতে অনেক জল", "Rivers carry water to the sea.", "নদী মানে river here", "12345 67890 !!", "ছোট", "Where is the river নদী?"]
+    assert apply(spark, T.chunk_language, *texts) == ["bn", "en", "mixed", "unknown", "unknown", "en"]
+    assert apply(spark, T.query_language, *texts) == ["bn", "en", "mixed", "en", "bn", "en"]
+
+
+def test_postprocess(spark):
+    texts = ["  নদী  ", "উত্তর: নদী", "প্রশ্ন: কী?\nউত্তর: জল", "one two three", "one two three four", "উত্তর: a b c d"]
+    assert apply(spark, answering.postprocess_answer, *texts) == ["নদী", "নদী", "জল", "one two three", "one two", "a b"]
+    observed = lambda c: answering.postprocess_answer(c, "observed")
+    assert apply(spark, observed, *texts) == ["নদী", ": নদী", "জল", "one two three", "one two", ": a"]
+
+
+@pytest.mark.parametrize(
+    "scores, lengths, want",
+    [([], [], 0.0), ([0.5], [200], 0.406667), ([0.9, 0.8, 0.7], [400] * 3, 0.88), ([1.0] * 3, [500] * 3, 1.0)],
+)
+def test_confidence(spark, scores, lengths, want):
+    row = spark.createDataFrame([(scores, lengths)], "s array<double>, n array<bigint>")
+    assert row.select(F.round(answering.confidence(F.col("s"), F.col("n")), 6)).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "answer, context, ground, use",
+    [
+        ("blue whale 12", "the blue fish swam 12 miles", 0.766667, 0.836667),
+        ("the river is long", "the river is long and wide", 1, 1),
+        ("the of", "x y", 0, 0.3),
+        ("not sure", "some context", 0, 0.1),
+        ("blue whale", "w " * 60, 0, 0.2),
+        ("red fox", "blue fox", 0.5, 0.65),
+        ("", "x", 0, 0),
+    ],
+)
+def test_metrics(spark, answer, context, ground, use):
+    row = spark.createDataFrame([(answer, context)], "a string, c string")
+    got = row.select(F.round(evaluation.groundedness("a", "c"), 6), F.round(evaluation.context_utilization("a", "c"), 6)).first()
+    assert tuple(got) == (ground, use)
+
+
+def test_summary_of_nothing_is_zero(spark):
+    empty = spark.createDataFrame([], "question string, answer string, truth string, context string")
+    row = evaluation.summary(evaluation.evaluate(empty)).first().asDict()
+    assert set(row.values()) == {0}
+
+
+def test_tables_and_ocr(spark):
+    grids = spark.createDataFrame([([[["a", None], []], [], [["b"]]],)], "g array<array<array<string>>>")
+    assert grids.select(documents.flatten_tables(F.col("g"))).first()[0] == "\nTable 1:\na | \n\n\nTable 3:\nb\n\n"
+    pages = spark.createDataFrame([(1, "short", "pdf"), (2, "x" * 60, "pdf"), (3, "long enough?", "pdf")], "page_number int, text string, extraction_method string")
+    ocr = F.when(F.col("page_number") == 1, "a longer text by OCR").when(F.col("page_number") == 2, "y" * 90)
+    got = {r["page_number"]: (r["text"], r["extraction_method"]) for r in documents.with_ocr_fallback(pages, ocr).collect()}
+    assert got == {1: ("a longer text by OCR", "ocr_fallback"), 2: ("x" * 60, "pdf"), 3: ("long enough?", "pdf")}
