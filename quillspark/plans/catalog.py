@@ -83,10 +83,6 @@ def _trim(x: str) -> str:
     return T.sql_rewrite(x, P.TRIM)
 
 
-def _md5(x: str) -> str:
-    return f"md5({x})"
-
-
 # --- normalization ------------------------------------------------------------
 
 _artifacts = f"translate(translate(x, {S(P.ZERO_WIDTH)}, ''), {S(P.WIDE_SPACES)}, {S(' ' * len(P.WIDE_SPACES))})"
@@ -181,7 +177,7 @@ _text_query(
 _text_query("cache_key", {"cache_key": (T.cache_key, "md5(x)")})
 
 
-def _sql_postprocess(observed: bool) -> str:
+def _sql_postprocess(observed: bool) -> tuple[str, str, str]:
     p, q, cut = S(P.ANSWER_PREFIX), S(P.QUESTION_PREFIX), len(P.ANSWER_PREFIX) + (0 if observed else 1)
     a = _trim("x")
     a = f"CASE WHEN starts_with({a}, {p}) THEN {_trim(f'substring({a}, {cut})')} ELSE {a} END"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+import os
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,18 @@ class Config:
     threshold: float = 0.3
     memory_turns: int = 4
 
+    @classmethod
+    def load(cls, path: str | None = None, prefix: str = "QUILL_") -> Config:
+        """Defaults, then a JSON file, then environment variables (QUILL_METRIC
+        and so on); unknown keys of the file are an error."""
+        given = {}
+        if path is not None:
+            with open(path, encoding="utf-8") as f:
+                given = json.load(f)
+        config = cls(**given)
+        found = {f.name: os.environ[prefix + f.name.upper()] for f in fields(cls) if prefix + f.name.upper() in os.environ}
+        return replace(config, **{k: type(getattr(config, k))(v) for k, v in found.items()})
+
 
 class Engine:
     """Batch question answering.  State is tables: the vector store, and the
@@ -78,11 +92,17 @@ class Engine:
         out = answering.answer(rows, self.generator, c.semantics)
         return out if include_sources else out.drop("context")
 
-    def ask(self, question: str, **overrides) -> dict:
-        row = self.ask_batch(self.spark.createDataFrame([(0, question)], "query_id bigint, question string"), **overrides).first()
-        if row is None:
+    def ask(self, question: str, conv_id: int | None = None, **overrides) -> dict:
+        """One answer.  In a conversation the last turns join the prompt, and an
+        answer that was found joins the conversation."""
+        row = [(0, question, conv_id)]
+        asked = self.spark.createDataFrame(row, "query_id bigint, question string, conv_id bigint")
+        got = self.ask_batch(asked, **overrides).first()
+        if got is None:
             raise ValueError("a question has 1 to 1000 characters")
-        return row.asDict()
+        if conv_id is not None and got["model_used"] != "none":
+            self.remember(conv_id, question, got["answer"])
+        return got.asDict()
 
     def remember(self, conv_id: int, question: str, answer: str) -> None:
         last = self.turns.where(F.col("conv_id") == conv_id).agg(F.coalesce(F.max("turn"), F.lit(-1))).first()[0]

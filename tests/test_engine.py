@@ -33,6 +33,24 @@ def test_nothing_found(engine):
     assert (got["model_used"], got["confidence"], got["context"]) == ("none", 0.0, "")
 
 
+def test_conversation(engine):
+    got = engine.ask("where does the river carry water?", conv_id=9)
+    assert [(r["conv_id"], r["answer"]) for r in engine.history().collect()] == [(9, got["answer"])]
+    again = engine.ask("and then?", conv_id=9)
+    assert "Human: where does the river" in again["memory"] and got["answer"] in again["prompt"]
+    engine.ask("zzz qqq", conv_id=9, threshold=1.0)
+    assert engine.history().count() == 2
+    engine.clear_memory()
+
+
+def test_config(tmp_path, monkeypatch):
+    (tmp_path / "c.json").write_text('{"chunk_size": 300, "metric": "l2"}')
+    monkeypatch.setenv("QUILL_METRIC", "ip")
+    monkeypatch.setenv("QUILL_MAX_CHUNKS", "7")
+    config = Config.load(str(tmp_path / "c.json"))
+    assert (config.chunk_size, config.metric, config.max_chunks, config.threshold) == (300, "ip", 7, 0.3)
+
+
 def test_memory(engine):
     engine.remember(5, "q1", "a1")
     engine.remember(5, "q2", "a2")
