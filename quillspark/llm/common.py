@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 _NEWLINE = 10
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 19
+PART_BYTES = 4 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -75,6 +77,28 @@ def join_bounded(left: DataFrame, right: DataFrame, on, how: str, max_rows: int)
     return left.join(right, on, how)
 
 
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes: the executor's JVM holds a
+    batch outside its heap, and ten thousand long texts would be a large one.
+    It is a setting of the session, made only where that still has Spark's
+    default (67108864b)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, str(PART_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def in_parts(batches: Iterable[pa.RecordBatch], column: int, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``limit`` bytes of text (a longer text is a
+    part of its own), so that a worker's Python objects stay few."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // limit, prepend=-1, append=-1))
+        for begin, end in zip(edges.tolist(), edges.tolist()[1:], strict=False):
+            yield batch.slice(begin, end - begin)
+        pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, inside, ngrams, slices, table, text_bytes
+from .common import hashed_words, in_parts, inside, map_batches, ngrams, slices, table, text_bytes
 
 ERROR_RATE = 0.15
 MIN_WORDS = 8
@@ -162,7 +162,7 @@ def match_items(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(*sent.value, error_rate)
-            for batch in batches:
+            for batch in in_parts(batches, 1):
                 texts, rows = text_bytes(batch.column(1)), []
                 for begin, end in slices(texts):
                     rows += [(begin + d, *rest) for d, *rest in items.matches(*word_codes(texts[begin:end]))]
@@ -178,7 +178,7 @@ def match_items(
                     ["doc_id", "item_id", "distance", "start_word", "end_word"],
                 )
 
-        return docs.select(id_col, text_col).mapInArrow(run, schema)
+        return map_batches(docs.select(id_col, text_col), run, schema)
 
     out, ids, texts = None, [], []
     rows = benchmark.select(item_col, F.coalesce(F.col(item_text_col), F.lit("")).alias("t")).toLocalIterator()

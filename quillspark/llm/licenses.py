@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mix, ngrams, slices, table, text_bytes
+from .common import hashed_words, in_parts, map_batches, mix, ngrams, slices, table, text_bytes
 
 SHINGLE = 5
 PERCENT = 80
@@ -124,15 +124,16 @@ class Templates:
             for c in range(bands):
                 for i in members:
                     tables[c].setdefault(int(_coordinate(self.sets[i], c).min()), []).append(i)
-            keys = [np.array(sorted(t), np.uint64) for t in tables]
-            self.tables[q, size] = width, bands, tables, keys
+            self.tables[q, size] = width, bands, tables
         # Any window with a match shares a shingle with the template.
-        self.known = {q: np.unique(np.concatenate([self.sets[i] for i in range(len(self.sets)) if self.shingle[i] == q])) for q in {k[0] for k in self.classes}}
+        self.known = {}
+        for q in {k[0] for k in self.classes}:
+            self.known[q] = np.unique(np.concatenate([s for s, own in zip(self.sets, self.shingle, strict=True) if own == q]))
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first word, end word, containment), best of overlaps."""
         found: dict[int, list[tuple[float, int, int]]] = {}
-        for (q, size), (width, bands, tables, keys) in self.tables.items():
+        for (q, size), (width, bands, tables) in self.tables.items():
             grams = ngrams(words, q)
             if not len(grams):
                 continue
@@ -176,7 +177,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(sent.value, percent)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             texts, got = text_bytes(batch.column(1)), []
             for begin, end in slices(texts):
                 codes, counts = word_codes(texts[begin:end])
@@ -196,7 +197,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
                 ["doc_id", "license", "template", "start_word", "end_word", "containment"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(
+    return map_batches(
+        docs.select(id_col, text_col),
         run, f"doc_id {id_type}, license string, template int, start_word bigint, end_word bigint, containment double"
     )
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes
+from .common import in_parts, map_batches, materialize, table, text_bytes
 
 MIN_DOCS = 10  # fixed by the contract
 MIN_CHARS = 1
@@ -85,7 +85,7 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, words: int) ->
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = Filter(np.zeros(words, np.uint64)), Filter(np.zeros(words, np.uint64))
         some = False
-        for batch in batches:
+        for batch in in_parts(batches, 0):
             some = True
             per_doc = [_hashes({k for k in line_keys(t)[1] if long_enough(k, min_chars)}) for t in text_bytes(batch.column(0))]
             hashes, n = np.unique(np.concatenate([np.empty(0, np.uint64), *per_doc]), return_counts=True)
@@ -110,7 +110,7 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, words: int) ->
     # A task makes a pair of filters, so there are as many tasks as cores can
     # use, not one for each split of the input.
     tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    built = docs.select(text_col).coalesce(tasks).mapInArrow(build, "segment int, once binary, twice binary")
+    built = map_batches(docs.select(text_col).coalesce(tasks), build, "segment int, once binary, twice binary")
     merged = built.groupBy("segment").applyInPandas(merge, "segment int, twice binary").collect()
     out = np.zeros(words, np.uint64)
     for r in merged:
@@ -125,8 +125,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = Filter(seen.value)
-        for batch in batches:
-            # Within a batch one row a key goes on: its documents and first place.
+        for batch in in_parts(batches, 1):
+            # Of each part one row a key goes on: its documents and first place.
             found: dict[bytes, list] = {}
             ids = batch.column(0).to_pylist()
             for doc_id, text in zip(ids, text_bytes(batch.column(1)), strict=True):
@@ -150,7 +150,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
                 ["key", "n", "first_id", "first_line"],
             )
 
-    got = docs.select(id_col, text_col).mapInArrow(suspects, f"key binary, n bigint, first_id {id_type}, first_line bigint")
+    got = map_batches(docs.select(id_col, text_col), suspects, f"key binary, n bigint, first_id {id_type}, first_line bigint")
     return (
         got.groupBy("key")
         .agg(F.sum("n").alias("n_docs"), F.min(F.struct("first_id", "first_line")).alias("first"))
@@ -167,7 +167,7 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, carry: list[str], min_
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = Filter(seen.value)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             texts, n_lines, n_dropped = [], [], []
             ids = batch.column(0).to_pylist()
             rows = [None] * len(ids) if known is not None else batch.column(batch.num_columns - 1).to_pylist()
@@ -188,7 +188,7 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, carry: list[str], min_
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", *carry, "n_lines", "n_dropped"])
 
     columns = [id_col, text_col, *carry] + ([] if known is not None else ["repeated"])
-    return docs.select(columns).mapInArrow(rewrite, f"{fields}, n_lines bigint, n_dropped bigint")
+    return map_batches(docs.select(columns), rewrite, f"{fields}, n_lines bigint, n_dropped bigint")
 
 
 def _with_repeated(docs: DataFrame, text_col: str, repeated: DataFrame, min_chars: int, seen) -> DataFrame:
@@ -197,7 +197,7 @@ def _with_repeated(docs: DataFrame, text_col: str, repeated: DataFrame, min_char
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = Filter(seen.value)
-        for batch in batches:
+        for batch in in_parts(batches, 0):
             of, keys = [], []
             for text in set(text_bytes(batch.column(0))):
                 own = list({k for k in line_keys(text)[1] if long_enough(k, min_chars)})
@@ -206,7 +206,7 @@ def _with_repeated(docs: DataFrame, text_col: str, repeated: DataFrame, min_char
                 keys += hit
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(keys, pa.binary())], ["of_text", "key"])
 
-    pairs = docs.select(text_col).mapInArrow(suspects, "of_text string, key binary").distinct()
+    pairs = map_batches(docs.select(text_col), suspects, "of_text string, key binary").distinct()
     per_text = pairs.join(repeated, "key").groupBy("of_text").agg(F.collect_list(F.struct("key", "first_id", "first_line")).alias("repeated"))
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     return docs.join(per_text, digest == F.col("of_text"), "left")

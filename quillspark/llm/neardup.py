@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, join_bounded, materialize, mix, ngrams, slices, table, text_bytes
+from .common import hashed_words, in_parts, join_bounded, map_batches, materialize, mix, ngrams, slices, table, text_bytes
 from .components import connected_components
 
 SHINGLE = 5
@@ -118,7 +118,7 @@ def sketched(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_c
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             texts = text_bytes(batch.column(1))
             size, one, two, hashes = [], [], [], []
             for begin, end in slices(texts):
@@ -134,7 +134,7 @@ def sketched(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_c
                 [*columns, pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "bands"]
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
+    return map_batches(docs.select(id_col, text_col), run, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes
+from .common import in_parts, map_batches, materialize, table, text_bytes
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 of, number, start, length, crc, ids_of = [], [], [], [], [], []
@@ -185,7 +185,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    return map_batches(docs.select(id_col, text_col), cut, schema)
 
 
 def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_parts, map_batches, table
 
 # Fixed values of the contract: kinds in their order, patterns and least lengths.
 KINDS = ("assign", "access", "hex", "guess")
@@ -170,7 +170,7 @@ def scan_secrets(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = word_ranks(vocabulary)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -178,7 +178,8 @@ def scan_secrets(
                 out.append([{"start": s, "kind": KINDS[k], "end": e, "value": text[s:e]} for s, k, e in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, span)], ["doc_id", "found"])
 
-    return docs.select(id_col, text_col).mapInArrow(
+    return map_batches(
+        docs.select(id_col, text_col),
         scan, f"doc_id {id_type}, found array<struct<start: bigint, kind: string, end: bigint, value: string>>"
     )
 

@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, inside, materialize, mix, ngrams, slices, table, text_bytes
+from .common import hashed_words, in_parts, inside, map_batches, materialize, mix, ngrams, slices, table, text_bytes
 
 WINDOW = 20  # fixed by the contract
 GRAM = 8
 BATCHES = 4
-FLUSH_BYTES = 6 << 20  # of text: windows are settled so much at a time
+FLUSH_BYTES = 4 << 20  # of text: windows are settled so much at a time
 MAX_BROADCAST_KEYS = 4_000_000
 MAX_BROADCAST_DOCS = 500_000
 _D = np.random.Generator(np.random.PCG64(99)).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,14 +77,16 @@ def fingerprints(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = text_bytes(batch.column(0)), [np.empty(0, np.uint64)]
-            for begin, end in slices(texts):
-                _, fp, place = anchors(*hashed_words(texts[begin:end]))
-                found.append(fp[run_starts(place)])
+            found = [np.empty(0, np.uint64)]
+            for part in in_parts([batch], 0):
+                texts = text_bytes(part.column(0))
+                for begin, end in slices(texts):
+                    _, fp, place = anchors(*hashed_words(texts[begin:end]))
+                    found.append(fp[run_starts(place)])
             fp, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(fp.astype(np.int64)), pa.array(np.minimum(n, 2))], ["fp", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "fp bigint, n bigint")
+    return map_batches(docs.select(text_col), run, "fp bigint, n bigint")
 
 
 class RunIndex:
@@ -195,12 +197,8 @@ def suspect_windows(docs: DataFrame, known) -> DataFrame:
             yield fp[use].astype(np.int64), mix(digest).astype(np.int64), owner + begin, w - firsts[owner], place[use]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            lengths = whole.column(1).cast(pa.binary()).fill_null(b"")
-            sizes = np.diff(np.frombuffer(lengths.buffers()[1], np.int32)[lengths.offset : lengths.offset + len(lengths) + 1])
-            edges = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // FLUSH_BYTES, prepend=-1, append=-1))
-            for a, b in zip(edges, edges[1:], strict=False):
-                yield from settle(whole.slice(a, b - a))
+        for part in in_parts(batches, 1, FLUSH_BYTES):
+            yield from settle(part)
 
     def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not (parts := list(found(batch))):
@@ -224,7 +222,7 @@ def suspect_windows(docs: DataFrame, known) -> DataFrame:
         rows = open_[heads]
         yield _shipped(fp[rows], doc[rows], tkey[rows], start[rows], n, np.append(heads, len(open_)), digest[open_])
 
-    return docs.mapInArrow(run, _SHIPPED)
+    return map_batches(docs, run, _SHIPPED)
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -308,7 +306,7 @@ def _with_suspects(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     joined to them and collected per text (bounded by the text's length)."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             texts = list(dict.fromkeys(text_bytes(batch.column(1))))
             for begin, end in slices(texts):
                 hashes, counts = hashed_words(texts[begin:end])
@@ -319,7 +317,7 @@ def _with_suspects(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 keys = [hashlib.sha256(t).hexdigest() for t in texts[begin:end]]
                 yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d, _ in pairs], pa.string()), pa.array([f for _, f in pairs], pa.int64())], ["of_text", "fp"])
 
-    pairs = docs.mapInArrow(own, "of_text string, fp bigint").distinct().join(candidates, "fp", "left_semi")
+    pairs = map_batches(docs, own, "of_text string, fp bigint").distinct().join(candidates, "fp", "left_semi")
     lists = pairs.groupBy("of_text").agg(F.collect_list("fp").alias("suspects"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return docs.join(lists, digest == F.col("of_text")).select("doc_id", "text", "tkey", "suspects")
@@ -338,8 +336,8 @@ def removed_words(docs: DataFrame, candidates: DataFrame, max_broadcast_keys: in
         docs = _with_suspects(docs, candidates)
     # Many more partitions than cores: a task holds its partition.
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
-    late = suspect_windows(docs, known).repartition(parts, "fp").mapInArrow(later_windows, "doc_id bigint, tkey bigint, start int, n int")
-    cover = late.repartition(parts, "doc_id", "tkey").mapInArrow(merged_cover, "doc_id bigint, tkey bigint, lo array<int>, hi array<int>")
+    late = map_batches(suspect_windows(docs, known).repartition(parts, "fp"), later_windows, "doc_id bigint, tkey bigint, start int, n int")
+    cover = map_batches(late.repartition(parts, "doc_id", "tkey"), merged_cover, "doc_id bigint, tkey bigint, lo array<int>, hi array<int>")
     return materialize(cover, "removed-words")
 
 
@@ -349,7 +347,7 @@ def strip_words(docs: DataFrame, removed: DataFrame, max_broadcast_docs: int = M
     small = counted[0] <= max_broadcast_docs and (counted[1] or 0) <= 8 * max_broadcast_docs
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             n_words, n_removed, kept = [], [], []
             for text, lo, hi in zip(text_bytes(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 words, out, at = text.split(), [], 0
@@ -368,7 +366,7 @@ def strip_words(docs: DataFrame, removed: DataFrame, max_broadcast_docs: int = M
     removed = removed.select(F.col("doc_id").alias("rid"), F.col("tkey").alias("rkey"), "lo", "hi")
     on = (F.coalesce("doc_id", F.lit(_NONE)) == F.col("rid")) & (F.col("tkey") == F.col("rkey"))
     joined = docs.join(F.broadcast(removed) if small else removed, on, "left")
-    return joined.select("doc_id", "text", "lo", "hi").mapInArrow(strip, "doc_id bigint, n_words bigint, n_removed bigint, text string")
+    return map_batches(joined.select("doc_id", "text", "lo", "hi"), strip, "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
 def dedup_substrings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, inside, ngrams, slices, table, text_bytes
+from .common import hashed_words, in_parts, inside, map_batches, ngrams, slices, table, text_bytes
 
 BITS = 20
 SAMPLE_ROWS = 20_000
@@ -94,7 +94,7 @@ def train(texts: list[bytes], labels: list[int], bits: int = BITS, epochs: int =
     rows = []
     for begin, end in slices(texts):
         of, index = features(texts[begin:end], bits)
-        rows += [np.append(np.unique(index[of == i]), size) for i in range(end - begin)]
+        rows += [np.append(np.unique(index[of == i]), size).astype(np.int32) for i in range(end - begin)]
     for _ in range(epochs):
         for at, label in zip(rows, labels, strict=True):
             model.learn(at, label)
@@ -152,8 +152,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], carry: tuple[st
         dense = np.zeros(size + 1)
         dense[index] = weight
         bias = dense[size]
-        for batch in batches:
-            texts = text_bytes(batch.column(batch.num_columns - 1))
+        for batch in in_parts(batches, 1 + len(carry)):
+            texts = text_bytes(batch.column(1 + len(carry)))
             out = np.zeros(len(texts))
             for begin, end in slices(texts):
                 of, at = features(texts[begin:end])
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], carry: tuple[st
             columns = [batch.column(i) for i in range(1 + len(carry))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], ["doc_id", *carry, "score"])
 
-    return docs.select(id_col, *carry, F.col(text_col).alias("_text_")).mapInArrow(run, f"{ddl}, score double")
+    return map_batches(docs.select(id_col, *carry, F.col(text_col).alias("_text_")), run, f"{ddl}, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
