@@ -202,14 +202,14 @@ def dedup_chunks(chunks: DataFrame, document: str = "doc_id", order: tuple[str,
 
 
 STRATEGIES = {
-    "hsc_structure": structure_chunks,
+    "structure": structure_chunks,
     "paragraphs": paragraph_chunks,
     "sentences": sentence_chunks,
 }
 
 
 def chunk_pages(
-    pages: DataFrame, strategy: str = "hsc_structure", size: int = SIZE, min_size: int = MIN_SIZE, semantics: str = "intended"
+    pages: DataFrame, strategy: str = "structure", size: int = SIZE, min_size: int = MIN_SIZE, semantics: str = "intended"
 ) -> DataFrame:
     """Cleaned, chunked and deduplicated pages (doc_id, page_number, text).
 
@@ -217,7 +217,7 @@ def chunk_pages(
     multiple-choice questions or the page says so, sentences elsewhere."""
     rows = pages.where(T.text_of("text") != "").select("doc_id", "page_number", T.clean_text("text").alias("text"), F.col("text").alias("raw"))
     text, page = F.col("text"), F.col("page_number")
-    if strategy == "hsc_structure":
+    if strategy == "structure":
         made = structure_chunks(text, page, size, min_size, semantics=semantics)
     elif strategy in STRATEGIES:
         made = STRATEGIES[strategy](text, page, size, min_size)

@@ -17,7 +17,7 @@ from ..sources import store as stores
 class Config:
     chunk_size: int = 512
     min_chunk_size: int = 100
-    strategy: str = "hsc_structure"
+    strategy: str = "structure"
     semantics: str = "intended"
     metric: str = "cosine"
     max_chunks: int = 5

@@ -77,7 +77,7 @@ def test_first_of_equal_chunks_stays(spark):
     assert sorted((r["doc_id"], r["seq"]) for r in chunking.dedup_chunks(df).collect()) == [(1, 0), (2, 0)]
 
 
-@pytest.mark.parametrize("strategy", ["hsc_structure", "paragraphs", "sentences", "mixed"])
+@pytest.mark.parametrize("strategy", ["structure", "paragraphs", "sentences", "mixed"])
 def test_strategies(spark, strategy):
     rows = [(1, 1, f"{PROSE}. {PROSE}! {PROSE}"), (1, 2, ""), (2, 1, None)]
     pages = spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")
