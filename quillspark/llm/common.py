@@ -20,6 +20,7 @@ _NEWLINE = 10
 _SLICE_BYTES = 1 << 19
 PART_BYTES = 4 << 20
 _written: list[tuple[SparkSession, str]] = []
+_own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session that names none (tests, a laptop) gets a temporary folder.
     """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = _own_dirs.get(sc.applicationId) or tempfile.mkdtemp(prefix="quillspark-")
+        _own_dirs[sc.applicationId] = found
     return found.rstrip("/")
 
 
