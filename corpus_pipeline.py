@@ -7,8 +7,10 @@ last return the columns of ``documents``; the last returns the packed pieces.
 
 Defined results at the edges: a document without text has no toxic words and is
 kept, its text becomes the empty text in line dedup, is nobody's duplicate and
-packs as a separator alone; rows that repeat a doc_id stay together; an empty
-table gives an empty result; further columns of the input are dropped.
+packs as a separator alone; rows that repeat a doc_id stay or go together; a row
+without doc_id isn't dropped as a duplicate or for a passage, as there is no id
+to drop it by; an empty table gives an empty result; further columns of the
+input are dropped.
 """
 
 from __future__ import annotations
