@@ -106,7 +106,7 @@ class RunIndex:
     def add(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Index a batch; return its candidates: fingerprints that it repeats or
         that an older run has."""
-        new = fingerprints(docs, text_col).repartition(self.buckets, "fp").groupBy("fp").agg((F.sum("n") > 1).alias("many"))
+        new = fingerprints(docs, text_col).groupBy("fp").agg((F.sum("n") > 1).alias("many"))
         name = self._write(new)
         rows = self.spark.table(name)
         found = rows.where("many").select("fp")
