@@ -16,7 +16,8 @@ shipped as digests, a row for each anchor position, keyed by fingerprint (64
 bits) and digest (64 more over all words).  Every ``FLUSH_BYTES`` of text first
 settle what they can by themselves and ship each distinct window once at most,
 so a passage that a third of all documents share is shuffled once for so much
-text.
+text.  Above ``DOCS_PER_SALT`` documents a further level combines the windows of
+a fingerprint in several tasks before they meet in one.
 What starts later than an equal window is removed from its document.
 
 Candidates and removals are broadcast behind a check of their size; beyond it
@@ -47,6 +48,7 @@ BATCHES = 4
 FLUSH_BYTES = 4 << 20  # of text: windows are settled so much at a time
 MAX_BROADCAST_KEYS = 4_000_000
 MAX_BROADCAST_DOCS = 500_000
+DOCS_PER_SALT = 50_000_000
 _D = np.random.Generator(np.random.PCG64(99)).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.iinfo(np.int64).min
 
@@ -172,12 +174,30 @@ def _shipped(fp, doc, tkey, start, n, offsets, digests) -> pa.RecordBatch:
     )
 
 
+def _settled(fp: np.ndarray, digest: np.ndarray, row: np.ndarray, start: np.ndarray, doc: np.ndarray, tkey: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows (of texts ``row``, with their doc and tkey) as shipped rows: what
+    starts after an equal window of these, and one occurrence of each window."""
+    earliest, told = _first(fp, digest, doc, start)
+    late = np.flatnonzero(~earliest)
+    heads = _runs_of(row[late], start=start[late])
+    n = np.diff(np.append(heads, len(late)))
+    late = late[heads]
+    if len(late):
+        spread = mix((doc[late] + start[late]).astype(np.uint64)).astype(np.int64)
+        yield _shipped(spread, doc[late], tkey[late], start[late], n, np.zeros(len(late) + 1), [])
+    open_ = np.flatnonzero(told)
+    heads = _runs_of(row[open_], fp[open_], start=start[open_])
+    n = np.diff(np.append(heads, len(open_)))
+    rows = open_[heads]
+    yield _shipped(fp[rows], doc[rows], tkey[rows], start[rows], n, np.append(heads, len(open_)), digest[open_])
+
+
 def suspect_windows(docs: DataFrame, known) -> DataFrame:
     """Windows under a candidate anchor.  The candidates are ``known`` (a
     broadcast sorted array) or else each document's own column ``suspects``."""
 
     def found(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """fp, digest, row, start, anchor of each suspected window, by slice."""
+        """fp, digest, row and start of each suspected window, by slice."""
         texts = text_bytes(batch.column(1))
         for begin, end in slices(texts):
             hashes, counts = hashed_words(texts[begin:end])
@@ -194,7 +214,7 @@ def suspect_windows(docs: DataFrame, known) -> DataFrame:
             digest = np.zeros(len(w), np.uint64)
             for j in range(WINDOW):
                 digest += hashes[w + j] * _D[j]
-            yield fp[use].astype(np.int64), mix(digest).astype(np.int64), owner + begin, w - firsts[owner], place[use]
+            yield fp[use].astype(np.int64), mix(digest).astype(np.int64), owner + begin, w - firsts[owner]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches, 1, FLUSH_BYTES):
@@ -203,24 +223,10 @@ def suspect_windows(docs: DataFrame, known) -> DataFrame:
     def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not (parts := list(found(batch))):
             return
-        fp, digest, row, start, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        fp, digest, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         ids = batch.column(0).fill_null(_NONE).to_numpy(zero_copy_only=False)
         doc, tkey = ids[row], batch.column(2).to_numpy()[row]
-        earliest, told = _first(fp, digest, doc, start)
-        # Settled here: what starts after an equal window of these texts.
-        late = np.flatnonzero(~earliest)
-        heads = _runs_of(row[late], start=start[late])
-        n = np.diff(np.append(heads, len(late)))
-        late = late[heads]
-        if len(late):
-            spread = mix((doc[late] + start[late]).astype(np.uint64)).astype(np.int64)
-            yield _shipped(spread, doc[late], tkey[late], start[late], n, np.zeros(len(late) + 1), [])
-        # Left open: one occurrence of each window, by anchor position.
-        open_ = np.flatnonzero(told)
-        heads = _runs_of(row[open_], fp[open_], place[open_], start=start[open_])
-        n = np.diff(np.append(heads, len(open_)))
-        rows = open_[heads]
-        yield _shipped(fp[rows], doc[rows], tkey[rows], start[rows], n, np.append(heads, len(open_)), digest[open_])
+        yield from _settled(fp, digest, row, start, doc, tkey)
 
     return map_batches(docs, run, _SHIPPED)
 
@@ -241,22 +247,39 @@ def _member_pairs(doc: np.ndarray, fp: np.ndarray, lists: pa.Array) -> np.ndarra
     return hit
 
 
-def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of shipped rows, the stretches that repeat an earlier
-    window: doc_id, tkey, start, n."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, tuple] | None:
+    """A partition of shipped rows: the table, which rows are done, and the
+    windows of the others (fp, digest, row, start)."""
     got = [b for b in batches if b.num_rows]
     if not got:
-        return
+        return None
     t = pa.Table.from_batches(got).combine_chunks()
-    fp, doc, tkey, start, n = (t.column(c).to_numpy() for c in ("fp", "doc_id", "tkey", "start", "n"))
     lists = t.column("digests").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
-    digest = lists.flatten().to_numpy()
-    done = sizes == 0
-    row = np.repeat(np.arange(len(fp)), sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
     within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = start[row] + within
-    earliest, _ = _first(fp[row], digest, doc[row], at)
+    windows = t.column("fp").to_numpy()[row], lists.flatten().to_numpy(), row, t.column("start").to_numpy()[row] + within
+    return t, sizes == 0, windows
+
+
+def combined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one partition of shipped rows, shipped rows with each window once."""
+    if (opened := _opened(batches)) is None:
+        return
+    t, done, (fp, digest, row, start) = opened
+    yield from t.filter(pa.array(done)).combine_chunks().to_batches()
+    doc, tkey = t.column("doc_id").to_numpy()[row], t.column("tkey").to_numpy()[row]
+    yield from _settled(fp, digest, row, start, doc, tkey)
+
+
+def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one partition of shipped rows, the stretches that repeat an earlier
+    window: doc_id, tkey, start, n."""
+    if (opened := _opened(batches)) is None:
+        return
+    t, done, (fp, digest, row, at) = opened
+    doc, tkey, start, n = (t.column(c).to_numpy() for c in ("doc_id", "tkey", "start", "n"))
+    earliest, _ = _first(fp, digest, doc[row], at)
     late = np.flatnonzero(~earliest)
     heads = _runs_of(row[late], start=at[late])
     first = late[heads]
@@ -323,8 +346,9 @@ def _with_suspects(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return docs.join(lists, digest == F.col("of_text")).select("doc_id", "text", "tkey", "suspects")
 
 
-def removed_words(docs: DataFrame, candidates: DataFrame, max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """doc_id, tkey, lo, hi: merged intervals of words to remove, verified."""
+def removed_words(docs: DataFrame, candidates: DataFrame, max_broadcast_keys: int = MAX_BROADCAST_KEYS, salts: int = 1) -> DataFrame:
+    """doc_id, tkey, lo, hi: merged intervals of words to remove, verified.  With
+    ``salts`` above 1 the windows of a fingerprint first meet in so many tasks."""
     spark = docs.sparkSession
     known = None
     if candidates.limit(max_broadcast_keys + 1).count() <= max_broadcast_keys:
@@ -336,7 +360,11 @@ def removed_words(docs: DataFrame, candidates: DataFrame, max_broadcast_keys: in
         docs = _with_suspects(docs, candidates)
     # Many more partitions than cores: a task holds its partition.
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
-    late = map_batches(suspect_windows(docs, known).repartition(parts, "fp"), later_windows, "doc_id bigint, tkey bigint, start int, n int")
+    shipped = suspect_windows(docs, known)
+    if salts > 1:
+        salted = shipped.repartition(parts, "fp", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        shipped = map_batches(salted, combined_windows, _SHIPPED)
+    late = map_batches(shipped.repartition(parts, "fp"), later_windows, "doc_id bigint, tkey bigint, start int, n int")
     cover = map_batches(late.repartition(parts, "doc_id", "tkey"), merged_cover, "doc_id bigint, tkey bigint, lo array<int>, hi array<int>")
     return materialize(cover, "removed-words")
 
@@ -369,14 +397,23 @@ def strip_words(docs: DataFrame, removed: DataFrame, max_broadcast_docs: int = M
     return map_batches(joined.select("doc_id", "text", "lo", "hi"), strip, "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
-def dedup_substrings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame,
+    batches: int = BATCHES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_broadcast_keys: int = MAX_BROADCAST_KEYS,
+    docs_per_salt: int = DOCS_PER_SALT,
+) -> DataFrame:
     """doc_id, n_words, n_removed, text (what is left) of each document.
 
     The documents enter the index in ``batches`` by id, as they would arrive."""
     spark = docs.sparkSession
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tkey"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
+    shares = [i / batches for i in range(1, batches)] or [0.5]
+    n, cuts = docs.select(F.count("*"), F.percentile_approx("doc_id", shares, 1000)).first()
+    cuts = (cuts or []) if batches > 1 else []
     number = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     index, candidates = RunIndex(spark), None
     try:
@@ -385,7 +422,7 @@ def dedup_substrings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc
             candidates = found if candidates is None else candidates.unionByName(found)
     finally:
         index.close()
-    return strip_words(docs, removed_words(docs, candidates.distinct(), max_broadcast_keys))
+    return strip_words(docs, removed_words(docs, candidates.distinct(), max_broadcast_keys, 1 + n // docs_per_salt))
 
 
 def op6_fingerprint_runs(spark, sf_dir: str) -> DataFrame:

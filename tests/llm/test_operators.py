@@ -256,14 +256,14 @@ def test_ftrl_learns_one_coordinate():
 # --- 6 ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("batches, bound", [(1, 10**6), (3, 10**6), (4, 0)])
-def test_substrings(spark, batches, bound):
+@pytest.mark.parametrize("batches, bound, salt", [(1, 10**6, 10**6), (3, 10**6, 20), (4, 0, 10**6)])
+def test_substrings(spark, batches, bound, salt):
     rng = random.Random(6)
     rows = corpus(7)
     passage = prose(rng, 50, [f"p{i}" for i in range(500)])
     rows += [(70 + i, prose(rng, 30) + passage + prose(rng, i)) for i in range(8)]
     rows += [(90, "a " * 60), (91, "a b c d e " * 12), (92, passage + passage), (None, passage), (93, passage + "\x85 x"), (93, passage + "\x85 x")]
-    df = substrings.dedup_substrings(frame(spark, rows), batches, max_broadcast_keys=bound)
+    df = substrings.dedup_substrings(frame(spark, rows), batches, max_broadcast_keys=bound, docs_per_salt=salt)
     mine = got(df.withColumn("h", F.sha2("text", 256)), "doc_id", "n_words", "n_removed", "h")
     assert mine == sorted(brute.substrings(rows), key=repr)
     assert sum(r[2] for r in mine) > 500
