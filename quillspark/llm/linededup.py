@@ -229,6 +229,7 @@ def dedup_lines(
     doc_id, text (what is left), the ``carry`` columns, n_lines, n_dropped.
     """
     sc = docs.sparkSession.sparkContext
+    docs = docs.select(id_col, text_col, *carry)
     seen = sc.broadcast(twice_filter(docs, text_col, min_chars, filter_words))
     repeated = materialize(repeated_lines(docs, id_col, text_col, min_docs, min_chars, seen), "repeated-lines")
     known = None

@@ -114,8 +114,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, limit: int
     known = known.where(draw < F.lit(int((1 << 30) * min(1.0, limit / max(1, n)))))
     known = known.select(F.col(id_col).alias("labelled_id"), "toxic")
     # Broadcast: at most about ``limit`` rows, as just counted.
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("labelled_id"))
-    return rows.select("labelled_id", F.col(text_col).alias("text"), "toxic"), min(n, limit)
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(known), F.col("text_id") == F.col("labelled_id"))
+    return rows.select("labelled_id", "text", "toxic"), min(n, limit)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -55,6 +55,35 @@ def got(df, *columns):
 EMPTY = []
 
 
+CLASHING = (
+    "a", "b", "band", "bands", "bucket", "bytes", "cell", "component", "d1", "distance", "failed", "first_id", "fp", "grp", "host", "hub", "item_id", "key", "kept",
+    "labelled_id", "length", "n", "n_docs", "n_lines", "n_words", "node", "of_text", "own", "piece", "range", "rep", "repeated", "rid", "score", "segment", "shard",
+    "size", "slot", "start", "suspects", "t", "text_crc32", "text_id", "tkey", "toxic", "w",
+)
+APPLIED = {
+    "lines": lambda s, d: linededup.dedup_lines(d, 2),
+    "lines_joined": lambda s, d: linededup.dedup_lines(d, 2, max_broadcast_keys=0),
+    "secrets": lambda s, d: secrets.scan_secrets(d),
+    "licenses": lambda s, d: licenses.scan_licenses(d),
+    "quality": lambda s, d: quality.host_quality(d),
+    "toxicity": lambda s, d: toxicity.score(d, toxicity.fit(d, s.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int"), F.lit(True))),
+    "substrings": lambda s, d: substrings.dedup_substrings(d),
+    "substrings_joined": lambda s, d: substrings.dedup_substrings(d, max_broadcast_keys=0),
+    "edits": lambda s, d: decontaminate.match_items(d, s.createDataFrame([(1, "one", "x")], "item_id bigint, text string, doc_id string")),
+    "neardup": lambda s, d: neardup.near_duplicates(d),
+    "sharding": lambda s, d: sharding.shard(d, 4).select("doc_id", "size", "text_crc32"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(APPLIED))
+def test_extra_columns_change_nothing(spark, name):
+    df = frame(spark, corpus(20, 40)).coalesce(2)
+    more = df.select("*", *(F.lit("clash").alias(c) for c in CLASHING))
+    want, mine = APPLIED[name](spark, df), APPLIED[name](spark, more)
+    assert mine.columns == want.columns
+    assert got(mine, *mine.columns) == got(want, *want.columns)
+
+
 # --- 1 ------------------------------------------------------------------------
 
 
