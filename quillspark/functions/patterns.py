@@ -57,16 +57,17 @@ OCR = [
     *((f"{c} ", c) for c in ("\u0987", "\u09be", "\u09c7", "\u09cb", "\u09bc", "\u0982", "\u09c3")),
     *TRIM,
 ]
+# After the first rule a space is the only white space.
 CLEAN = [
     (f"{SPACE}+", " "),
     ("\u0964\u0964", "\u0964"),
     ("\\?\\?", "?"),
     ("!!", "!"),
-    (f"{SPACE}+([\u0964!?,.;:])", "$1"),
-    (f"([\u0964!?]){SPACE}*", "$1 "),
-    (f"{SPACE}*\\({SPACE}*", " ("),
-    (f"{SPACE}*\\){SPACE}*", ") "),
-    *TRIM,
+    (" +([\u0964!?,.;:])", "$1"),
+    ("([\u0964!?]) *", "$1 "),
+    (" *\\( *", " ("),
+    (" *\\) *", ") "),
+    ("\\A +| +\\z", ""),
 ]
 
 ISSUES = {

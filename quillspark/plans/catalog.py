@@ -57,9 +57,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores (one small file) is dealt to
+    all of them; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame(SAMPLES, "doc_id bigint, text string")
-    return _read(spark, sf_dir, "documents").select("doc_id", T.text_of("text").alias("text")).unionByName(own)
+    docs = _spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", T.text_of("text").alias("text")).unionByName(own)
 
 
 def _values(rows: list[tuple]) -> str:
