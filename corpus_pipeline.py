@@ -41,8 +41,9 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines found in ten documents or more."""
-    left = linededup.dedup_lines(docs, min_docs=10, keep_first=False, carry=("lang", "source"))
+    """Documents without the lines found in ten documents or more.  Copies of a
+    text, ten or more, would lose all of it: they stay for the next stage."""
+    left = linededup.dedup_lines(docs, min_docs=10, keep_first=False, keep_copies=True, carry=("lang", "source"))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

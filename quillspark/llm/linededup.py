@@ -159,7 +159,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
     )
 
 
-def _rewrite(docs: DataFrame, id_col: str, text_col: str, carry: list[str], min_chars: int, keep_first: bool, seen, known) -> DataFrame:
+def _rewrite(docs: DataFrame, id_col: str, text_col: str, carry: list[str], min_chars: int, keep_first: bool, keep_copies: bool, seen, known) -> DataFrame:
     """Drop lines.  The repeated keys come from ``known`` (a broadcast dict), or
     else from the documents' own column ``repeated``."""
     schema = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry).schema
@@ -174,12 +174,18 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, carry: list[str], min_
             for doc_id, text, own in zip(ids, text_bytes(batch.column(1)), rows, strict=True):
                 lines, keys = line_keys(text)
                 listed = known.value if known is not None else {r["key"]: (r["first_id"], r["first_line"]) for r in own or []}
-                keep = np.ones(len(lines), bool)
+                keep, here = np.ones(len(lines), bool), np.zeros(len(lines), bool)
                 if listed:
                     for i in np.flatnonzero(twice.has(_hashes(keys))):
                         if long_enough(keys[i], min_chars):
                             first = listed.get(hashlib.sha256(keys[i]).digest())
-                            keep[i] = first is None or (keep_first and first == (doc_id, int(i)))
+                            here[i] = first == (doc_id, int(i))
+                            keep[i] = first is None or (keep_first and here[i])
+                if keep_copies and not keep.all():
+                    if not any(k for k, stays in zip(keys, keep, strict=True) if stays):
+                        keep[:] = True
+                    elif 2 * sum(len(x) for x, stays in zip(lines, keep, strict=True) if not stays) > sum(map(len, lines)):
+                        keep |= here
                 texts.append(text if keep.all() else b"\n".join(x for x, k in zip(lines, keep, strict=True) if k))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - int(keep.sum()))
@@ -222,10 +228,14 @@ def dedup_lines(
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep_copies: bool = False,
 ) -> DataFrame:
     """Documents without the lines whose key is in ``min_docs`` documents.
 
-    With ``keep_first`` the first occurrence of such a line stays.  Returns
+    With ``keep_first`` the first occurrence of such a line stays.  With
+    ``keep_copies`` a text of nothing but such lines stays whole, and one that
+    would lose more than half of its bytes keeps the lines that occur first in
+    it: they are copies of texts, which is not for a line count to decide.  Returns
     doc_id, text (what is left), the ``carry`` columns, n_lines, n_dropped.
     """
     sc = docs.sparkSession.sparkContext
@@ -238,7 +248,7 @@ def dedup_lines(
         known = sc.broadcast({bytes(r["key"]): (r["first_id"], r["first_line"]) for r in rows})
     else:
         docs = _with_repeated(docs, text_col, repeated, min_chars, seen)
-    return _rewrite(docs, id_col, text_col, list(carry), min_chars, keep_first, seen, known)
+    return _rewrite(docs, id_col, text_col, list(carry), min_chars, keep_first, keep_copies, seen, known)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -65,6 +65,21 @@ def test_run_packs_what_is_left(spark, folder):
     assert [r["length"] for r in out if r["doc_id"] == 3000] == [1]
 
 
+def test_a_text_of_many_copies_stays_once(spark):
+    """Ten or more exact copies, and near copies with a line of their own."""
+    page, story = ("\n".join(f"{name}{k} " + " ".join(f"{name}{k}w{j}" for j in range(12)) for k in range(6)) for name in "ps")
+    rows = [(i, f"{page}\n\nShared line") for i in range(12)]
+    rows += [(100 + i, f"{story}\nown{i}") for i in range(12)]
+    rows += [(200 + i, " ".join(f"d{i}w{k}" for k in range(30)) + "\nShared line") for i in range(12)]
+    lines = corpus_pipeline.drop_repeated_lines(spark, frame(spark, rows), "").cache()
+    out = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert [out[i] for i in range(12)] == [rows[0][1]] * 12
+    assert out[100] == rows[12][1] and [out[100 + i] for i in range(1, 12)] == [f"own{i}" for i in range(1, 12)]
+    assert not any("Shared" in out[200 + i] for i in range(12))
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, lines, "").collect()}
+    assert {d: t for d, t in left.items() if d < 100} == {0: rows[0][1]} and left[100] == rows[12][1]
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id bigint, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
