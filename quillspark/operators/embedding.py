@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -23,6 +25,11 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _hash(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+
+
 class HashingEmbedder:
     """A stand-in without a model: signed hashed character trigrams, unit norm.
     Its results are no measure of retrieval quality."""
@@ -35,9 +42,10 @@ class HashingEmbedder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for row, text in zip(out, texts, strict=True):
-            for i in range(len(text) - 2):
-                h = int.from_bytes(hashlib.blake2b(text[i : i + 3].encode(), digest_size=8).digest(), "little")
-                row[h % self.dimension] += 1 if h >> 63 else -1
+            # Once for each distinct trigram: whole numbers add up the same.
+            for gram, n in Counter(map("".join, zip(text, text[1:], text[2:], strict=False))).items():
+                h = _hash(gram)
+                row[h % self.dimension] += n if h >> 63 else -n
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

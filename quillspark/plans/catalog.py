@@ -523,14 +523,16 @@ Q["clear_memory"] = (
 
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as questions, each with the memory and the documents as
-    context, answered by the extractive stand-in."""
-    vectors = _read(s, d, "embeddings")
+    """Every benchmark item as a question, answered by the extractive stand-in
+    from the documents that its own embedding finds among theirs."""
+    embedder = embedding.HashingEmbedder()
     contents = _read(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
-    queries = _queries(vectors)
-    context = answering.retrieve_context(search.topk(vectors, queries, 5, "cosine", 0.3), contents, queries)
-    asked = _read(s, d, "benchmark").select((F.col("item_id") * 50).alias("query_id"), F.col("text").alias("question"))
-    rows = asked.join(context, "query_id").withColumn("memory", F.lit(""))
+    store = embedding.encode(contents.where(T.text_of("content") != ""), embedder, "content").select("vec_id", "embedding")
+    asked = _read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    prefixed = asked.select("query_id", F.concat(F.lit("query: "), F.trim(T.text_of("question"))).alias("q"))
+    queries = embedding.encode(prefixed, embedder, "q", prefix=False)
+    context = answering.retrieve_context(search.topk(store, queries, 5, "cosine", 0.3), contents, queries)
+    rows = asked.join(context, "query_id", "left").withColumn("memory", F.lit(""))
     return answering.answer(rows, answering.ExtractiveGenerator()).select("query_id", "query_language", "answer", "model_used", F.round("confidence", 6).alias("confidence"))
 
 

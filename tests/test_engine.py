@@ -97,3 +97,17 @@ def test_stream_appends_once(spark, tmp_path):
     spark.createDataFrame([(1, 2, TEXT), (2, 1, TEXT)], PAGES).write.mode("append").parquet(source)
     ingest_pages(stream(), store, check).awaitTermination()
     assert first > 0 and spark.read.parquet(store).count() == 2 * first
+
+
+def test_the_query_answers_every_benchmark_item(spark, tmp_path):
+    """By its own words, whatever its number; not found without a document."""
+    from quillspark.plans import catalog
+
+    texts = ["The red heron nests by the northern river in spring", "Copper kettles boil quickly over an open fire"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(3, texts[1]), (977, texts[0]), (978, "ØÆÅ"), (979, "")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r["query_id"]: r for r in catalog.queries()["ask_batch"](spark, str(tmp_path)).collect()}
+    assert set(rows) == {3, 977, 978, 979}
+    assert rows[3]["answer"] == "Copper kettles" and rows[977]["answer"] == "The red"
+    assert all(rows[i]["model_used"] == "none" and rows[i]["confidence"] == 0 for i in (978, 979))
