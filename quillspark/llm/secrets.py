@@ -44,16 +44,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-#: Values that stand where a credential would.
+_NAME = "(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"
+#: Values that stand where a credential would.  A quoted value runs to its closing
+#: quote on the line; another (also after a quote that isn't closed) to white space
+#: or the next credential's name, without delimiters at its end.  Each part scans
+#: at most up to where the next match could begin, so that no length is bounded.
 CONTEXTS = (
     re.compile(
-        r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"""
-        r"""["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\x00-\x20]{6,})"|'([^'\x00-\x20]{6,})'|([^\x00-\x20"'<>,;]{6,}))""",
+        _NAME + r"""["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\x00-\x08\n-\x1f]{6,})"|'([^'\x00-\x08\n-\x1f]{6,})'|"""
+        r"""(?:"(?![^"\x00-\x08\n-\x1f]*")|'(?![^'\x00-\x08\n-\x1f]*'))?"""
+        r"""((?!["'])[<>,;]*+[^\x00-\x20"'<>,;]++(?:(?:["'<>]|[,;](?!["']?""" + _NAME + r"""["']?\x20*[:=]))++[^\x00-\x20"'<>,;]++)*+))""",
         re.IGNORECASE | re.ASCII,
     ),
     re.compile(r"(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{8,})", re.IGNORECASE | re.ASCII),
-    re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s/@]{4,})@", re.IGNORECASE | re.ASCII),
+    re.compile(r"(?<=[a-z0-9+.-]{2})://[^\s:/@]*:([^\s/@]{4,})@", re.IGNORECASE | re.ASCII),
 )
+MIN_VALUE = dict(zip(CONTEXTS, (6, 8, 4), strict=True))
 MIN_GUESSES = 10.0
 
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -146,10 +152,13 @@ def guess_spans(text: str, ranks: dict[str, int], min_guesses: float = MIN_GUESS
     """(start, kind number, end) of hard-to-guess values in credential contexts."""
     spans = set()
     for pattern in CONTEXTS:
-        for m in pattern.finditer(text):
+        m = pattern.search(text)
+        while m:
             group = next(g for g in range(1, pattern.groups + 1) if m.group(g) is not None)
-            if guess_cost(m.group(group), ranks) >= min_guesses:
+            short = m.end(group) - m.start(group) < MIN_VALUE[pattern]
+            if not short and guess_cost(m.group(group), ranks) >= min_guesses:
                 spans.add((m.start(group), 3, m.end(group)))
+            m = pattern.search(text, m.start() + 1 if short else m.end())
     return sorted(spans)
 
 

@@ -1,6 +1,7 @@
 """Every operator on awkward inputs and against its plain version."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -168,6 +169,27 @@ def test_secret_spans(spark):
     assert secrets.scan_secrets(frame(spark, EMPTY)).count() == 0
 
 
+def test_secret_values_are_scored_whole():
+    long = "s" * 40, "u" * 90
+    for text, value in {
+        'passphrase: "correct horse zvqk staple" x': "correct horse zvqk staple",
+        "pwd=q8Zr5;vKw1tYxPq next": "q8Zr5;vKw1tYxPq",
+        "password = ab,Q8zr5vKw1tYxPq, and": "ab,Q8zr5vKw1tYxPq",
+        "password=q8<Zr5>\"vKw1tYx'Pq\n": "q8<Zr5>\"vKw1tYx'Pq",
+        'password="q8Zr5vKw1tYxPq\nnext" line': "q8Zr5vKw1tYxPq",
+        "redis://:q8Zr5vKw1tYx@host": "q8Zr5vKw1tYx",
+        f"{long[0]}://{long[1]}:q8Zr5vKw1tYx@host": "q8Zr5vKw1tYx",
+    }.items():
+        assert [text[s:e] for s, _, e in secrets.guess_spans(text, {})] == [value], text
+    both = "password=q8Zr5vKw1tYx;token=Pq7Zr5vKw1tYx"
+    assert [both[s:e] for s, _, e in secrets.guess_spans(both, {})] == ["q8Zr5vKw1tYx", "Pq7Zr5vKw1tYx"]
+    assert not secrets.guess_spans('password="abc",user="bob smith junior"', {})
+    for unit in ("://a:", "aa://", "pwd=;", 'pwd="', "token=',;", "a" * 50 + ":"):
+        began = time.process_time()
+        secrets.guess_spans(unit * (400_000 // len(unit)), {})
+        assert time.process_time() - began < 30
+
+
 # --- 3 ------------------------------------------------------------------------
 
 
