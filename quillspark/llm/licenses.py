@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,64 @@ TEMPLATES = {
     ),
 }
 
+_GNU = (
+    "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1} Public License as "
+    "published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version"
+)
+_LIBRARY = _GNU.replace("This program", "This library")
+#: More licenses, and more wordings of the above.
+_MORE = {
+    "AGPL-3.0": (_GNU.format(":", "Affero General", ",", "3"), "This work is licensed under the GNU Affero General Public License, version 3."),
+    "BSD-2-Clause": (),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this "
+        "software to the public domain worldwide. This software is distributed without any warranty",
+    ),
+    "EPL-1.0": (
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "GPL-2.0": (_GNU.format(";", "General", ";", "2"), "This work is licensed under the GNU General Public License, version 2."),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" "
+        "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ),
+    "LGPL-2.1": (_LIBRARY.format(";", "Lesser General", ";", "2.1"), "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    "LGPL-3.0": (_LIBRARY.format(":", "Lesser General", ",", "3"), "This work is licensed under the GNU Lesser General Public License, version 3."),
+    "MPL-2.0": (),
+    "Unlicense": ("This is free and unencumbered software released into the public domain",),
+}
+_LINES = (
+    "Licensed under the {} License", "Released under the {} License", "Distributed under the {} License", "This project is licensed under the {} License",
+    "SPDX-License-Identifier: {}",
+)
+
+
+def _templates() -> dict[str, tuple[str, ...]]:
+    """Notices, lines with the license's name, and the full texts shipped beside
+    this module.  The first templates of a license are those written first."""
+    folder = resources.files(__package__).joinpath("license_texts")
+    full = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    out = {}
+    for name in sorted(TEMPLATES.keys() | _MORE.keys()):
+        own = [*TEMPLATES.get(name, ()), *_MORE.get(name, ()), *(x.format(name) for x in _LINES)]
+        own += [f"SPDX-License-Identifier: {name}-{x}" for x in ("only", "or-later") if "GPL" in name]
+        out[name] = tuple(dict.fromkeys([*own, *([full[name]] if name in full else [])]))
+    return out
+
+
+TEMPLATES = _templates()
+
 
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashed_words([t.translate(_EDGE) for t in texts], lower=True)
@@ -124,29 +183,35 @@ class Templates:
             for c in range(bands):
                 for i in members:
                     tables[c].setdefault(int(_coordinate(self.sets[i], c).min()), []).append(i)
-            self.tables[q, size] = width, bands, tables
+            self.tables[q, size] = width, bands, tables, smallest
         # Any window with a match shares a shingle with the template.
         self.known = {}
         for q in {k[0] for k in self.classes}:
             self.known[q] = np.unique(np.concatenate([s for s, own in zip(self.sets, self.shingle, strict=True) if own == q]))
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end word, containment), best of overlaps."""
+        """(template, first word, end word, containment), best of overlaps: of one
+        template's, and of the templates that match one stretch of text, that is
+        where two overlap by more than half of the shorter.  The best template has
+        most of its shingles in the text, less those that it lacks there."""
+        best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
         found: dict[int, list[tuple[float, int, int]]] = {}
-        for (q, size), (width, bands, tables) in self.tables.items():
+        for (q, size), (width, bands, tables, smallest) in self.tables.items():
             grams = ngrams(words, q)
             if not len(grams):
                 continue
             at = np.minimum(np.searchsorted(self.known[q], grams), len(self.known[q]) - 1)
             hits = np.flatnonzero(self.known[q][at] == grams)
-            if not len(hits):
+            # A match has the share of the smallest template at least in hits.
+            if not len(hits) or 100 * len(hits) < self.percent * smallest:
                 continue
             stride = max(1, width - size)
             # Only windows with a shingle of some template can match.
             low = np.maximum(0, -(-(hits - width + 1) // stride))
             starts = np.unique(np.concatenate([low + k for k in range(-(-width // stride) + 1)]))
             starts = starts[(starts * stride < len(grams))] * stride
-            for s in starts.tolist():
+            within = np.searchsorted(hits, starts + width) - np.searchsorted(hits, starts)
+            for s in starts[100 * within >= self.percent * smallest].tolist():
                 window = np.unique(grams[s : s + width])
                 seen = set()
                 for c in range(bands):
@@ -156,7 +221,12 @@ class Templates:
                     share = float(inside.mean())
                     if 100 * int(inside.sum()) >= self.percent * len(inside):
                         own = s + np.flatnonzero(np.isin(grams[s : s + width], self.sets[i]))
-                        found.setdefault(i, []).append((-share, int(own[0]), int(own[-1]) + q))
+                        place = (-share, int(own[0]), int(own[-1]) + q)
+                        found.setdefault(i, []).append(place)
+                        # Where most of it lies: single shingles may be far off.
+                        near = np.searchsorted(own, own + len(self.sets[i]) * 5 // 4 + 1) - np.arange(len(own))
+                        a = int(near.argmax())
+                        best[i, *place[1:]] = 2 * int(inside.sum()) - len(inside), int(own[a]), int(own[a + near[a] - 1]) + q
         out = []
         for i, rows in found.items():
             taken: list[tuple[int, int]] = []
@@ -164,7 +234,12 @@ class Templates:
                 if all(b <= x or a >= y for x, y in taken):
                     taken.append((a, b))
                     out.append((i, a, b, -share))
-        return sorted(out, key=lambda r: (r[1], r[0]))
+        kept: list[tuple[tuple[int, int, int, float], int, int]] = []
+        for m in sorted(out, key=lambda m: (-best[m[:3]][0], -m[3], m[1], m[0])):
+            _, a, b = best[m[:3]]
+            if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for _, x, y in kept):
+                kept.append((m, a, b))
+        return sorted((m for m, _, _ in kept), key=lambda r: (r[1], r[0]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -206,6 +206,20 @@ def test_license_bands_and_containment(spark):
         licenses.scan_licenses(frame(spark, rows), {"x": ("a b c d e f",) * 3000})
 
 
+def test_license_texts_get_their_own_name():
+    known = licenses.Templates([(n, t.encode()) for n, texts in licenses.TEMPLATES.items() for t in texts])
+
+    def names(text):
+        return [known.names[m[0]] for m in known.matches(licenses.word_codes([f"some words before {text} and after".encode()])[0])]
+
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert names(text) == [name], (name, text[:80])
+    assert {"AGPL-3.0", "BSD-2-Clause", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "LGPL-2.1", "Unlicense"} <= licenses.TEMPLATES.keys()
+    gpl, cc = licenses.TEMPLATES["GPL-2.0"][0], licenses.TEMPLATES["CC-BY-SA-4.0"][1]
+    assert names(f"{gpl} x y z {cc}") == ["GPL-2.0", "CC-BY-SA-4.0"]
+
+
 def test_license_windows_lose_no_passage():
     """Against containment in every stretch of the template's length."""
     rng = random.Random(8)
