@@ -194,11 +194,12 @@ def structure_chunks(
     return F.aggregate(parts, start, step, finish)
 
 
-def dedup_chunks(chunks: DataFrame, document: str = "doc_id", order: tuple[str, ...] = ("source_page", "seq")) -> DataFrame:
-    """Of equal contents (case and edge space ignored) in a document, the first."""
+def dedup_chunks(chunks: DataFrame, document: str = "doc_id", order: tuple[str, ...] = ("source_page", "seq"), min_size: int = MIN_SIZE) -> DataFrame:
+    """Of equal contents (case and edge space ignored) in a document, the first;
+    contents of under ``min_size`` characters are left out."""
     key = F.md5(T.strip(F.lower("content")))
     w = Window.partitionBy(document, key).orderBy(*order)
-    return chunks.where(F.col("char_count") >= MIN_SIZE).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return chunks.where(F.col("char_count") >= min_size).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 STRATEGIES = {
@@ -227,7 +228,7 @@ def chunk_pages(
         made = F.when(F.col("mcq"), paragraph_chunks(text, page, size, min_size)).otherwise(sentence_chunks(text, page, size, min_size))
     exploded = rows.select("doc_id", "page_number", F.posexplode(made).alias("seq", "c"))
     exploded = exploded.select("doc_id", F.col("page_number").alias("source_page"), "seq", "c.*")
-    return dedup_chunks(exploded)
+    return dedup_chunks(exploded, min_size=min_size)
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:

@@ -77,6 +77,12 @@ def test_first_of_equal_chunks_stays(spark):
     assert sorted((r["doc_id"], r["seq"]) for r in chunking.dedup_chunks(df).collect()) == [(1, 0), (2, 0)]
 
 
+def test_a_smaller_minimum_keeps_smaller_chunks(spark):
+    pages = spark.createDataFrame([(1, 1, "The heron nests by the northern river in early spring again.")], "doc_id bigint, page_number int, text string")
+    assert chunking.chunk_pages(pages, "sentences", 512, 50).count() == 1
+    assert chunking.chunk_pages(pages, "sentences", 512).count() == 0
+
+
 @pytest.mark.parametrize("strategy", ["structure", "paragraphs", "sentences", "mixed"])
 def test_strategies(spark, strategy):
     rows = [(1, 1, f"{PROSE}. {PROSE}! {PROSE}"), (1, 2, ""), (2, 1, None)]
