@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from . import embedding
 
 
 def _literals(values: list[str]) -> Column:
@@ -89,23 +90,30 @@ def context_utilization(answer: str | Column, context: str | Column) -> Column:
     )
 
 
-def evaluate(rows: DataFrame, digits: int | None = None) -> DataFrame:
-    """Rows (question, answer, truth, context) with their metrics."""
+def evaluate(rows: DataFrame, digits: int | None = None, embedder: embedding.Embedder | None = None) -> DataFrame:
+    """Rows (question, answer, truth, context) with their metrics.  With an
+    embedder the semantic similarity is the cosine of answer and truth as
+    passages, 0 if one is empty; without, it is lexical."""
 
     def kept(c: Column) -> Column:
         return c if digits is None else F.round(c, digits)
 
+    similarity, columns = lexical_similarity("answer", "truth"), rows.columns
+    if embedder is not None:
+        rows = embedding.encode(embedding.encode(rows, embedder, "answer", "_answer"), embedder, "truth", "_truth")
+        empty = (T.text_of("answer") == "") | (T.text_of("truth") == "")
+        similarity = F.when(empty, 0.0).otherwise(embedding.cosine(F.col("_answer"), F.col("_truth")))
     return rows.withColumns(
         {
             "groundedness": kept(groundedness("answer", "context")),
             "relevance": kept(relevance("question", "context")),
-            "semantic_similarity": kept(lexical_similarity("answer", "truth")),
+            "semantic_similarity": kept(similarity),
             "context_utilization": kept(context_utilization("answer", "context")),
             "question_type": T.question_type("question"),
             "answer_length": F.size(T.words(T.text_of("answer"))),
             "context_length": F.size(T.words(T.text_of("context"))),
         }
-    )
+    ).drop(*({"_answer", "_truth"} - set(columns)))
 
 
 def summary(evaluated: DataFrame) -> DataFrame:

@@ -134,5 +134,5 @@ class Engine:
         """Rows and summary for test cases (id, question, answer)."""
         numbered = cases.select("id", "question", F.col("answer").alias("truth"), F.xxhash64("id", "question").alias("query_id"))
         asked = self.ask_batch(numbered.select("query_id", "question")).select("query_id", "answer", "context")
-        rows = evaluation.evaluate(numbered.join(asked, "query_id"))
+        rows = evaluation.evaluate(numbered.join(asked, "query_id"), embedder=self.embedder)
         return rows, evaluation.summary(rows)

@@ -76,6 +76,19 @@ def test_evaluate(spark, engine):
     assert "total_questions: 2" in files.report(summary)
 
 
+def test_similarity_is_the_cosine_of_an_embedder(spark, engine):
+    from quillspark.operators import embedding, evaluation
+
+    rows = spark.createDataFrame([(1, "q", "night owls", "owls at night", "c"), (2, "q", "", "x", "c")], "id int, question string, answer string, truth string, context string")
+    got = {r["id"]: r["semantic_similarity"] for r in evaluation.evaluate(rows, embedder=engine.embedder).collect()}
+    a, b = embedding.HashingEmbedder().encode(["passage: night owls", "passage: owls at night"])
+    assert abs(got[1] - a @ b) < 1e-6 and got[2] == 0
+    cases = spark.createDataFrame([("c1", "where does the river go", "to the sea")], "id string, question string, answer string")
+    r = engine.evaluate(cases)[0].first()
+    a, b = engine.embedder.encode([f"passage: {r['answer']}", f"passage: {r['truth']}"])
+    assert abs(r["semantic_similarity"] - a @ b) < 1e-6
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("one\ftwo")
