@@ -2,8 +2,8 @@
 
 Per document the rules count words, symbols, repeated lines and words lying in
 repeated word windows.  Rule failures are then aggregated by host, each host's
-failure rate is shrunk towards the corpus by an empirical beta prior (method of
-moments over hosts), and the verdict on the host is joined back: a document of
+failure rate is shrunk towards the corpus by an empirical beta prior (moments
+over hosts, without the noise within them), and the verdict on the host is joined back: a document of
 a condemned host must also pass the stricter rules, elsewhere it need not.  A
 document without any failure is kept whatever its host.
 
@@ -12,7 +12,8 @@ words); the only shuffle is the partial aggregation by host.  The features are
 written once, so the texts are read once.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null
-host is a host of its own; repeated rows count and are returned one by one;
+host is a host of its own; where all hosts have one document, nothing tells
+hosts apart and each gets the corpus rate; repeated rows count and are returned one by one;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -35,6 +36,11 @@ STRICT_DUP_LINES = 3
 MAX_WORD_CHARS = 12
 HOST_FAILURE_RATE = 0.5
 MAX_BROADCAST_HOSTS = 100_000
+# The prior.
+PRIOR_ROUNDS = 4
+EVEN_HOSTS = 10
+MAX_RHO = 0.99
+MAX_STRENGTH = 1e6
 
 
 def _let(value: Column, body) -> Column:
@@ -128,12 +134,36 @@ def rule_failures(rows: DataFrame) -> DataFrame:
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Alpha and beta fitted to the hosts' failure rates by moments.  One row
-    reaches the driver.  Without spread between hosts the prior is strong."""
-    rate = F.col("n_failed") / F.col("n_docs")
-    mean, var = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    mean = min(max(mean or 0.0, 1e-6), 1 - 1e-6)
-    strength = min(max(mean * (1 - mean) / var - 1, 0.01), 1e6) if var else 1e6
+    """Alpha and beta of the hosts' failure rates (n_docs, n_failed), by moments.
+
+    The spread of the raw rates also holds each host's binomial noise, so the
+    noise that the hosts' sizes make expected is taken off; what is left, as a
+    share of the variance of a single document, is the correlation rho within a
+    host, and the prior's strength is 1 / rho - 1.  A host weighs n / (1 + rho
+    (n - 1)), refined in ``PRIOR_ROUNDS`` rounds, so a hot host doesn't set the
+    prior alone.  A spread that rests on few hosts of several documents is
+    trusted less: ``EVEN_HOSTS`` hosts without spread count besides them.
+
+    Each round is one row from a histogram of (n_docs, n_failed).
+    """
+    alike = materialize(hosts.groupBy("n_docs", "n_failed").agg(F.count("*").alias("hosts")), "quality-prior")
+    n, h, rate = F.col("n_docs"), F.col("hosts"), F.col("n_failed") / F.col("n_docs")
+    mean, rho = 0.0, 0.0
+    for _ in range(PRIOR_ROUNDS):
+        w = n / (1 + F.lit(rho) * (n - 1))
+        sums = (h * w, h * w * rate, h * w * rate * rate, h * w * w, h * w / n, h * w * w / n, h * w * (1 - 1 / n), h * w * w * (1 - 1 / n) * (1 - 1 / n))
+        weight, first, second, square, noise, noise_square, told, told_square = alike.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in sums)).first()
+        if not weight:
+            break
+        mean = min(max(first / weight, 1e-6), 1 - 1e-6)
+        noise, spread = noise - noise_square / weight, weight - square / weight
+        rho = 0.0
+        # Hosts of one document tell nothing of the spread between hosts.
+        if spread - noise > 1e-9 * weight:
+            seen = told * told / told_square
+            rho = max(0.0, ((second - first * first / weight) / (mean * (1 - mean)) - noise) / (spread - noise)) * seen / (seen + EVEN_HOSTS)
+        rho = min(rho, MAX_RHO)
+    strength = min(1 / rho - 1, MAX_STRENGTH) if rho else MAX_STRENGTH
     return mean * strength, (1 - mean) * strength
 
 
@@ -192,14 +222,34 @@ WITH w AS (
             OR n_dup_lines >= 3 OR word_chars > 12 * n_words AS failed FROM v
 ), h AS (
   SELECT host, count(*) AS n, count(*) FILTER (failed) AS k FROM x GROUP BY host
-), m AS (
-  SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mu, var_pop(k / n) AS s FROM h
-), p AS (
-  SELECT mu, CASE WHEN s > 0 THEN least(greatest(mu * (1 - mu) / s - 1, 0.01), 1e6) ELSE 1e6 END AS st FROM m
+), g0 AS (
+  SELECT n, k, count(*) AS c, k / n AS p, 1 - 1 / n AS u FROM h GROUP BY n, k
+), r0 AS (
+  SELECT 0.0::DOUBLE AS rho, 0.0::DOUBLE AS mu
+"""
+
+
+def _prior_sql(i: int) -> str:
+    """One round of ``beta_prior``: s has the sums, t the moments, r rho and mean."""
+    return f"""), s{i} AS (
+  SELECT sum(c * w) AS w, sum(c * w * p) AS a, sum(c * w * p * p) AS b, sum(c * w * w) AS q, sum(c * w / n) AS e,
+         sum(c * w * w / n) AS f, sum(c * w * u) AS j, sum(c * w * w * u * u) AS l
+  FROM (SELECT g0.*, n / (1 + rho * (n - 1)) AS w FROM g0, r{i - 1})
+), t{i} AS (
+  SELECT least(greatest(a / w, 1e-6), 1 - 1e-6) AS mu, b - a * a / w AS v, e - f / w AS noise, w - q / w AS spread, j * j / nullif(l, 0) AS seen, w FROM s{i}
+), r{i} AS (
+  SELECT mu, CASE WHEN spread - noise > 1e-9 * w
+                  THEN least(greatest(0, (v / (mu * (1 - mu)) - noise) / (spread - noise)) * seen / (seen + {EVEN_HOSTS}), {MAX_RHO}) ELSE 0 END AS rho
+  FROM t{i}
+"""
+
+
+OP4_SQL += "".join(_prior_sql(i) for i in range(1, PRIOR_ROUNDS + 1)) + f"""), z AS (
+  SELECT mu, CASE WHEN rho > 0 THEN least(1 / rho - 1, {MAX_STRENGTH}) ELSE {MAX_STRENGTH} END AS st FROM r{PRIOR_ROUNDS}
 ), c AS (
-  SELECT host FROM h, p WHERE (k + mu * st) / (n + st) > 0.5
+  SELECT host, true AS bad FROM h, z WHERE (k + mu * st) / (n + st) > {HOST_FAILURE_RATE}
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (failed AND c.host IS NOT NULL) AS kept, c.host IS NOT NULL AS host_condemned
-FROM x LEFT JOIN c ON x.host = c.host
+       NOT base_failed AND NOT (failed AND bad IS NOT NULL) AS kept, bad IS NOT NULL AS host_condemned
+FROM x LEFT JOIN c ON x.host IS NOT DISTINCT FROM c.host
 """

@@ -97,6 +97,27 @@ def quality(text):
     return len(own), sum(map(len, own)), sum(c in "#*$%&|<>" for c in text), len(full) - len(set(full)), len(covered)
 
 
+def beta_prior(hosts, rounds=4, even_hosts=10):
+    """Alpha and beta of hosts (documents, failures), host by host."""
+    mean = rho = 0.0
+    for _ in range(rounds):
+        weights = [n / (1 + rho * (n - 1)) for n, _ in hosts]
+        total = sum(weights)
+        mean = min(max(sum(w * k / n for w, (n, k) in zip(weights, hosts, strict=True)) / total, 1e-6), 1 - 1e-6)
+        centre = sum(w * k / n for w, (n, k) in zip(weights, hosts, strict=True)) / total
+        spread = sum(w * (k / n - centre) ** 2 for w, (n, k) in zip(weights, hosts, strict=True))
+        # Variance of a host's rate: mean (1 - mean) (1 / n + rho (1 - 1 / n)).
+        noise = sum(w * (1 - w / total) / n for w, (n, _) in zip(weights, hosts, strict=True))
+        signal = sum(w * (1 - w / total) * (1 - 1 / n) for w, (n, _) in zip(weights, hosts, strict=True))
+        rho = 0.0
+        if signal > 1e-9 * total:
+            told = [w * (1 - 1 / n) for w, (n, _) in zip(weights, hosts, strict=True)]
+            seen = sum(told) ** 2 / sum(x * x for x in told)
+            rho = min(0.99, max(0.0, (spread / (mean * (1 - mean)) - noise) / signal) * seen / (seen + even_hosts))
+    strength = min(1 / rho - 1, 1e6) if rho else 1e6
+    return mean * strength, (1 - mean) * strength
+
+
 def substrings(rows, window=20):
     """doc_id, n_words, n_removed, kept_sha256 of rows (doc_id, text)."""
     first = {}

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,48 @@ def test_host_verdicts(spark):
     assert quality.host_quality(frame(spark, EMPTY)).count() == 0
 
 
+def verdicts(spark, hosts):
+    """Condemned hosts of {host: (documents, failing ones)}, by Spark and by SQL."""
+    import duckdb
+
+    fine, doubtful = " ".join(f"word{i}" for i in range(60)), " ".join(f"w#$%{i}" for i in range(60))
+    rows = [(h, i < k) for h, (n, k) in hosts.items() for i in range(n)]
+    rows = [(d, doubtful if bad else fine, None, h, 0) for d, (h, bad) in enumerate(rows)]
+    con = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])  # noqa: F841
+    columns = ["base_failed", "doc_id", "host_condemned", "kept"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({quality.OP4_SQL})").fetchall()
+    mine = got(quality.host_quality(spark.createDataFrame(rows, DOCS)), *columns)
+    assert mine == sorted(want, key=repr)
+    return {rows[r[1]][3] for r in mine if r[2]}
+
+
+def test_small_hosts_are_shrunk(spark):
+    """One failure of one document doesn't condemn; a large bad host, named or
+    null, is condemned whatever the others' size."""
+    small = {f"h{i}": (1, int(i % 3 == 0)) for i in range(300)}
+    assert verdicts(spark, small) == set()
+    assert verdicts(spark, small | {None: (50, 50)}) == {None}
+    assert verdicts(spark, small | {"bad": (80, 70), None: (1, 1)}) == {"bad"}
+    assert verdicts(spark, {f"h{i}": (1 + i % 3, int(i % 10 < 3)) for i in range(90)} | {"bad": (60, 60)}) == {"bad"}
+    assert verdicts(spark, {}) == verdicts(spark, {"a": (3, 0)}) == set()
+
+
+def test_beta_prior_against_a_plain_fit(spark):
+    rng = random.Random(21)
+    for sizes, spread in (((1, 4), 0.0), ((5, 60), 3.0), ((1, 200), 0.5)):
+        hosts = []
+        for _ in range(400):
+            n = rng.randint(*sizes)
+            p = rng.betavariate(0.3 * spread, 0.7 * spread) if spread else 0.3
+            hosts.append((n, sum(rng.random() < p for _ in range(n))))
+        alpha, beta = quality.beta_prior(spark.createDataFrame(hosts, "n_docs bigint, n_failed bigint"))
+        want = brute.beta_prior(hosts)
+        assert alpha == pytest.approx(want[0], rel=1e-6) and beta == pytest.approx(want[1], rel=1e-6)
+        assert abs(alpha / (alpha + beta) - 0.3) < 0.08
+        assert spread / 2 < alpha + beta < spread * 2 if spread else alpha + beta > 30
+
+
 def test_quality_is_native(spark):
     plan = quality.host_quality(frame(spark, corpus(1)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
