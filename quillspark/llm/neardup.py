@@ -9,20 +9,31 @@ each coordinate of two sketches agrees with probability equal to the Jaccard
 similarity, with concentration bounds.
 
 Bands of coordinates retrieve candidates; ``band_plan`` sizes them so that a
-pair at the threshold is missed with a chance below ``MISS``.  Then:
+pair at the threshold is missed with a chance below ``MISS``.  Pairs are looked
+for within a band bucket, never within whatever buckets chain together:
 
 1. Documents with equal sets form classes; one member stands for its class.
-2. Representatives that share a band bucket are linked to the bucket's least
-   member: stars, never pairs.  Components of the stars are the candidate groups.
-3. Each group's texts go to one task, or, above ``BLOCK`` members, to a task for
-   each pair of blocks of the group.  There sketches rule out distant pairs in
-   blocks, and pairs not yet connected are confirmed on their full sets.  Only
-   confirmed links that join something are returned, fewer than members.
-4. Components over the confirmed links, joined back to all documents.
-
-Every pair of a group meets in some task, so no link between different texts
-that share a bucket is lost, whatever a bucket's size.  The work in a candidate
-group grows with the square of its distinct sets, divided over block pairs.
+2. Stars: each representative is compared with the least member of a bucket, the
+   one it shares most buckets with.  That is one pair a document; it joins most
+   of a large group of near copies.
+3. Buckets whose members are still of several components compare the sketches
+   of members of different components, above ``BLOCK`` members in a task for
+   each pair of blocks.  A pair that shares several buckets counts in the first.
+   Each member of a plausible pair is named once a bucket, with the least member
+   that plausible pairs lead to there.
+4. These members meet by their texts: whole groups that plausible pairs chain
+   together, or bucket by bucket where that sends fewer texts (a long chain).
+   Above ``BLOCK`` members they are divided into blocks, a large component into
+   blocks of its own; only blocks of different components meet.  There sketches
+   rule out distant pairs, and pairs not yet connected are confirmed.
+5. Components over the confirmed links, joined back to all documents.
+
+A plausible pair's sketches agree in at most ``SKETCH_MARGIN`` standard
+deviations less than at the threshold; links are confirmed on the full sets.  No
+link between different texts that share a bucket is lost, whatever the bucket's
+size.  Stars send one text a document, in tasks of about ``CELL``; what is
+compared in squares is a bucket's unconnected members, by sketches of bounded
+size, and the plausible ones among them.
 
 Edge cases: null, empty and wordless texts have no shingles, are linked with
 nothing and kept; texts shorter than a shingle are one shingle; the rows of one
@@ -47,9 +58,11 @@ from .components import connected_components
 SHINGLE = 5
 BANDS = 36
 MISS = 1e-6
-BLOCK = 1_500  # members a task
+BLOCK = 1_500  # members of a bucket a task
 BLOCK_SHINGLES = 4_000_000
-CELL = 500
+CELL = 500  # texts a task, of stars and of small units
+SKETCH_CELL = 4_000  # sketches of small buckets that share a task
+JUMPS = 3  # of the stars' pointers
 SKETCH_MARGIN = 5.0  # standard deviations below the threshold that still get confirmed
 MAX_BROADCAST_ROWS = 1_000_000
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -114,16 +127,19 @@ def _bands(sk: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit digests of the set, its band hashes."""
+    """doc_id, n_shingles, two 64-bit digests of the set, its band hashes, and its
+    sketch at one byte a coordinate: agreement by chance only adds candidates."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, 1):
             texts = text_bytes(batch.column(1))
-            size, one, two, hashes = [], [], [], []
+            size, one, two, hashes, small = [], [], [], [], []
             for begin, end in slices(texts):
                 sets = shingles(texts[begin:end], n)
-                found = _bands(sketch(sets, bands * rows), bands, rows).astype(np.int64)
+                coordinates = sketch(sets, bands * rows)
+                found = _bands(coordinates, bands, rows).astype(np.int64)
+                small += [x.tobytes() for x in mix(coordinates).astype(np.uint8)]
                 for s, own in zip(sets, found, strict=True):
                     size.append(len(s))
                     one.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
@@ -131,10 +147,12 @@ def sketched(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_c
                     hashes.append(own if len(s) else own[:0])
             columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "bands"]
+                [*columns, pa.array(hashes, pa.list_(pa.int64())), pa.array(small, pa.binary())],
+                ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
             )
 
-    return map_batches(docs.select(id_col, text_col), run, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
+    schema = f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
+    return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -147,13 +165,163 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed_links(ids: list, sets: list[np.ndarray], side: np.ndarray, percent: int, t: int) -> list[tuple]:
+def least_agreement(t: int, percent: int) -> int:
+    """Coordinates of t in which a plausible pair agrees at least."""
+    share = percent / 100
+    return int(np.floor(t * (share - SKETCH_MARGIN * float(np.sqrt(share * (1 - share) / t)))))
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), np.int64)
+    for begin in range(0, len(a), 4_096):
+        out[begin : begin + 4_096] = (a[begin : begin + 4_096] == b[begin : begin + 4_096]).sum(axis=1)
+    return out
+
+
+def _sizes_allow(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int, t: int) -> DataFrame:
+    """Of pairs (a, b) those whose sketches are near enough, with the number of
+    shingles of ``a``."""
+    least = least_agreement(t, percent)
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, t) for c in ("sa", "sb"))
+            m, n = (batch.column(c).to_numpy() for c in ("n_shingles", "nb"))
+            ok = pa.array((_agreement(one, two) >= least) & _sizes_allow(m, n, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "n_shingles")], ["a", "b", "n_shingles"])
+
+    sa = sketches.select(F.col("doc_id").alias("a"), "n_shingles", F.col("sketch").alias("sa"))
+    sb = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(sa, "a").join(sb, "b").select("a", "b", "n_shingles", "nb", "sa", "sb")
+    found = map_batches(both, near, f"a {kind}, b {kind}, n_shingles bigint")
+    return found.groupBy("a", "b").agg(F.max("n_shingles").alias("n_shingles"))
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, n: int, block: int, id_col: str, text_col: str, report: dict) -> DataFrame:
+    """Of plausible pairs (a, b, n_shingles of a) those at or above the threshold
+    on their full sets.  The texts of all partners of ``b`` meet that of ``b``."""
+    pairs = materialize(pairs, "near-pairs")
+    size = pairs.groupBy("b").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / min(block, CELL)), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    size = size.select("b", blocks.alias("blocks"))
+    members = pairs.join(size, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("part"))
+    hubs = size.select(F.col("b").alias("node"), F.col("b").alias("hub"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    placed = materialize(members.unionByName(hubs), "near-groups")
+    texts = placed.count()
+    report["texts"] = texts
+    # Small groups share a task.
+    cells = max(1, texts // CELL)
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hub"), F.lit(cells))).otherwise(F.xxhash64("hub", "part"))
+    all_texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    joined = join_bounded(all_texts, placed, "node", "inner", MAX_BROADCAST_ROWS).select("node", "hub", "part", "text", cell.alias("cell"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (hub, _), part in pdf.groupby(["hub", "part"], sort=True):
+            part = part.drop_duplicates(["node", "text"])
+            texts_, sets = [(x or "").encode() for x in part["text"]], []
+            for begin, end in slices(texts_):
+                sets += shingles(texts_[begin:end], n)
+            rows = list(zip(part["node"].tolist(), sets, strict=True))
+            own = [s for node, s in rows if node == hub and len(s)]
+            linked = {node for node, s in rows if node != hub and len(s) and any(jaccard_at_least(s, x, percent) for x in own)}
+            found += [(node, hub) for node in sorted(linked)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return materialize(joined.groupBy("cell").applyInPandas(links, f"a {kind}, b {kind}"), "near-links")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """node, component over star links (a, b): each node has one, to a smaller
+    node, so following pointers doubles the reach.  What is left apart after
+    ``JUMPS`` only makes more pairs candidates."""
+    at = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for _ in range(JUMPS):
+        to = at.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        at = at.join(to, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return materialize(at, "near-roots")
+
+
+def bucket_pairs(key: np.ndarray, number: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, side: np.ndarray, component: np.ndarray, bands: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the plausible pairs of rows that have one ``key`` (a bucket, of
+    band ``number``; equal keys are neighbours) and are of different components,
+    each in the first bucket that it shares.  Where a bucket has both sides, 0
+    and 1, pairs are across."""
+    least = least_agreement(sketches.shape[1], percent)
+    edges = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1)) if len(key) else np.zeros(1, np.int64)
+    size = np.repeat(np.diff(edges), np.diff(edges))
+    two = np.repeat(np.array([side[a:b].any() and not side[a:b].all() for a, b in zip(edges, edges[1:], strict=False)], bool), np.diff(edges))
+    out = [(np.empty(0, np.int64),) * 2]
+    for d in range(1, int(size.max(initial=0))):
+        i = np.flatnonzero((key[:-d] == key[d:]) & (component[:-d] != component[d:]) & (~two[d:] | (side[:-d] != side[d:])))
+        i = i[_sizes_allow(sizes[i], sizes[i + d], percent)]
+        i = i[_agreement(sketches[i], sketches[i + d]) >= least]
+        shared = (sketches[i] == sketches[i + d]).reshape(len(i), bands, sketches.shape[1] // bands).all(axis=2)
+        i = i[shared.argmax(axis=1) == number[i]]
+        out.append((i, i + d))
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    return i, j
+
+
+def trees(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that occur in the pairs (i, j), and the least row that pairs lead to
+    from each.  Pairs are within one ``key``."""
+    ends = np.unique(np.concatenate([i, j]))
+    parent = {x: x for x in ends.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return ends, np.array([root(x) for x in ends.tolist()], np.int64)
+
+
+def _within_buckets(members: DataFrame, bands: int, percent: int, block: int, report: dict) -> DataFrame:
+    """node, root, band: members of plausible pairs, of members (doc_id, number,
+    band, members, component, n_shingles, sketch)."""
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    # Block i meets block j in the task (i, j), i <= j; a block meets itself in (i, i).
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
+    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("pair", F.explode(others)).select("*", "pair.i", "pair.j").drop("pair")
+    report["sketches"] = sketches = members.count()
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(max(1, sketches // SKETCH_CELL)))).otherwise(F.xxhash64("band", "i", "j"))
+    placed = rows.select("doc_id", "number", "band", "i", "j", "own", "component", "n_shingles", "sketch", cell.alias("cell"))
+    kind = members.schema["doc_id"].dataType.simpleString()
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["band", "i", "j", "doc_id"], kind="stable")
+        key = pdf.groupby(["band", "i", "j"], sort=True).ngroup().to_numpy()
+        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        component, side = pd.factorize(pdf["component"])[0], (pdf["own"] != pdf["i"]).to_numpy()
+        i, j = bucket_pairs(key, pdf["number"].to_numpy(), sketches, pdf["n_shingles"].to_numpy(), side, component, bands, percent)
+        ends, roots = trees(key, i, j)
+        ids = pdf["doc_id"].to_numpy()
+        return pd.DataFrame({"node": ids[ends], "root": ids[roots], "band": pdf["band"].to_numpy()[ends]}).drop_duplicates()
+
+    return materialize(placed.groupBy("cell").applyInPandas(pairs, f"node {kind}, root {kind}, band bigint"), "near-found")
+
+
+def confirmed_links(ids: list, sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int, t: int) -> list[tuple]:
     """Links that connect all pairs at or above the threshold: a forest over the
-    members of one task.  ``side`` is 0 or 1; in a task for two blocks, where
-    both are present, pairs within one block are left to that block's own task.
+    components of one task's members.  ``side`` is 0 or 1; in a task for two
+    blocks, where both are present, pairs within one block are left to that
+    block's own task.
     """
     n = len(ids)
-    parent = list(range(n))
+    parent = [int(x) for x in np.unique(component, return_index=True)[1][np.unique(component, return_inverse=True)[1]]]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -161,16 +329,13 @@ def confirmed_links(ids: list, sets: list[np.ndarray], side: np.ndarray, percent
             x = parent[x]
         return x
 
-    two = side.any() and not side.all()
-    margin = SKETCH_MARGIN * float(np.sqrt(percent / 100 * (1 - percent / 100) / t))
-    least = int(np.floor(t * (percent / 100 - margin)))
-    # One byte a coordinate: agreement by chance only adds candidates.
+    two, least = side.any() and not side.all(), least_agreement(t, percent)
     small = mix(sketch(sets, t)).astype(np.uint8)
     sizes = np.array([len(s) for s in sets])
     links = []
     for i in range(1, n):
         agree = (small[:i] == small[i]).sum(axis=1)
-        near = (agree >= least) & (100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i]))
+        near = (agree >= least) & (component[:i] != component[i]) & _sizes_allow(sizes[:i], sizes[i], percent)
         if two:
             near &= side[:i] != side[i]
         candidates = np.flatnonzero(near)
@@ -182,35 +347,55 @@ def confirmed_links(ids: list, sets: list[np.ndarray], side: np.ndarray, percent
     return links
 
 
-def _verify(docs: DataFrame, groups: DataFrame, percent: int, n: int, t: int, block: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b: confirmed links within the candidate groups (node, n_shingles, grp)."""
-    size = groups.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    groups = groups.join(size.select("grp", blocks.alias("blocks")), "grp")
-    groups = groups.select("node", "grp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")).distinct()
-    groups = materialize(groups, "near-groups")
-    # Whole groups are small: many of them share a task.
-    cells = max(1, groups.count() // CELL)
+def _units(found: DataFrame, block: int) -> DataFrame:
+    """unit, node: which members of plausible pairs (node, root, band) meet."""
+    groups = connected_components(found, "node", "root").withColumnRenamed("component", "grp")
+    ends = found.select("node", "band").distinct().join(groups, "node")
+    by_band = ends.groupBy("grp", "band").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum(F.col("n") * F.ceil(F.col("n") / block)).alias("by_band"))
+    whole = groups.groupBy("grp").agg((F.count("*") * F.ceil(F.count("*") / block)).alias("whole"))
+    cheaper = by_band.join(whole, "grp").select("grp", (F.col("by_band") < F.col("whole")).alias("split"))
+    unit = F.when(F.col("split"), F.xxhash64("grp", "band")).otherwise(F.xxhash64("grp"))
+    return ends.join(cheaper, "grp").select(unit.alias("unit"), "node").distinct()
+
+
+def _verify(docs: DataFrame, nodes: DataFrame, percent: int, n: int, t: int, block: int, id_col: str, text_col: str, report: dict) -> DataFrame:
+    """a, b: confirmed links between members of different components that meet
+    (unit, node, component, n_shingles)."""
+    sums = F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")
+    count = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    size = nodes.groupBy("unit", "component").agg(*sums).withColumn("large", count)
+    rest = size.where("large = 1").groupBy("unit").agg(F.sum("members").alias("members"), F.sum("shingles").alias("shingles")).select("unit", count.alias("small"))
+    size = size.select("unit", "component", "large").join(rest, "unit", "left")
+    own = F.when(F.col("large") > 1, F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("large")))).otherwise(F.pmod(F.xxhash64("component"), F.col("small")))
+    of = F.when(F.col("large") > 1, F.col("component"))
+    nodes = materialize(nodes.join(size, ["unit", "component"]).select("unit", "node", "component", own.alias("own"), of.alias("of")), "near-units")
+    # Blocks of one large component have nothing to compare.
+    blocks = materialize(nodes.select("unit", "own", "of").distinct(), "near-blocks")
+    other = blocks.select("unit", F.col("own").alias("j"), F.col("of").alias("of_j"))
+    meet = blocks.withColumnRenamed("own", "i").join(other, "unit").where("i <= j AND (of IS NULL OR of_j IS NULL OR of <> of_j)")
+    meet = meet.select("unit", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    single = blocks.groupBy("unit").agg((F.count("*") == 1).alias("single"))
+    placed = materialize(nodes.drop("of").join(meet, ["unit", "own"]).join(single, "unit"), "near-groups")
+    texts = placed.count()
+    report["texts"] = report.get("texts", 0) + texts
+    cell = F.when(F.col("single"), F.pmod(F.xxhash64("unit"), F.lit(max(1, texts // CELL)))).otherwise(F.xxhash64("unit", "i", "j"))
+    placed = placed.withColumn("cell", cell).drop("single")
     all_texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    texts = join_bounded(all_texts, groups, "node", "inner", MAX_BROADCAST_ROWS)
-    # Block i meets block j in the task (i, j), i <= j; a block meets itself in (i, i).
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
-    placed = texts.select("grp", "blocks", "node", "own", "text", F.explode(others).alias("pair"))
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(cells))).otherwise(F.xxhash64("grp", "i", "j"))
-    placed = placed.select("grp", "blocks", "node", "own", "text", "pair.i", "pair.j").withColumn("cell", cell).drop("blocks")
-    node_type = docs.schema[id_col].dataType.simpleString()
+    joined = join_bounded(all_texts, placed, "node", "inner", MAX_BROADCAST_ROWS)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, part in pdf.groupby(["grp", "i", "j"], sort=True):
+        for _, part in pdf.groupby(["unit", "i", "j"], sort=True):
             part = part.drop_duplicates(["node", "text"]).sort_values("node", kind="stable")
             texts_, sets = [(x or "").encode() for x in part["text"]], []
             for begin, end in slices(texts_):
                 sets += shingles(texts_[begin:end], n)
-            found += confirmed_links(part["node"].tolist(), sets, (part["own"] != part["i"]).to_numpy(), percent, t)
+            component = pd.factorize(part["component"])[0]
+            found += confirmed_links(part["node"].tolist(), sets, component, (part["own"] != part["i"]).to_numpy(), percent, t)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return placed.groupBy("cell").applyInPandas(links, f"a {node_type}, b {node_type}")
+    return materialize(joined.groupBy("cell").applyInPandas(links, f"a {kind}, b {kind}"), "near-links")
 
 
 def near_duplicates(
@@ -221,29 +406,44 @@ def near_duplicates(
     block: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
+    report: dict | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document, linked at a
-    Jaccard similarity of ``percent`` hundredths or more."""
-    rows = band_plan(percent / 100, bands)
+    Jaccard similarity of ``percent`` hundredths or more.  ``report`` gets the
+    numbers of texts and sketches that were sent to tasks."""
+    rows, report = band_plan(percent / 100, bands), {} if report is None else report
     seen = materialize(sketched(docs, n, bands, rows, id_col, text_col), "near-sketches")
     full = seen.where("n_shingles > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "near-classes")
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"], "left_semi")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    banded = reps.select("doc_id", F.posexplode("bands").alias("number", "band"))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    stars = banded.join(hubs, "band").where("doc_id <> hub").select("doc_id", "hub").distinct()
-    groups = connected_components(stars, "doc_id", "hub").withColumnRenamed("component", "grp")
-    sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "node")
-    groups = groups.join(sizes, "node")
-    links = _verify(docs, groups, percent, n, bands * rows, block, id_col, text_col)
+    shared = materialize(banded.join(hubs, "band"), "near-buckets")
+    # A representative has a row for each of its sets (an id may have several).
+    sketches = materialize(reps.select("doc_id", "n_shingles", "sketch").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "near-nodes")
+
+    stars = shared.where("doc_id <> hub").groupBy("doc_id", "hub").agg((-F.count("*")).alias("n"))
+    stars = stars.groupBy(F.col("doc_id").alias("a")).agg(F.min(F.struct("n", "hub")).alias("most")).select("a", F.col("most.hub").alias("b"))
+    links = _confirmed(docs, _plausible(stars, sketches, percent, bands * rows), percent, n, block, id_col, text_col, report)
+    roots = _roots(links)
+    members = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members = members.select("doc_id", "number", "band", F.coalesce("component", "doc_id").alias("component"))
+    mixed = members.groupBy("band").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    members = members.join(mixed.select("band", "members"), "band").join(sketches, "doc_id")
+    found = _within_buckets(materialize(members, "near-members"), bands, percent, block, report)
+    nodes = _units(found, block).join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = sketches.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+    links = links.unionByName(_verify(docs, nodes.join(sizes, "node"), percent, n, bands * rows, block, id_col, text_col, report))
     # Rows of one doc_id with different sets hang together through the id.
     same_id = full.join(classes, ["d1", "d2"]).where("doc_id <> rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
+    own = classes.select(F.col("rep").alias("doc_id"), F.col("rep").alias("own")).distinct()
+    same_id = same_id.join(own, "doc_id", "left").withColumn("reps", F.when(F.col("own").isNull(), F.col("reps")).otherwise(F.array_union("reps", F.array("own"))))
     shared = same_id.where(F.size("reps") > 1).select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
     merged = materialize(connected_components(links.unionByName(shared)), "near-components")
     reps_of = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     reps_of = reps_of.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    joined = seen.drop("bands").join(reps_of, ["d1", "d2"], "left")
+    joined = seen.select("doc_id", "n_shingles", "d1", "d2").join(reps_of, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

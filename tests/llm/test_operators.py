@@ -543,6 +543,46 @@ def test_rows_of_one_id_are_one_document(spark):
     assert neardup.near_duplicates(frame(spark, EMPTY)).count() == 0
 
 
+def test_an_id_that_stands_for_one_of_its_sets(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(5, a), (7, a), (7, b), (8, b)]
+    assert got(neardup.near_duplicates(frame(spark, rows), 80), "doc_id", "component_id") == [(5, 5), (7, 5), (7, 5), (8, 5)]
+
+
+def chain(n, groups, width=120, step=60):
+    """Texts of ``width`` words, each sharing half of them with the next of its
+    group: no two are near, but their buckets chain the whole group together."""
+    return [(g * n + i, " ".join(f"g{g}w{k}" for k in range(i * step, i * step + width))) for g in range(groups) for i in range(n)]
+
+
+def test_buckets_that_chain_stay_linear(spark):
+    """Four times the documents in one chain of buckets, four times the work."""
+    sent = []
+    for n in (400, 1600):
+        report = {}
+        out = neardup.near_duplicates(frame(spark, chain(n, 1)), 80, report=report)
+        assert out.where("NOT kept").count() == 0
+        # Bytes at the most: a text is about 800, a sketch 252.
+        sent.append(report.get("texts", 0) * 800 + report.get("sketches", 0) * 252)
+    assert 0 < sent[0] and sent[1] / sent[0] < 4 ** 1.15
+
+
+def test_a_large_group_is_sent_about_once(spark):
+    """Near copies of a text that isn't the least of them: not all of a group is
+    near the member that its buckets choose."""
+    rng, base = random.Random(23), [f"g{i}" for i in range(200)]
+    rows = []
+    for d in range(300):
+        own = list(base)
+        for at in rng.sample(range(200), 0 if d == 250 else rng.randrange(1, 5)):
+            own[at] = f"h{rng.randrange(10**6)}"
+        rows.append((d, " ".join(own)))
+    report, want = {}, brute.components(rows, 85)
+    out = neardup.near_duplicates(frame(spark, rows), 85, report=report)
+    assert got(out, "doc_id", "component_id") == sorted(((d, c) for d, (_, c) in want.items()), key=repr)
+    assert report["texts"] < 6 * len(rows)
+
+
 def test_sketch_agreement_is_the_similarity():
     rng = np.random.default_rng(16)
     t = 2000
