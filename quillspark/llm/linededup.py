@@ -4,7 +4,10 @@ Pass one builds two blocked Bloom filters over line hashes, one for hashes seen
 in a document and one for hashes seen in two.  Each task fills a pair for its
 own documents; pairs merge by segment (twice = twice | twice' | once & once'),
 so a hash that occurs in two documents is always in the merged "twice" filter.
-Its size is a parameter, whatever the input, and it is what gets broadcast.
+They merge in a tree: a task holds ``FAN_IN`` segments of a pair, however many
+tasks filled one.  A sketch of the number of distinct lines sizes the filters,
+at ``BITS_PER_LINE`` each, up to ``MAX_FILTER_WORDS``: that bounds what is
+broadcast, and what a task holds.
 Pass two sends only suspected lines through a shuffle, pre-aggregated per
 batch, where their exact keys (SHA-256) are counted over all documents and the
 first occurrence is chosen.  Pass three rewrites the documents.  A filter that
@@ -24,6 +27,7 @@ unless carried; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -38,8 +42,10 @@ from .common import in_parts, map_batches, materialize, table, text_bytes
 
 MIN_DOCS = 10  # fixed by the contract
 MIN_CHARS = 1
-FILTER_WORDS = 1 << 21  # 64-bit words: 16 MB a filter
-SEGMENTS = 16
+MIN_FILTER_WORDS, MAX_FILTER_WORDS = 1 << 16, 1 << 23  # 64-bit words: at most 64 MB a filter
+BITS_PER_LINE = 16
+SEGMENT_WORDS = 1 << 17  # 1 MB
+FAN_IN = 32
 MAX_BROADCAST_KEYS = 200_000
 
 
@@ -78,9 +84,18 @@ def _hashes(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
 
 
+def filter_size(docs: DataFrame, text_col: str) -> int:
+    """Words of a filter, a power of two, by the distinct lines (within 5 %)."""
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    n = lines.agg(F.approx_count_distinct("line", 0.05)).first()[0]
+    wanted = max(1, n * BITS_PER_LINE // 64)
+    return min(max(1 << (wanted - 1).bit_length(), MIN_FILTER_WORDS), MAX_FILTER_WORDS)
+
+
 def twice_filter(docs: DataFrame, text_col: str, min_chars: int, words: int) -> np.ndarray:
     """The merged filter of line hashes that occur in two documents or more."""
-    size = words // SEGMENTS
+    size = min(words, SEGMENT_WORDS)
+    segments = words // size
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = Filter(np.zeros(words, np.uint64)), Filter(np.zeros(words, np.uint64))
@@ -93,10 +108,10 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, words: int) ->
             once.add(hashes)
         if some:
             packed = [
-                [zlib.compress(f.bits[s * size : (s + 1) * size].tobytes(), 1) for s in range(SEGMENTS)] for f in (once, twice)
+                [zlib.compress(f.bits[s * size : (s + 1) * size].tobytes(), 1) for s in range(segments)] for f in (once, twice)
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SEGMENTS), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["segment", "once", "twice"]
+                [pa.array(range(segments), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["segment", "once", "twice"]
             )
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
@@ -105,13 +120,22 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, words: int) ->
             o, t = (np.frombuffer(zlib.decompress(x), np.uint64) for x in (o, t))
             twice |= t | (once & o)
             once |= o
-        return pd.DataFrame({"segment": [parts["segment"].iloc[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
+        row = [parts["segment"].iloc[0], parts["part"].iloc[0], *(zlib.compress(x.tobytes(), 1) for x in (once, twice))]
+        return pd.DataFrame([row], columns=["segment", "part", "once", "twice"])
 
     # A task makes a pair of filters, so there are as many tasks as cores can
     # use, not one for each split of the input.
     tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
     built = map_batches(docs.select(text_col).coalesce(tasks), build, "segment int, once binary, twice binary")
-    merged = built.groupBy("segment").applyInPandas(merge, "segment int, twice binary").collect()
+    built = built.withColumn("part", F.spark_partition_id())
+    for level in itertools.count():
+        if level and tasks == 1:
+            break
+        tasks = -(-tasks // FAN_IN)
+        built = built.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("segment", "part")
+        built = built.applyInPandas(merge, "segment int, part int, once binary, twice binary")
+    # At most MAX_FILTER_WORDS reach the driver, which broadcasts them.
+    merged = built.select("segment", "twice").collect()
     out = np.zeros(words, np.uint64)
     for r in merged:
         out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(zlib.decompress(r["twice"]), np.uint64)
@@ -224,7 +248,7 @@ def dedup_lines(
     min_chars: int = MIN_CHARS,
     keep_first: bool = True,
     carry: tuple[str, ...] = (),
-    filter_words: int = FILTER_WORDS,
+    filter_words: int | None = None,
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -235,12 +259,13 @@ def dedup_lines(
     With ``keep_first`` the first occurrence of such a line stays.  With
     ``keep_copies`` a text of nothing but such lines stays whole, and one that
     would lose more than half of its bytes keeps the lines that occur first in
-    it: they are copies of texts, which is not for a line count to decide.  Returns
-    doc_id, text (what is left), the ``carry`` columns, n_lines, n_dropped.
+    it: they are copies of texts, which is not for a line count to decide.
+    ``filter_words`` sets the size of a filter, a power of two.  Returns doc_id,
+    text (what is left), the ``carry`` columns, n_lines, n_dropped.
     """
     sc = docs.sparkSession.sparkContext
     docs = docs.select(id_col, text_col, *carry)
-    seen = sc.broadcast(twice_filter(docs, text_col, min_chars, filter_words))
+    seen = sc.broadcast(twice_filter(docs, text_col, min_chars, filter_words or filter_size(docs, text_col)))
     repeated = materialize(repeated_lines(docs, id_col, text_col, min_docs, min_chars, seen), "repeated-lines")
     known = None
     if repeated.limit(max_broadcast_keys + 1).count() <= max_broadcast_keys:
