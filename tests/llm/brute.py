@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -97,6 +98,56 @@ def quality(text):
     return len(own), sum(map(len, own)), sum(c in "#*$%&|<>" for c in text), len(full) - len(set(full)), len(covered)
 
 
+def is_date(s):
+    """Year, month and day in any of three orders, digit by digit."""
+    separators = {c for c in s if not c.isdigit()}
+    if len(separators) > 1 or not s.isascii() or separators - set("-/._"):
+        return False
+    for order in ("ymd", "dmy", "mdy"):
+        if separators:
+            parts = s.split(next(iter(separators)))
+            found = [dict(zip(order, parts, strict=True))] if len(parts) == 3 else []
+        else:
+            cut = {8: 4, 6: 2}.get(len(s))
+            widths = [cut if k == "y" else 2 for k in order] if cut else []
+            at = [sum(widths[:k]) for k in range(4)] if cut else []
+            found = [{k: s[at[x] : at[x + 1]] for x, k in enumerate(order)}] if cut else []
+        for f in found:
+            year = len(f["y"]) == 2 or (len(f["y"]) == 4 and f["y"][:2] in ("19", "20"))
+            if year and all(1 <= len(f[k]) <= 2 for k in "md") and 1 <= int(f["m"]) <= 12 and 1 <= int(f["d"]) <= 31:
+                return True
+    return False
+
+
+def guess_cost(value, ranks, near):
+    """Least log10 guesses, by trying every segment of the value as every kind."""
+    fold = lambda s: "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+    leet = dict(zip("013457@$!", "oleastasi", strict=True))
+    classes = lambda c: 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 4 if c in "_-. " else 9 if c in "(){}[]<>$" else 33 if c.isascii() else 100
+
+    def kinds(s):
+        low = fold(s)
+        yield sum(math.log10(classes(c)) for c in s)
+        for form, factor in ((low, 1), ("".join(leet.get(c, c) for c in low), 2)):
+            if 2 <= len(s) <= 24 and form in ranks:
+                yield math.log10(ranks[form] * factor * (1 if s == low else 2) + 1)
+        if is_date(s):
+            yield math.log10(365 * 120)
+        if len(s) == 4 and s.isascii() and s.isdigit() and s[:2] in ("19", "20"):
+            yield math.log10(120)
+        if all(c in near for c in low) and all(b in near[a] for a, b in zip(low, low[1:], strict=False)):
+            yield math.log10(47 * 2) + (len(s) - 1) * math.log10(1.6)
+        for b in range(1, min(24, len(s) // 2) + 1):
+            if len(s) % b == 0 and s == s[:b] * (len(s) // b):
+                yield guess_cost(s[:b], ranks, near) + (len(s) // b - 1) * math.log10(1.2)
+
+    best = [0.0] + [math.inf] * len(value)
+    for j in range(1, len(value) + 1):
+        for i in range(j):
+            best[j] = min(best[j], best[i] + (math.log10(2) if i else 0) + min(kinds(value[i:j])))
+    return best[-1]
+
+
 def beta_prior(hosts, rounds=4, even_hosts=10):
     """Alpha and beta of hosts (documents, failures), host by host."""
     mean = rho = 0.0

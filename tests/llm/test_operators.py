@@ -111,6 +111,28 @@ def test_a_full_filter_changes_nothing(spark):
     assert got(df, "doc_id", "n_lines", "n_dropped") == sorted((r[:3] for r in brute.lines(rows, 3)), key=repr)
 
 
+def test_filters_merge_in_a_tree(spark, monkeypatch):
+    """Two pairs at a time, segment by segment, give what one task would."""
+    rows = corpus(22)
+    monkeypatch.setattr(linededup, "FAN_IN", 2)
+    monkeypatch.setattr(linededup, "SEGMENT_WORDS", 1 << 10)
+    docs = frame(spark, rows).repartition(7)
+    merged = linededup.twice_filter(docs, "text", 1, 1 << 12)
+    monkeypatch.setattr(linededup, "FAN_IN", 100)
+    assert (merged == linededup.twice_filter(docs, "text", 1, 1 << 12)).all()
+    seen = Counter(k for _, t in rows for k in {x.strip(brute.SPACES) for x in brute.lower(t or "").split("\n")} if k)
+    found = linededup.Filter(merged).has(linededup._hashes([k.encode() for k in seen]))
+    assert all(f for f, n in zip(found, seen.values(), strict=True) if n > 1)
+    assert found.mean() < 0.9
+    assert linededup.filter_size(frame(spark, rows), "text") == linededup.MIN_FILTER_WORDS
+
+
+def test_filters_follow_the_lines(spark):
+    docs = spark.range(60).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda i: F.concat("id", F.lit("x"), i)), "\n").alias("text"))
+    assert linededup.filter_size(docs, "text") == 1 << 18  # 600,000 lines at 16 bits
+    assert linededup.filter_size(docs.limit(0), "text") == linededup.MIN_FILTER_WORDS
+
+
 def test_lines_of_nothing_and_carried_columns(spark):
     assert linededup.dedup_lines(frame(spark, EMPTY), 2).count() == 0
     df = frame(spark, [(1, "a")]).withColumn("n_lines", F.lit("clash")).withColumn("key", F.lit(0))
@@ -137,36 +159,45 @@ def test_guess_costs():
     assert cost("20240131") < cost("83920174")
     assert cost("monkeyriver") < cost("mqnkzyrvvxr")
     assert cost("f3ef4d6b2755a36d7d") > secrets.MIN_GUESSES > cost("password2024")
-    assert cost("z8" * 50_000) > 1000  # linear in the value
+    assert cost("abcabcabcabc") < cost("abcxyzkdwqpr") and cost("z8z8z8z8z8z8") < 4  # copies of a block
+    began = time.process_time()
+    assert cost("".join(random.Random(1).choices("qz8k7x", k=100_000))) > 1000 > cost("z8" * 50_000)
+    assert time.process_time() - began < 40  # linear in the value
 
 
 def test_guess_cost_is_the_least_over_all_segmentations():
-    """Words and brute force alone, by trying every segmentation."""
-    import math
+    """All five kinds, by trying every segment as every kind."""
+    ranks = {"abc": 5, "bcd": 2, "cde": 1, "abcde": 50, "pass": 7, "az": 3, "river": 300}
+    rng = random.Random(24)
+    bits = ["abc", "bcd", "ab", "qwe", "asd", "zx", "1", "9", "2024", "19", "31-1-24", "20240131", "310124", "1/2/1999", "p4ss", "Pass", "@", "İ", "_", "-", "xx", "é", "ABC", "river", "7"]
+    values = ["", "a", "aaaa", "abcabcabcabc", "ababababab", "xyzxyz1xyzxyz1", "31122024", "20241231x", "1999-1-2", "İpass", "12/31/99qwerty", "qwertyqwerty", "ééééé"]
+    for _ in range(250):
+        own = "".join(rng.choice(bits) for _ in range(rng.randint(1, 4)))
+        values.append(own * rng.choice((1, 1, 1, 2, 3)) if len(own) < 7 else own)
+    for value in values:
+        assert secrets.guess_cost(value, ranks) == pytest.approx(brute.guess_cost(value, ranks, secrets.NEAR), abs=1e-9), value
+
 
-    ranks = {"abc": 5, "bcd": 2, "cde": 1, "abcde": 50}
+def test_placeholders_and_code_are_no_secrets():
+    ranks = secrets.word_ranks(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    for text in ("api_key = your_api_key_here", "API_KEY=process.env.API_KEY", 'password: "changeme"', "secret = os.environ.get(SECRET)", "token: xxxxxxxxxxxxxxxx", "pwd=abcabcabcabc", "password=ababababababab", "password = 31.12.2024", "password=qwertyuiop12345", "token = example-token-1", 'password="password123"', "secret: <your-secret>", "auth=basic_auth"):
+        assert not secrets.guess_spans(text, ranks), text
+    for text in ("api_key = q8Zr5vKw1tYx", "pwd=fkqzvbnwtrpl", "secret: 7f3k-92xq-zz81"):
+        assert len(secrets.guess_spans(text, ranks)) == 1, text
 
-    def least(s, first=True):
-        if not s:
-            return 0.0
-        best = math.inf
-        for k in range(1, len(s) + 1):
-            head = sum(math.log10(secrets._cardinality(c)) for c in s[:k])
-            if s[:k] in ranks:
-                head = min(head, math.log10(ranks[s[:k]] + 1))
-            best = min(best, head + (0 if first else math.log10(2)) + least(s[k:], False))
-        return best
 
-    for text in ("abcde", "zabcz", "bcdabc", "9cdez"):
-        assert secrets.guess_cost(text, ranks) <= least(text) + 1e-9
+def test_a_very_long_document_of_secrets(spark):
+    text = "pwd=q8Zr5vKw1tYx some words in between\n" * 20_000
+    row = secrets.scan_secrets(frame(spark, [(1, text), (2, "x")])).where("doc_id = 1").first()
+    assert len(row["found"]) == 20_000 and row["found"][-1]["end"] == len(text) - len(" some words in between\n")
 
 
 def test_secret_spans(spark):
     rows = [(1, "é pwd: 'k9$Xq2!mZ7pL' x"), (2, None), (3, "url postgres://me:q8Zr5vKw1tYx@host/db"), (4, "password: password"), (4, "Authorization: Bearer q8Zr5vKw1tYxPq")]
     found = {(r["doc_id"], s["kind"], s["value"]) for r in secrets.scan_secrets(frame(spark, rows)).collect() for s in r["found"]}
     assert found == {
-        (1, "guess", "k9$Xq2!mZ7pL"), (3, "guess", "q8Zr5vKw1tYx"), (4, "assign", "password: password"), (4, "guess", "password"), (4, "guess", "q8Zr5vKw1tYxPq"),
-    }  # fmt: skip  # without a vocabulary "password" counts as brute force
+        (1, "guess", "k9$Xq2!mZ7pL"), (3, "guess", "q8Zr5vKw1tYx"), (4, "assign", "password: password"), (4, "guess", "q8Zr5vKw1tYxPq"),
+    }
     assert secrets.scan_secrets(frame(spark, EMPTY)).count() == 0
 
 
