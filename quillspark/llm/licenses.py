@@ -10,23 +10,30 @@ agreeing coordinates is that of the template's shingles in the window, and
 below ``MISS``.  Retrieved pairs are then confirmed by exact containment: the
 share of the template's distinct shingles found in the window.
 
-Templates are few and short (their number is a checked bound); they go to the
-executors with their band tables.  Documents are never shuffled.
+Templates, a table or the wordings shipped here, go to the executors with their
+band tables, at most ``MAX_TEMPLATES`` and ``MAX_BYTES`` at once.  More of them
+take several passes over the documents; what they find is then settled for each
+distinct text.  Documents are never shuffled.
 
 Edge cases: null and empty texts match nothing; templates with fewer words than
 a shingle are one shingle of all their words; matches of one template that
-overlap give one row, the best (containment, then first); A-Z case, punctuation
-and white space are ignored; repeated rows give equal rows; extra columns are
+overlap give one row, the best (containment, then first); A-Z case, punctuation,
+white space and the marks that comment lines out (``//``, ``*``, ``#``, ``--``,
+``%``, ``;``, ``REM``, ``dnl``) are ignored, and words are counted without them;
+null and empty templates match nothing; repeated rows give equal rows; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from importlib import resources
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +44,11 @@ SHINGLE = 5
 PERCENT = 80
 MISS = 1e-6
 MAX_TEMPLATES = 2_000
-_EDGE = bytes.maketrans(b".,;:!?\"'()[]{}*_`<>/", b" " * 20)
+MAX_BYTES = 16 << 20
+_IGNORED = b".,;:!?\"'()[]{}*_`<>/#%|=~^\\"
+_EDGE = bytes.maketrans(_IGNORED, b" " * len(_IGNORED))
+#: Dashes, and words, that comment a line out.
+_LEADER = re.compile(rb"--+|^[ \t]*(?:-|(?i:rem|dnl))(?=[ \t\r\n])", re.MULTILINE)
 _SEED = 0x2545F4914F6CDD1D
 
 #: Notices by license.  Public standard wordings, in the order of their names.
@@ -87,7 +98,15 @@ _LIBRARY = _GNU.replace("This program", "This library")
 #: More licenses, and more wordings of the above.
 _MORE = {
     "AGPL-3.0": (_GNU.format(":", "Affero General", ",", "3"), "This work is licensed under the GNU Affero General Public License, version 3."),
+    "Artistic-1.0": (),
     "BSD-2-Clause": (),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the "
+        "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do "
+        "so, all subject to the following",
+    ),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC0-1.0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
@@ -102,6 +121,10 @@ _MORE = {
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
         "available at https://www.eclipse.org/legal/epl-2.0/",
     ),
+    "GFDL-1.3": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, "
+        "Version 1.3 or any later version published by the Free Software Foundation",
+    ),
     "GPL-2.0": (_GNU.format(";", "General", ";", "2"), "This work is licensed under the GNU General Public License, version 2."),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
@@ -113,8 +136,17 @@ _MORE = {
     ),
     "LGPL-2.1": (_LIBRARY.format(";", "Lesser General", ";", "2.1"), "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     "LGPL-3.0": (_LIBRARY.format(":", "Lesser General", ",", "3"), "This work is licensed under the GNU Lesser General Public License, version 3."),
+    "MPL-1.1": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file "
+        "except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
+    ),
     "MPL-2.0": (),
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
 }
 _LINES = (
     "Licensed under the {} License", "Released under the {} License", "Distributed under the {} License", "This project is licensed under the {} License",
@@ -139,7 +171,7 @@ TEMPLATES = _templates()
 
 
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return hashed_words([t.translate(_EDGE) for t in texts], lower=True)
+    return hashed_words([_LEADER.sub(b" ", t).translate(_EDGE) for t in texts], lower=True)
 
 
 def shingle_codes(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -189,11 +221,9 @@ class Templates:
         for q in {k[0] for k in self.classes}:
             self.known[q] = np.unique(np.concatenate([s for s, own in zip(self.sets, self.shingle, strict=True) if own == q]))
 
-    def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end word, containment), best of overlaps: of one
-        template's, and of the templates that match one stretch of text, that is
-        where two overlap by more than half of the shorter.  The best template has
-        most of its shingles in the text, less those that it lacks there."""
+    def found(self, words: np.ndarray) -> list[tuple[int, int, int, float, int, int, int]]:
+        """(template, first word, end word, containment, rank, first and end word
+        of where most of it lies), the best of one template's overlaps."""
         best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
         found: dict[int, list[tuple[float, int, int]]] = {}
         for (q, size), (width, bands, tables, smallest) in self.tables.items():
@@ -234,21 +264,45 @@ class Templates:
                 if all(b <= x or a >= y for x, y in taken):
                     taken.append((a, b))
                     out.append((i, a, b, -share))
-        kept: list[tuple[tuple[int, int, int, float], int, int]] = []
-        for m in sorted(out, key=lambda m: (-best[m[:3]][0], -m[3], m[1], m[0])):
-            _, a, b = best[m[:3]]
-            if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for _, x, y in kept):
-                kept.append((m, a, b))
-        return sorted((m for m, _, _ in kept), key=lambda r: (r[1], r[0]))
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, template, start_word, end_word, containment per match."""
-    rows = [(name, t.encode()) for name, texts in (TEMPLATES if templates is None else templates).items() for t in texts]
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError(f"{len(rows)} templates; at most {MAX_TEMPLATES} are broadcast")
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    id_type = docs.schema[id_col].dataType.simpleString()
+        return [(*m, *best[m[:3]]) for m in out]
+
+    def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+        return best_of(self.found(words))
+
+
+def best_of(found: Iterable[tuple[int, int, int, float, int, int, int]]) -> list[tuple[int, int, int, float]]:
+    """(template, first word, end word, containment): of the templates that match
+    one stretch of text, that is where two overlap by more than half of the
+    shorter, the best.  It has most of its shingles in the text, less those that
+    it lacks there."""
+    kept: list[tuple[tuple[int, int, int, float], int, int]] = []
+    for *m, rank, a, b in sorted(found, key=lambda m: (-m[4], -m[3], m[1], m[0])):
+        if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for _, x, y in kept):
+            kept.append((tuple(m), a, b))
+    return sorted((m for m, _, _ in kept), key=lambda r: (r[1], r[0]))
+
+
+def _blocks(rows: Iterable[tuple[str, bytes]], most: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Templates by ``most`` and ``MAX_BYTES`` at once; a longer one is a block."""
+    block, size = [], 0
+    for row in rows:
+        if block and (len(block) == most or size + len(row[1]) > MAX_BYTES):
+            yield block
+            block, size = [], 0
+        block.append(row)
+        size += len(row[1])
+    if block:
+        yield block
+
+
+_FOUND = ("template", "start_word", "end_word", "containment", "rank", "a", "b")
+
+
+def _scan(docs: DataFrame, block: list[tuple[str, bytes]], base: int, percent: int, settle: bool) -> DataFrame:
+    """Of documents (doc_id, text): doc_id, license and the ``_FOUND`` columns,
+    settled or not.  Templates are numbered from ``base``."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(sent.value, percent)
@@ -258,24 +312,52 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
                 codes, counts = word_codes(texts[begin:end])
                 # Most texts share no shingle with any template.
                 for k, words in enumerate(np.split(codes, np.cumsum(counts)[:-1])):
-                    got += [(begin + k, *m) for m in known.matches(words)]
-            of, which, first, last, share = zip(*got, strict=True) if got else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(of, pa.int64())),
-                    pa.array([known.names[i] for i in which], pa.string()),
-                    pa.array(which, pa.int32()),
-                    pa.array(first, pa.int64()),
-                    pa.array(last, pa.int64()),
-                    pa.array(share, pa.float64()),
-                ],
-                ["doc_id", "license", "template", "start_word", "end_word", "containment"],
-            )
-
-    return map_batches(
-        docs.select(id_col, text_col),
-        run, f"doc_id {id_type}, license string, template int, start_word bigint, end_word bigint, containment double"
-    )
+                    found = known.found(words)
+                    got += [(begin + k, *m, *(() if len(m) == 7 else (0, 0, 0))) for m in (best_of(found) if settle else found)]
+            of, which, *rest = zip(*got, strict=True) if got else ((),) * 8
+            types = pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()
+            columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array([known.names[i] for i in which], pa.string())]
+            columns += [pa.array([base + i for i in which], pa.int32()), *(pa.array(x, t) for x, t in zip(rest, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "license", *_FOUND])
+
+    fields = "license string, template int, start_word bigint, end_word bigint, containment double, rank bigint, a bigint, b bigint"
+    return map_batches(docs, run, f"doc_id {kind}, {fields}")
+
+
+def scan_licenses(
+    docs: DataFrame,
+    templates: dict[str, tuple[str, ...]] | DataFrame | None = None,
+    percent: int = PERCENT,
+    max_templates: int = MAX_TEMPLATES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, license, template, start_word, end_word, containment per match.
+    ``templates`` are wordings by license, or a table (license, text)."""
+    if isinstance(templates, DataFrame):
+        rows = ((r[0], (r[1] or "").encode()) for r in templates.select("license", "text").orderBy("license", "text").toLocalIterator())
+    else:
+        rows = ((name, t.encode()) for name, texts in (TEMPLATES if templates is None else templates).items() for t in texts)
+    blocks = _blocks(rows, max_templates)
+    first, second = next(blocks, []), next(blocks, None)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = ("license", "template", "start_word", "end_word", "containment")
+    if second is None:
+        return _scan(docs, first, 0, percent, True).select("doc_id", *wanted)
+    # What different passes find in a text is settled once for each text.
+    of_text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    keyed, base, found = docs.select(of_text.alias("doc_id"), "text"), 0, None
+    for block in itertools.chain([first, second], blocks):
+        part = _scan(keyed, block, base, percent, False)
+        found, base = part if found is None else found.unionByName(part), base + len(block)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = dict(zip(pdf["template"], pdf["license"], strict=True))
+        best = best_of(pdf[list(_FOUND)].itertuples(index=False, name=None))
+        return pd.DataFrame([(pdf["doc_id"].iloc[0], names[m[0]], *m) for m in best], columns=["of_text", *wanted])
+
+    settled = found.distinct().groupBy("doc_id").applyInPandas(settle, "of_text string, license string, template int, start_word bigint, end_word bigint, containment double")
+    return docs.select("doc_id", of_text.alias("of_text")).join(settled, "of_text").select("doc_id", *wanted)
 
 
 def op3_license_windows(spark, sf_dir: str) -> DataFrame:

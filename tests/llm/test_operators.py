@@ -234,8 +234,56 @@ def test_license_bands_and_containment(spark):
     out = got(licenses.scan_licenses(frame(spark, rows)), "doc_id", "license", "containment")
     assert [r[:2] for r in out] == [(3, "MIT"), (4, "MIT"), (5, "MIT"), (7, "MIT"), (7, "MIT")]
     assert licenses.scan_licenses(frame(spark, EMPTY)).count() == 0
-    with pytest.raises(ValueError):
-        licenses.scan_licenses(frame(spark, rows), {"x": ("a b c d e f",) * 3000})
+
+
+def test_license_templates_in_blocks(spark):
+    """From a table, in several passes: the same rows, settled over all of them."""
+    rng = random.Random(25)
+    texts = [(n, t) for n, own in licenses.TEMPLATES.items() for t in own if len(t) < 2000]
+    rows = [(d, f"{prose(rng, 9)} {rng.choice(texts)[1]} {prose(rng, 30)} {rng.choice(texts)[1]}") for d in range(40)] + [(41, None), (42, "")]
+    rows += [rows[3]] * 3
+    table = spark.createDataFrame([*texts, ("empty", ""), ("null", None)], "license string, text string")
+    columns = "doc_id", "license", "start_word", "end_word", "containment"
+    want = got(licenses.scan_licenses(frame(spark, rows), table), *columns)
+    assert got(licenses.scan_licenses(frame(spark, rows), table, max_templates=25), *columns) == want
+    assert len(want) >= 80 and licenses.scan_licenses(frame(spark, rows), table.limit(0)).count() == 0
+
+
+def test_commented_licenses_are_found():
+    known = licenses.Templates([(n, t.encode()) for n, texts in licenses.TEMPLATES.items() for t in texts])
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause"):
+        words = licenses.TEMPLATES[name][1].split()
+        for leader in ("# ", "-- ", "% ", "REM ", "dnl ", "// ", " * ", "; ", "!! ", "> ", "\t#  ", "- "):
+            text = "\n".join(leader + " ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+            found = known.matches(licenses.word_codes([f"code before\n{text}\nand after".encode()])[0])
+            assert [known.names[m[0]] for m in found] == [name], (name, leader)
+
+
+def test_license_containment_against_plain_sets():
+    """Shingles as tuples of words, in the best window of the whole text."""
+    import re
+
+    def plain(text):
+        text = re.sub("--+|(?m:^[ \t]*(?:-|(?i:rem|dnl))(?=[ \t\r\n]))", " ", text)
+        own = [w for w in re.split(r"""[\x20\x09-\x0D.,;:!?"'()\[\]{}*_`<>/#%|=~^\\]+""", brute.lower(text)) if w]
+        return [tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))]
+
+    rng = random.Random(26)
+    known = licenses.Templates([(n, t.encode()) for n, texts in licenses.TEMPLATES.items() for t in texts])
+    all_texts = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    assert len(all_texts) == len(known.names)
+    for _ in range(150):
+        i = rng.randrange(len(all_texts))
+        own = all_texts[i].split()
+        for _ in range(rng.randrange(1 + len(own) // 12)):
+            own[rng.randrange(len(own))] = "zzz"
+        text = f"{prose(rng, 20)}\n{' '.join(own)}\n{prose(rng, 20)}"
+        want, grams = set(plain(all_texts[i])), set(plain(text))
+        share = len(want & grams) / len(want)
+        found = {m[0]: m[3] for m in known.found(licenses.word_codes([text.encode()])[0])}
+        assert (i in found) == (100 * len(want & grams) >= 80 * len(want)) or known.shingle[i] < 5, all_texts[i][:80]
+        if i in found and known.shingle[i] == 5:
+            assert found[i] == pytest.approx(share)
 
 
 def test_license_texts_get_their_own_name():
