@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session that names none (tests, a laptop) gets a temporary folder.
+    Only a local session that names none (tests, a laptop) gets a temporary
+    folder; on a cluster, where no other machine would see it, that's an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = _own_dirs.get(sc.applicationId) or tempfile.mkdtemp(prefix="quillspark-")
         _own_dirs[sc.applicationId] = found
     return found.rstrip("/")
@@ -47,9 +51,38 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    files, target = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete or not there: written aside and renamed."""
+    files, aside = _file_system(spark, f"{path}.part")
+    out = files.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(aside, _file_system(spark, path)[1]):
+        raise OSError(f"can't rename to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, target = _file_system(spark, path)
+    stream = files.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -5,19 +5,29 @@ its ``GRAM``-word grams, leftmost on ties.  Equal windows have equal anchors, an
 neighbouring windows mostly share one, so an index over anchors holds about a
 seventh of the windows.
 
-The index is a set of immutable runs: bucketed, sorted tables of distinct
-fingerprints.  A batch of documents becomes a run of its own; fingerprints that
-repeat within it, or that a merge join finds in an older run, become candidates.
-Runs of one level are compacted by a merge of the sorted buckets, without a
-shuffle, so a corpus of n batches keeps about log n runs.
-
-Candidates are then verified on the texts: windows under a candidate anchor are
-shipped as digests, a row for each anchor position, keyed by fingerprint (64
-bits) and digest (64 more over all words).  Every ``FLUSH_BYTES`` of text first
+The index is a set of immutable runs in a folder: bucketed, sorted tables of
+distinct fingerprints.  A batch of documents becomes a run of its own;
+fingerprints that repeat within it, or that a merge join finds in an older run,
+become candidates.  Runs of one level are compacted by a merge of the sorted
+buckets, without a shuffle, so a corpus of n batches keeps about log n runs.  A
+manifest names the runs that count: one written aside or left by a crash isn't
+in it, and goes when the index is opened again.
+
+With ``digests`` a run has each distinct window, as the fingerprint (64 bits) and
+a digest of all its words (64 more).  Such an index lasts: ``dedup_batch`` judges
+a new batch by the runs alone, without the texts of older ones.  A corpus that
+is at hand as a whole (``dedup_substrings``) needs no digests in the runs, which
+are then a seventh as long; it verifies on the texts.
+
+Candidates are verified as windows: those under a candidate anchor are shipped
+as digests, a row for each anchor position, keyed by fingerprint and digest, and
+so are the windows that older runs have.  Word hashes have 64 bits, and no words
+are compared beyond them.  Every ``FLUSH_BYTES`` of text first
 settle what they can by themselves and ship each distinct window once at most,
 so a passage that a third of all documents share is shuffled once for so much
 text.  Above ``DOCS_PER_SALT`` documents a further level combines the windows of
-a fingerprint in several tasks before they meet in one.
+a fingerprint in several tasks before they meet in one.  Tasks read their rows
+sorted and hold a few whole groups at a time, whatever a partition's size.
 What starts later than an equal window is removed from its document.
 
 Candidates and removals are broadcast behind a check of their size; beyond it
@@ -32,6 +42,7 @@ each other; ids must be integers; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -40,7 +51,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, in_parts, inside, map_batches, materialize, mix, ngrams, slices, table, text_bytes
+from .common import (
+    delete_path,
+    fresh_path,
+    hashed_words,
+    in_parts,
+    inside,
+    list_names,
+    map_batches,
+    materialize,
+    mix,
+    ngrams,
+    read_text,
+    slices,
+    table,
+    text_bytes,
+    write_text,
+)
 
 WINDOW = 20  # fixed by the contract
 GRAM = 8
@@ -49,6 +76,7 @@ FLUSH_BYTES = 4 << 20  # of text: windows are settled so much at a time
 MAX_BROADCAST_KEYS = 4_000_000
 MAX_BROADCAST_DOCS = 500_000
 DOCS_PER_SALT = 50_000_000
+GROUP_ROWS = 50_000  # shipped rows that a task holds, or one whole group
 _D = np.random.Generator(np.random.PCG64(99)).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.iinfo(np.int64).min
 
@@ -91,51 +119,128 @@ def fingerprints(docs: DataFrame, text_col: str) -> DataFrame:
     return map_batches(docs.select(text_col), run, "fp bigint, n bigint")
 
 
-class RunIndex:
-    """Log-structured index of fingerprints, as bucketed tables of the session's
-    warehouse."""
+def window_digests(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    digest = np.zeros(len(at), np.uint64)
+    for j in range(WINDOW):
+        digest += hashes[at + j] * _D[j]
+    return mix(digest).astype(np.int64)
+
+
+def windows(docs: DataFrame, text_col: str) -> DataFrame:
+    """fp, digest, n: distinct windows of each Arrow batch and how often (1 or 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, 0, FLUSH_BYTES):
+            parts, texts = [(np.empty(0, np.int64),) * 2], text_bytes(batch.column(0))
+            for begin, end in slices(texts):
+                hashes, counts = hashed_words(texts[begin:end])
+                at, fp, _ = anchors(hashes, counts)
+                parts.append((fp.astype(np.int64), window_digests(hashes, at)))
+            fp, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((digest, fp))
+            fp, digest = fp[order], digest[order]
+            heads = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (digest[1:] != digest[:-1]))[: len(fp)])
+            n = np.minimum(np.diff(np.append(heads, len(fp))), 2)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[heads]), pa.array(digest[heads]), pa.array(n, pa.int64())], ["fp", "digest", "n"])
 
-    def __init__(self, spark: SparkSession, fan_in: int = 2):
-        self.spark, self.fan_in = spark, fan_in
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, str]] = []  # (level, table)
+    return map_batches(docs.select(text_col), run, "fp bigint, digest bigint, n bigint")
+
+
+class RunIndex:
+    """Log-structured index of fingerprints, with or without ``digests``, in a
+    folder that all executors share: ``path``, which is opened or made and lasts,
+    or else one for this session."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, digests: bool = False, fan_in: int = 2):
+        self.spark, self.fan_in, self.lasting = spark, fan_in, path is not None
+        self.path = (path or fresh_path(spark, "runs")).rstrip("/")
+        self.keys = ["fp", "digest"] if digests else ["fp"]
+        self.runs: list[tuple[int, str]] = []  # (level, table), in order of arrival
+        self.version = 0
+        self._open()
+
+    def _open(self) -> None:
+        manifests = [x for x in list_names(self.spark, self.path) if x.startswith("manifest-") and x.endswith(".json")]
+        if manifests:
+            found = json.loads(read_text(self.spark, f"{self.path}/{manifests[-1]}"))
+            if found["keys"] != self.keys:
+                raise ValueError(f"the index at {self.path} has {found['keys']}, not {self.keys}")
+            self.version = found["version"]
+            for level, name, buckets in found["runs"]:
+                fields = ", ".join(f"{k} bigint" for k in self.keys)
+                self.spark.sql(
+                    f"CREATE TABLE IF NOT EXISTS {name} ({fields}, many boolean) USING parquet "
+                    f"CLUSTERED BY (fp) SORTED BY ({', '.join(self.keys)}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'"
+                )
+                self.runs.append((level, name))
+            self.buckets = found["runs"][0][2] if found["runs"] else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        else:
+            self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._sweep()
+
+    def _sweep(self) -> None:
+        """Delete what the manifest doesn't name: the remains of a crash."""
+        kept = {name for _, name in self.runs} | {self._manifest()}
+        for name in list_names(self.spark, self.path):
+            if name not in kept:
+                delete_path(self.spark, f"{self.path}/{name}")
+
+    def _manifest(self) -> str:
+        return f"manifest-{self.version:012d}.json"
+
+    def commit(self) -> None:
+        """From here on the index has the runs that it has now."""
+        if self.lasting:
+            self.version += 1
+            runs = [(level, name, self.buckets) for level, name in self.runs]
+            write_text(self.spark, f"{self.path}/{self._manifest()}", json.dumps({"version": self.version, "keys": self.keys, "runs": runs}))
+            self._sweep()
 
     def _write(self, run: DataFrame) -> str:
         name = f"quillspark_run_{uuid.uuid4().hex}"
-        run.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
+        writer = run.write.bucketBy(self.buckets, "fp").sortBy(*self.keys).format("parquet").option("path", f"{self.path}/{name}")
+        writer.saveAsTable(name)
         return name
 
-    def add(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """Index a batch; return its candidates: fingerprints that it repeats or
-        that an older run has."""
-        new = fingerprints(docs, text_col).groupBy("fp").agg((F.sum("n") > 1).alias("many"))
-        name = self._write(new)
-        rows = self.spark.table(name)
-        found = rows.where("many").select("fp")
-        for _, old in self.runs:
-            found = found.unionByName(rows.hint("merge").join(self.spark.table(old), "fp", "left_semi").select("fp"))
-        found = materialize(found.distinct(), "candidates")
+    def add(self, docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        """Index a batch; return its candidates, the keys that it repeats or that
+        an older run has, and of these the latter."""
+        made = windows(docs, text_col) if "digest" in self.keys else fingerprints(docs, text_col)
+        name = self._write(made.groupBy(*self.keys).agg((F.sum("n") > 1).alias("many")))
+        rows, old = self.spark.table(name), None
+        for _, run in self.runs:
+            found = rows.hint("merge").join(self.spark.table(run), self.keys, "left_semi").select(*self.keys)
+            old = found if old is None else old.unionByName(found)
+        old = rows.select(*self.keys).limit(0) if old is None else old
+        found = rows.where("many").select(*self.keys, F.lit(False).alias("old")).unionByName(old.withColumn("old", F.lit(True)))
+        found = materialize(found.groupBy(*self.keys).agg(F.max("old").alias("old")), "candidates")
         self.runs.append((0, name))
         self.compact()
-        return found
+        return found.select(*self.keys), found.where("old").select(*self.keys)
 
     def compact(self) -> None:
         """Merge the runs of a level once there are ``fan_in`` of them."""
         while len(level := [r for r in self.runs if r[0] == self.runs[-1][0]]) >= self.fan_in:
-            merged = self.spark.table(level[0][1]).select("fp")
+            merged = self.spark.table(level[0][1]).select(*self.keys)
             for _, name in level[1:]:
-                merged = merged.hint("merge").join(self.spark.table(name).select("fp"), "fp", "full_outer")
-            name = self._write(merged.select("fp"))
-            self._drop(level)
+                merged = merged.hint("merge").join(self.spark.table(name).select(*self.keys), self.keys, "full_outer")
+            name = self._write(merged.select(*self.keys, F.lit(False).alias("many")))
+            for run in level:
+                self._forget(run, not self.lasting)  # a lasting index deletes once the manifest has changed
             self.runs.append((level[0][0] + 1, name))
 
-    def _drop(self, runs: list[tuple[int, str]]) -> None:
-        for run in runs:
-            self.spark.sql(f"DROP TABLE {run[1]}")
-            self.runs.remove(run)
+    def _forget(self, run: tuple[int, str], delete: bool) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run[1]}")
+        self.runs.remove(run)
+        if delete:
+            delete_path(self.spark, f"{self.path}/{run[1]}")
 
     def close(self) -> None:
-        self._drop(list(self.runs))
+        """Let go of the runs' tables.  A lasting index keeps its files."""
+        for run in list(self.runs):
+            self._forget(run, False)
+        if not self.lasting:
+            delete_path(self.spark, self.path)
 
 
 def _first(fp, digest, doc, start) -> tuple[np.ndarray, np.ndarray]:
@@ -211,10 +316,7 @@ def suspect_windows(docs: DataFrame, known) -> DataFrame:
             hit = _member(own, known.value) if known is not None else _member_pairs(doc[heads], own, batch.column(3).slice(begin, end - begin))
             use = np.repeat(hit, np.diff(np.append(heads, len(at))))
             w, owner = at[use], doc[use]
-            digest = np.zeros(len(w), np.uint64)
-            for j in range(WINDOW):
-                digest += hashes[w + j] * _D[j]
-            yield fp[use].astype(np.int64), mix(digest).astype(np.int64), owner + begin, w - firsts[owner]
+            yield fp[use].astype(np.int64), window_digests(hashes, w), owner + begin, w - firsts[owner]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches, 1, FLUSH_BYTES):
@@ -247,59 +349,77 @@ def _member_pairs(doc: np.ndarray, fp: np.ndarray, lists: pa.Array) -> np.ndarra
     return hit
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, tuple] | None:
-    """A partition of shipped rows: the table, which rows are done, and the
-    windows of the others (fp, digest, row, start)."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    t = pa.Table.from_batches(got).combine_chunks()
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys``, in tables of about ``GROUP_ROWS`` rows that divide
+    no group of equal keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < GROUP_ROWS:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            column, last = batch.column(k).to_numpy(), held[-2].column(k)[-1].as_py() if len(held) > 1 else batch.column(k)[0].as_py()
+            new |= np.diff(column, prepend=np.int64(last)) != 0
+        if len(cuts := np.flatnonzero(new)):
+            cut = int(cuts[-1])
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks()
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _opened(t: pa.Table) -> tuple[np.ndarray, tuple]:
+    """Of shipped rows: which are done, and the windows of the others (fp,
+    digest, row, start)."""
     lists = t.column("digests").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     row = np.repeat(np.arange(len(sizes)), sizes)
     within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     windows = t.column("fp").to_numpy()[row], lists.flatten().to_numpy(), row, t.column("start").to_numpy()[row] + within
-    return t, sizes == 0, windows
+    return sizes == 0, windows
 
 
 def combined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of shipped rows, shipped rows with each window once."""
-    if (opened := _opened(batches)) is None:
-        return
-    t, done, (fp, digest, row, start) = opened
-    yield from t.filter(pa.array(done)).combine_chunks().to_batches()
-    doc, tkey = t.column("doc_id").to_numpy()[row], t.column("tkey").to_numpy()[row]
-    yield from _settled(fp, digest, row, start, doc, tkey)
+    """Of shipped rows sorted by fp, shipped rows with each window once."""
+    for t in whole_groups(batches, "fp"):
+        done, (fp, digest, row, start) = _opened(t)
+        yield from t.filter(pa.array(done)).combine_chunks().to_batches()
+        doc, tkey = t.column("doc_id").to_numpy()[row], t.column("tkey").to_numpy()[row]
+        yield from _settled(fp, digest, row, start, doc, tkey)
 
 
 def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of shipped rows, the stretches that repeat an earlier
-    window: doc_id, tkey, start, n."""
-    if (opened := _opened(batches)) is None:
-        return
-    t, done, (fp, digest, row, at) = opened
-    doc, tkey, start, n = (t.column(c).to_numpy() for c in ("doc_id", "tkey", "start", "n"))
-    earliest, _ = _first(fp, digest, doc[row], at)
-    late = np.flatnonzero(~earliest)
-    heads = _runs_of(row[late], start=at[late])
-    first = late[heads]
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([doc[done], doc[row[first]]])),
-            pa.array(np.concatenate([tkey[done], tkey[row[first]]])),
-            pa.array(np.concatenate([start[done], at[first]]), pa.int32()),
-            pa.array(np.concatenate([n[done], np.diff(np.append(heads, len(late)))]), pa.int32()),
-        ],
-        ["doc_id", "tkey", "start", "n"],
-    )
+    """Of shipped rows sorted by fp, the stretches that repeat an earlier window:
+    doc_id, tkey, start, n."""
+    for t in whole_groups(batches, "fp"):
+        done, (fp, digest, row, at) = _opened(t)
+        doc, tkey, start, n = (t.column(c).to_numpy() for c in ("doc_id", "tkey", "start", "n"))
+        earliest, _ = _first(fp, digest, doc[row], at)
+        late = np.flatnonzero(~earliest)
+        heads = _runs_of(row[late], start=at[late])
+        first = late[heads]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([doc[done], doc[row[first]]])),
+                pa.array(np.concatenate([tkey[done], tkey[row[first]]])),
+                pa.array(np.concatenate([start[done], at[first]]), pa.int32()),
+                pa.array(np.concatenate([n[done], np.diff(np.append(heads, len(late)))]), pa.int32()),
+            ],
+            ["doc_id", "tkey", "start", "n"],
+        )
 
 
 def merged_cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the removed words, as merged intervals [lo, hi)."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
+    """Per document the removed words, as merged intervals [lo, hi).  Rows are
+    sorted by document."""
+    for t in whole_groups(batches, "doc_id", "tkey"):
+        yield _cover(t)
+
+
+def _cover(t: pa.Table) -> pa.RecordBatch:
     doc, tkey, start, n = (t.column(c).to_numpy() for c in ("doc_id", "tkey", "start", "n"))
     order = np.lexsort((start, tkey, doc))
     doc, tkey, lo, hi = doc[order], tkey[order], start[order].astype(np.int64), start[order].astype(np.int64) + n[order] + WINDOW - 1
@@ -313,7 +433,7 @@ def merged_cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of = text[heads]
     firsts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     offsets = pa.array(np.append(firsts, len(heads)), pa.int32())
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [
             pa.array(doc[heads][firsts]),
             pa.array(tkey[heads][firsts]),
@@ -346,9 +466,12 @@ def _with_suspects(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return docs.join(lists, digest == F.col("of_text")).select("doc_id", "text", "tkey", "suspects")
 
 
-def removed_words(docs: DataFrame, candidates: DataFrame, max_broadcast_keys: int = MAX_BROADCAST_KEYS, salts: int = 1) -> DataFrame:
+def removed_words(
+    docs: DataFrame, candidates: DataFrame, max_broadcast_keys: int = MAX_BROADCAST_KEYS, salts: int = 1, old: DataFrame | None = None
+) -> DataFrame:
     """doc_id, tkey, lo, hi: merged intervals of words to remove, verified.  With
-    ``salts`` above 1 the windows of a fingerprint first meet in so many tasks."""
+    ``salts`` above 1 the windows of a fingerprint first meet in so many tasks.
+    ``old`` windows (fp, digest) come before all of these documents."""
     spark = docs.sparkSession
     known = None
     if candidates.limit(max_broadcast_keys + 1).count() <= max_broadcast_keys:
@@ -358,14 +481,17 @@ def removed_words(docs: DataFrame, candidates: DataFrame, max_broadcast_keys: in
             return spark.createDataFrame([], "doc_id bigint, tkey bigint, lo array<int>, hi array<int>")
     else:
         docs = _with_suspects(docs, candidates)
-    # Many more partitions than cores: a task holds its partition.
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
     shipped = suspect_windows(docs, known)
+    if old is not None:
+        first = [F.lit(x).cast(k).alias(c) for c, x, k in (("doc_id", _NONE, "bigint"), ("tkey", 0, "bigint"), ("start", -1, "int"), ("n", 1, "int"))]
+        shipped = shipped.unionByName(old.select("fp", *first, F.array("digest").alias("digests")))
     if salts > 1:
-        salted = shipped.repartition(parts, "fp", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        salted = shipped.repartition("fp", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).sortWithinPartitions("fp")
         shipped = map_batches(salted, combined_windows, _SHIPPED)
-    late = map_batches(shipped.repartition(parts, "fp"), later_windows, "doc_id bigint, tkey bigint, start int, n int")
-    cover = map_batches(late.repartition(parts, "doc_id", "tkey"), merged_cover, "doc_id bigint, tkey bigint, lo array<int>, hi array<int>")
+    met = shipped.repartition("fp").sortWithinPartitions("fp")
+    late = map_batches(met, later_windows, "doc_id bigint, tkey bigint, start int, n int")
+    own = late.repartition("doc_id", "tkey").sortWithinPartitions("doc_id", "tkey")
+    cover = map_batches(own, merged_cover, "doc_id bigint, tkey bigint, lo array<int>, hi array<int>")
     return materialize(cover, "removed-words")
 
 
@@ -397,6 +523,29 @@ def strip_words(docs: DataFrame, removed: DataFrame, max_broadcast_docs: int = M
     return map_batches(joined.select("doc_id", "text", "lo", "hi"), strip, "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tkey"))
+
+
+def dedup_batch(
+    index: RunIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_keys: int = MAX_BROADCAST_KEYS, docs_per_salt: int = DOCS_PER_SALT
+) -> DataFrame:
+    """doc_id, n_words, n_removed, text (what is left) of each document of a new
+    batch.  All batches that the index has (with ``digests``) count as earlier,
+    whatever their ids.  The batch counts once its result is written: after a
+    failure before that, it can be given again."""
+    if "digest" not in index.keys:
+        raise ValueError("the index has no digests of windows")
+    docs = _prepared(docs, id_col, text_col)
+    found, old = index.add(docs, "text")
+    candidates = materialize(found.select("fp").distinct(), "candidates")
+    removed = removed_words(docs, candidates, max_broadcast_keys, 1 + docs.count() // docs_per_salt, old)
+    out = materialize(strip_words(docs, removed), "batch")
+    index.commit()
+    return out
+
+
 def dedup_substrings(
     docs: DataFrame,
     batches: int = BATCHES,
@@ -407,18 +556,20 @@ def dedup_substrings(
 ) -> DataFrame:
     """doc_id, n_words, n_removed, text (what is left) of each document.
 
-    The documents enter the index in ``batches`` by id, as they would arrive."""
+    The documents enter the index in ``batches``, ranges of ids, as they would
+    arrive."""
     spark = docs.sparkSession
-    text = F.col(text_col)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tkey"))
+    docs = _prepared(docs, id_col, text_col)
     shares = [i / batches for i in range(1, batches)] or [0.5]
     n, cuts = docs.select(F.count("*"), F.percentile_approx("doc_id", shares, 1000)).first()
-    cuts = (cuts or []) if batches > 1 else []
-    number = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    cuts = sorted(set(cuts or [])) if batches > 1 else []
+    doc_id = F.col("doc_id")
+    ranges = [(doc_id > a) & (doc_id <= b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    ranges = [doc_id.isNull() | (doc_id <= cuts[0]), *ranges, doc_id > cuts[-1]] if cuts else [F.lit(True)]
     index, candidates = RunIndex(spark), None
     try:
-        for b in range(len(cuts) + 1):
-            found = index.add(docs.where(number == b), "text")
+        for own in ranges:
+            found, _ = index.add(docs.where(own), "text")
             candidates = found if candidates is None else candidates.unionByName(found)
     finally:
         index.close()

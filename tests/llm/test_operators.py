@@ -1,5 +1,6 @@
 """Every operator on awkward inputs and against its plain version."""
 
+import os
 import random
 import time
 import zlib
@@ -473,7 +474,7 @@ def test_runs_are_compacted(spark):
         rng, sizes = random.Random(1), []
         texts = [prose(rng, 300, [f"q{i}" for i in range(900)]) for _ in range(4)]
         for t in [*texts, texts[2]]:
-            found = index.add(frame(spark, [(1, t)]))
+            found, _ = index.add(frame(spark, [(1, t)]))
             sizes.append((len(index.runs), found.count() > 0))
         assert [n for n, _ in sizes] == [1, 1, 2, 1, 2]
         assert [f for _, f in sizes] == [False, False, False, False, True]
@@ -482,6 +483,45 @@ def test_runs_are_compacted(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillspark_run")]
 
 
+@pytest.mark.parametrize("bound, salt", [(10**6, 10**6), (0, 10)])
+def test_batches_are_judged_without_older_texts(spark, tmp_path, bound, salt, monkeypatch):
+    """Batch by batch, the index closed and opened again between them, as by
+    brute force over all batches so far."""
+    monkeypatch.setattr(substrings, "GROUP_ROWS", 7)
+    rng, seen, path = random.Random(27), [], str(tmp_path / "index")
+    passage = prose(rng, 50, [f"p{i}" for i in range(500)])
+    for b in range(4):
+        rows = [(1000 * b + d, t) for d, t in corpus(7 + b % 2, 40)] + [(1000 * b + 70 + i, prose(rng, 30) + passage + prose(rng, i)) for i in range(3)]
+        rows += [(1000 * b + 90, None), (1000 * b + 91, passage + passage)]
+        spark.createDataFrame([(d, t) for d, t in rows], "doc_id bigint, text string").write.parquet(str(tmp_path / f"batch{b}"))
+        index = substrings.RunIndex(spark, path, digests=True)
+        out = substrings.dedup_batch(index, spark.read.parquet(str(tmp_path / f"batch{b}")), max_broadcast_keys=bound, docs_per_salt=salt)
+        seen += rows
+        want = sorted((r for r in brute.substrings(seen) if r[0] >= 1000 * b), key=repr)
+        assert got(out.withColumn("h", F.sha2("text", 256)), "doc_id", "n_words", "n_removed", "h") == want
+        assert sum(r[2] for r in want) > 100
+        index.close()
+        __import__("shutil").rmtree(tmp_path / f"batch{b}")  # the texts are gone
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillspark_run")]
+
+
+def test_an_index_survives_a_crash(spark, tmp_path):
+    """A batch that fails before its result is written leaves nothing behind."""
+    path, text = str(tmp_path / "index"), " ".join(f"k{i}" for i in range(40))
+    index = substrings.RunIndex(spark, path, digests=True)
+    assert substrings.dedup_batch(index, frame(spark, [(1, text)])).first()["n_removed"] == 0
+    index.add(frame(spark, [(2, text + " more")]))  # and then the driver dies
+    index.runs, before = [], set(os.listdir(path))
+    index = substrings.RunIndex(spark, path, digests=True)
+    assert set(os.listdir(path)) < before and len(index.runs) == 1
+    assert substrings.dedup_batch(index, frame(spark, [(2, text + " more")])).first()["n_removed"] == 40
+    index.close()
+    with pytest.raises(ValueError):
+        substrings.RunIndex(spark, path)
+    with pytest.raises(ValueError):
+        substrings.dedup_batch(substrings.RunIndex(spark), frame(spark, [(2, text)]))
+
+
 # --- 7 ------------------------------------------------------------------------
 
 
