@@ -26,8 +26,10 @@ class Embedder(Protocol):
 
 
 @functools.lru_cache(maxsize=1 << 16)
-def _hash(gram: str) -> int:
-    return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+def _hash(gram: str) -> tuple[int, int]:
+    """A number and a sign, of a digest that SQL has too."""
+    h = hashlib.md5(gram.encode()).hexdigest()
+    return int(h[:8], 16), 1 if h[8] >= "8" else -1
 
 
 class HashingEmbedder:
@@ -44,8 +46,8 @@ class HashingEmbedder:
         for row, text in zip(out, texts, strict=True):
             # Once for each distinct trigram: whole numbers add up the same.
             for gram, n in Counter(map("".join, zip(text, text[1:], text[2:], strict=False))).items():
-                h = _hash(gram)
-                row[h % self.dimension] += n if h >> 63 else -n
+                h, sign = _hash(gram)
+                row[h % self.dimension] += sign * n
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

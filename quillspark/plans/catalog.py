@@ -14,6 +14,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import answering, chunking, documents, embedding, evaluation, memory, search
 from ..sources import files
+from .chunk_sql import CHUNK, ChunkSql
 
 S, W = T.sql_text, T.sql_words
 
@@ -328,13 +329,23 @@ def _by_line(s: SparkSession, d: str, semantics: str) -> DataFrame:
     return _texts(s, d).select("doc_id", F.posexplode(made).alias("seq", "c")).select("doc_id", "seq", "c.*")
 
 
-Q["structure_chunks_observed"] = (lambda s, d: _by_line(s, d, "observed"), None)
-Q["structure_chunks_intended"] = (lambda s, d: _by_line(s, d, "intended"), None)
+_CHUNKS = ChunkSql(_CHUNK_LANGUAGE, _sql_content_type, _trim, _FOUND, _sql_parts("x", _ANY), _FOLD_LONG)
+_LINES = "string_split(x, chr(10))"
+
+
+def _structure_sql(observed: bool) -> str:
+    seq = "(row_number() OVER (PARTITION BY doc_id ORDER BY place, late, n) - 1)::INT AS seq"
+    return f"WITH {TEXTS}, {_CHUNKS.structure('t', _LINES, observed)} SELECT doc_id, {seq}, {CHUNK} FROM made"
+
+
+Q["structure_chunks_observed"] = (lambda s, d: _by_line(s, d, "observed"), _structure_sql(True))
+Q["structure_chunks_intended"] = (lambda s, d: _by_line(s, d, "intended"), _structure_sql(False))
 Q["paragraph_chunks"] = (
     lambda s, d: _texts(s, d)
     .select("doc_id", F.posexplode(chunking.paragraph_chunks(F.col("text"), F.lit(1), separator="\n")).alias("seq", "c"))
     .select("doc_id", "seq", "c.*"),
-    None,
+    f"WITH {TEXTS}, {_CHUNKS.paragraphs('t', _LINES)} "
+    f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, n) - 1)::INT AS seq, {CHUNK} FROM para",
 )
 
 
@@ -355,11 +366,33 @@ Q["chunk_type_distribution"] = (
     lambda s, d: chunking.chunk_statistics(_deduped(s, d)).withColumn("avg_chars", F.round("avg_chars", 6)),
     f"SELECT content_type, count(*) AS n_chunks, round(avg(char_count), 6) AS avg_chars FROM ({_DEDUP_SQL}) GROUP BY 1",
 )
+
+
+def _mixed_sql() -> str:
+    """Paragraphs of the documents with multiple-choice questions, sentences of
+    the others; of equal contents the first."""
+    clean = f"SELECT doc_id, {T.sql_rewrite('x', P.CLEAN)} AS x, {T.sql_match('x', P.FLAGS['has_mcq'])} AS flagged FROM (SELECT doc_id, text AS x FROM documents WHERE text <> '')"
+    blank = f"regexp_split_to_array(x, {S(f'{chr(10)}{P.SPACE}*{chr(10)}+')})"
+    sentences = (
+        f"d AS (SELECT doc_id, x, {_CHUNK_LANGUAGE} AS l FROM m WHERE NOT mcq), e AS (SELECT *, {_FOUND} AS f FROM d), "
+        f"s AS (SELECT doc_id, l, CASE WHEN len(f) > 0 THEN f ELSE {_sql_parts('x', _ANY)} END AS p FROM e), g AS (SELECT doc_id, {_FOLD_OVERLAP} AS r FROM s), "
+        f"h AS (SELECT doc_id, CASE WHEN length({_trim('r.cur')}) >= 100 THEN list_append(r.out, {_trim('r.cur')}) ELSE r.out END AS k FROM g), "
+        f"j AS (SELECT doc_id, i - 1 AS i, k[i] AS x {_EACH})"
+    )
+    return (
+        f"WITH c AS ({clean}), m AS (SELECT doc_id, x, flagged OR contains(lower(x), 'mcq') AS mcq FROM c), own AS (SELECT * FROM m WHERE mcq), "
+        f"{_CHUNKS.paragraphs('own', blank)}, {sentences}, a AS (SELECT doc_id, i, n, content, chunk_id, content_type, length(raw)::INT AS char_count FROM para "
+        f"UNION ALL SELECT doc_id, i, 0, x, 'page_1_sent_' || i, {_sql_content_type('x')}, length(x)::INT FROM j) "
+        f"SELECT doc_id, chunk_id, content_type, char_count FROM a WHERE char_count >= 100 "
+        f"QUALIFY row_number() OVER (PARTITION BY doc_id, {_trim('lower(content)')} ORDER BY i, n) = 1"
+    )
+
+
 Q["chunk_mixed_strategy"] = (
     lambda s, d: chunking.chunk_pages(_read(s, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text"), "mixed").select(
         "doc_id", "chunk_id", "content_type", "char_count"
     ),
-    None,
+    _mixed_sql(),
 )
 
 # --- embeddings and search ----------------------------------------------------
@@ -522,21 +555,82 @@ Q["clear_memory"] = (
 )
 
 
-def _answers(s: SparkSession, d: str) -> DataFrame:
-    """Every benchmark item as a question, answered by the extractive stand-in
-    from the documents that its own embedding finds among theirs."""
+def _asked(s: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every benchmark item as a question, the documents' texts, the embedded
+    questions, and the k documents that each finds."""
     embedder = embedding.HashingEmbedder()
     contents = _read(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
     store = embedding.encode(contents.where(T.text_of("content") != ""), embedder, "content").select("vec_id", "embedding")
     asked = _read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     prefixed = asked.select("query_id", F.concat(F.lit("query: "), F.trim(T.text_of("question"))).alias("q"))
     queries = embedding.encode(prefixed, embedder, "q", prefix=False)
-    context = answering.retrieve_context(search.topk(store, queries, 5, "cosine", 0.3), contents, queries)
+    return asked, contents, queries, search.topk(store, queries, k, "cosine", 0.3)
+
+
+def _sql_embedded(name: str, source: str) -> str:
+    """CTE ``name`` (id, dim, v): embeddings of the texts p of ``source``."""
+    grams = "list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])"
+    return (
+        f"{name}_g AS (SELECT id, md5(unnest({grams})) AS h FROM (SELECT id, regexp_extract_all(p, '(?s).') AS c FROM ({source}))), "
+        f"{name}_n AS (SELECT id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS dim, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN 1 ELSE -1 END) AS n FROM {name}_g GROUP BY ALL), "
+        f"{name} AS (SELECT id, dim, (n / sqrt(nullif(sum(n * n) OVER (PARTITION BY id), 0)))::FLOAT::DOUBLE AS v FROM {name}_n)"
+    )
+
+
+def _sql_passage(x: str) -> str:
+    one = f"array_to_string({W(x)}, ' ')"
+    return f"CASE WHEN {one} = '' THEN '' WHEN starts_with({one}, 'query:') OR starts_with({one}, 'passage:') THEN {one} ELSE 'passage: ' || {one} END"
+
+
+_ASKED = "SELECT item_id AS id, 'query: ' || trim(coalesce(text, '')) AS p FROM benchmark"
+
+
+def _sql_found(k: int) -> str:
+    """CTE found (query_id, vec_id, score, rank): the search by text."""
+    docs = f"SELECT doc_id AS id, {_sql_passage('text')} AS p FROM documents WHERE text <> ''"
+    return (
+        f"{_sql_embedded('sv', docs)}, {_sql_embedded('qv', _ASKED)}, "
+        "sn AS (SELECT id, sqrt(sum(v * v)) AS n FROM sv GROUP BY id), qn AS (SELECT id, sqrt(sum(v * v)) AS n FROM qv GROUP BY id), "
+        "dots AS (SELECT qv.id AS q, sv.id AS d, sum(qv.v * sv.v) AS dot FROM qv JOIN sv USING (dim) GROUP BY ALL), "
+        "scored AS (SELECT q AS query_id, d AS vec_id, round(dot / (qn.n * sn.n), 6) AS score FROM dots JOIN qn ON qn.id = q JOIN sn ON sn.id = d), "
+        "found AS (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored WHERE score >= 0.3 "
+        f"QUALIFY rank <= {k})"
+    )
+
+
+Q["search_by_text"] = lambda s, d: _asked(s, d, 10)[3], f"WITH {_sql_found(10)} SELECT query_id, vec_id, score, rank FROM found"
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item, answered by the extractive stand-in from the
+    documents that its own embedding finds among theirs."""
+    asked, contents, queries, hits = _asked(s, d, 5)
+    context = answering.retrieve_context(hits, contents, queries)
     rows = asked.join(context, "query_id", "left").withColumn("memory", F.lit(""))
     return answering.answer(rows, answering.ExtractiveGenerator()).select("query_id", "query_language", "answer", "model_used", F.round("confidence", 6).alias("confidence"))
 
 
-Q["ask_batch"] = _answers, None
+def _answers_sql() -> str:
+    parts = f"list_filter(list_transform(string_split(replace(context, '।', '.'), '.'), lambda p: {_trim('p')}), lambda p: p <> '')"
+    shared = f"list_transform(parts, lambda p: len(list_intersect(wanted, {W('lower(p)')})))"
+    a, p, q = _sql_postprocess(False)
+    labelled = f"list_filter(string_split(a, chr(10)), lambda r: starts_with({_trim('r')}, {p}))"
+    last = _trim(f"string_split(({labelled})[-1], {p})[2]")
+    return (
+        f"WITH {_sql_found(5)}, j AS (SELECT found.*, coalesce(text, '') AS c FROM found JOIN documents ON doc_id = vec_id), "
+        "b AS (SELECT item_id AS query_id, any_value(coalesce(text, '')) AS question, coalesce(string_agg(c, chr(10) || chr(10) ORDER BY rank), '') AS context, count(vec_id) AS n, "
+        "round(CASE WHEN count(vec_id) = 0 THEN 0 ELSE least(0.6 * avg(score) + 0.2 * least(count(vec_id) / 3.0, 1) + 0.2 * least(sum(length(c)) / 1000.0, 1), 1) END, 6)::DOUBLE AS confidence "
+        "FROM benchmark LEFT JOIN j ON query_id = item_id GROUP BY item_id), "
+        f"r AS (SELECT *, {W('lower(question)')} AS wanted, {parts} AS parts FROM b), z AS (SELECT *, {shared} AS shared FROM r), "
+        "x AS (SELECT *, coalesce(parts[list_position(shared, list_max(shared))], '') AS x FROM z), "
+        f"y AS (SELECT *, {a} AS a FROM x), w AS (SELECT *, CASE WHEN contains(a, {q}) AND contains(a, {p}) AND len({labelled}) > 0 THEN {last} ELSE a END AS b FROM y) "
+        f"SELECT query_id, {_QUERY_LANGUAGE.replace('(x', '(question')} AS query_language, "
+        f"CASE WHEN context = '' THEN {S(answering.NOT_FOUND)} WHEN len({W('b')}) > 3 THEN array_to_string(({W('b')})[1:2], ' ') ELSE b END AS answer, "
+        "CASE WHEN context = '' THEN 'none' ELSE 'extractive' END AS model_used, CASE WHEN context = '' THEN 0 ELSE confidence END AS confidence FROM w"
+    )
+
+
+Q["ask_batch"] = _answers, _answers_sql()
 
 # --- evaluation ---------------------------------------------------------------
 
@@ -608,6 +702,14 @@ Q["eval_groundedness"] = _metric("groundedness", "answer_length", "context_lengt
 Q["eval_relevance"] = _metric("relevance", "question_type")
 Q["eval_similarity_lexical"] = _metric("semantic_similarity")
 Q["eval_context_utilization"] = _metric("context_utilization")
+_PASSAGES = "SELECT id, {0} AS p FROM r WHERE answer <> '' AND truth <> ''"
+Q["eval_similarity_embedded"] = (
+    lambda s, d: evaluation.evaluate(_eval_rows(s, d), 6, embedding.HashingEmbedder()).select("id", "semantic_similarity"),
+    f"{_EVAL}, {_sql_embedded('av', _PASSAGES.format(_sql_passage('answer')))}, {_sql_embedded('tv', _PASSAGES.format(_sql_passage('truth')))}, "
+    "dots AS (SELECT av.id, sum(av.v * tv.v) AS dot FROM av JOIN tv USING (id, dim) GROUP BY 1), "
+    "an AS (SELECT id, sqrt(sum(v * v)) AS n FROM av GROUP BY 1), tn AS (SELECT id, sqrt(sum(v * v)) AS n FROM tv GROUP BY 1) "
+    "SELECT r.id, round(coalesce(dot / (an.n * tn.n), 0), 6)::DOUBLE AS semantic_similarity FROM r LEFT JOIN dots USING (id) LEFT JOIN an USING (id) LEFT JOIN tn USING (id)",
+)
 
 
 def _bin(c: str) -> str:
