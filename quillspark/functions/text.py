@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,9 +81,11 @@ def normalize_whitespace(c: str | Column) -> Column:
     return rewrite(text_of(c), P.WHITESPACE)
 
 
-def normalize(c: str | Column, semantics: str = "intended", compose: bool = True) -> Column:
-    """Composition, artifacts, marks, script boundaries, white space."""
+def normalize(c: str | Column, semantics: str = "intended", compose: bool = True, repair: Callable[[Column], Column] | None = None) -> Column:
+    """Composition, artifacts, marks, script boundaries, white space.  ``repair``
+    maps the composed text first, where a repair of broken encodings is at hand."""
     text = nfc(c) if compose else text_of(c)
+    text = text_of(repair(text)) if repair is not None else text
     return normalize_whitespace(script_boundary_spacing(rejoin_marks(strip_artifacts(text), semantics)))
 
 
@@ -110,26 +113,28 @@ def _letters(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit(f"[{letters}{P.BENGALI}]")) for letters in ("", "a-zA-Z")]
 
 
-def chunk_language(c: str | Column) -> Column:
+def chunk_language(c: str | Column, detector: Callable[[Column], Column] | None = None) -> Column:
+    """By the share of Bengali letters.  ``detector`` names the language of texts
+    that are neither Bengali nor mixed; without one they count as English."""
     def rule(text: Column, bengali: Column, letters: Column) -> Column:
         return (
             F.when((F.length(strip(text)) < 10) | (letters == 0), "unknown")
             .when(bengali / letters > 0.7, "bn")
             .when(bengali / letters > 0.3, "mixed")
-            .otherwise("en")
+            .otherwise("en" if detector is None else F.coalesce(detector(text), F.lit("en")))
         )
 
     return let([text_of(c)], lambda text: let([text, *_letters(text)], rule))
 
 
-def query_language(c: str | Column) -> Column:
+def query_language(c: str | Column, detector: Callable[[Column], Column] | None = None) -> Column:
     def rule(text: Column, lowered: Column, bengali: Column, letters: Column) -> Column:
         keyed = count_contained(lowered, P.QUERY_BENGALI) > count_contained(lowered, P.QUERY_ENGLISH)
         return (
             F.when((F.length(strip(text)) < 3) | (letters == 0), "en")
             .when((bengali / letters > 0.5) | keyed, "bn")
             .when(bengali / letters > 0.2, "mixed")
-            .otherwise("en")
+            .otherwise("en" if detector is None else F.coalesce(detector(text), F.lit("en")))
         )
 
     return let([text_of(c)], lambda text: let([text, F.lower(text), *_letters(text)], rule))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 
 NOT_FOUND = "No matching passage was found."
+FAILED = "The question could not be answered because of an error."
 PROMPT = "Answer briefly from the passage alone.\n\nPassage:\n{context}\n\nQuestion: {question}\nAnswer:"
 
 
@@ -88,21 +90,45 @@ def prompt(context: Column, question: Column) -> Column:
     return F.concat(F.lit(before), context, F.lit(between), question, F.lit(after))
 
 
+def generated(generator: Generator, questions: list[str], contexts: list[str], prompts: list[str]) -> list[str | None]:
+    """Answers of a batch.  If it fails, each prompt is tried by itself, twice;
+    None for one that fails alone."""
+    try:
+        return list(generator.generate(questions, contexts, prompts))
+    except Exception:  # whatever a plugged-in model raises
+        out: list[str | None] = []
+        for row in zip(questions, contexts, prompts, strict=True):
+            got = None
+            for _ in range(2):
+                try:
+                    got = generator.generate(*([x] for x in row))[0]
+                    break
+                except Exception:
+                    continue
+            out.append(got)
+        return out
+
+
 def answer(questions: DataFrame, generator: Generator, semantics: str = "intended") -> DataFrame:
     """questions (query_id, question, context, confidence, memory) with answers.
-    Without context the generator is not asked."""
+    Without context the generator is not asked; a prompt that it fails on gets
+    an error row, and the others their answers."""
 
     @F.pandas_udf("string")
     def run(question: pd.Series, context: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series(generator.generate(question.tolist(), context.tolist(), text.tolist()))
+        asked = (context.fillna("") != "").to_numpy()
+        out = np.full(len(context), None, object)
+        out[asked] = generated(generator, *(x[asked].tolist() for x in (question, context, text)))
+        return pd.Series(out, dtype=object)
 
     asked = questions.withColumn("prompt", prompt(F.concat("context", F.coalesce("memory", F.lit(""))), F.col("question")))
     none = F.col("context") == ""
+    failed = F.col("raw").isNull()
     return asked.withColumn("raw", run("question", "context", "prompt")).withColumns(
         {
-            "answer": F.when(none, NOT_FOUND).otherwise(postprocess_answer("raw", semantics)),
-            "model_used": F.when(none, "none").otherwise(generator.name),
-            "confidence": F.when(none, 0.0).otherwise(F.col("confidence")),
+            "answer": F.when(none, NOT_FOUND).when(failed, FAILED).otherwise(postprocess_answer("raw", semantics)),
+            "model_used": F.when(none, "none").when(failed, "error").otherwise(generator.name),
+            "confidence": F.when(none | failed, 0.0).otherwise(F.col("confidence")),
             "query_language": T.query_language("question"),
         }
     ).drop("raw")

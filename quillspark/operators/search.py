@@ -4,7 +4,8 @@ Exact search scores blocks of queries against Arrow batches of vectors by matrix
 product and keeps a running top k for each partition, so a partition ships k
 rows a query whatever its size; a window ranks what is left.  Queries travel in
 blocks of bounded size.  The approximate index assigns every vector to its
-nearest centroid and scores only the cells that a query probes.
+nearest centroid and reads and scores only the cells that some query probes; a
+store that is written by cell is pruned to them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import embedding
+
 QUERY_BLOCK = 4_096
 SAMPLE_ROWS = 50_000
 METRICS = ("cosine", "ip", "l2")
@@ -77,7 +80,7 @@ def topk(
             top = _Top(len(ids), k, threshold)
             probed = None
             if cells is not None:
-                order = np.argsort(-_scores("cosine", q, cells[0]), axis=1)[:, : cells[1]]
+                order = _probes(metric, q, *cells)
                 probed = [np.flatnonzero((order == c).any(axis=1)) for c in range(len(cells[0]))]
             for pdf in batches:
                 pdf = pdf[pdf[vector_col].notna()]
@@ -89,8 +92,10 @@ def topk(
             flat = [(int(ids[i]), d, -s) for i, best in enumerate(top.best) for s, d in best]
             yield pd.DataFrame(flat, columns=[query_col, id_col, "score"])
 
-        columns = [id_col, vector_col] + ["cell"] * (cells is not None)
-        return vectors.select(*columns).mapInPandas(run, f"{query_col} bigint, {id_col} bigint, score double")
+        columns, rows = [id_col, vector_col] + ["cell"] * (cells is not None), vectors
+        if cells is not None:
+            rows = rows.where(F.col("cell").isin(np.unique(_probes(metric, block[1], *cells)).tolist()))
+        return rows.select(*columns).mapInPandas(run, f"{query_col} bigint, {id_col} bigint, score double")
 
     rows = queries.where(F.col(vector_col).isNotNull()).select(query_col, vector_col).toLocalIterator()
     ids, vecs = [], []
@@ -114,23 +119,45 @@ def topk(
     return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def build_ivf(vectors: DataFrame, n_cells: int = 32, vector_col: str = "embedding", seed: int = 1) -> tuple[DataFrame, np.ndarray]:
-    """Vectors with their cell, and the centroids.  The centroids are fitted on
-    at most about ``SAMPLE_ROWS`` rows; every row is indexed."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _probes(metric: str, queries: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """The cells that each query probes, the nearest by the metric."""
+    return np.argsort(-_scores(metric, queries, centroids), axis=1, kind="stable")[:, :probes]
 
-    n = vectors.count()
-    sample = vectors.where(F.rand(seed) < min(1.0, SAMPLE_ROWS / max(1, n)))
-    fitted = KMeans(k=n_cells, seed=seed, maxIter=10).fit(sample.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")))
-    centroids = np.array(fitted.clusterCenters())
+
+def assign_cells(vectors: DataFrame, centroids: np.ndarray, metric: str = "cosine", vector_col: str = "embedding") -> DataFrame:
+    """Vectors with the cell of the nearest centroid, by angle for cosine and by
+    distance otherwise (by inner product one long centroid would take them all)."""
+    near = "cosine" if metric == "cosine" else "l2"
 
     @F.pandas_udf("int")
     def cell(v: pd.Series) -> pd.Series:
-        got = _scores("cosine", np.stack(v.to_numpy()).astype(np.float64), centroids)
-        return pd.Series(got.argmax(axis=1).astype(np.int32))
+        out = np.full(len(v), -1, np.int32)
+        some = v.notna().to_numpy()
+        if some.any():
+            out[some] = _scores(near, np.stack(v[some].to_numpy()).astype(np.float64), centroids).argmax(axis=1)
+        return pd.Series(out)
+
+    return vectors.withColumn("cell", cell(vector_col))
 
-    return vectors.withColumn("cell", cell(vector_col)), centroids
+
+def build_ivf(vectors: DataFrame, n_cells: int = 32, vector_col: str = "embedding", seed: int = 1, metric: str = "cosine") -> tuple[DataFrame, np.ndarray]:
+    """Vectors with their cell, and the centroids.  The centroids are fitted on
+    at most about ``SAMPLE_ROWS`` rows (as unit vectors for cosine); every row is
+    indexed.  Vectors without a value are in cell -1."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vector = F.col(vector_col).cast("array<double>")
+    if metric == "cosine":
+        vector = embedding.unit(vector)
+    known = vectors.where(F.col(vector_col).isNotNull())
+    n = known.count()
+    if not n:
+        return vectors.withColumn("cell", F.lit(-1)), np.zeros((1, 1))
+    sample = known.where(F.rand(seed) < min(1.0, SAMPLE_ROWS / n))
+    fitted = KMeans(k=n_cells, seed=seed, maxIter=10).fit(sample.select(array_to_vector(vector).alias("features")))
+    centroids = np.array(fitted.clusterCenters())
+    return assign_cells(vectors, centroids, metric, vector_col), centroids
 
 
 def recall(found: DataFrame, exact: DataFrame, on: tuple[str, ...] = ("query_id", "vec_id")) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,9 @@ class Config:
     max_chunks: int = 5
     threshold: float = 0.3
     memory_turns: int = 4
+    index_type: str = "flat"
+    cells: int = 32
+    probes: int = 4
 
     @classmethod
     def load(cls, path: str | None = None, prefix: str = "QUILL_") -> Config:
@@ -37,39 +41,90 @@ class Config:
         return replace(config, **{k: type(getattr(config, k))(v) for k, v in found.items()})
 
 
+#: Turns of this session that are held on the driver before they go to a table.
+HELD_TURNS = 1_000
+_TURNS = "conv_id bigint, turn bigint, role string, text string"
+_META = ("doc_id", "source_page", "language", "content_type", "word_count", "char_count")
+
+
 class Engine:
-    """Batch question answering.  State is tables: the vector store, and the
-    conversation's turns."""
+    """Batch question answering.  State is tables: the vector store, written when
+    it is built, and the conversation's turns."""
 
     def __init__(self, spark: SparkSession, config: Config | None = None, embedder=None, generator=None):
         self.spark, self.config = spark, config or Config()
+        if self.config.index_type not in ("flat", "ivf"):
+            raise ValueError(f"unknown index type {self.config.index_type!r}")
         self.embedder = embedder or embedding.HashingEmbedder()
         self.generator = generator or answering.ExtractiveGenerator()
         self.store: DataFrame | None = None
-        self.turns: DataFrame = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
-
-    def build(self, pages: DataFrame) -> DataFrame:
-        """Chunk, embed and index pages (doc_id, page_number, text)."""
+        self.centroids = None
+        self.asked, self.since = 0, time.time()
+        self._old = spark.createDataFrame([], _TURNS)
+        self._held: list[tuple] = []
+
+    @property
+    def turns(self) -> DataFrame:
+        return self._old.unionByName(self.spark.createDataFrame(self._held, _TURNS))
+
+    def build(self, pages: DataFrame, path: str | None = None) -> DataFrame:
+        """Chunk, embed and index pages (doc_id, page_number, text), and write the
+        store to ``path``, or to a folder of this session."""
         c = self.config
         chunks = chunking.chunk_pages(pages, c.strategy, c.chunk_size, c.min_chunk_size, c.semantics)
         embedded = embedding.encode(chunks.withColumn("text", F.col("content")), self.embedder, "text", "vector")
-        meta = ("doc_id", "source_page", "language", "content_type", "word_count", "char_count")
         rows = embedded.select(
             F.concat_ws("/", "doc_id", "chunk_id").alias("chunk_id"),
             "text",
-            F.create_map(*(x for k in meta for x in (F.lit(k), F.col(k).cast("string")))).alias("metadata"),
+            F.create_map(*(x for k in _META for x in (F.lit(k), F.col(k).cast("string")))).alias("metadata"),
             "vector",
         )
-        self.store = rows.withColumn("pos", F.monotonically_increasing_id())
+        return self._keep(stores.numbered(rows), path)
+
+    def build_from_bundle(self, bundle: DataFrame, path: str | None = None) -> DataFrame:
+        """Index embedded texts (text, vector, and where there are: chunk_id,
+        metadata).  Rows without an id are chunk_0, chunk_1, ... by their order."""
+        rows = stores.numbered(bundle)
+        given = F.col("chunk_id").cast("string") if "chunk_id" in bundle.columns else F.lit(None).cast("string")
+        metadata = F.col("metadata") if "metadata" in bundle.columns else F.create_map().cast("map<string,string>")
+        named = F.coalesce(given, F.concat(F.lit("chunk_"), "pos"))
+        return self._keep(rows.select(named.alias("chunk_id"), "text", metadata.alias("metadata"), F.col("vector").cast("array<float>").alias("vector"), "pos"), path)
+
+    def rebuild(self, pages: DataFrame) -> DataFrame:
+        """Build anew, beside the present store, which serves until then."""
+        return self.build(pages)
+
+    def _keep(self, rows: DataFrame, path: str | None) -> DataFrame:
+        path = path or stores.session_folder(self.spark, "store")
+        self.store, self.centroids, before = rows, None, (self.store, self.centroids)
+        try:
+            if self.config.index_type == "ivf":
+                self.store, self.centroids = search.build_ivf(rows, self.config.cells, "vector", metric=self.config.metric)
+            self.save(path)
+            self.load(path)
+        except Exception:
+            self.store, self.centroids = before
+            raise
         return self.store
 
     def save(self, path: str) -> None:
-        stores.save_store(self.store, path, metric=self.config.metric, index_type="flat", dimension=self.embedder.dimension, model=self.embedder.name)
+        by = None if self.centroids is None else "cell"
+        kind = "flat" if self.centroids is None else "ivf"
+        if self.centroids is not None:
+            stores.save_centroids(self.spark, self.centroids, path)
+        stores.save_store(self.store, path, by, metric=self.config.metric, index_type=kind, dimension=self.embedder.dimension, model=self.embedder.name)
 
     def load(self, path: str) -> bool:
-        self.store = stores.load_store(self.spark, path, metric=self.config.metric, dimension=self.embedder.dimension)
+        self.store = stores.load_store(self.spark, path, metric=self.config.metric, dimension=self.embedder.dimension, index_type=self.config.index_type)
+        by_cell = self.store is not None and "cell" in self.store.columns
+        self.centroids = stores.load_centroids(self.spark, path) if by_cell else None
         return self.store is not None
 
+    def clear(self) -> None:
+        """An empty store, in memory; files that were saved stay."""
+        if self.store is not None:
+            self.store = self.spark.createDataFrame([], self.store.schema)
+
     def ask_batch(self, questions: DataFrame, include_sources: bool = True, **overrides) -> DataFrame:
         """Answers of questions (query_id, question); settings can be overridden:
         max_chunks 1 to 20, threshold 0 to 1."""
@@ -81,7 +136,8 @@ class Engine:
         valid = questions.where(F.length("question").between(1, 1000))
         prefixed = valid.select("query_id", F.concat(F.lit("query: "), F.trim("question")).alias("q"))
         queries = embedding.encode(prefixed, self.embedder, "q", "vector", prefix=False)
-        hits = search.topk(self.store, queries, c.max_chunks, c.metric, c.threshold, "pos", "vector")
+        cells = None if self.centroids is None else (self.centroids, c.probes)
+        hits = search.topk(self.store, queries, c.max_chunks, c.metric, c.threshold, "pos", "vector", cells=cells)
         context = answering.retrieve_context(hits, self.store.select("pos", F.col("text").alias("content")), queries, "pos")
         recent = memory.recent_memory(self.turns, c.memory_turns).select(F.col("conv_id").alias("query_conv"), "memory")
         rows = valid.join(context, "query_id")
@@ -93,30 +149,39 @@ class Engine:
         return out if include_sources else out.drop("context")
 
     def ask(self, question: str, conv_id: int | None = None, **overrides) -> dict:
-        """One answer.  In a conversation the last turns join the prompt, and an
-        answer that was found joins the conversation."""
+        """One answer, with the time it took.  In a conversation the last turns
+        join the prompt, and an answer that was found joins the conversation."""
+        began = time.time()
         row = [(0, question, conv_id)]
         asked = self.spark.createDataFrame(row, "query_id bigint, question string, conv_id bigint")
         got = self.ask_batch(asked, **overrides).first()
         if got is None:
             raise ValueError("a question has 1 to 1000 characters")
-        if conv_id is not None and got["model_used"] != "none":
+        self.asked += 1
+        if conv_id is not None and got["model_used"] not in ("none", "error"):
             self.remember(conv_id, question, got["answer"])
-        return got.asDict()
+        now = time.time()
+        return got.asDict() | {"response_time_ms": int(1000 * (now - began)), "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S", time.localtime(now))}
 
     def remember(self, conv_id: int, question: str, answer: str) -> None:
-        last = self.turns.where(F.col("conv_id") == conv_id).agg(F.coalesce(F.max("turn"), F.lit(-1))).first()[0]
-        rows = [(conv_id, last + 1, "user", question), (conv_id, last + 2, "assistant", answer)]
-        self.turns = self.turns.unionByName(self.spark.createDataFrame(rows, self.turns.schema))
+        held = [turn for conv, turn, _, _ in self._held if conv == conv_id]
+        last = max(held) if held else self._old.where(F.col("conv_id") == conv_id).agg(F.coalesce(F.max("turn"), F.lit(-1))).first()[0]
+        self._held += [(conv_id, last + 1, "user", question), (conv_id, last + 2, "assistant", answer)]
+        if len(self._held) >= HELD_TURNS:
+            self._old, self._held = stores.written(self.turns, stores.session_folder(self.spark, "turns")), []
 
     def history(self) -> DataFrame:
         return memory.history_pairs(self.turns)
 
     def clear_memory(self) -> None:
-        self.turns = memory.clear_memory(self.turns)
+        self._old, self._held, self.asked = memory.clear_memory(self._old), [], 0
 
     def stats(self) -> dict:
-        return search.store_statistics(self.store, metric=self.config.metric).first().asDict() if self.store is not None else {"total_vectors": 0}
+        """The store's figures, the conversations' and the session's."""
+        kind = "flat" if self.centroids is None else "ivf"
+        found = {"total_vectors": 0} if self.store is None else search.store_statistics(self.store, kind, self.config.metric).first().asDict()
+        state = "not_available" if self.store is None else "ready"
+        return found | {"status": state, "conversation_count": max(self.asked, self.history().count()), "uptime_seconds": time.time() - self.since}
 
     def health(self) -> dict:
         """Of the store, the embedder and the generator, without touching memory."""
@@ -131,8 +196,13 @@ class Engine:
         return {"status": status, **parts}
 
     def evaluate(self, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows and summary for test cases (id, question, answer)."""
-        numbered = cases.select("id", "question", F.col("answer").alias("truth"), F.xxhash64("id", "question").alias("query_id"))
-        asked = self.ask_batch(numbered.select("query_id", "question")).select("query_id", "answer", "context")
-        rows = evaluation.evaluate(numbered.join(asked, "query_id"), embedder=self.embedder)
+        """Rows and summary for test cases (id, question, answer).  A case without
+        an id is test_1, test_2, ... by its place; one without question or answer
+        is left out."""
+        given = F.col("id").cast("string") if "id" in cases.columns else F.lit(None).cast("string")
+        placed = stores.numbered(cases.select(given.alias("id"), "question", F.col("answer").alias("truth")), "query_id")
+        placed = placed.withColumn("id", F.coalesce("id", F.concat(F.lit("test_"), F.col("query_id") + 1)))
+        placed = placed.where("question IS NOT NULL AND truth IS NOT NULL")
+        asked = self.ask_batch(placed.select("query_id", "question")).select("query_id", "answer", "context")
+        rows = evaluation.evaluate(placed.join(asked, "query_id"), embedder=self.embedder)
         return rows, evaluation.summary(rows)

@@ -15,29 +15,58 @@ from ..schemas import PAGE
 _PAGE_DDL = "path string, page_number int, text string, extraction_method string"
 
 
-def _read_pdf(data: bytes) -> list[tuple[int, str, str]]:
-    """Pages with text, by the layout reader and else the plain one.  Either
-    library is optional; without both, reading a PDF is an error."""
-    try:
-        import pdfplumber
+def _layout_pages(data: bytes) -> list[tuple[int, str, str]]:
+    import pdfplumber
 
-        with pdfplumber.open(io.BytesIO(data)) as pdf:
-            got = [(i + 1, p.extract_text(x_tolerance=3, y_tolerance=3, layout=True) or "", "pdfplumber") for i, p in enumerate(pdf.pages)]
-    except ImportError:
-        from pypdf import PdfReader
+    with pdfplumber.open(io.BytesIO(data)) as pdf:
+        return [(i + 1, p.extract_text(x_tolerance=3, y_tolerance=3, layout=True) or "", "pdfplumber") for i, p in enumerate(pdf.pages)]
 
-        got = [(i + 1, p.extract_text() or "", "pypdf2") for i, p in enumerate(PdfReader(io.BytesIO(data)).pages)]
-    return [p for p in got if p[1].strip()]
 
+def _plain_pages(data: bytes) -> list[tuple[int, str, str]]:
+    from pypdf import PdfReader
 
-def read_pdf_pages(spark: SparkSession, path: str, reader: Callable[[bytes], list[tuple[int, str, str]]] = _read_pdf) -> DataFrame:
+    return [(i + 1, p.extract_text() or "", "pypdf2") for i, p in enumerate(PdfReader(io.BytesIO(data)).pages)]
+
+
+def first_that_reads(data: bytes, readers: tuple[Callable[[bytes], list[tuple[int, str, str]]], ...]) -> list[tuple[int, str, str]]:
+    """Pages with text, by the first reader that doesn't fail, whatever the
+    others raise; an error if all do."""
+    for i, reader in enumerate(readers):
+        try:
+            return [p for p in reader(data) if p[1].strip()]
+        except Exception:  # a broken file, or a library that isn't there
+            if i == len(readers) - 1:
+                raise
+    return []
+
+
+READERS = (_layout_pages, _plain_pages)
+
+
+def read_pdf_pages(
+    spark: SparkSession,
+    path: str,
+    readers: tuple[Callable[[bytes], list[tuple[int, str, str]]], ...] | Callable[[bytes], list[tuple[int, str, str]]] = READERS,
+    scanner: Callable[[bytes, int], str] | None = None,
+    least: int = 50,
+) -> DataFrame:
     """path, page_number, text, extraction_method of every PDF under ``path``.
-    A file is read whole by one task, so its size is bounded by a task's memory."""
+    Pages of under ``least`` characters are given to ``scanner`` (the file, the
+    page number), whose text is taken if it is longer.  A file is read whole by
+    one task, so its size is bounded by a task's memory."""
+    readers = readers if isinstance(readers, tuple) else (readers,)
+
+    def scanned(data: bytes, page: tuple[int, str, str]) -> tuple[int, str, str]:
+        if scanner is None or len(page[1].strip()) >= least:
+            return page
+        found = scanner(data, page[0]) or ""
+        return (page[0], found, "ocr_fallback") if len(found.strip()) > len(page[1].strip()) else page
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path_, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(path_, *p) for p in reader(bytes(content))]
+                data = bytes(content)
+                rows = [(path_, *scanned(data, p)) for p in first_that_reads(data, readers)]
                 yield pd.DataFrame(rows, columns=["path", "page_number", "text", "extraction_method"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)

@@ -3,14 +3,62 @@ table of settings beside them."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 import warnings
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = ("dimension", "index_type", "metric", "model")
 
 
+def session_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share, under ``spark.checkpoint.dir``.
+    Only a local session may do without that setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="quillspark-")
+    return f"{found.rstrip('/')}/quillspark/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table: computed once, whatever reads it."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, column: str = "pos") -> DataFrame:
+    """Rows numbered 0, 1, 2, ... in their order.  They are written first, so the
+    numbers stay; what reaches the driver is a count for each partition."""
+    low = (1 << 33) - 1
+    rows = written(df.withColumn("_at", F.monotonically_increasing_id()), session_folder(df.sparkSession, "numbered"))
+    counts = sorted((r["part"], r["n"]) for r in rows.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    bases = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_part bigint, _base bigint")
+    joined = rows.join(F.broadcast(bases), F.shiftright("_at", 33) == F.col("_part"))  # a row a partition
+    return joined.withColumn(column, F.col("_base") + F.col("_at").bitwiseAND(F.lit(low))).drop("_at", "_part", "_base")
+
+
+def save_centroids(spark: SparkSession, centroids: np.ndarray, path: str) -> None:
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
+    spark.createDataFrame(rows, "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
+    """The centroids of a store's cells, or None for a store without cells."""
+    try:
+        rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+    except AnalysisException:
+        return None
+    return np.array([r["centroid"] for r in rows])
+
+
 def save_store(store: DataFrame, path: str, partition_by: str | None = None, **settings) -> None:
     """``partition_by="cell"`` lets a search read only the cells it probes."""
     unknown = set(settings) - set(SETTINGS)

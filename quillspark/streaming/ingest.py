@@ -1,11 +1,14 @@
 """Streaming ingest (an extension): pages arrive, chunks are appended.
 
 Chunking is per row, so the stream needs no state; duplicates within a document
-are dropped in each micro-batch and against what is stored.
+are dropped in each micro-batch and against what is stored.  The store is
+divided by a hash of the document, so a batch reads the keys of its documents'
+divisions only.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..operators.chunking import chunk_pages
 
+DIVISIONS = 64
+
 
 def ingest_pages(pages: DataFrame, store: str, checkpoint: str, strategy: str = "sentences") -> StreamingQuery:
     """Start a query that chunks a stream of (doc_id, page_number, text) into the
@@ -20,13 +25,17 @@ def ingest_pages(pages: DataFrame, store: str, checkpoint: str, strategy: str =
     its own files, as they are written under its number."""
 
     def write(batch: DataFrame, number: int) -> None:
-        chunks = chunk_pages(batch, strategy).withColumn("content_key", F.md5(T.strip(F.lower("content"))))
+        division = F.pmod(F.xxhash64("doc_id"), F.lit(DIVISIONS)).cast("int")
+        chunks = chunk_pages(batch, strategy).withColumn("content_key", F.md5(T.strip(F.lower("content")))).withColumn("division", division)
         try:
-            old = batch.sparkSession.read.parquet(store).where(F.col("batch") != number).select("doc_id", "content_key")
-            chunks = chunks.join(old, ["doc_id", "content_key"], "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            old = batch.sparkSession.read.parquet(store)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        chunks.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        else:
+            own = [r[0] for r in batch.select(division.alias("division")).distinct().collect()]  # at most DIVISIONS
+            old = old.where((F.col("batch") != number) & F.col("division").isin(own)).select("doc_id", "content_key")
+            chunks = chunks.join(old, ["doc_id", "content_key"], "left_anti")
+        chunks.write.mode("overwrite").partitionBy("division").parquet(f"{store}/batch={number}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """The engine end to end, memory, sources and the stream."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import memory
 from quillspark.plans.engine import Config, Engine
@@ -65,7 +66,7 @@ def test_memory(engine):
 def test_save_and_load(spark, engine, tmp_path):
     engine.save(str(tmp_path / "s"))
     other = Engine(spark)
-    assert not other.load(str(tmp_path / "none")) and other.stats() == {"total_vectors": 0}
+    assert not other.load(str(tmp_path / "none")) and other.stats()["total_vectors"] == 0
     assert other.load(str(tmp_path / "s")) and other.stats()["total_vectors"] == engine.stats()["total_vectors"] > 0
 
 
@@ -89,6 +90,126 @@ def test_similarity_is_the_cosine_of_an_embedder(spark, engine):
     assert abs(r["semantic_similarity"] - a @ b) < 1e-6
 
 
+class Failing:
+    """Fails on batches, and always on one question."""
+
+    name = "failing"
+
+    def generate(self, questions, contexts, prompts):
+        if len(questions) > 1 or "foxes" in questions[0]:
+            raise RuntimeError("out of memory")
+        return ["an answer"]
+
+
+def test_a_failing_prompt_is_one_error_row(spark, engine):
+    other = Engine(spark, engine.config, generator=Failing())
+    other.store = engine.store
+    asked = spark.createDataFrame([(1, "where is the river"), (2, "what of the foxes"), (3, "when is night")], "query_id bigint, question string").coalesce(1)
+    got = {r["query_id"]: (r["answer"], r["model_used"], r["confidence"] > 0) for r in other.ask_batch(asked).collect()}
+    assert got[1] == got[3] == ("an answer", "failing", True) and got[2][1:] == ("error", False)
+    assert other.ask("what of the foxes", conv_id=3)["model_used"] == "error" and other.history().count() == 0
+
+
+def test_the_store_is_written_once(spark, engine, tmp_path):
+    """Numbers stay with their chunks, whatever is read; the store can be built
+    anew, from a bundle, and cleared."""
+    plan = engine.store._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Generate" not in plan
+    assert sorted(r["pos"] for r in engine.store.select("pos").collect()) == list(range(engine.store.count()))
+    other = Engine(spark, engine.config)
+    bundle = spark.createDataFrame([("one", [1.0] * 64, None), ("two", [2.0] * 64, "own"), ("three", [0.5] * 64, None)], "text string, vector array<double>, chunk_id string").repartition(3)
+    rows = other.build_from_bundle(bundle, str(tmp_path / "b")).collect()
+    assert {r["chunk_id"] for r in rows} - {f"chunk_{r['pos']}" for r in rows} == {"own"} and len(rows) == 3
+    assert Engine(spark, engine.config).load(str(tmp_path / "b"))
+    assert other.build_from_bundle(bundle.select("text", "vector")).where("chunk_id = concat('chunk_', pos)").count() == 3
+    other.rebuild(spark.createDataFrame([(7, 1, TEXT)], PAGES))
+    assert {r["metadata"]["doc_id"] for r in other.store.collect()} == {"7"}
+    other.clear()
+    assert other.stats()["total_vectors"] == 0 and other.ask("river?")["model_used"] == "none"
+
+
+def test_an_engine_with_cells(spark, engine, tmp_path):
+    pages = spark.createDataFrame([(i, 1, f"Topic {i} of the {w} is told here at some length for all. " * 5) for i, w in enumerate(["river", "forest", "desert", "city"] * 5)], PAGES)
+    e = Engine(spark, Config(strategy="sentences", threshold=0.0, index_type="ivf", cells=4, probes=4))
+    e.build(pages, str(tmp_path / "s"))
+    flat = Engine(spark, Config(strategy="sentences", threshold=0.0))
+    flat.build(pages)
+    assert e.ask("where is the desert")["context"] == flat.ask("where is the desert")["context"]
+    other = Engine(spark, e.config)
+    assert other.load(str(tmp_path / "s")) and other.centroids is not None and other.stats()["index_type"] == "ivf"
+    assert other.ask("where is the desert")["context"] == flat.ask("where is the desert")["context"]
+    with pytest.raises(ValueError):
+        Engine(spark, Config(index_type="graph"))
+
+
+def test_session_figures(spark, engine, monkeypatch):
+    from quillspark.plans import engine as engines
+
+    other = Engine(spark, engine.config)
+    other.store = engine.store
+    got = other.ask("where does the river carry water?")
+    assert got["response_time_ms"] > 0 and "T" in got["timestamp"]
+    stats = other.stats()
+    assert stats["status"] == "ready" and stats["conversation_count"] == 1 and stats["uptime_seconds"] > 0
+    monkeypatch.setattr(engines, "HELD_TURNS", 4)
+    for i in range(5):
+        other.remember(1, f"q{i}", f"a{i}")
+    assert [r["answer"] for r in other.history().orderBy("pair").collect()] == [f"a{i}" for i in range(5)]
+    assert len(other._held) == 2
+    other.clear_memory()
+    assert other.history().count() == 0 and other.stats()["conversation_count"] == 0
+
+
+def test_cases_without_id_or_answer(spark, engine):
+    cases = spark.createDataFrame([(None, "where does the river go", "to the sea"), ("x", None, "a"), ("y", "q", None), (None, "what ran", "foxes")], "id string, question string, answer string").coalesce(1)
+    rows, summary = engine.evaluate(cases)
+    assert {r["id"] for r in rows.collect()} == {"test_1", "test_4"} and summary.first()["total_questions"] == 2
+    assert engine.evaluate(cases.drop("id"))[0].count() == 2
+
+
+def test_hooks(spark):
+    from quillspark.functions import text as T
+
+    df = spark.createDataFrame([("Rivers carry water to the sea.",), ("Ã© broken letters",)], "t string")
+    upper = lambda c: F.when(c.contains("Rivers"), "fr")
+    assert [r[0] for r in df.select(T.chunk_language("t", upper)).collect()] == ["fr", "en"]
+    assert df.select(T.query_language("t", upper)).first()[0] == "fr"
+    repaired = df.select(T.normalize("t", repair=lambda c: F.replace(c, F.lit("Ã©"), F.lit("é")))).collect()
+    assert repaired[1][0] == "é broken letters"
+
+
+def test_a_broken_pdf_goes_to_the_next_reader(spark, tmp_path):
+    def layout(data):
+        if data.startswith(b"broken"):
+            raise OSError("bad cross-reference table")
+        return [(1, "a page of the layout reader that is long enough to stay", "pdfplumber"), (2, "short", "pdfplumber"), (3, " ", "pdfplumber")]
+
+    (tmp_path / "a.pdf").write_bytes(b"good")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+    plain = lambda data: [(1, "plain text of the page, which is long enough to stay so", "pypdf2")]
+    scanner = lambda data, page: f"scanned text of page {page}, longer than it was"
+    got = files.read_pdf_pages(spark, str(tmp_path), (layout, plain), scanner).collect()
+    assert sorted((r["path"][-5], r["page_number"], r["extraction_method"]) for r in got) == [("a", 1, "pdfplumber"), ("a", 2, "ocr_fallback"), ("b", 1, "pypdf2")]
+    with pytest.raises(OSError):
+        files.first_that_reads(b"broken", (layout,))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_pdf_pages(spark, str(tmp_path / "none"))
+
+
+def test_sinks(spark, engine, tmp_path):
+    from quillspark.operators import chunking
+
+    chunks = chunking.chunk_pages(spark.createDataFrame([(1, 1, TEXT)], PAGES), "sentences")
+    files.write_chunks_markdown(chunks, str(tmp_path / "md"))
+    assert spark.read.text(str(tmp_path / "md"), wholetext=True).first()[0].startswith("## page_1_sent_0 (")
+    files.write_pages_text(spark.createDataFrame([("one",)], "text string"), str(tmp_path / "txt"))
+    assert spark.read.text(str(tmp_path / "txt")).first()[0] == "one"
+    cases = spark.createDataFrame([("c1", "where does the river go", "to the sea")], "id string, question string, answer string")
+    files.write_evaluation(*engine.evaluate(cases), str(tmp_path / "ev"))
+    assert spark.read.json(str(tmp_path / "ev/detailed_results")).count() == 1
+    assert "evaluated_at" in spark.read.json(str(tmp_path / "ev/summary")).columns
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("one\ftwo")

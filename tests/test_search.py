@@ -83,6 +83,36 @@ def test_probing_every_cell_is_exact(spark, data):
     assert 0 < search.recall(search.topk(indexed, queries, 4, cells=(centroids, 2)), exact).first()["recall"] <= 1
 
 
+def clustered(rng, n, d=16, groups=40):
+    centres = rng.normal(size=(groups, d)) * 3
+    return (centres[rng.integers(0, groups, n)] + rng.normal(size=(n, d)) * 0.5).astype(np.float32)
+
+
+@pytest.mark.parametrize("metric", search.METRICS)
+def test_a_few_cells_find_most_neighbours(spark, tmp_path, metric):
+    """5 of 32 cells, read from a store by cell; only those are read."""
+    df = frame(spark, clustered(np.random.default_rng(4), 3000))
+    indexed, centroids = search.build_ivf(df, 32, metric=metric)
+    indexed.write.partitionBy("cell").parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    queries = df.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding")
+    exact, found = search.topk(df, queries, 10, metric), search.topk(stored, queries, 10, metric, cells=(centroids, 5))
+    assert search.recall(found, exact).first()["recall"] >= 0.9
+    one = search.topk(stored, queries.where("query_id = 50"), 10, metric, cells=(centroids, 5))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell#", "cell#") or "cell#" in plan.split("PartitionFilters:")[1][:80]
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, found.where("query_id = 50").collect()))
+
+
+def test_cells_of_nothing_and_of_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0])], VECTOR)
+    indexed, centroids = search.build_ivf(df, 2)
+    assert {r["vec_id"]: r["cell"] >= 0 for r in indexed.collect()} == {1: False, 2: True, 3: True, 4: True}
+    queries = df.where("vec_id = 2").selectExpr("vec_id AS query_id", "embedding")
+    assert [r["vec_id"] for r in search.topk(indexed, queries, 1, cells=(centroids, 1)).collect()] == [2]
+    assert search.build_ivf(df.limit(0), 2)[0].count() == 0
+
+
 STORE = "pos bigint, chunk_id string, text string, metadata map<string,string>, vector array<float>"
 
 
