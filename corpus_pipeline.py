@@ -8,9 +8,9 @@ last return the columns of ``documents``; the last returns the packed pieces.
 Defined results at the edges: a document without text has no toxic words and is
 kept, its text becomes the empty text in line dedup, is nobody's duplicate and
 packs as a separator alone; rows that repeat a doc_id stay or go together; a row
-without doc_id isn't dropped as a duplicate or for a passage, as there is no id
-to drop it by; an empty table gives an empty result; further columns of the
-input are dropped.
+without doc_id is a document of its own, which goes as a duplicate of any row
+with an id, and for a passage; an empty table gives an empty result; further
+columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -26,10 +26,23 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but those with one of ``ids`` (column doc_id)."""
-    dropped = materialize(ids.select("doc_id").distinct(), "dropped-ids")
-    return join_bounded(docs, dropped, "doc_id", "left_anti", MAX_BROADCAST_IDS).select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``row_key`` to drop rows by: the id, and for rows without
+    one a number of their own, above all ids.  These are written, as the numbers
+    must stay; where there are none, the scan finds that from statistics."""
+    docs = docs.select(*COLUMNS)
+    lone = docs.where("doc_id IS NULL")
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("row_key", F.col("doc_id"))
+    if lone.isEmpty():
+        return keyed
+    number = F.lit(2**63 - 1) - F.monotonically_increasing_id()
+    return keyed.unionByName(materialize(lone.withColumn("row_key", number), "rows-without-id"))
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``keyed`` but the rows whose key is in ``dropped`` (column doc_id)."""
+    dropped = materialize(dropped.select(F.col("doc_id").alias("row_key")).distinct(), "dropped-rows")
+    return join_bounded(keyed, dropped, "row_key", "left_anti", MAX_BROADCAST_IDS).select(*COLUMNS)
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +62,15 @@ def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at a similarity of 0.8 or more."""
-    found = neardup.near_duplicates(docs, percent=80)
-    return _without(docs, found.where("NOT kept"))
+    keyed = _keyed(docs)
+    found = neardup.near_duplicates(keyed, percent=80, id_col="row_key")
+    return _without(keyed, found.where("NOT kept"))
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return _without(docs, decontaminate.match_items(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    return _without(keyed, decontaminate.match_items(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key"))
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

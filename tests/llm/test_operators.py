@@ -75,6 +75,7 @@ APPLIED = {
     "edits": lambda s, d: decontaminate.match_items(d, s.createDataFrame([(1, "one", "x")], "item_id bigint, text string, doc_id string")),
     "neardup": lambda s, d: neardup.near_duplicates(d),
     "sharding": lambda s, d: sharding.shard(d, 4).select("doc_id", "size", "text_crc32"),
+    "packing": lambda s, d: packing.pack(d, __import__("public_tokenizers").path("word_bpe_49k.json"), 256).select("doc_id", "piece", "start", "length", "ids_crc32"),
 }
 
 
@@ -433,6 +434,60 @@ def test_without_labels_nothing_is_toxic(spark):
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, none, F.lit(True))).collect()} == {0.0}
 
 
+def test_ftrl_against_a_plain_one():
+    """Weights and scores, coordinate by coordinate, with loops and dicts."""
+    import math
+
+    rows, labels = toxic_rows(60, 9)
+    texts, bits, bias = [t.encode() for _, t in rows], 12, 1 << 12
+    of, at = toxicity.features(texts, bits)
+    own = [sorted(set(at[of == i].tolist())) + [bias] for i in range(len(texts))]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for features, (_, y) in zip(own, labels, strict=True):
+            w = {i: weight(i) for i in features}
+            g = 1 / (1 + math.exp(-max(-40, min(40, sum(w.values()))))) - y
+            for i in features:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in list(n) if weight(i)}
+    index, found = toxicity.train(texts, [y for _, y in labels], bits)
+    assert dict(zip(index.tolist(), found.tolist(), strict=True)) == pytest.approx(want, rel=1e-9)
+
+
+def test_features_against_words():
+    """Words, stems, pairs and pairs with one word left out, as sets."""
+    def plain(text):
+        own = brute.words(brute.lower(text.translate(str.maketrans(".,;:!?\"'()[]{}", " " * 14))))
+        return {*own, *(("stem", k, w[:k]) for w in own for k in toxicity.STEMS), *zip(own, own[1:], strict=False), *((a, None, b) for a, b in zip(own, own[2:], strict=False))}
+
+    texts = ["One two, THREE two one", "two three", "", "a b a b a b", "stemming stemmed. stem", "x"]
+    of, at = toxicity.features([t.encode() for t in texts], 40)
+    for i, text in enumerate(texts):
+        assert len(set(at[of == i].tolist())) == len(plain(text))
+    both = [len(set(at[of == 0].tolist()) & set(at[of == 1].tolist())), len(plain(texts[0]) & plain(texts[1]))]
+    assert both[0] == both[1] > 0
+
+
+def test_toxicity_of_repeats_long_and_no_documents(spark):
+    rows, labels = toxic_rows(200)
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, marks, F.lit(True))
+    long = (rows[0][1] + " ") * 3000
+    out = got(toxicity.score(frame(spark, [rows[0], rows[0], (9000, long)]), model), "doc_id", "score")
+    assert len(out) == 3 and out[0] == out[1] and 0 <= out[2][1] <= 1
+    assert toxicity.score(frame(spark, EMPTY), model).count() == 0
+    none = toxicity.fit(frame(spark, EMPTY), marks, F.lit(True))
+    assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
 def test_ftrl_learns_one_coordinate():
     model = toxicity.Ftrl(10, l1=0.5)
     for i in range(200):
@@ -764,6 +819,26 @@ def test_sharding(spark):
     assert all(len(s) == 1 for (crc, _), s in where.items() if crc not in hot)
 
 
+def test_splitters_against_plain_ones():
+    """Boundaries after each quota of weight, key by key."""
+    rng = random.Random(28)
+    for _ in range(50):
+        keys = [(rng.randrange(30) << 24) + rng.randrange(1 << 24) for _ in range(rng.randint(1, 80))]
+        weights = [rng.randint(1, 9) for _ in keys]
+        quota, want, filled, next_ = 12.0, set(), 0, 12.0
+        rows = sorted(zip(keys, weights, strict=True))
+        total, group = sum(weights), Counter()
+        for k, w in rows:
+            group[k >> 24] += w
+        for k, w in rows:
+            filled += w
+            while next_ <= filled and next_ < total:
+                want.add(k if group[k >> 24] > 2 * quota else k >> 24 << 24)
+                next_ += quota
+        order = np.array([k for k, _ in rows], np.int64), np.array([w for _, w in rows], np.float64)
+        assert sharding.splitters(*order, quota, 2).tolist() == sorted(want)
+
+
 def test_sharding_of_little(spark):
     assert sharding.shard(frame(spark, EMPTY)).count() == 0
     assert got(sharding.shard(frame(spark, [(1, None)])), "size", "text_crc32", "slot") == [(16, 0, 0)]

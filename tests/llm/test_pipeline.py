@@ -6,9 +6,11 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import catalog, decontaminate, toxicity
+from quillspark.llm.common import materialize
 
 from . import brute
 from .test_operators import DOCS, frame, toxic_rows
@@ -80,6 +82,26 @@ def test_a_text_of_many_copies_stays_once(spark):
     assert {d: t for d, t in left.items() if d < 100} == {0: rows[0][1]} and left[100] == rows[12][1]
 
 
+def test_rows_without_id_repeats_and_extra_columns(spark, tmp_path):
+    """A row without an id goes for a passage, and as a copy; repeated rows stay
+    or go together; further columns change nothing."""
+    story, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "st")
+    item = " ".join(f"item{k}" for k in range(25))
+    rows = [(None, f"x {item} y"), (None, story), (None, story), (5, story), (6, story + " end"), (7, other), (7, other), (None, "alone " * 9), (8, f"z {item}"), (None, None), (None, "")]
+    docs = frame(spark, rows).select("*", *(F.lit("clash").alias(c) for c in ("row_key", "node", "band", "component", "sketch", "unit", "item_id")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = materialize(stage(spark, docs, str(tmp_path)), "test")
+        docs = left
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+    kept = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+    assert kept == sorted([(5, story), (7, other), (7, other), (None, "alone " * 9), (None, ""), (None, "")], key=repr)
+    assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == 6
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id bigint, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
