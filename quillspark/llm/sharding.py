@@ -7,9 +7,11 @@ range-partitioned by them, each range is measured exactly, and ranges that came
 out overfull are sampled again and subdivided.  The measured ranges are then
 dealt to the shards, largest first, always to the emptiest shard.
 
-What reaches the driver is bounded by parameters: the sample (expected
-``n_shards * ranges_per_shard * sample_per_range`` keys a round) and one row
-per range.  A group of equal texts stays in one shard unless it is larger than
+Ranges follow the rows: at least ``ranges_per_shard``, and more where a range
+would have over ``ROWS_PER_RANGE`` rows on average, so a task that ranks the
+slots of a range has about so many at any size.  What reaches the driver is the
+sample (``sample_per_range`` keys expected a range and round) and one row per
+range, that is some 20 keys for a million rows.  A group of equal texts stays in one shard unless it is larger than
 ``group_ranges`` range quotas; larger groups are divided like anything else, so
 a hot text never overfills a shard or a task.
 
@@ -33,6 +35,7 @@ N_SHARDS = 40
 RANGES_PER_SHARD = 64
 SAMPLE_PER_RANGE = 16
 GROUP_RANGES = 16
+ROWS_PER_RANGE = 1_000_000
 ROUNDS = 4
 _LOW = (1 << 24) - 1
 
@@ -101,8 +104,9 @@ def shard(
         ),
         "shard-keys",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    n_ranges = n_shards * ranges_per_shard
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    more = max(1, -(-n // (n_shards * ranges_per_shard * ROWS_PER_RANGE)))
+    n_ranges, group_ranges = n_shards * ranges_per_shard * more, group_ranges * more
     quota = max(1.0, total / n_ranges)
     bounds = np.empty(0, np.int64)
     per_byte = sample_per_range / quota

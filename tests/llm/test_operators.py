@@ -839,6 +839,16 @@ def test_splitters_against_plain_ones():
         assert sharding.splitters(*order, quota, 2).tolist() == sorted(want)
 
 
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 20)
+    rng = random.Random(29)
+    docs = frame(spark, [(d, prose(rng, 3)) for d in range(2000)])
+    out = sharding.shard(docs, 2, ranges_per_shard=4)
+    assert sorted(r["slot"] for r in out.where("shard = 0").collect()) == list(range(out.where("shard = 0").count()))
+    sizes = {r["shard"]: r["s"] for r in out.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    assert out.count() == 2000 and max(sizes.values()) < 1.05 * min(sizes.values())
+
+
 def test_sharding_of_little(spark):
     assert sharding.shard(frame(spark, EMPTY)).count() == 0
     assert got(sharding.shard(frame(spark, [(1, None)])), "size", "text_crc32", "slot") == [(16, 0, 0)]
