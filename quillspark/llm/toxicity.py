@@ -7,8 +7,9 @@ term keeps most weights at zero, so the model that is broadcast is a short list
 of (index, weight), at most ``2 ** BITS`` long.
 
 Fitting uses a bounded sample of labelled rows: at most about ``SAMPLE_ROWS``,
-chosen by a hash of the id, divided into groups of about ``SHARD_ROWS``, each
-trained in a task of its own; the groups' weights are averaged.  Scoring covers every whole
+chosen by a hash of the id, divided into groups of about ``SHARD_ROWS``, or of
+fewer where those would have over ``SHARD_BYTES`` of text, each trained in a
+task of its own; the groups' weights are averaged.  Scoring covers every whole
 text.
 
 Edge cases: null and empty texts have no features and get the score of the bias
@@ -34,6 +35,7 @@ from .common import hashed_words, in_parts, inside, map_batches, ngrams, slices,
 BITS = 20
 SAMPLE_ROWS = 20_000
 SHARD_ROWS = 2_500
+SHARD_BYTES = 64 << 20
 STEMS = (4, 5)
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
@@ -121,7 +123,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, limit: int
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     rows, n = training_rows(docs, labels, usable, limit, id_col, text_col)
-    shards = max(1, round(n / SHARD_ROWS))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, round(n / SHARD_ROWS), -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64(F.lit("shard"), "labelled_id"), F.lit(shards)).cast("int")
 
     def train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
