@@ -216,14 +216,14 @@ def chunk_pages(
 
     An unknown strategy is the mixed one: paragraphs where the document has
     multiple-choice questions or the page says so, sentences elsewhere."""
-    rows = pages.where(T.text_of("text") != "").select("doc_id", "page_number", T.clean_text("text").alias("text"), F.col("text").alias("raw"))
+    rows = pages.where(T.text_of("text") != "").select("doc_id", "page_number", T.clean_text("text").alias("text"), F.col("text").rlike(P.FLAGS["has_mcq"]).alias("flag"))
     text, page = F.col("text"), F.col("page_number")
     if strategy == "structure":
         made = structure_chunks(text, page, size, min_size, semantics=semantics)
     elif strategy in STRATEGIES:
         made = STRATEGIES[strategy](text, page, size, min_size)
     else:
-        flagged = F.max(F.col("raw").rlike(P.FLAGS["has_mcq"])).over(Window.partitionBy("doc_id"))
+        flagged = F.max("flag").over(Window.partitionBy("doc_id"))
         rows = rows.withColumn("mcq", flagged | F.contains(F.lower(text), F.lit("mcq")))
         made = F.when(F.col("mcq"), paragraph_chunks(text, page, size, min_size)).otherwise(sentence_chunks(text, page, size, min_size))
     exploded = rows.select("doc_id", "page_number", F.posexplode(made).alias("seq", "c"))
