@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -52,6 +52,25 @@ class HashingEmbedder:
         return out / np.where(norms == 0, 1, norms)
 
 
+_loaded: dict[str, Embedder] = {}
+
+
+class LazyEmbedder:
+    """An embedder whose model is loaded by ``factory`` in each worker, once, when
+    it first encodes; only the factory travels.  ``name`` tells models apart."""
+
+    def __init__(self, factory: Callable[[], Embedder], name: str, dimension: int):
+        self.factory, self.name, self.dimension = factory, name, dimension
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        if self.name not in _loaded:
+            _loaded[self.name] = self.factory()
+        got = np.asarray(_loaded[self.name].encode(texts))
+        if got.shape != (len(texts), self.dimension):
+            raise ValueError(f"{self.name} gave {got.shape}, not {(len(texts), self.dimension)}")
+        return got
+
+
 def encode(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding", prefix: bool = True) -> DataFrame:
     """Adds the embedding of each text; empty texts get the zero vector."""
 
@@ -71,13 +90,23 @@ def cache_misses(texts: DataFrame, cache: DataFrame, model: str, text_col: str =
     return keyed.join(cache.where(F.col("model") == model).select("cache_key"), "cache_key", "left_anti")
 
 
+def with_cached(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows with their key and, where the cache has one, their vector."""
+    keyed = df.withColumn("cache_key", T.cache_key(text_col))
+    of_model = cache.where(F.col("model") == embedder.name).select("cache_key", "vector")
+    return keyed.join(of_model, "cache_key", "left")
+
+
 def encode_cached(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Embedded rows and the grown cache: only missing texts are encoded, once."""
+    grown = cache.unionByName(encode_missing(df, embedder, cache, text_col))
+    return with_cached(df, embedder, grown, text_col), grown
+
+
+def encode_missing(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text") -> DataFrame:
+    """Cache rows of the distinct texts that the cache lacks."""
     missing = encode(cache_misses(df, cache, embedder.name, text_col), embedder, text_col, "vector")
-    grown = cache.unionByName(missing.select("cache_key", F.lit(embedder.name).alias("model"), "vector"))
-    keyed = df.withColumn("cache_key", T.cache_key(text_col))
-    of_model = grown.where(F.col("model") == embedder.name).select("cache_key", "vector")
-    return keyed.join(of_model, "cache_key", "left"), grown
+    return missing.select("cache_key", F.lit(embedder.name).alias("model"), "vector")
 
 
 def dot(a: Column, b: Column) -> Column:

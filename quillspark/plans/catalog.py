@@ -368,6 +368,11 @@ Q["chunk_type_distribution"] = (
     f"SELECT content_type, count(*) AS n_chunks, round(avg(char_count), 6) AS avg_chars FROM ({_DEDUP_SQL}) GROUP BY 1",
 )
 
+Q["chunk_overall"] = (
+    lambda s, d: _deduped(s, d).agg(F.count("*").alias("n_chunks"), F.round(F.avg("char_count"), 6).alias("avg_chunk_size"), F.countDistinct("language").alias("n_languages")),
+    f"SELECT count(*) AS n_chunks, round(avg(char_count), 6) AS avg_chunk_size, count(DISTINCT language) AS n_languages FROM ({_DEDUP_SQL})",
+)
+
 
 def _mixed_sql() -> str:
     """Paragraphs of the documents with multiple-choice questions, sentences of
@@ -506,6 +511,12 @@ Q["index_stats"] = (
 )
 
 
+Q["metadata_lookup"] = (
+    lambda s, d: _store(s, d).select("pos", F.coalesce(F.try_element_at("metadata", F.lit("label")), F.lit("none")).alias("label"), F.coalesce(F.try_element_at("metadata", F.lit("page")), F.lit("0")).alias("page")),
+    f"WITH {_STORE} SELECT pos, coalesce(MAP {{'label': label::VARCHAR}}['label'], 'none') AS label, coalesce(MAP {{'label': label::VARCHAR}}['page'], '0') AS page FROM st",
+)
+
+
 def _upsert(s: SparkSession, d: str) -> DataFrame:
     store = _store(s, d)
     changes = search.latest(store).where("pos % 4 = 0").withColumn("text", F.concat(F.lit("new "), F.col("chunk_id")))

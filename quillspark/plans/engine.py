@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
-from dataclasses import dataclass, fields, replace
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,6 +183,11 @@ class Engine:
         state = "not_available" if self.store is None else "ready"
         return found | {"status": state, "conversation_count": max(self.asked, self.history().count()), "uptime_seconds": time.time() - self.since}
 
+    def info(self) -> dict:
+        """What runs here: the parts by name, the settings, what can be asked."""
+        calls = sorted(n for n in vars(type(self)) if not n.startswith("_") and callable(getattr(self, n)))
+        return {"name": "quillspark", "embedder": self.embedder.name, "generator": self.generator.name, "config": asdict(self.config), "calls": calls}
+
     def health(self) -> dict:
         """Of the store, the embedder and the generator, without touching memory."""
         parts = {"store": self.store is not None}

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import embedding
+
 SETTINGS = ("dimension", "index_type", "metric", "model")
 
 
@@ -59,6 +61,35 @@ def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
     return np.array([r["centroid"] for r in rows])
 
 
+class EmbeddingCache:
+    """Embeddings by text and model in a table, which a run adds to."""
+
+    SCHEMA = "cache_key string, vector array<float>, model string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def load(self) -> DataFrame:
+        """All rows; none before the first is saved."""
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def encode(self, df: DataFrame, embedder: embedding.Embedder, text_col: str = "text") -> DataFrame:
+        """Embedded rows.  Texts that the table lacks are encoded, once, and added;
+        models are folders, so a look-up reads one model's."""
+        new = embedding.encode_missing(df, embedder, self.load(), text_col)
+        new.write.mode("append").partitionBy("model").parquet(self.path)
+        return embedding.with_cached(df, embedder, self.load(), text_col)
+
+    def clear(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save_store(store: DataFrame, path: str, partition_by: str | None = None, **settings) -> None:
     """``partition_by="cell"`` lets a search read only the cells it probes."""
     unknown = set(settings) - set(SETTINGS)

@@ -149,6 +149,7 @@ def test_session_figures(spark, engine, monkeypatch):
     other.store = engine.store
     got = other.ask("where does the river carry water?")
     assert got["response_time_ms"] > 0 and "T" in got["timestamp"]
+    assert {"ask", "build", "evaluate", "rebuild"} <= set(other.info()["calls"]) and other.info()["config"]["metric"] == "cosine"
     stats = other.stats()
     assert stats["status"] == "ready" and stats["conversation_count"] == 1 and stats["uptime_seconds"] > 0
     monkeypatch.setattr(engines, "HELD_TURNS", 4)

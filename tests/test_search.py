@@ -149,3 +149,36 @@ def test_cached_encoding(spark):
     assert got[1] == got[2] != got[3] and set(got[4]) == {0.0}
     assert cache.count() == 3
     assert embedding.cache_misses(texts, cache, model.name).count() == 0
+
+
+class Counting:
+    """Counts its calls in a file, as workers are processes of their own."""
+
+    name, dimension = "counting", 2
+
+    def __init__(self, path):
+        self.path = path
+
+    def encode(self, texts):
+        with open(self.path, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        return np.array([[len(t), 1] for t in texts], float).reshape(-1, 2)
+
+
+def test_a_cache_in_a_table(spark, tmp_path):
+    path, log = str(tmp_path / "cache"), tmp_path / "log"
+    model = embedding.LazyEmbedder(lambda: Counting(str(log)), "counting", 2)
+    cache = stores.EmbeddingCache(spark, path)
+    assert cache.load().count() == 0
+    texts = spark.createDataFrame([(1, "river"), (2, "river"), (3, "sea")], "i int, text string")
+    first = {r["i"]: r["vector"] for r in cache.encode(texts, model).collect()}
+    more = spark.createDataFrame([(3, "sea"), (4, "hill")], "i int, text string")
+    second = {r["i"]: r["vector"] for r in stores.EmbeddingCache(spark, path).encode(more, model).collect()}
+    assert first[1] == first[2] and first[3] == second[3] and len(second[4]) == 2
+    assert sorted(log.read_text().split("\n")[:-1]) == ["passage: hill", "passage: river", "passage: sea"]
+    other = embedding.HashingEmbedder(16)
+    assert len(cache.encode(texts, other).first()["vector"]) == 16 and cache.load().count() == 5
+    cache.clear()
+    assert cache.load().count() == 0
+    with pytest.raises(ValueError):
+        embedding.LazyEmbedder(lambda: Counting(str(log)), "wide", 3).encode(["a"])
