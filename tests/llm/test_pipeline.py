@@ -126,6 +126,25 @@ def test_query_over_whole_tables(spark, name):
         assert {r["doc_id"] for r in rows} == {r[0] for r in con.execute("SELECT doc_id FROM documents").fetchall()}
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["op2_secret_spans", "op6_fingerprint_runs", "op9_sketch_neardup"])
+def test_query_against_brute_force(spark, name):
+    """All rows of a whole table, by the plain versions."""
+    rows = duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{SF}/documents.parquet')").fetchall()
+    df = catalog.queries()[name](spark, SF)
+    if name.startswith("op2"):
+        kinds = ("assign", "access", "hex")
+        base = {d: brute.secrets(t or "") for d, t in rows}
+        want = [(d, *(sum(k == i for _, k, _ in b) for i in range(3)), brute.sha(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in b))) for d, b in base.items()]
+        mine = df.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    elif name.startswith("op6"):
+        want, mine = brute.substrings(rows), df.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    else:
+        want = [(d, n, c, d == c) for d, (n, c) in brute.components(rows, 85).items()]
+        mine = df.select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, mine)) == sorted(want)
+
+
 @needs_data
 def test_planted_passages_are_found(spark):
     con = duckdb.connect()
