@@ -40,6 +40,11 @@ class ExtractiveGenerator:
         return out
 
 
+def valid_questions(questions: DataFrame) -> DataFrame:
+    """Questions of 1 to 1,000 characters."""
+    return questions.where(F.length("question").between(1, 1000))
+
+
 def confidence(scores: Column, lengths: Column) -> Column:
     """From the sources' scores and content lengths (arrays); 0 without any."""
     n = F.size(scores)

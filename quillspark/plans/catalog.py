@@ -15,6 +15,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import answering, chunking, documents, embedding, evaluation, memory, search
 from ..sources import files
+from ..sources import store as stores
 from .chunk_sql import CHUNK, ChunkSql
 
 S, W = T.sql_text, T.sql_words
@@ -258,6 +259,22 @@ Q["flatten_tables"] = (
     f"FROM (SELECT n_regionkey, {_ROW} AS r FROM nation) GROUP BY 1",
 )
 
+_SCANNED = "coalesce(text, '') || ' scanned'"
+
+
+def _ocr_fallback(s: SparkSession, d: str) -> DataFrame:
+    pages = _read(s, d, "documents").select("doc_id", "text", F.lit("text").alias("extraction_method"))
+    got = documents.with_ocr_fallback(pages, F.concat(T.text_of("text"), F.lit(" scanned")))
+    return got.select("doc_id", "extraction_method", F.md5(T.text_of("text")).alias("text_md5"))
+
+
+_SHORT_PAGE = f"length({_trim('coalesce(text, chr(32))')}) < 50 AND length({_trim(_SCANNED)}) > length({_trim('coalesce(text, chr(32))')})"
+Q["ocr_fallback"] = (
+    _ocr_fallback,
+    f"SELECT doc_id, CASE WHEN {_SHORT_PAGE} THEN 'ocr_fallback' ELSE 'text' END AS extraction_method, "
+    f"md5(CASE WHEN {_SHORT_PAGE} THEN {_SCANNED} ELSE coalesce(text, '') END) AS text_md5 FROM documents",
+)
+
 # --- chunking -----------------------------------------------------------------
 
 
@@ -316,6 +333,14 @@ Q["sentence_chunks"] = (
     lambda s, d: _cleaned(s, d).select("doc_id", F.explode(chunking.sentence_chunks(F.col("text"), F.lit(1))).alias("c")).select("doc_id", "c.*"),
     _SENT_SQL,
 )
+Q["chunk_markdown"] = (
+    lambda s, d: _cleaned(s, d)
+    .select("doc_id", F.explode(chunking.sentence_chunks(F.col("text"), F.lit(1))).alias("c"))
+    .select("doc_id", "c.*")
+    .select("doc_id", "chunk_id", files.chunk_markdown().alias("markdown")),
+    "SELECT doc_id, chunk_id, '## ' || chunk_id || ' (' || content_type || ', ' || language || ')' || chr(10) || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) AS markdown "
+    f"FROM ({_SENT_SQL})",
+)
 Q["long_split_chunks"] = (
     lambda s, d: _cleaned(s, d).select(
         "doc_id", F.posexplode(chunking.long_split(chunking.sentences(F.col("text"), T.chunk_language("text")))).alias("n", "content")
@@ -535,6 +560,26 @@ Q["store_delete"] = (
 )
 
 
+def _round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The store, written and loaded again with its settings."""
+    path = stores.session_folder(s, "store")
+    stores.save_store(_store(s, d), path, metric="cosine", index_type="flat", dimension=64)
+    rows = stores.load_store(s, path, metric="cosine", dimension=64)
+    return rows.select("pos", "chunk_id", "text", F.size("vector").alias("dimension"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+Q["store_round_trip"] = (
+    _round_trip,
+    "SELECT vec_id AS pos, 'chunk_' || vec_id % 400 AS chunk_id, 'text ' || label AS text, len(embedding)::INT AS dimension, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings",
+)
+Q["bundle_ids"] = (
+    lambda s, d: stores.bundle_rows(
+        _read(s, d, "embeddings").orderBy("vec_id").select(F.col("label").cast("string").alias("text"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("own_"), "vec_id")).alias("chunk_id"))
+    ).select("pos", "chunk_id", "text"),
+    "SELECT n AS pos, CASE WHEN vec_id % 3 = 0 THEN 'own_' || vec_id ELSE 'chunk_' || n END AS chunk_id, label::VARCHAR AS text FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings)",
+)
+
+
 def _append(s: SparkSession, d: str) -> DataFrame:
     grown = search.append(_store(s, d), _store(s, d).where("pos % 5 = 0"))
     return search.latest(grown).groupBy("text").agg(F.count("*").alias("n"))
@@ -624,6 +669,35 @@ def _sql_found(k: int) -> str:
     )
 
 
+def _embedded_documents(s: SparkSession, d: str) -> DataFrame:
+    """Every document's embedding, a row for each coordinate that isn't zero."""
+    docs = _read(s, d, "documents").where(T.text_of("text") != "")
+    rows = embedding.encode(docs, embedding.HashingEmbedder(), "text").select("doc_id", F.posexplode("embedding").alias("dim", "v"))
+    return rows.where("v <> 0").select("doc_id", "dim", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+_PASSAGE_OF = f"SELECT doc_id AS id, {_sql_passage('text')} AS p FROM documents WHERE text <> ''"
+Q["embed_documents"] = (
+    _embedded_documents,
+    f"WITH {_sql_embedded('sv', _PASSAGE_OF)} SELECT id AS doc_id, dim::INT AS dim, round(v, 6) AS v FROM sv WHERE v <> 0",
+)
+
+
+def _cache_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Texts embedded through a cache table in two parts that overlap; the table
+    has each distinct text once."""
+    cache = stores.EmbeddingCache(s, stores.session_folder(s, "cache"))
+    docs, embedder = _read(s, d, "documents").select("doc_id", "text"), embedding.HashingEmbedder(8)
+    cache.encode(docs.where("doc_id % 3 > 0"), embedder)
+    rows = cache.encode(docs, embedder)
+    rows = rows.groupBy("cache_key").agg(F.count("*").alias("n_documents"), F.max(F.size("vector")).alias("dimension"))
+    return rows.join(cache.load().groupBy("cache_key").agg(F.count("*").alias("n_cached")), "cache_key")
+
+
+Q["cache_round_trip"] = (
+    _cache_round_trip,
+    "SELECT md5(coalesce(text, '')) AS cache_key, count(*) AS n_documents, 8 AS dimension, 1::BIGINT AS n_cached FROM documents GROUP BY 1",
+)
 Q["search_by_text"] = lambda s, d: _asked(s, d, 10)[3], f"WITH {_sql_found(10)} SELECT query_id, vec_id, score, rank FROM found"
 
 
@@ -636,6 +710,25 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     return answering.answer(rows, answering.ExtractiveGenerator()).select("query_id", "query_language", "answer", "model_used", F.round("confidence", 6).alias("confidence"))
 
 
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    asked, contents, queries, hits = _asked(s, d, 5)
+    rows = asked.join(answering.retrieve_context(hits, contents, queries), "query_id")
+    return rows.select("query_id", F.md5(answering.prompt(F.col("context"), F.col("question"))).alias("prompt_md5"), F.length("context").alias("context_length"))
+
+
+_BEFORE, _BETWEEN, _AFTER = (S(x) for x in answering.PROMPT.replace("{context}", "\0").replace("{question}", "\0").split("\0"))
+Q["build_prompt"] = (
+    _prompts,
+    f"WITH {_sql_found(5)}, j AS (SELECT found.*, coalesce(text, '') AS c FROM found JOIN documents ON doc_id = vec_id), "
+    "b AS (SELECT item_id AS query_id, any_value(text) AS question, coalesce(string_agg(c, chr(10) || chr(10) ORDER BY rank), '') AS context FROM benchmark LEFT JOIN j ON query_id = item_id GROUP BY 1) "
+    f"SELECT query_id, md5({_BEFORE} || context || {_BETWEEN} || question || {_AFTER}) AS prompt_md5, length(context)::INT AS context_length FROM b",
+)
+Q["valid_questions"] = (
+    lambda s, d: answering.valid_questions(_read(s, d, "conversations").withColumn("question", F.col("text"))).select("conv_id", "turn"),
+    "SELECT conv_id, turn FROM conversations WHERE length(text) BETWEEN 1 AND 1000",
+)
+
+
 def _answers_sql() -> str:
     parts = f"list_filter(list_transform(string_split(replace(context, '।', '.'), '.'), lambda p: {_trim('p')}), lambda p: p <> '')"
     shared = f"list_transform(parts, lambda p: len(list_intersect(wanted, {W('lower(p)')})))"
@@ -658,6 +751,11 @@ def _answers_sql() -> str:
 
 Q["ask_batch"] = _answers, _answers_sql()
 
+Q["json_fields"] = (
+    lambda s, d: _read(s, d, "events").select("event_id", F.from_json("props", "k bigint, missing string").alias("p")).select("event_id", "p.k", F.coalesce("p.missing", F.lit("none")).alias("missing"), F.to_json(F.struct(F.col("p.k").alias("k"))).alias("again")),
+    "SELECT event_id, (props->>'k')::BIGINT AS k, coalesce(props->>'missing', 'none') AS missing, '{\"k\":' || (props->>'k') || '}' AS again FROM events",
+)
+
 # --- evaluation ---------------------------------------------------------------
 
 

@@ -84,11 +84,7 @@ class Engine:
     def build_from_bundle(self, bundle: DataFrame, path: str | None = None) -> DataFrame:
         """Index embedded texts (text, vector, and where there are: chunk_id,
         metadata).  Rows without an id are chunk_0, chunk_1, ... by their order."""
-        rows = stores.numbered(bundle)
-        given = F.col("chunk_id").cast("string") if "chunk_id" in bundle.columns else F.lit(None).cast("string")
-        metadata = F.col("metadata") if "metadata" in bundle.columns else F.create_map().cast("map<string,string>")
-        named = F.coalesce(given, F.concat(F.lit("chunk_"), "pos"))
-        return self._keep(rows.select(named.alias("chunk_id"), "text", metadata.alias("metadata"), F.col("vector").cast("array<float>").alias("vector"), "pos"), path)
+        return self._keep(stores.bundle_rows(bundle), path)
 
     def rebuild(self, pages: DataFrame) -> DataFrame:
         """Build anew, beside the present store, which serves until then."""
@@ -133,7 +129,7 @@ class Engine:
             raise ValueError("max_chunks must be 1 to 20 and threshold 0 to 1")
         if self.store is None:
             raise RuntimeError("no store: build or load one first")
-        valid = questions.where(F.length("question").between(1, 1000))
+        valid = answering.valid_questions(questions)
         prefixed = valid.select("query_id", F.concat(F.lit("query: "), F.trim("question")).alias("q"))
         queries = embedding.encode(prefixed, self.embedder, "q", "vector", prefix=False)
         cells = None if self.centroids is None else (self.centroids, c.probes)

@@ -61,6 +61,16 @@ def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
     return np.array([r["centroid"] for r in rows])
 
 
+def bundle_rows(bundle: DataFrame) -> DataFrame:
+    """Rows of a store from embedded texts (text, vector, and where there are:
+    chunk_id, metadata).  Rows without an id are chunk_0, chunk_1, ... by place."""
+    rows = numbered(bundle)
+    given = F.col("chunk_id").cast("string") if "chunk_id" in bundle.columns else F.lit(None).cast("string")
+    metadata = F.col("metadata") if "metadata" in bundle.columns else F.create_map().cast("map<string,string>")
+    named = F.coalesce(given, F.concat(F.lit("chunk_"), "pos"))
+    return rows.select(named.alias("chunk_id"), "text", metadata.alias("metadata"), F.col("vector").cast("array<float>").alias("vector"), "pos")
+
+
 class EmbeddingCache:
     """Embeddings by text and model in a table, which a run adds to."""
 
