@@ -10,25 +10,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import documents
 from ..schemas import PAGE
 
-_PAGE_DDL = "path string, page_number int, text string, extraction_method string"
+_PAGE_DDL = "path string, page_number int, text string, extraction_method string, grids array<array<array<string>>>, bbox array<double>"
+#: Page number, text, method, and where the reader has them the tables' cells and
+#: the page's box.
+Page = tuple
 
 
-def _layout_pages(data: bytes) -> list[tuple[int, str, str]]:
+def _layout_pages(data: bytes) -> list[Page]:
     import pdfplumber
 
     with pdfplumber.open(io.BytesIO(data)) as pdf:
-        return [(i + 1, p.extract_text(x_tolerance=3, y_tolerance=3, layout=True) or "", "pdfplumber") for i, p in enumerate(pdf.pages)]
+        texts = [(p, p.extract_text(x_tolerance=3, y_tolerance=3, layout=True, x_density=7.25, y_density=13) or "") for p in pdf.pages]
+        return [(i + 1, text, "pdfplumber", p.extract_tables() if text else [], [float(x) for x in p.bbox]) for i, (p, text) in enumerate(texts)]
 
 
-def _plain_pages(data: bytes) -> list[tuple[int, str, str]]:
+def _plain_pages(data: bytes) -> list[Page]:
     from pypdf import PdfReader
 
     return [(i + 1, p.extract_text() or "", "pypdf2") for i, p in enumerate(PdfReader(io.BytesIO(data)).pages)]
 
 
-def first_that_reads(data: bytes, readers: tuple[Callable[[bytes], list[tuple[int, str, str]]], ...]) -> list[tuple[int, str, str]]:
+def first_that_reads(data: bytes, readers: tuple[Callable[[bytes], list[Page]], ...]) -> list[Page]:
     """Pages with text, by the first reader that doesn't fail, whatever the
     others raise; an error if all do."""
     for i, reader in enumerate(readers):
@@ -46,31 +51,34 @@ READERS = (_layout_pages, _plain_pages)
 def read_pdf_pages(
     spark: SparkSession,
     path: str,
-    readers: tuple[Callable[[bytes], list[tuple[int, str, str]]], ...] | Callable[[bytes], list[tuple[int, str, str]]] = READERS,
+    readers: tuple[Callable[[bytes], list[Page]], ...] | Callable[[bytes], list[Page]] = READERS,
     scanner: Callable[[bytes, int], str] | None = None,
     least: int = 50,
 ) -> DataFrame:
-    """path, page_number, text, extraction_method of every PDF under ``path``.
+    """path, page_number, text, tables, bbox, extraction_method of every PDF under
+    ``path``.
     Pages of under ``least`` characters are given to ``scanner`` (the file, the
     page number), whose text is taken if it is longer.  A file is read whole by
     one task, so its size is bounded by a task's memory."""
     readers = readers if isinstance(readers, tuple) else (readers,)
 
-    def scanned(data: bytes, page: tuple[int, str, str]) -> tuple[int, str, str]:
+    def scanned(data: bytes, page: Page) -> Page:
         if scanner is None or len(page[1].strip()) >= least:
             return page
         found = scanner(data, page[0]) or ""
-        return (page[0], found, "ocr_fallback") if len(found.strip()) > len(page[1].strip()) else page
+        return (page[0], found, "ocr_fallback", *page[3:]) if len(found.strip()) > len(page[1].strip()) else page
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path_, content in zip(pdf["path"], pdf["content"], strict=True):
                 data = bytes(content)
-                rows = [(path_, *scanned(data, p)) for p in first_that_reads(data, readers)]
-                yield pd.DataFrame(rows, columns=["path", "page_number", "text", "extraction_method"])
+                rows = [(path_, *scanned(data, p), None, None)[:6] for p in first_that_reads(data, readers)]
+                yield pd.DataFrame(rows, columns=["path", "page_number", "text", "extraction_method", "grids", "bbox"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    return files.select("path", "content").mapInPandas(run, _PAGE_DDL)
+    pages = files.select("path", "content").mapInPandas(run, _PAGE_DDL)
+    tables = F.coalesce(documents.flatten_tables(F.col("grids")), F.lit(""))
+    return pages.select("path", "page_number", "text", tables.alias("tables"), "bbox", "extraction_method")
 
 
 def read_text_pages(spark: SparkSession, path: str, separator: str = "\f") -> DataFrame:

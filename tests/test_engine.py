@@ -183,7 +183,7 @@ def test_a_broken_pdf_goes_to_the_next_reader(spark, tmp_path):
     def layout(data):
         if data.startswith(b"broken"):
             raise OSError("bad cross-reference table")
-        return [(1, "a page of the layout reader that is long enough to stay", "pdfplumber"), (2, "short", "pdfplumber"), (3, " ", "pdfplumber")]
+        return [(1, "a page of the layout reader that is long enough to stay", "pdfplumber", [[["a", None], ["b", "c"]]], [0.0, 0.0, 9.0, 9.0]), (2, "short", "pdfplumber"), (3, " ", "pdfplumber")]
 
     (tmp_path / "a.pdf").write_bytes(b"good")
     (tmp_path / "b.pdf").write_bytes(b"broken")
@@ -191,6 +191,7 @@ def test_a_broken_pdf_goes_to_the_next_reader(spark, tmp_path):
     scanner = lambda data, page: f"scanned text of page {page}, longer than it was"
     got = files.read_pdf_pages(spark, str(tmp_path), (layout, plain), scanner).collect()
     assert sorted((r["path"][-5], r["page_number"], r["extraction_method"]) for r in got) == [("a", 1, "pdfplumber"), ("a", 2, "ocr_fallback"), ("b", 1, "pypdf2")]
+    assert {r["tables"]: r["bbox"] for r in got if r["page_number"] == 1} == {"\nTable 1:\na | \nb | c\n\n": [0.0, 0.0, 9.0, 9.0], "": None}
     with pytest.raises(OSError):
         files.first_that_reads(b"broken", (layout,))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
