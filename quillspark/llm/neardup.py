@@ -353,9 +353,9 @@ def _units(found: DataFrame, block: int) -> DataFrame:
     ends = found.select("node", "band").distinct().join(groups, "node")
     by_band = ends.groupBy("grp", "band").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum(F.col("n") * F.ceil(F.col("n") / block)).alias("by_band"))
     whole = groups.groupBy("grp").agg((F.count("*") * F.ceil(F.count("*") / block)).alias("whole"))
-    cheaper = by_band.join(whole, "grp").select("grp", (F.col("by_band") < F.col("whole")).alias("split"))
+    cheaper = materialize(by_band.join(whole, "grp").select("grp", (F.col("by_band") < F.col("whole")).alias("split")), "near-choice")
     unit = F.when(F.col("split"), F.xxhash64("grp", "band")).otherwise(F.xxhash64("grp"))
-    return ends.join(cheaper, "grp").select(unit.alias("unit"), "node").distinct()
+    return join_bounded(ends, cheaper, "grp", "inner", MAX_BROADCAST_ROWS).select(unit.alias("unit"), "node").distinct()
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, percent: int, n: int, t: int, block: int, id_col: str, text_col: str, report: dict) -> DataFrame:
