@@ -432,15 +432,16 @@ def near_duplicates(
     mixed = members.groupBy("band").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     members = members.join(mixed.select("band", "members"), "band").join(sketches, "doc_id")
     found = _within_buckets(materialize(members, "near-members"), bands, percent, block, report)
-    nodes = _units(found, block).join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = sketches.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
-    links = links.unionByName(_verify(docs, nodes.join(sizes, "node"), percent, n, bands * rows, block, id_col, text_col, report))
+    if not found.isEmpty():
+        nodes = _units(found, block).join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = sketches.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+        links = links.unionByName(_verify(docs, nodes.join(sizes, "node"), percent, n, bands * rows, block, id_col, text_col, report))
     # Rows of one doc_id with different sets hang together through the id.
     same_id = full.join(classes, ["d1", "d2"]).where("doc_id <> rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
     own = classes.select(F.col("rep").alias("doc_id"), F.col("rep").alias("own")).distinct()
     same_id = same_id.join(own, "doc_id", "left").withColumn("reps", F.when(F.col("own").isNull(), F.col("reps")).otherwise(F.array_union("reps", F.array("own"))))
     shared = same_id.where(F.size("reps") > 1).select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
-    merged = materialize(connected_components(links.unionByName(shared)), "near-components")
+    merged = connected_components(links.unionByName(shared))
     reps_of = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     reps_of = reps_of.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     joined = seen.select("doc_id", "n_shingles", "d1", "d2").join(reps_of, ["d1", "d2"], "left")
