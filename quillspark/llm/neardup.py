@@ -248,11 +248,11 @@ def _roots(links: DataFrame) -> DataFrame:
     return materialize(at, "near-roots")
 
 
-def bucket_pairs(key: np.ndarray, number: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, side: np.ndarray, component: np.ndarray, bands: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(key: np.ndarray, number: np.ndarray, sketches: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, side: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of the plausible pairs of rows that have one ``key`` (a bucket, of
     band ``number``; equal keys are neighbours) and are of different components,
-    each in the first bucket that it shares.  Where a bucket has both sides, 0
-    and 1, pairs are across."""
+    each in the first bucket that it shares by its rows of band ``hashes``, which
+    name the buckets.  Where a bucket has both sides, 0 and 1, pairs are across."""
     least = least_agreement(sketches.shape[1], percent)
     edges = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1)) if len(key) else np.zeros(1, np.int64)
     size = np.repeat(np.diff(edges), np.diff(edges))
@@ -262,8 +262,7 @@ def bucket_pairs(key: np.ndarray, number: np.ndarray, sketches: np.ndarray, size
         i = np.flatnonzero((key[:-d] == key[d:]) & (component[:-d] != component[d:]) & (~two[d:] | (side[:-d] != side[d:])))
         i = i[_sizes_allow(sizes[i], sizes[i + d], percent)]
         i = i[_agreement(sketches[i], sketches[i + d]) >= least]
-        shared = (sketches[i] == sketches[i + d]).reshape(len(i), bands, sketches.shape[1] // bands).all(axis=2)
-        i = i[shared.argmax(axis=1) == number[i]]
+        i = i[(hashes[i] == hashes[i + d]).argmax(axis=1) == number[i]]
         out.append((i, i + d))
     i, j = (np.concatenate(x) for x in zip(*out, strict=True))
     return i, j
@@ -288,9 +287,9 @@ def trees(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
     return ends, np.array([root(x) for x in ends.tolist()], np.int64)
 
 
-def _within_buckets(members: DataFrame, bands: int, percent: int, block: int, report: dict) -> DataFrame:
+def _within_buckets(members: DataFrame, percent: int, block: int, report: dict) -> DataFrame:
     """node, root, band: members of plausible pairs, of members (doc_id, number,
-    band, members, component, n_shingles, sketch)."""
+    band, members, component, n_shingles, sketch, bands)."""
     blocks = F.ceil(F.col("members") / block).cast("int")
     # Block i meets block j in the task (i, j), i <= j; a block meets itself in (i, i).
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
@@ -298,15 +297,16 @@ def _within_buckets(members: DataFrame, bands: int, percent: int, block: int, re
     rows = rows.withColumn("pair", F.explode(others)).select("*", "pair.i", "pair.j").drop("pair")
     report["sketches"] = sketches = members.count()
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(max(1, sketches // SKETCH_CELL)))).otherwise(F.xxhash64("band", "i", "j"))
-    placed = rows.select("doc_id", "number", "band", "i", "j", "own", "component", "n_shingles", "sketch", cell.alias("cell"))
+    placed = rows.select("doc_id", "number", "band", "i", "j", "own", "component", "n_shingles", "sketch", "bands", cell.alias("cell"))
     kind = members.schema["doc_id"].dataType.simpleString()
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["band", "i", "j", "doc_id"], kind="stable")
         key = pdf.groupby(["band", "i", "j"], sort=True).ngroup().to_numpy()
         sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        hashes = np.stack(pdf["bands"].to_numpy())
         component, side = pd.factorize(pdf["component"])[0], (pdf["own"] != pdf["i"]).to_numpy()
-        i, j = bucket_pairs(key, pdf["number"].to_numpy(), sketches, pdf["n_shingles"].to_numpy(), side, component, bands, percent)
+        i, j = bucket_pairs(key, pdf["number"].to_numpy(), sketches, hashes, pdf["n_shingles"].to_numpy(), side, component, percent)
         ends, roots = trees(key, i, j)
         ids = pdf["doc_id"].to_numpy()
         return pd.DataFrame({"node": ids[ends], "root": ids[roots], "band": pdf["band"].to_numpy()[ends]}).drop_duplicates()
@@ -421,7 +421,7 @@ def near_duplicates(
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = materialize(banded.join(hubs, "band"), "near-buckets")
     # A representative has a row for each of its sets (an id may have several).
-    sketches = materialize(reps.select("doc_id", "n_shingles", "sketch").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "near-nodes")
+    sketches = materialize(reps.select("doc_id", "n_shingles", "sketch", "bands").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "near-nodes")
 
     stars = shared.where("doc_id <> hub").groupBy("doc_id", "hub").agg((-F.count("*")).alias("n"))
     stars = stars.groupBy(F.col("doc_id").alias("a")).agg(F.min(F.struct("n", "hub")).alias("most")).select("a", F.col("most.hub").alias("b"))
@@ -431,7 +431,7 @@ def near_duplicates(
     members = members.select("doc_id", "number", "band", F.coalesce("component", "doc_id").alias("component"))
     mixed = members.groupBy("band").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     members = members.join(mixed.select("band", "members"), "band").join(sketches, "doc_id")
-    found = _within_buckets(materialize(members, "near-members"), bands, percent, block, report)
+    found = _within_buckets(materialize(members, "near-members"), percent, block, report)
     if not found.isEmpty():
         nodes = _units(found, block).join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = sketches.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))

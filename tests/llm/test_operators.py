@@ -717,6 +717,32 @@ def test_rows_of_one_id_are_one_document(spark):
     assert neardup.near_duplicates(frame(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_whose_star_fails_are_linked(spark, percent):
+    """Triples of a hub h, which shares buckets with x and y but is below the
+    threshold of both, and x and y, which only their shared bucket can link."""
+    n, words = 2_000, 230
+    changed = {80: (5, 7), 85: (3, 5)}[percent]  # single words of y and h, each of which takes five shingles
+    rows, wanted = [], set()
+    rng = random.Random(percent)
+    for i in range(n):
+        x = [f"t{i}w{j}" for j in range(words)]
+        spots = [5 + 9 * j for j in range(24)]
+        y, h = list(x), list(x)
+        for j in rng.sample(spots, changed[0]):
+            y[j] = f"y{i}w{j}"
+        for j in rng.sample(spots, changed[1]):
+            h[j] = f"h{i}w{j}"
+        texts = [" ".join(t) for t in (h, x, y)]
+        rows += [(3 * i + k, t) for k, t in enumerate(texts)]
+        sets = [set(brute.shingles(t)) for t in texts]
+        if 100 * len(sets[1] & sets[2]) >= percent * len(sets[1] | sets[2]):
+            wanted.add(3 * i + 1)
+    out = dict(got(neardup.near_duplicates(frame(spark, rows), percent), "doc_id", "component_id"))
+    assert len(wanted) > 1_900 and sum(out[d] == d for d in wanted) > 1_900  # most hubs are no links
+    assert not [d for d in wanted if out[d] != out[d + 1]]
+
+
 def test_an_id_that_stands_for_one_of_its_sets(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
     rows = [(5, a), (7, a), (7, b), (8, b)]
