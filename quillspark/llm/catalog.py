@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, linededup, neardup, packing, quality, secrets, sharding, substrings, toxicity
+from . import decontaminate, licenses, linededup, neardup, packing, quality, secrets, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_bin_slack_packing": packing.op8_bin_slack_packing,
         "op9_sketch_neardup": neardup.op9_sketch_neardup,
         "op10_sampled_sharding": sharding.op10_sampled_sharding,
+        "op11_anchor_simhash": simhash.op11_anchor_simhash,
     }
 
 
