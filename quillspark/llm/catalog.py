@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, linededup, neardup, packing, quality, secrets, sharding, simhash, substrings, toxicity
+from . import decontaminate, licenses, linededup, neardup, packing, phrases, quality, secrets, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_sketch_neardup": neardup.op9_sketch_neardup,
         "op10_sampled_sharding": sharding.op10_sampled_sharding,
         "op11_anchor_simhash": simhash.op11_anchor_simhash,
+        "op12_phrase_growth": phrases.op12_phrase_growth,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.OP1_SQL,
         "op4_host_quality": quality.OP4_SQL,
+        "op12_phrase_growth": phrases.OP12_SQL,
     }
