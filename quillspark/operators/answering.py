@@ -54,14 +54,27 @@ def confidence(scores: Column, lengths: Column) -> Column:
     return F.when(n <= 0, 0.0).otherwise(F.least(value, F.lit(1.0)))
 
 
+SOURCE = "struct<rank:int,score:double,chunk_id:string,content:string,metadata:map<string,string>>"
+
+
+def with_content(hits: DataFrame, contents: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """Hits (query_id, rank, score, id) as query_id and ``source``: what a client
+    is shown of each.  ``contents`` has the id, the content, and where there are,
+    chunk_id (else the id) and metadata (else null)."""
+    given = F.col("chunk_id") if "chunk_id" in contents.columns else F.col(id_col)
+    metadata = F.col("metadata") if "metadata" in contents.columns else F.lit(None)
+    of = contents.select(F.col(id_col), given.cast("string").alias("chunk_id"), T.text_of("content").alias("content"), metadata.cast("map<string,string>").alias("metadata"))
+    joined = hits.select("query_id", id_col, "rank", "score").join(of, id_col)
+    return joined.select("query_id", F.struct("rank", "score", "chunk_id", "content", "metadata").cast(SOURCE).alias("source"))
+
+
 def retrieve_context(hits: DataFrame, contents: DataFrame, queries: DataFrame, id_col: str = "vec_id", separator: str = "\n\n") -> DataFrame:
-    """query_id, n_sources, context, confidence for every query.  ``hits`` has at
-    most k rows a query, so its groups are small."""
-    joined = hits.join(contents.select(F.col(id_col), T.text_of("content").alias("content")), id_col)
-    source = F.struct(F.col("rank"), F.col("score"), F.col("content"))
-    grouped = joined.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("s"))
-    full = queries.select("query_id").distinct().join(grouped, "query_id", "left")
-    full = full.withColumn("s", F.coalesce("s", F.array().cast("array<struct<rank:int,score:double,content:string>>")))
+    """query_id, n_sources, context, confidence and the sources by rank for every
+    query.  ``hits`` has at most k rows a query, so its groups are small."""
+    found = with_content(hits, contents, id_col).groupBy("query_id").agg(F.collect_list("source").alias("s"))
+    found = found.withColumn("s", F.array_sort("s", lambda a, b: a["rank"] - b["rank"]))
+    full = queries.select("query_id").distinct().join(found, "query_id", "left")
+    full = full.withColumn("s", F.coalesce("s", F.array().cast(f"array<{SOURCE}>")))
     contents_ = F.transform("s", lambda x: x["content"])
     lengths = F.transform("s", lambda x: F.length(x["content"]).cast("bigint"))
     return full.select(
@@ -69,6 +82,7 @@ def retrieve_context(hits: DataFrame, contents: DataFrame, queries: DataFrame, i
         F.size("s").alias("n_sources"),
         F.array_join(contents_, separator).alias("context"),
         confidence(F.transform("s", lambda x: x["score"]), lengths).alias("confidence"),
+        F.col("s").alias("sources"),
     )
 
 

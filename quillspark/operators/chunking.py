@@ -194,14 +194,29 @@ def structure_chunks(
     return F.aggregate(parts, start, step, finish)
 
 
+def content_key(content: Column) -> Column:
+    """Tells contents apart; case and edge space don't count."""
+    return F.md5(T.strip(F.lower(content)))
+
+
 def dedup_chunks(chunks: DataFrame, document: str = "doc_id", order: tuple[str, ...] = ("source_page", "seq"), min_size: int = MIN_SIZE) -> DataFrame:
     """Of equal contents (case and edge space ignored) in a document, the first;
     contents of under ``min_size`` characters are left out."""
-    key = F.md5(T.strip(F.lower("content")))
+    key = content_key(F.col("content"))
     w = Window.partitionBy(document, key).orderBy(*order)
     return chunks.where(F.col("char_count") >= min_size).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def distinct_chunks(chunks: Column, min_size: int = MIN_SIZE) -> Column:
+    """The same within one array of chunks, in the row."""
+    large = F.filter(chunks, lambda c: c["char_count"] >= min_size)
+
+    def firsts(found: Column, keys: Column) -> Column:
+        return F.filter(found, lambda c, i: F.array_position(keys, content_key(c["content"])) == i + 1)
+
+    return T.let([large], lambda found: T.let([found, F.transform(found, lambda c: content_key(c["content"]))], firsts))
+
+
 STRATEGIES = {
     "structure": structure_chunks,
     "paragraphs": paragraph_chunks,
@@ -216,21 +231,40 @@ def chunk_pages(
 
     An unknown strategy is the mixed one: paragraphs where the document has
     multiple-choice questions or the page says so, sentences elsewhere."""
-    rows = pages.where(T.text_of("text") != "").select("doc_id", "page_number", T.clean_text("text").alias("text"), F.col("text").rlike(P.FLAGS["has_mcq"]).alias("flag"))
+    rows = pages.where(T.text_of("text") != "").select("doc_id", "page_number", T.clean_text("text").alias("text"))
     text, page = F.col("text"), F.col("page_number")
     if strategy == "structure":
         made = structure_chunks(text, page, size, min_size, semantics=semantics)
     elif strategy in STRATEGIES:
         made = STRATEGIES[strategy](text, page, size, min_size)
     else:
-        flagged = F.max("flag").over(Window.partitionBy("doc_id"))
-        rows = rows.withColumn("mcq", flagged | F.contains(F.lower(text), F.lit("mcq")))
+        # A document's flag is joined back: where the flagged documents are few,
+        # by broadcast, and no text is shuffled for it.
+        flags = pages.where(T.text_of("text").rlike(P.FLAGS["has_mcq"])).select(F.col("doc_id").alias("_doc"), F.lit(True).alias("_mcq")).distinct()
+        rows = rows.join(flags, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+        rows = rows.withColumn("mcq", F.coalesce("_mcq", F.lit(False)) | F.contains(F.lower(text), F.lit("mcq")))
         made = F.when(F.col("mcq"), paragraph_chunks(text, page, size, min_size)).otherwise(sentence_chunks(text, page, size, min_size))
     exploded = rows.select("doc_id", "page_number", F.posexplode(made).alias("seq", "c"))
     exploded = exploded.select("doc_id", F.col("page_number").alias("source_page"), "seq", "c.*")
     return dedup_chunks(exploded, min_size=min_size)
 
 
+def chunk_rows(
+    pages: DataFrame, strategy: str = "structure", size: int = SIZE, min_size: int = MIN_SIZE, semantics: str = "intended"
+) -> DataFrame:
+    """``chunk_pages`` without the comparison of a document's pages with each
+    other: nothing leaves its row, so it also runs on a stream.  The strategy is
+    one of ``STRATEGIES``."""
+    text, page = T.clean_text("text"), F.col("page_number")
+    if strategy == "structure":
+        made = structure_chunks(F.col("text"), page, size, min_size, semantics=semantics)
+    else:
+        made = STRATEGIES[strategy](F.col("text"), page, size, min_size)
+    rows = pages.where(T.text_of("text") != "").select("doc_id", "page_number", text.alias("text"))
+    exploded = rows.select("doc_id", F.col("page_number").alias("source_page"), F.posexplode(distinct_chunks(made, min_size)).alias("seq", "c"))
+    return exploded.select("doc_id", "source_page", "seq", "c.*")
+
+
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """Chunks and mean size by content type."""
     return chunks.groupBy("content_type").agg(F.count("*").alias("n_chunks"), F.avg("char_count").alias("avg_chars"))

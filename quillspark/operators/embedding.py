@@ -10,7 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -71,19 +71,72 @@ class LazyEmbedder:
         return got
 
 
-def encode(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding", prefix: bool = True) -> DataFrame:
-    """Adds the embedding of each text; empty texts get the zero vector."""
+#: Texts of similar length are encoded together, so many and of so many characters.
+BATCH_TEXTS, BATCH_CHARACTERS = 256, 1 << 18
+
+
+def contained(embedder: Embedder, texts: list[str]) -> list[np.ndarray | None]:
+    """Embeddings of a batch; None for a text that the encoder fails on.  A batch
+    that fails is halved down to the text at fault, so the others lose nothing."""
+    if not texts:
+        return []
+    try:
+        got = np.asarray(embedder.encode(texts), np.float32)
+        if got.shape != (len(texts), embedder.dimension):
+            raise ValueError(f"{embedder.name} gave {got.shape}")
+        return list(got)
+    except Exception:  # whatever a plugged-in model raises
+        if len(texts) == 1:
+            return [None]
+        half = len(texts) // 2
+        return contained(embedder, texts[:half]) + contained(embedder, texts[half:])
+
+
+def by_length(texts: list[str]) -> Iterator[list[int]]:
+    """Places of the texts in batches, the shortest texts first."""
+    batch, size = [], 0
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        if batch and (len(batch) == BATCH_TEXTS or size + len(texts[i]) > BATCH_CHARACTERS):
+            yield batch
+            batch, size = [], 0
+        batch.append(i)
+        size += len(texts[i])
+    if batch:
+        yield batch
+
+
+def encode_or_null(df: DataFrame, embedder: Embedder, text_col: str, out: str, prefix: bool = True) -> DataFrame:
+    """Adds the embedding of each text: the zero vector for an empty one, null
+    where the encoder failed."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            got = np.asarray(embedder.encode(texts.tolist()), np.float32)
-            got[(texts == "").to_numpy()] = 0
-            yield pd.Series(list(got))
+        for column in parts:
+            texts = column.tolist()
+            found: list[np.ndarray | None] = [np.zeros(embedder.dimension, np.float32)] * len(texts)
+            some = [i for i, t in enumerate(texts) if t != ""]
+            for batch in by_length([texts[i] for i in some]):
+                places = [some[i] for i in batch]
+                for i, vector in zip(places, contained(embedder, [texts[i] for i in places]), strict=True):
+                    found[i] = vector
+            yield pd.Series(found, dtype=object)
 
     return df.withColumn(out, run(T.embed_input(text_col) if prefix else T.text_of(text_col)))
 
 
+def _zeros(embedder: Embedder) -> Column:
+    return F.array_repeat(F.lit(0.0).cast("float"), embedder.dimension)
+
+
+def encode(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding", prefix: bool = True, failed: Observation | None = None) -> DataFrame:
+    """Adds the embedding of each text; empty texts, and those that the encoder
+    fails on, get the zero vector.  ``failed`` counts the latter."""
+    rows = encode_or_null(df, embedder, text_col, out, prefix)
+    if failed is not None:
+        rows = rows.observe(failed, F.count_if(F.col(out).isNull()).alias("failed"), F.count(F.lit(1)).alias("texts"))
+    return rows.withColumn(out, F.coalesce(out, _zeros(embedder)))
+
+
 def cache_misses(texts: DataFrame, cache: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """Distinct texts that the cache (cache_key, model, vector) lacks."""
     keyed = texts.select(T.cache_key(text_col).alias("cache_key"), T.text_of(text_col).alias(text_col)).dropDuplicates(["cache_key"])
@@ -91,10 +144,10 @@ def cache_misses(texts: DataFrame, cache: DataFrame, model: str, text_col: str =
 
 
 def with_cached(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows with their key and, where the cache has one, their vector."""
+    """Rows with their key and their vector, zeros where the cache has none."""
     keyed = df.withColumn("cache_key", T.cache_key(text_col))
     of_model = cache.where(F.col("model") == embedder.name).select("cache_key", "vector")
-    return keyed.join(of_model, "cache_key", "left")
+    return keyed.join(of_model, "cache_key", "left").withColumn("vector", F.coalesce("vector", _zeros(embedder)))
 
 
 def encode_cached(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -104,9 +157,10 @@ def encode_cached(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col:
 
 
 def encode_missing(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text") -> DataFrame:
-    """Cache rows of the distinct texts that the cache lacks."""
-    missing = encode(cache_misses(df, cache, embedder.name, text_col), embedder, text_col, "vector")
-    return missing.select("cache_key", F.lit(embedder.name).alias("model"), "vector")
+    """Cache rows of the distinct texts that the cache lacks.  Texts that the
+    encoder fails on get no row, and so are tried again by the next run."""
+    missing = encode_or_null(cache_misses(df, cache, embedder.name, text_col), embedder, text_col, "vector")
+    return missing.where("vector IS NOT NULL").select("cache_key", F.lit(embedder.name).alias("model"), "vector")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..operators import answering, chunking, documents, embedding, evaluation, memory, search
 from ..sources import files
 from ..sources import store as stores
+from . import engine
 from .chunk_sql import CHUNK, ChunkSql
 
 S, W = T.sql_text, T.sql_words
@@ -656,7 +657,7 @@ def _sql_passage(x: str) -> str:
 _ASKED = "SELECT item_id AS id, 'query: ' || trim(coalesce(text, '')) AS p FROM benchmark"
 
 
-def _sql_found(k: int) -> str:
+def found_sql(k: int) -> str:
     """CTE found (query_id, vec_id, score, rank): the search by text."""
     docs = f"SELECT doc_id AS id, {_sql_passage('text')} AS p FROM documents WHERE text <> ''"
     return (
@@ -698,7 +699,7 @@ Q["cache_round_trip"] = (
     _cache_round_trip,
     "SELECT md5(coalesce(text, '')) AS cache_key, count(*) AS n_documents, 8 AS dimension, 1::BIGINT AS n_cached FROM documents GROUP BY 1",
 )
-Q["search_by_text"] = lambda s, d: _asked(s, d, 10)[3], f"WITH {_sql_found(10)} SELECT query_id, vec_id, score, rank FROM found"
+Q["search_by_text"] = lambda s, d: _asked(s, d, 10)[3], f"WITH {found_sql(10)} SELECT query_id, vec_id, score, rank FROM found"
 
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
@@ -719,7 +720,7 @@ def _prompts(s: SparkSession, d: str) -> DataFrame:
 _BEFORE, _BETWEEN, _AFTER = (S(x) for x in answering.PROMPT.replace("{context}", "\0").replace("{question}", "\0").split("\0"))
 Q["build_prompt"] = (
     _prompts,
-    f"WITH {_sql_found(5)}, j AS (SELECT found.*, coalesce(text, '') AS c FROM found JOIN documents ON doc_id = vec_id), "
+    f"WITH {found_sql(5)}, j AS (SELECT found.*, coalesce(text, '') AS c FROM found JOIN documents ON doc_id = vec_id), "
     "b AS (SELECT item_id AS query_id, any_value(text) AS question, coalesce(string_agg(c, chr(10) || chr(10) ORDER BY rank), '') AS context FROM benchmark LEFT JOIN j ON query_id = item_id GROUP BY 1) "
     f"SELECT query_id, md5({_BEFORE} || context || {_BETWEEN} || question || {_AFTER}) AS prompt_md5, length(context)::INT AS context_length FROM b",
 )
@@ -729,14 +730,15 @@ Q["valid_questions"] = (
 )
 
 
-def _answers_sql() -> str:
+def answers_sql(more: str = "") -> str:
+    """Answers to all benchmark items; ``more`` columns of (question, context, n)."""
     parts = f"list_filter(list_transform(string_split(replace(context, '।', '.'), '.'), lambda p: {_trim('p')}), lambda p: p <> '')"
     shared = f"list_transform(parts, lambda p: len(list_intersect(wanted, {W('lower(p)')})))"
     a, p, q = _sql_postprocess(False)
     labelled = f"list_filter(string_split(a, chr(10)), lambda r: starts_with({_trim('r')}, {p}))"
     last = _trim(f"string_split(({labelled})[-1], {p})[2]")
     return (
-        f"WITH {_sql_found(5)}, j AS (SELECT found.*, coalesce(text, '') AS c FROM found JOIN documents ON doc_id = vec_id), "
+        f"WITH {found_sql(5)}, j AS (SELECT found.*, coalesce(text, '') AS c FROM found JOIN documents ON doc_id = vec_id), "
         "b AS (SELECT item_id AS query_id, any_value(coalesce(text, '')) AS question, coalesce(string_agg(c, chr(10) || chr(10) ORDER BY rank), '') AS context, count(vec_id) AS n, "
         "round(CASE WHEN count(vec_id) = 0 THEN 0 ELSE least(0.6 * avg(score) + 0.2 * least(count(vec_id) / 3.0, 1) + 0.2 * least(sum(length(c)) / 1000.0, 1), 1) END, 6)::DOUBLE AS confidence "
         "FROM benchmark LEFT JOIN j ON query_id = item_id GROUP BY item_id), "
@@ -745,11 +747,50 @@ def _answers_sql() -> str:
         f"y AS (SELECT *, {a} AS a FROM x), w AS (SELECT *, CASE WHEN contains(a, {q}) AND contains(a, {p}) AND len({labelled}) > 0 THEN {last} ELSE a END AS b FROM y) "
         f"SELECT query_id, {_QUERY_LANGUAGE.replace('(x', '(question')} AS query_language, "
         f"CASE WHEN context = '' THEN {S(answering.NOT_FOUND)} WHEN len({W('b')}) > 3 THEN array_to_string(({W('b')})[1:2], ' ') ELSE b END AS answer, "
-        "CASE WHEN context = '' THEN 'none' ELSE 'extractive' END AS model_used, CASE WHEN context = '' THEN 0 ELSE confidence END AS confidence FROM w"
+        f"CASE WHEN context = '' THEN 'none' ELSE 'extractive' END AS model_used, CASE WHEN context = '' THEN 0 ELSE confidence END AS confidence{more} FROM w"
     )
 
 
-Q["ask_batch"] = _answers, _answers_sql()
+Q["ask_batch"] = _answers, answers_sql()
+
+
+
+def _answer_sources(s: SparkSession, d: str) -> DataFrame:
+    """What a client is shown behind each answer: the sources by rank."""
+    asked, contents, queries, hits = _asked(s, d, 5)
+    meta = _read(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.create_map(F.lit("lang"), "lang").alias("metadata"))
+    context = answering.retrieve_context(hits, contents.join(meta, "vec_id"), queries)
+    rows = asked.join(context, "query_id", "left").withColumn("memory", F.lit(""))
+    out = answering.answer(rows, answering.ExtractiveGenerator()).select("query_id", "model_used", F.explode("sources").alias("s"))
+    return out.select("query_id", "model_used", "s.rank", "s.score", "s.chunk_id", F.md5("s.content").alias("content_md5"), F.col("s.metadata")["lang"].alias("lang"))
+
+
+Q["answer_sources"] = (
+    _answer_sources,
+    f"WITH {found_sql(5)} SELECT query_id, CASE WHEN string_agg(coalesce(text, ''), '') OVER (PARTITION BY query_id) = '' THEN 'none' ELSE 'extractive' END AS model_used, "
+    "rank, score, vec_id::VARCHAR AS chunk_id, md5(coalesce(text, '')) AS content_md5, lang FROM found JOIN documents ON doc_id = vec_id",
+)
+
+
+def _engine_search(s: SparkSession, d: str) -> DataFrame:
+    """Search by text in a store that an engine has saved and another loaded."""
+    docs = _read(s, d, "documents").where(T.text_of("text") != "").orderBy("doc_id")
+    bundle = embedding.encode(docs, embedding.HashingEmbedder(), "text", "vector").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), "text", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"), "vector"
+    )
+    path = stores.session_folder(s, "store")
+    engine.Engine(s).build_from_bundle(bundle, path)
+    opened = engine.Engine(s)
+    opened.load(path)
+    asked = _read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), T.text_of("text").alias("text"))
+    found = opened.search(asked, 10, 0.3)
+    return found.select("query_id", "rank", "score", "chunk_id", F.length("content").alias("length"), F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
+
+
+Q["engine_search"] = (
+    _engine_search,
+    f"WITH {found_sql(10)} SELECT query_id, rank, score, vec_id::VARCHAR AS chunk_id, length(text)::INT AS length, lang, source FROM found JOIN documents ON doc_id = vec_id",
+)
 
 Q["json_fields"] = (
     lambda s, d: _read(s, d, "events").select("event_id", F.from_json("props", "k bigint, missing string").alias("p")).select("event_id", "p.k", F.coalesce("p.missing", F.lit("none")).alias("missing"), F.to_json(F.struct(F.col("p.k").alias("k"))).alias("again")),
@@ -855,6 +896,11 @@ Q["eval_by_type"] = (
 )
 
 
+#: Measures of (question, answer, context), and chunks of the documents alone.
+GROUND_SQL, RELEVANT_SQL, UTIL_SQL, QUESTION_TYPE_SQL = _GROUND, _RELEVANT, _UTIL, _sql_question_type("question")
+DOCUMENT_CHUNKS_SQL = _DEDUP_SQL.replace(TEXTS, "t AS (SELECT DISTINCT doc_id, coalesce(text, '') AS x FROM documents)")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, (run, _) in Q.items()}
 

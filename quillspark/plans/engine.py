@@ -121,20 +121,38 @@ class Engine:
         if self.store is not None:
             self.store = self.spark.createDataFrame([], self.store.schema)
 
+    def _searched(self, queries: DataFrame, text_col: str, k: int, threshold: float | None, c: Config) -> tuple[DataFrame, DataFrame]:
+        """Embedded queries (query_id, text), and what each finds in the store."""
+        if self.store is None:
+            raise RuntimeError("no store: build or load one first")
+        prefixed = queries.select("query_id", F.concat(F.lit("query: "), F.trim(text_col)).alias("q"))
+        encoded = embedding.encode(prefixed, self.embedder, "q", "vector", prefix=False)
+        cells = None if self.centroids is None else (self.centroids, c.probes)
+        return encoded, search.topk(self.store, encoded, k, c.metric, threshold, "pos", "vector", cells=cells)
+
+    def _contents(self) -> DataFrame:
+        return self.store.select("pos", "chunk_id", F.col("text").alias("content"), "metadata")
+
+    def search(self, queries: DataFrame, k: int | None = None, threshold: float | None = None) -> DataFrame:
+        """query_id, rank, score, chunk_id, content, metadata: the k chunks nearest
+        to each text of queries (query_id, text), of at least ``threshold``."""
+        _, hits = self._searched(queries, "text", k or self.config.max_chunks, threshold, self.config)
+        return answering.with_content(hits, self._contents(), "pos").select("query_id", "source.*")
+
+    def search_text(self, text: str, k: int | None = None, threshold: float | None = None) -> list[dict]:
+        """The chunks nearest to one text, best first."""
+        rows = self.search(self.spark.createDataFrame([(0, text)], "query_id bigint, text string"), k, threshold)
+        return [r.asDict() for r in rows.drop("query_id").orderBy("rank").collect()]
+
     def ask_batch(self, questions: DataFrame, include_sources: bool = True, **overrides) -> DataFrame:
-        """Answers of questions (query_id, question); settings can be overridden:
-        max_chunks 1 to 20, threshold 0 to 1."""
+        """Answers of questions (query_id, question) with their sources; settings
+        can be overridden: max_chunks 1 to 20, threshold 0 to 1."""
         c = replace(self.config, **overrides)
         if not 1 <= c.max_chunks <= 20 or not 0 <= c.threshold <= 1:
             raise ValueError("max_chunks must be 1 to 20 and threshold 0 to 1")
-        if self.store is None:
-            raise RuntimeError("no store: build or load one first")
         valid = answering.valid_questions(questions)
-        prefixed = valid.select("query_id", F.concat(F.lit("query: "), F.trim("question")).alias("q"))
-        queries = embedding.encode(prefixed, self.embedder, "q", "vector", prefix=False)
-        cells = None if self.centroids is None else (self.centroids, c.probes)
-        hits = search.topk(self.store, queries, c.max_chunks, c.metric, c.threshold, "pos", "vector", cells=cells)
-        context = answering.retrieve_context(hits, self.store.select("pos", F.col("text").alias("content")), queries, "pos")
+        queries, hits = self._searched(valid, "question", c.max_chunks, c.threshold, c)
+        context = answering.retrieve_context(hits, self._contents(), queries, "pos")
         recent = memory.recent_memory(self.turns, c.memory_turns).select(F.col("conv_id").alias("query_conv"), "memory")
         rows = valid.join(context, "query_id")
         if "conv_id" in questions.columns:
@@ -142,7 +160,7 @@ class Engine:
         else:
             rows = rows.withColumn("memory", F.lit(None).cast("string"))
         out = answering.answer(rows, self.generator, c.semantics)
-        return out if include_sources else out.drop("context")
+        return out if include_sources else out.drop("context", "sources")
 
     def ask(self, question: str, conv_id: int | None = None, **overrides) -> dict:
         """One answer, with the time it took.  In a conversation the last turns

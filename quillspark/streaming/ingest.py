@@ -1,41 +1,42 @@
 """Streaming ingest (an extension): pages arrive, chunks are appended.
 
-Chunking is per row, so the stream needs no state; duplicates within a document
-are dropped in each micro-batch and against what is stored.  The store is
-divided by a hash of the document, so a batch reads the keys of its documents'
-divisions only.
+Chunks are made in the row.  Those that a document already has are dropped by
+keyed state, a key of 16 bytes and the document for each chunk stored, which
+Spark keeps in the checkpoint and divides over ``spark.sql.shuffle.partitions``;
+nothing that is stored is read again.  The file sink's log makes each batch
+appear once, so a query that was stopped anywhere goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text as T
-from ..operators.chunking import chunk_pages
-
-DIVISIONS = 64
-
-
-def ingest_pages(pages: DataFrame, store: str, checkpoint: str, strategy: str = "sentences") -> StreamingQuery:
-    """Start a query that chunks a stream of (doc_id, page_number, text) into the
-    Parquet table ``store``.  A batch that is run again after a failure replaces
-    its own files, as they are written under its number."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        division = F.pmod(F.xxhash64("doc_id"), F.lit(DIVISIONS)).cast("int")
-        chunks = chunk_pages(batch, strategy).withColumn("content_key", F.md5(T.strip(F.lower("content")))).withColumn("division", division)
-        try:
-            old = batch.sparkSession.read.parquet(store)
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        else:
-            own = [r[0] for r in batch.select(division.alias("division")).distinct().collect()]  # at most DIVISIONS
-            old = old.where((F.col("batch") != number) & F.col("division").isin(own)).select("doc_id", "content_key")
-            chunks = chunks.join(old, ["doc_id", "content_key"], "left_anti")
-        chunks.write.mode("overwrite").partitionBy("division").parquet(f"{store}/batch={number}")
-
-    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+from ..operators import chunking
+
+
+def chunk_stream(pages: DataFrame, strategy: str = "sentences", size: int = chunking.SIZE, min_size: int = chunking.MIN_SIZE) -> DataFrame:
+    """The new chunks of a stream (or a table) of pages (doc_id, page_number,
+    text).  Of equal contents on pages of one document that arrive together one
+    stays, of those on one page the first; a null or empty text has no chunks."""
+    chunks = chunking.chunk_rows(pages, strategy, size, min_size)
+    return chunks.withColumn("content_key", F.unhex(chunking.content_key(F.col("content")))).dropDuplicates(["doc_id", "content_key"])
+
+
+def ingest_pages(
+    pages: DataFrame,
+    store: str,
+    checkpoint: str,
+    strategy: str = "sentences",
+    size: int = chunking.SIZE,
+    min_size: int = chunking.MIN_SIZE,
+    partition_by: tuple[str, ...] = ("language",),
+) -> StreamingQuery:
+    """Start a query that chunks what the stream has now into the Parquet table
+    ``store``.  The observations ``read`` (pages) and ``written`` (chunks) are in
+    the query's progress."""
+    chunks = chunk_stream(pages.observe("read", F.count(F.lit(1)).alias("pages")), strategy, size, min_size)
+    chunks = chunks.observe("written", F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("characters"))
+    writer = chunks.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint)
+    return writer.partitionBy(*partition_by).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from jobs import catalog as job_catalog
 from quillspark.plans import catalog
 
 from .conftest import ROOT
@@ -25,6 +26,7 @@ def test_imports_without_the_subpackage(tmp_path):
     code = (
         "import sys, shutil, os\n"
         f"shutil.copytree({ROOT!r} + '/quillspark', 'quillspark', ignore=shutil.ignore_patterns('llm', '__pycache__'))\n"
+        f"shutil.copytree({ROOT!r} + '/jobs', 'jobs')\n"
         f"shutil.copy({ROOT!r} + '/__spark_entry__.py', '.')\n"
         "sys.path.insert(0, os.getcwd())\n"
         "import __spark_entry__ as e\n"
@@ -48,9 +50,9 @@ def tables():
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql() | job_catalog.oracle_sql()))
 def test_query_equals_its_sql(spark, tables, name):
-    got = catalog.queries()[name](spark, SF)
+    got = (catalog.queries() | job_catalog.queries())[name](spark, SF)
     columns = sorted(got.columns)
-    want = tables.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    want = tables.execute(f"SELECT {', '.join(columns)} FROM ({(catalog.oracle_sql() | job_catalog.oracle_sql())[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want))
