@@ -113,31 +113,40 @@ def _letters(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit(f"[{letters}{P.BENGALI}]")) for letters in ("", "a-zA-Z")]
 
 
+def _rest(c: Column, detector: Callable[[Column], Column] | None) -> Column:
+    """The language of what is neither Bengali nor mixed.  It stands outside the
+    rules' lambdas, where Spark allows no Python function."""
+    return F.lit("en") if detector is None else F.coalesce(detector(c), F.lit("en"))
+
+
 def chunk_language(c: str | Column, detector: Callable[[Column], Column] | None = None) -> Column:
     """By the share of Bengali letters.  ``detector`` names the language of texts
-    that are neither Bengali nor mixed; without one they count as English."""
-    def rule(text: Column, bengali: Column, letters: Column) -> Column:
+    that are neither Bengali nor mixed (``operators.language.Detector`` is one);
+    without one they count as English."""
+    def rule(text: Column, rest: Column, bengali: Column, letters: Column) -> Column:
         return (
             F.when((F.length(strip(text)) < 10) | (letters == 0), "unknown")
             .when(bengali / letters > 0.7, "bn")
             .when(bengali / letters > 0.3, "mixed")
-            .otherwise("en" if detector is None else F.coalesce(detector(text), F.lit("en")))
+            .otherwise(rest)
         )
 
-    return let([text_of(c)], lambda text: let([text, *_letters(text)], rule))
+    text = text_of(c)
+    return let([text, _rest(text, detector)], lambda text, rest: let([text, rest, *_letters(text)], rule))
 
 
 def query_language(c: str | Column, detector: Callable[[Column], Column] | None = None) -> Column:
-    def rule(text: Column, lowered: Column, bengali: Column, letters: Column) -> Column:
+    def rule(text: Column, rest: Column, lowered: Column, bengali: Column, letters: Column) -> Column:
         keyed = count_contained(lowered, P.QUERY_BENGALI) > count_contained(lowered, P.QUERY_ENGLISH)
         return (
             F.when((F.length(strip(text)) < 3) | (letters == 0), "en")
             .when((bengali / letters > 0.5) | keyed, "bn")
             .when(bengali / letters > 0.2, "mixed")
-            .otherwise("en" if detector is None else F.coalesce(detector(text), F.lit("en")))
+            .otherwise(rest)
         )
 
-    return let([text_of(c)], lambda text: let([text, F.lower(text), *_letters(text)], rule))
+    text = text_of(c)
+    return let([text, _rest(text, detector)], lambda text, rest: let([text, rest, F.lower(text), *_letters(text)], rule))
 
 
 def content_type(c: str | Column) -> Column:
