@@ -6,6 +6,8 @@ document never leaves its task and never crosses into Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,14 +109,22 @@ def _split_chunks(text: Column, page: Column, base: Column, language: Column, ki
     )
 
 
-def sentence_chunks(text: Column, page: Column, size: int = SIZE, min_size: int = MIN_SIZE) -> Column:
-    def chunks(t: Column, language: Column) -> Column:
+def sentence_chunks(text: Column, page: Column, size: int = SIZE, min_size: int = MIN_SIZE, english: Callable[[Column], Column] | None = None) -> Column:
+    """``english`` gives the sentences of English text (``boundaries.Boundaries``
+    is one); without one the pattern does."""
+
+    def chunks(t: Column, language: Column, own: Column | None = None) -> Column:
+        parts = sentences(t, language)
+        if own is not None:
+            parts = F.when((language == "en") & (F.size(own) > 0), own).otherwise(parts)
         return F.transform(
-            sentence_windows(sentences(t, language), size, min_size),
+            sentence_windows(parts, size, min_size),
             lambda c, k: _chunk(c, k, _label(page, "sent", k), language, T.content_type(c)),
         )
 
-    return T.let([text], lambda t: T.let([t, T.chunk_language(t)], chunks))
+    if english is None:
+        return T.let([text], lambda t: T.let([t, T.chunk_language(t)], chunks))
+    return T.let([text, T.chunk_language(text), english(text)], chunks)
 
 
 def paragraph_chunks(text: Column, page: Column, size: int = SIZE, min_size: int = MIN_SIZE, separator: str | None = None) -> Column:
