@@ -121,7 +121,9 @@ def encode_or_null(df: DataFrame, embedder: Embedder, text_col: str, out: str, p
                     found[i] = vector
             yield pd.Series(found, dtype=object)
 
-    return df.withColumn(out, run(T.embed_input(text_col) if prefix else T.text_of(text_col)))
+    # So declared, it isn't run once more for a filter on its result.
+    once = run.asNondeterministic()
+    return df.withColumn(out, once(T.embed_input(text_col) if prefix else T.text_of(text_col)))
 
 
 def _zeros(embedder: Embedder) -> Column:

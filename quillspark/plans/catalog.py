@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import answering, boundaries, chunking, documents, embedding, evaluation, language, memory, search
-from ..sources import files
+from ..sources import changing, files
 from ..sources import store as stores
 from . import engine
 from .chunk_sql import CHUNK, ChunkSql
@@ -693,6 +693,29 @@ Q["store_append"] = (
     "l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY o DESC) = 1) SELECT text, count(*) AS n FROM l GROUP BY 1",
 )
 
+
+
+def _store_changes(s: SparkSession, d: str) -> DataFrame:
+    """A store on disk after an append, an update, a deletion and a compaction."""
+    store = changing.ChangingStore(s, stores.session_folder(s, "store"))
+    store.create(_store(s, d))
+    store.append(_store(s, d).where("pos % 5 = 0").withColumn("chunk_id", F.concat(F.lit("more_"), "pos")))
+    number = F.regexp_extract("chunk_id", "\\d+", 0).cast("int")
+    changes = store.read().where(number % 4 == 0).select("chunk_id").distinct().select("chunk_id", F.concat(F.lit("new "), "chunk_id").alias("text"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit(None).cast("array<float>").alias("vector"))
+    store.update(changes)
+    store.delete(store.read().where(number % 7 == 0))
+    store.compact()
+    rows = store.read()
+    return rows.groupBy("chunk_id", "text").agg(F.count("*").alias("n"), F.round(F.sum(F.col("vector")[0].cast("double")), 5).alias("first"), F.max(F.col("metadata")["label"]).alias("label"))
+
+
+Q["store_changes"] = (
+    _store_changes,
+    f"WITH {_STORE.replace('label FROM', 'label, embedding[1]::DOUBLE AS e FROM')}, g AS (SELECT * FROM st UNION ALL SELECT pos, 'more_' || pos, text, label, e FROM st WHERE pos % 5 = 0), "
+    "k AS (SELECT *, regexp_extract(chunk_id, '[0-9]+')::INT AS i FROM g) "
+    "SELECT chunk_id, CASE WHEN i % 4 = 0 THEN 'new ' || chunk_id ELSE text END AS text, count(*) AS n, round(sum(e), 5) AS first, max(label::VARCHAR) AS label FROM k WHERE i % 7 <> 0 GROUP BY 1, 2",
+)
+
 # --- answering and memory -----------------------------------------------------
 
 

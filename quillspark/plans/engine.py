@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answering, chunking, embedding, evaluation, memory, search
+from ..sources import changing
 from ..sources import store as stores
 
 
@@ -27,6 +28,7 @@ class Config:
     index_type: str = "flat"
     cells: int = 32
     probes: int = 4
+    parts: int = 8
 
     @classmethod
     def load(cls, path: str | None = None, prefix: str = "QUILL_") -> Config:
@@ -58,6 +60,7 @@ class Engine:
         self.embedder = embedder or embedding.HashingEmbedder()
         self.generator = generator or answering.ExtractiveGenerator()
         self.store: DataFrame | None = None
+        self.path: str | None = None
         self.centroids = None
         self.asked, self.since = 0, time.time()
         self._old = spark.createDataFrame([], _TURNS)
@@ -92,33 +95,78 @@ class Engine:
 
     def _keep(self, rows: DataFrame, path: str | None) -> DataFrame:
         path = path or stores.session_folder(self.spark, "store")
-        self.store, self.centroids, before = rows, None, (self.store, self.centroids)
+        self.store, self.centroids, self.path, before = rows, None, None, (self.store, self.centroids, self.path)
         try:
             if self.config.index_type == "ivf":
                 self.store, self.centroids = search.build_ivf(rows, self.config.cells, "vector", metric=self.config.metric)
             self.save(path)
             self.load(path)
         except Exception:
-            self.store, self.centroids = before
+            self.store, self.centroids, self.path = before
             raise
         return self.store
 
+    def _place(self):
+        return changing.hashed(self.config.parts) if self.centroids is None else changing.by_cell(self.centroids, self.config.metric)
+
+    def _table(self, path: str) -> changing.ChangingStore:
+        return changing.ChangingStore(self.spark, f"{path}/vectors", self._place())
+
     def save(self, path: str) -> None:
-        by = None if self.centroids is None else "cell"
         kind = "flat" if self.centroids is None else "ivf"
         if self.centroids is not None:
             stores.save_centroids(self.spark, self.centroids, path)
-        stores.save_store(self.store, path, by, metric=self.config.metric, index_type=kind, dimension=self.embedder.dimension, model=self.embedder.name)
+        self._table(path).create(self.store)
+        stores.save_settings(self.spark, path, metric=self.config.metric, index_type=kind, dimension=self.embedder.dimension, model=self.embedder.name, parts=self.config.parts)
 
     def load(self, path: str) -> bool:
-        self.store = stores.load_store(self.spark, path, metric=self.config.metric, dimension=self.embedder.dimension, index_type=self.config.index_type)
-        by_cell = self.store is not None and "cell" in self.store.columns
-        self.centroids = stores.load_centroids(self.spark, path) if by_cell else None
-        return self.store is not None
+        """Open the store at ``path``; further changes are made there."""
+        settings = stores.load_settings(self.spark, path, metric=self.config.metric, dimension=self.embedder.dimension, index_type=self.config.index_type)
+        if settings is None:
+            self.store = self.path = None
+            return False
+        self.config = replace(self.config, parts=int(settings["parts"] or self.config.parts))
+        self.centroids = stores.load_centroids(self.spark, path) if settings["index_type"] == "ivf" else None
+        self.path = path
+        self._reopen()
+        return True
+
+    def _reopen(self) -> None:
+        rows = self._table(self.path).read()
+        self.store = rows.drop("part") if self.centroids is None else rows.withColumnRenamed("part", "cell")
+
+    def _changed(self, change) -> None:
+        if self.path is None:
+            raise RuntimeError("no store: build or load one first")
+        change(self._table(self.path))
+        self._reopen()
+
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        """Rows with a vector: the given one, or else their text's."""
+        rows = rows if "metadata" in rows.columns else rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        return rows if "vector" in rows.columns else embedding.encode(rows, self.embedder, "text", "vector")
+
+    def add(self, rows: DataFrame) -> None:
+        """Append rows (chunk_id, text, and where there are: metadata, vector) to
+        the store on disk.  Without vectors their texts are embedded."""
+        self._changed(lambda table: table.append(self._embedded(rows)))
+
+    def update(self, changes: DataFrame) -> None:
+        """Text, metadata and vector of ids, on disk; see ``ChangingStore``."""
+        self._changed(lambda table: table.update(self._embedded(changes)))
+
+    def delete(self, ids: DataFrame) -> None:
+        """Remove ids (chunk_id) from the store on disk."""
+        self._changed(lambda table: table.delete(ids))
+
+    def compact(self) -> None:
+        self._changed(lambda table: table.compact())
 
     def clear(self) -> None:
-        """An empty store, in memory; files that were saved stay."""
-        if self.store is not None:
+        """Remove all rows of the store, on disk."""
+        if self.path is not None:
+            self._changed(lambda table: table.clear())
+        elif self.store is not None:
             self.store = self.spark.createDataFrame([], self.store.schema)
 
     def _searched(self, queries: DataFrame, text_col: str, k: int, threshold: float | None, c: Config) -> tuple[DataFrame, DataFrame]:

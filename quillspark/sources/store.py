@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embedding
 
-SETTINGS = ("dimension", "index_type", "metric", "model")
+SETTINGS = ("dimension", "index_type", "metric", "model", "parts")
 
 
 def session_folder(spark: SparkSession, label: str) -> str:
@@ -100,29 +100,43 @@ class EmbeddingCache:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def save_store(store: DataFrame, path: str, partition_by: str | None = None, **settings) -> None:
-    """``partition_by="cell"`` lets a search read only the cells it probes."""
+def save_settings(spark: SparkSession, path: str, **settings) -> None:
     unknown = set(settings) - set(SETTINGS)
     if unknown:
         raise ValueError(f"unknown settings: {sorted(unknown)}")
-    writer = store.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/vectors")
     row = [tuple(str(settings[k]) if k in settings else None for k in SETTINGS)]
-    store.sparkSession.createDataFrame(row, ", ".join(f"{k} string" for k in SETTINGS)).write.mode("overwrite").parquet(f"{path}/settings")
+    spark.createDataFrame(row, ", ".join(f"{k} string" for k in SETTINGS)).write.mode("overwrite").parquet(f"{path}/settings")
 
 
-def load_store(spark: SparkSession, path: str, **expected) -> DataFrame | None:
-    """The store, or None where there is none.  Other settings than expected
-    only warn."""
+def load_settings(spark: SparkSession, path: str, **expected) -> dict | None:
+    """The settings of the store at ``path``, or None where there is none.
+    Others than expected only warn."""
     try:
-        settings = spark.read.parquet(f"{path}/settings").first()
-        store = spark.read.parquet(f"{path}/vectors")
+        found = spark.read.parquet(f"{path}/settings").first()
     except AnalysisException:
         return None
+    settings = dict.fromkeys(SETTINGS) | found.asDict()
     for k, v in expected.items():
         if settings[k] is not None and settings[k] != str(v):
-            warnings.warn(f"store has {k} {settings[k]}, not {v}", stacklevel=2)
-    return store
+            warnings.warn(f"store has {k} {settings[k]}, not {v}", stacklevel=3)
+    return settings
+
+
+def save_store(store: DataFrame, path: str, partition_by: str | None = None, **settings) -> None:
+    """A store that stays as it is; see ``changing`` for one that doesn't."""
+    writer = store.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/vectors")
+    save_settings(store.sparkSession, path, **settings)
+
+
+def load_store(spark: SparkSession, path: str, **expected) -> DataFrame | None:
+    """The store, or None where there is none."""
+    if load_settings(spark, path, **expected) is None:
+        return None
+    try:
+        return spark.read.parquet(f"{path}/vectors")
+    except AnalysisException:
+        return None
 
 
 def open_or_create(spark: SparkSession, path: str, schema, **settings) -> DataFrame:
