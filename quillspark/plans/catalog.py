@@ -745,6 +745,11 @@ Q["recent_memory"] = (
     f"WITH {_MESSAGES} SELECT conv_id, chr(10) || chr(10) || 'Recent conversation:' || chr(10) || "
     "string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS memory FROM m WHERE r <= 4 GROUP BY 1",
 )
+Q["memory_by_turn"] = (
+    lambda s, d: memory.memory_by_turn(_read(s, d, "conversations")),
+    f"WITH {_MESSAGES}, l AS (SELECT *, string_agg(CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS lines FROM m) "
+    "SELECT conv_id, turn, text, coalesce(chr(10) || chr(10) || 'Recent conversation:' || chr(10) || lines, '') AS memory FROM l WHERE role = 'user'",
+)
 Q["clear_memory"] = (
     lambda s, d: memory.clear_memory(_read(s, d, "conversations"), _read(s, d, "conversations").where("role = 'system'")).select("conv_id", "turn"),
     "SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')",
