@@ -14,6 +14,7 @@ from ..functions import text as T
 
 NOT_FOUND = "No matching passage was found."
 FAILED = "The question could not be answered because of an error."
+TIMED_OUT = "The question took too long and was given up."
 PROMPT = "Answer briefly from the passage alone.\n\nPassage:\n{context}\n\nQuestion: {question}\nAnswer:"
 
 

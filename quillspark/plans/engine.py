@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
+import uuid
+from concurrent.futures import Future
 from dataclasses import asdict, dataclass, fields, replace
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ class Config:
     cells: int = 32
     probes: int = 4
     parts: int = 8
+    timeout_s: float = 60.0
 
     @classmethod
     def load(cls, path: str | None = None, prefix: str = "QUILL_") -> Config:
@@ -45,6 +50,7 @@ class Config:
 
 #: Turns of this session that are held on the driver before they go to a table.
 HELD_TURNS = 1_000
+TIMED_OUT = object()
 _TURNS = "conv_id bigint, turn bigint, role string, text string"
 _META = ("doc_id", "source_page", "language", "content_type", "word_count", "char_count")
 
@@ -93,6 +99,25 @@ class Engine:
         """Build anew, beside the present store, which serves until then."""
         return self.build(pages)
 
+    def rebuild_in_background(self, pages: DataFrame) -> Future:
+        """Build anew in another thread, in a folder of its own.  Questions are
+        answered from the present store until the new one is whole, which then
+        takes its place at once; if it fails, the present one stays and the
+        future has the error."""
+        done: Future = Future()
+
+        def run() -> None:
+            try:
+                other = Engine(self.spark, self.config, self.embedder, self.generator)
+                other.build(pages)
+                self.__dict__.update(store=other.store, centroids=other.centroids, path=other.path, config=other.config)
+                done.set_result(self.store)
+            except BaseException as error:
+                done.set_exception(error)
+
+        InheritableThread(target=run, daemon=True).start()
+        return done
+
     def _keep(self, rows: DataFrame, path: str | None) -> DataFrame:
         path = path or stores.session_folder(self.spark, "store")
         self.store, self.centroids, self.path, before = rows, None, None, (self.store, self.centroids, self.path)
@@ -210,20 +235,58 @@ class Engine:
         out = answering.answer(rows, self.generator, c.semantics)
         return out if include_sources else out.drop("context", "sources")
 
-    def ask(self, question: str, conv_id: int | None = None, **overrides) -> dict:
+    def ask(self, question: str, conv_id: int | None = None, timeout: float | None = None, **overrides) -> dict:
         """One answer, with the time it took.  In a conversation the last turns
-        join the prompt, and an answer that was found joins the conversation."""
+        join the prompt, and an answer that was found joins the conversation.
+        After ``timeout`` seconds (else the config's; 0 for none) its Spark jobs
+        are cancelled and a row with ``model_used`` "timeout" comes back."""
         began = time.time()
         row = [(0, question, conv_id)]
         asked = self.spark.createDataFrame(row, "query_id bigint, question string, conv_id bigint")
-        got = self.ask_batch(asked, **overrides).first()
+        limit = self.config.timeout_s if timeout is None else timeout
+        got = self._within(limit, lambda: self.ask_batch(asked, **overrides).first())
         if got is None:
             raise ValueError("a question has 1 to 1000 characters")
         self.asked += 1
-        if conv_id is not None and got["model_used"] not in ("none", "error"):
-            self.remember(conv_id, question, got["answer"])
+        if got is TIMED_OUT:
+            answer = {"query_id": 0, "question": question, "conv_id": conv_id, "answer": answering.TIMED_OUT, "model_used": "timeout", "confidence": 0.0, "n_sources": 0, "sources": []}
+        else:
+            answer = got.asDict()
+            if conv_id is not None and got["model_used"] not in ("none", "error"):
+                self.remember(conv_id, question, got["answer"])
         now = time.time()
-        return got.asDict() | {"response_time_ms": int(1000 * (now - began)), "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S", time.localtime(now))}
+        return answer | {"response_time_ms": int(1000 * (now - began)), "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S", time.localtime(now))}
+
+    def _within(self, seconds: float, work):
+        """What ``work`` gives, or TIMED_OUT; then none of its jobs goes on."""
+        if seconds <= 0:
+            return work()
+        sc, tag, out = self.spark.sparkContext, f"quillspark-{uuid.uuid4().hex}", {}
+        expired = threading.Event()
+
+        def run() -> None:
+            sc.addJobTag(tag)
+            sc.setInterruptOnCancel(True)  # a worker that waits for a model is ended too
+            try:
+                if not expired.is_set():
+                    out["got"] = work()
+            except BaseException as error:  # handed on below
+                out["error"] = error
+            finally:
+                sc.removeJobTag(tag)
+
+        thread = InheritableThread(target=run, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if thread.is_alive():
+            expired.set()
+            while thread.is_alive():  # a job that starts between two cancellations ends by the next
+                sc.cancelJobsWithTag(tag)
+                thread.join(0.2)
+            return TIMED_OUT
+        if "error" in out:
+            raise out["error"]
+        return out["got"]
 
     def remember(self, conv_id: int, question: str, answer: str) -> None:
         held = [turn for conv, turn, _, _ in self._held if conv == conv_id]
