@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import encoding
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import answering, boundaries, chunking, documents, embedding, evaluation, language, memory, search
@@ -121,6 +122,33 @@ def _sql_normalize(x: str) -> str:
 _text_query("normalize_text", {"norm": (T.normalize, _sql_normalize("x"))})
 _text_query("clean_ocr", {"norm": (T.clean_ocr, T.sql_rewrite(_sql_normalize("x"), P.OCR))})
 
+#: Texts as they look once their bytes were read in the wrong table, also twice.
+BROKEN_SAMPLES = [
+    (-101, "nadÄ«'s cafÃ© costs 5â‚¬ â€” donâ€™t ask"),
+    (-102, "à¦¨à¦¦à§€ à¦œà¦²"),
+    (-103, "naÃƒÂ¯ve"),
+    (-104, "MÃ¼ller ðŸ˜€"),
+    (-105, "NÃO, Âge, „Ü“ and Ø"),
+    (-106, "à\u00a0 lone â and Ã at the end Ã"),
+]
+
+
+def _repaired(s: SparkSession, d: str) -> DataFrame:
+    own = s.createDataFrame(BROKEN_SAMPLES, "doc_id bigint, text string")
+    rows = _texts(s, d).unionByName(own)
+    # The documents once more, broken by the reader that takes bytes for Latin-1.
+    broken = _read(s, d, "documents").select((-1000 - F.col("doc_id")).alias("doc_id"), F.decode(F.encode(T.text_of("text"), "UTF-8"), "ISO-8859-1").alias("text"))
+    return rows.unionByName(broken).select("doc_id", encoding.repair_encoding("text").alias("norm"))
+
+
+_MADE = "list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: chr(('0x' || b)::INT))"
+Q["repair_encoding"] = (
+    _repaired,
+    f"WITH {TEXTS}, b AS (SELECT * FROM t UNION ALL SELECT * FROM (VALUES {_values(BROKEN_SAMPLES)}) AS v(doc_id, x) "
+    f"UNION ALL SELECT -1000 - doc_id, array_to_string({_MADE}, '') FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)) "
+    f"SELECT doc_id, {encoding.sql_repair('x')} AS norm FROM b",
+)
+
 # --- classification -----------------------------------------------------------
 
 _text_query(
