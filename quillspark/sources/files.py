@@ -58,14 +58,17 @@ def read_pdf_pages(
     """path, page_number, text, tables, bbox, extraction_method of every PDF under
     ``path``.
     Pages of under ``least`` characters are given to ``scanner`` (the file, the
-    page number), whose text is taken if it is longer.  A file is read whole by
-    one task, so its size is bounded by a task's memory."""
+    page number), whose text is taken if it is longer; if it fails, the page's own
+    stays.  A file is read whole by one task; ``pdf.read_pages`` divides it."""
     readers = readers if isinstance(readers, tuple) else (readers,)
 
     def scanned(data: bytes, page: Page) -> Page:
         if scanner is None or len(page[1].strip()) >= least:
             return page
-        found = scanner(data, page[0]) or ""
+        try:
+            found = scanner(data, page[0]) or ""
+        except Exception:  # whatever a plugged-in scanner raises; the page keeps what it has
+            return page
         return (page[0], found, "ocr_fallback", *page[3:]) if len(found.strip()) > len(page[1].strip()) else page
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
