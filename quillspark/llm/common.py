@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,21 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"can't rename to {path}")
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that wasn't there; False if it was.  Of several that try at
+    once, one succeeds."""
+    files, target = _file_system(spark, path)
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in str(error.java_exception.getClass().getName()):
+            raise
+        return False
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     files, target = _file_system(spark, path)
     stream = files.open(target)

@@ -10,8 +10,8 @@ distinct fingerprints.  A batch of documents becomes a run of its own;
 fingerprints that repeat within it, or that a merge join finds in an older run,
 become candidates.  Runs of one level are compacted by a merge of the sorted
 buckets, without a shuffle, so a corpus of n batches keeps about log n runs.  A
-manifest names the runs that count: one written aside or left by a crash isn't
-in it, and goes when the index is opened again.
+manifest names the runs that count: one left by a crash isn't in it, and goes
+when the index is opened again; a batch that fails is taken back.
 
 With ``digests`` a run has each distinct window, as the fingerprint (64 bits) and
 a digest of all its words (64 more).  Such an index lasts: ``dedup_batch`` judges
@@ -43,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -52,6 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
+    create_text,
     delete_path,
     fresh_path,
     hashed_words,
@@ -146,54 +148,91 @@ def windows(docs: DataFrame, text_col: str) -> DataFrame:
     return map_batches(docs.select(text_col), run, "fp bigint, digest bigint, n bigint")
 
 
+_RUN, _MANIFEST = re.compile(r"quillspark_run_[0-9a-f]{32}"), re.compile(r"manifest-[0-9]{12}\.json(\.part)?")
+_OWNER = "owner"
+
+
 class RunIndex:
     """Log-structured index of fingerprints, with or without ``digests``, in a
     folder that all executors share: ``path``, which is opened or made and lasts,
-    or else one for this session."""
+    or else one for this session.
+
+    A lasting index is open once at a time: its folder names the owner until
+    ``close``.  After a crash ``take_over=True`` opens it all the same; the one
+    that had it can commit no more.  A folder with anything else in it is no
+    index and is left alone, and only what the index has written is ever deleted.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, digests: bool = False, fan_in: int = 2):
+    def __init__(self, spark: SparkSession, path: str | None = None, digests: bool = False, fan_in: int = 2, take_over: bool = False):
         self.spark, self.fan_in, self.lasting = spark, fan_in, path is not None
         self.path = (path or fresh_path(spark, "runs")).rstrip("/")
         self.keys = ["fp", "digest"] if digests else ["fp"]
         self.runs: list[tuple[int, str]] = []  # (level, table), in order of arrival
-        self.version = 0
-        self._open()
-
-    def _open(self) -> None:
-        manifests = [x for x in list_names(self.spark, self.path) if x.startswith("manifest-") and x.endswith(".json")]
-        if manifests:
-            found = json.loads(read_text(self.spark, f"{self.path}/{manifests[-1]}"))
-            if found["keys"] != self.keys:
-                raise ValueError(f"the index at {self.path} has {found['keys']}, not {self.keys}")
+        self.committed: list[tuple[int, str]] = []
+        self.version, self.token = 0, uuid.uuid4().hex
+        self._open(take_over)
+
+    def _open(self, take_over: bool) -> None:
+        names = list_names(self.spark, self.path)
+        manifests = [x for x in names if _MANIFEST.fullmatch(x) and x.endswith(".json")]
+        foreign = [x for x in names if not (x == _OWNER or _RUN.fullmatch(x) or _MANIFEST.fullmatch(x))]
+        if foreign:
+            raise ValueError(f"{self.path} is no index: it has {foreign[0]}")
+        found = json.loads(read_text(self.spark, f"{self.path}/{manifests[-1]}")) if manifests else None
+        if found and found["keys"] != self.keys:
+            raise ValueError(f"the index at {self.path} has {found['keys']}, not {self.keys}")
+        self.buckets = found["runs"][0][2] if found and found["runs"] else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.lasting:
+            if _OWNER in names and take_over:
+                delete_path(self.spark, f"{self.path}/{_OWNER}")
+            if not create_text(self.spark, f"{self.path}/{_OWNER}", self.token):
+                raise RuntimeError(f"the index at {self.path} is open; after a crash, open it with take_over=True")
+        if found:
             self.version = found["version"]
-            for level, name, buckets in found["runs"]:
-                fields = ", ".join(f"{k} bigint" for k in self.keys)
-                self.spark.sql(
-                    f"CREATE TABLE IF NOT EXISTS {name} ({fields}, many boolean) USING parquet "
-                    f"CLUSTERED BY (fp) SORTED BY ({', '.join(self.keys)}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'"
-                )
+            for level, name, _ in found["runs"]:
+                self._register(name)
                 self.runs.append((level, name))
-            self.buckets = found["runs"][0][2] if found["runs"] else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        else:
-            self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.committed = list(self.runs)
         self._sweep()
 
+    def _register(self, name: str) -> None:
+        fields = ", ".join(f"{k} bigint" for k in self.keys)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({fields}, many boolean) USING parquet "
+            f"CLUSTERED BY (fp) SORTED BY ({', '.join(self.keys)}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
+        )
+
+    def _owned(self) -> bool:
+        return not self.lasting or (_OWNER in list_names(self.spark, self.path) and read_text(self.spark, f"{self.path}/{_OWNER}") == self.token)
+
     def _sweep(self) -> None:
-        """Delete what the manifest doesn't name: the remains of a crash."""
+        """Delete runs and manifests that the present manifest doesn't name: what
+        a crash left, or a commit has made obsolete."""
         kept = {name for _, name in self.runs} | {self._manifest()}
         for name in list_names(self.spark, self.path):
-            if name not in kept:
+            if name not in kept and (_RUN.fullmatch(name) or _MANIFEST.fullmatch(name)):
                 delete_path(self.spark, f"{self.path}/{name}")
 
+    def rollback(self) -> None:
+        """Take back what was added since the last commit (of a lasting index)."""
+        for run in [r for r in self.runs if r not in self.committed]:
+            self._forget(run, self._owned())
+        for _, name in self.committed:
+            self._register(name)
+        self.runs = list(self.committed)
+
     def _manifest(self) -> str:
         return f"manifest-{self.version:012d}.json"
 
     def commit(self) -> None:
         """From here on the index has the runs that it has now."""
         if self.lasting:
+            if not self._owned():
+                raise RuntimeError(f"the index at {self.path} was taken over")
             self.version += 1
             runs = [(level, name, self.buckets) for level, name in self.runs]
             write_text(self.spark, f"{self.path}/{self._manifest()}", json.dumps({"version": self.version, "keys": self.keys, "runs": runs}))
+            self.committed = list(self.runs)
             self._sweep()
 
     def _write(self, run: DataFrame) -> str:
@@ -236,11 +275,14 @@ class RunIndex:
             delete_path(self.spark, f"{self.path}/{run[1]}")
 
     def close(self) -> None:
-        """Let go of the runs' tables.  A lasting index keeps its files."""
+        """Let go of the runs' tables.  A lasting index keeps its files, and what
+        isn't committed is swept when it is opened again."""
         for run in list(self.runs):
             self._forget(run, False)
         if not self.lasting:
             delete_path(self.spark, self.path)
+        elif self._owned():
+            delete_path(self.spark, f"{self.path}/{_OWNER}")
 
 
 def _first(fp, digest, doc, start) -> tuple[np.ndarray, np.ndarray]:
@@ -534,15 +576,20 @@ def dedup_batch(
     """doc_id, n_words, n_removed, text (what is left) of each document of a new
     batch.  All batches that the index has (with ``digests``) count as earlier,
     whatever their ids.  The batch counts once its result is written: after a
-    failure before that, it can be given again."""
+    failure before that, it is taken back and can be given again."""
     if "digest" not in index.keys:
         raise ValueError("the index has no digests of windows")
     docs = _prepared(docs, id_col, text_col)
-    found, old = index.add(docs, "text")
-    candidates = materialize(found.select("fp").distinct(), "candidates")
-    removed = removed_words(docs, candidates, max_broadcast_keys, 1 + docs.count() // docs_per_salt, old)
-    out = materialize(strip_words(docs, removed), "batch")
-    index.commit()
+    try:
+        found, old = index.add(docs, "text")
+        candidates = materialize(found.select("fp").distinct(), "candidates")
+        removed = removed_words(docs, candidates, max_broadcast_keys, 1 + docs.count() // docs_per_salt, old)
+        out = materialize(strip_words(docs, removed), "batch")
+        index.commit()
+    except BaseException:
+        if index.lasting:
+            index.rollback()
+        raise
     return out
 
 
@@ -579,3 +626,16 @@ def dedup_substrings(
 def op6_fingerprint_runs(spark, sf_dir: str) -> DataFrame:
     got = dedup_substrings(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: A window is known by a digest of its words.
+OP6_SQL = rf"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i AS start, sha256(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS k FROM t, unnest(range(1, len(w) - {WINDOW - 2})) AS u(i)),
+late AS (SELECT doc_id, start FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, start) > 1),
+gone AS (SELECT DISTINCT doc_id, start + j AS i FROM late, range(0, {WINDOW}) AS r(j)),
+each AS (SELECT doc_id, i, w[i] AS word FROM t, unnest(range(1, len(w) + 1)) AS u(i)),
+kept AS (SELECT * FROM each ANTI JOIN gone USING (doc_id, i)),
+text AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS s FROM kept GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN text USING (doc_id)
+"""
