@@ -26,5 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.OP1_SQL,
         "op4_host_quality": quality.OP4_SQL,
+        "op6_fingerprint_runs": substrings.OP6_SQL,
+        "op9_sketch_neardup": neardup.OP9_SQL,
         "op12_phrase_growth": phrases.OP12_SQL,
     }

@@ -60,7 +60,7 @@ BANDS = 36
 MISS = 1e-6
 BLOCK = 1_500  # members of a bucket a task
 BLOCK_SHINGLES = 4_000_000
-CELL = 500  # texts a task, of stars and of small units
+CELL, CELL_SHINGLES = 500, 1_000_000  # texts, and their shingles, a task, of stars and of small units
 SKETCH_CELL = 4_000  # sketches of small buckets that share a task
 JUMPS = 3  # of the stars' pointers
 SKETCH_MARGIN = 5.0  # standard deviations below the threshold that still get confirmed
@@ -208,14 +208,15 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, n: int, block: i
     pairs = materialize(pairs, "near-pairs")
     size = pairs.groupBy("b").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / min(block, CELL)), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    size = size.select("b", blocks.alias("blocks"))
-    members = pairs.join(size, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("part"))
-    hubs = size.select(F.col("b").alias("node"), F.col("b").alias("hub"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    size = size.select("b", blocks.alias("blocks"), F.ceil(F.col("shingles") / F.col("members")).alias("mean"))
+    members = pairs.join(size, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("part"), "n_shingles")
+    # Partners are about as long as their hub.
+    hubs = size.select(F.col("b").alias("node"), F.col("b").alias("hub"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("mean").alias("n_shingles"))
     placed = materialize(members.unionByName(hubs), "near-groups")
-    texts = placed.count()
+    texts, held = placed.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     report["texts"] = texts
-    # Small groups share a task.
-    cells = max(1, texts // CELL)
+    # Small groups share a task, of so many texts and so many shingles.
+    cells = max(1, texts // CELL, held // CELL_SHINGLES)
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hub"), F.lit(cells))).otherwise(F.xxhash64("hub", "part"))
     all_texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     joined = join_bounded(all_texts, placed, "node", "inner", MAX_BROADCAST_ROWS).select("node", "hub", "part", "text", cell.alias("cell"))
@@ -368,7 +369,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, percent: int, n: int, t: int, blo
     size = size.select("unit", "component", "large").join(rest, "unit", "left")
     own = F.when(F.col("large") > 1, F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("large")))).otherwise(F.pmod(F.xxhash64("component"), F.col("small")))
     of = F.when(F.col("large") > 1, F.col("component"))
-    nodes = materialize(nodes.join(size, ["unit", "component"]).select("unit", "node", "component", own.alias("own"), of.alias("of")), "near-units")
+    nodes = materialize(nodes.join(size, ["unit", "component"]).select("unit", "node", "component", "n_shingles", own.alias("own"), of.alias("of")), "near-units")
     # Blocks of one large component have nothing to compare.
     blocks = materialize(nodes.select("unit", "own", "of").distinct(), "near-blocks")
     other = blocks.select("unit", F.col("own").alias("j"), F.col("of").alias("of_j"))
@@ -376,10 +377,10 @@ def _verify(docs: DataFrame, nodes: DataFrame, percent: int, n: int, t: int, blo
     meet = meet.select("unit", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
     single = blocks.groupBy("unit").agg((F.count("*") == 1).alias("single"))
     placed = materialize(nodes.drop("of").join(meet, ["unit", "own"]).join(single, "unit"), "near-groups")
-    texts = placed.count()
+    texts, held = placed.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     report["texts"] = report.get("texts", 0) + texts
-    cell = F.when(F.col("single"), F.pmod(F.xxhash64("unit"), F.lit(max(1, texts // CELL)))).otherwise(F.xxhash64("unit", "i", "j"))
-    placed = placed.withColumn("cell", cell).drop("single")
+    cell = F.when(F.col("single"), F.pmod(F.xxhash64("unit"), F.lit(max(1, texts // CELL, held // CELL_SHINGLES)))).otherwise(F.xxhash64("unit", "i", "j"))
+    placed = placed.withColumn("cell", cell).drop("single", "n_shingles")
     all_texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     joined = join_bounded(all_texts, placed, "node", "inner", MAX_BROADCAST_ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -451,3 +452,17 @@ def near_duplicates(
 
 def op9_sketch_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP9_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - {SHINGLE - 2}, 2) END), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ends AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS node FROM t UNION SELECT doc_id, b FROM reach JOIN ends ON a = node),
+least AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
+"""
