@@ -5,8 +5,11 @@ value in every credential context (an assignment to a credential-like name, an
 authorization header, the password of a URL) is scored by the guesses an
 attacker would need: dynamic programming over its characters finds the cheapest
 segmentation into ranked words, dates, repeats of a block, keyboard walks and
-brute-force spans.  Values at or above ``min_guesses`` (log10) become spans of kind
-``guess``; fixed-pattern spans always stay.
+brute-force spans.  Values that are written out, not code, a link or a sentence
+(``is_literal``), become spans of kind ``guess`` where these guesses (log10) are
+``min_guesses`` at least and ``MIN_PER_CHARACTER`` for each character: an
+expression's cost grows with its length, but it is made of words.  Fixed-pattern
+spans always stay.  A password that is easy to guess is no ``guess`` span.
 
 The word ranks come from the whole-word entries of a public tokenizer
 vocabulary, whose merge order follows frequency; its path is a parameter, and
@@ -60,7 +63,14 @@ CONTEXTS = (
     re.compile(r"(?<=[a-z0-9+.-]{2})://[^\s:/@]*:([^\s/@]{4,})@", re.IGNORECASE | re.ASCII),
 )
 MIN_VALUE = dict(zip(CONTEXTS, (6, 8, 4), strict=True))
-MIN_GUESSES = 12.0  # above placeholders and code that were measured, at most 11.3
+#: Set on one half of a labelled table (``tests/llm/secret_values.py``), which the
+#: other half measures.
+MIN_GUESSES, MIN_PER_CHARACTER = 12.0, 0.9
+#: What stands for a value: a call or an index of a name that has a path, is made of
+#: words, or of a letter or two; a template's variable, a link, a sentence of five words.
+_CALL = re.compile(r"([A-Za-z_][\w.:>-]*)\s*[(\[{]", re.ASCII)
+_CODE = re.compile(r"[$%#]?[({<].*|\$[A-Za-z_].*|[A-Za-z][A-Za-z0-9+.-]*://.*", re.ASCII | re.DOTALL)
+_PROSE = re.compile(r"(?:[A-Za-z\x80-\U0010ffff'’,.;:!?()-]+\s+){4,}[A-Za-z\x80-\U0010ffff'’,.;:!?()-]+", re.ASCII)
 
 #: Words of credentials and of what stands in for them: in these contexts they
 #: are guessed first, in this order.
@@ -187,6 +197,21 @@ def guess_cost(value: str, ranks: dict[str, int], known: dict[str, float] | None
     return best[n]
 
 
+def is_literal(value: str, ranks: dict[str, int], per_character: float = MIN_PER_CHARACTER) -> bool:
+    """Whether a value is written out, and not an expression, a link or prose."""
+    if _CODE.fullmatch(value) or _PROSE.fullmatch(value):
+        return False
+    name = call.group(1) if (call := _CALL.match(value)) else None
+    return name is None or (len(name) > 2 and not re.search(r"\w[.:>]", name) and guess_cost(name, ranks) >= per_character * len(name))
+
+
+def hard_to_guess(value: str, ranks: dict[str, int], min_guesses: float = MIN_GUESSES, per_character: float = MIN_PER_CHARACTER) -> bool:
+    if not is_literal(value, ranks, per_character):
+        return False
+    cost = guess_cost(value, ranks)
+    return cost >= min_guesses and cost >= per_character * len(value)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns' matches."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
@@ -204,7 +229,7 @@ def guess_spans(text: str, ranks: dict[str, int], min_guesses: float = MIN_GUESS
         while m:
             group = next(g for g in range(1, pattern.groups + 1) if m.group(g) is not None)
             short = m.end(group) - m.start(group) < MIN_VALUE[pattern]
-            if not short and guess_cost(m.group(group), ranks) >= min_guesses:
+            if not short and hard_to_guess(m.group(group), ranks, min_guesses):
                 spans.add((m.start(group), 3, m.end(group)))
             m = pattern.search(text, m.start() + 1 if short else m.end())
     return sorted(spans)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import components, decontaminate, licenses, linededup, neardup, packing, quality, secrets, sharding, substrings, toxicity
 
-from . import brute
+from . import brute, secret_values
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 VOCABULARY = [f"w{i}" for i in range(40)]
@@ -496,6 +496,37 @@ def test_ftrl_learns_one_coordinate():
     assert w[1] > 1 > -1 > w[0] and w[7] == 0
 
 
+@pytest.fixture(scope="module")
+def ranks():
+    import public_tokenizers
+
+    return secrets.word_ranks(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_secrets_are_told_from_code_links_and_prose(ranks, half):
+    """The first half set the thresholds, the second measures them."""
+    issued, harmless = secret_values.issued()[half::2], secret_values.HARMLESS[half::2]
+    assert len(issued) + len(harmless) > 120
+    missed = [v for v in issued if not secrets.hard_to_guess(v, ranks)]
+    alarms = [v for v in harmless if secrets.hard_to_guess(v, ranks)]
+    assert len(missed) <= 0.02 * len(issued) and len(alarms) <= 0.02 * len(harmless), (missed, alarms)
+
+
+def test_values_that_are_no_literals(ranks):
+    for v in (*secret_values.CODE[:5], *secret_values.LINKS, *secret_values.PROSE, "${X}", "<x>", "$TOKEN", "f(x)[0] and more", "f [1]", "a(b", "word " * 50_000 + "end"):
+        assert not secrets.is_literal(v, ranks), v
+    for v in ("MyP@ssw0rd2024!", "Zq7(v9Qx81mB7tLw", "correct horse battery staple", "k9$Vx(2", "-(", "1f(x)", "", "x" * 1_000, "word " * 50_000 + "9"):
+        assert secrets.is_literal(v, ranks), v
+
+
+def test_weak_passwords_are_base_spans_only(ranks):
+    text = "password: Summer2024!\nsecret = 'MyP@ssw0rd2024!'\ntoken = \"Zk3+v9Q/x81mB7tLw2pa\"\npassword = os.getenv(\"DB_PASSWORD\")"
+    kinds = [(text[s:e], k) for s, k, e in secrets.guess_spans(text, ranks)]
+    assert kinds == [("Zk3+v9Q/x81mB7tLw2pa", 3)]
+    assert len(secrets.base_spans(text)) == 3  # MyP is too short before the @
+
+
 # --- 6 ------------------------------------------------------------------------
 
 
@@ -567,7 +598,10 @@ def test_an_index_survives_a_crash(spark, tmp_path):
     assert substrings.dedup_batch(index, frame(spark, [(1, text)])).first()["n_removed"] == 0
     index.add(frame(spark, [(2, text + " more")]))  # and then the driver dies
     index.runs, before = [], set(os.listdir(path))
-    index = substrings.RunIndex(spark, path, digests=True)
+    with pytest.raises(RuntimeError, match="is open"):
+        substrings.RunIndex(spark, path, digests=True)
+    assert set(os.listdir(path)) == before
+    index = substrings.RunIndex(spark, path, digests=True, take_over=True)
     assert set(os.listdir(path)) < before and len(index.runs) == 1
     assert substrings.dedup_batch(index, frame(spark, [(2, text + " more")])).first()["n_removed"] == 40
     index.close()
@@ -577,6 +611,56 @@ def test_an_index_survives_a_crash(spark, tmp_path):
         substrings.dedup_batch(substrings.RunIndex(spark), frame(spark, [(2, text)]))
 
 
+def test_an_index_is_open_once(spark, tmp_path):
+    """A second opener is refused and touches nothing; who was taken over from
+    can commit no more."""
+    path, text = str(tmp_path / "index"), " ".join(f"k{i}" for i in range(40))
+    first = substrings.RunIndex(spark, path, digests=True)
+    first.add(frame(spark, [(1, text)]))
+    before = sorted(os.listdir(path))
+    with pytest.raises(RuntimeError, match="is open"):
+        substrings.RunIndex(spark, path, digests=True)
+    assert sorted(os.listdir(path)) == before
+    first.commit()
+    second = substrings.RunIndex(spark, path, digests=True, take_over=True)
+    with pytest.raises(RuntimeError, match="taken over"):
+        substrings.dedup_batch(first, frame(spark, [(2, "other " + text)]))
+    assert substrings.dedup_batch(second, frame(spark, [(3, text)])).first()["n_removed"] == 40
+    second.close()
+    assert "owner" not in os.listdir(path)
+
+
+def test_a_folder_of_other_files_is_left_alone(spark, tmp_path):
+    for name in ("part-0.parquet", "manifest-notes.json", "quillspark_run_1", "text.txt"):
+        (tmp_path / name).write_text("precious")
+    before = sorted(os.listdir(tmp_path))
+    for _ in range(2):
+        with pytest.raises(ValueError, match="no index"):
+            substrings.RunIndex(spark, str(tmp_path), digests=True)
+    assert sorted(os.listdir(tmp_path)) == before
+
+
+@pytest.mark.parametrize("at", ["removed_words", "strip_words"])
+def test_a_failed_batch_can_be_given_again(spark, tmp_path, monkeypatch, at):
+    """To the same object, after a failure, also one that follows a compaction."""
+    rng, seen = random.Random(41), []
+    index = substrings.RunIndex(spark, str(tmp_path / "index"), digests=True)
+    shared = prose(rng, 40, [f"p{i}" for i in range(500)])
+    for b in range(3):
+        rows = [(10 * b + i, prose(rng, 30, [f"q{i}" for i in range(900)]) + (shared if i else "")) for i in range(3)]
+        with monkeypatch.context() as broken:
+            broken.setattr(substrings, at, lambda *a, **k: 1 // 0)
+            for _ in range(2):
+                with pytest.raises(ZeroDivisionError):
+                    substrings.dedup_batch(index, frame(spark, rows))
+        out = substrings.dedup_batch(index, frame(spark, rows))
+        seen += rows
+        want = sorted((r for r in brute.substrings(seen) if r[0] >= 10 * b), key=repr)
+        assert got(out.withColumn("h", F.sha2("text", 256)), "doc_id", "n_words", "n_removed", "h") == want
+        assert sum(r[2] for r in want) >= 40
+    index.close()
+
+
 # --- 7 ------------------------------------------------------------------------
 
 
