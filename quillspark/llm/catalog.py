@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_sampled_sharding": sharding.op10_sampled_sharding,
         "op11_anchor_simhash": simhash.op11_anchor_simhash,
         "op12_phrase_growth": phrases.op12_phrase_growth,
+        "quality_by_ending": quality.quality_by_ending,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_fingerprint_runs": substrings.OP6_SQL,
         "op9_sketch_neardup": neardup.OP9_SQL,
         "op12_phrase_growth": phrases.OP12_SQL,
+        "quality_by_ending": quality.BY_ENDING_SQL,
     }

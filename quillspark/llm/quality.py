@@ -253,3 +253,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (failed AND bad IS NOT NULL) AS kept, bad IS NOT NULL AS host_condemned
 FROM x LEFT JOIN c ON x.host IS NOT DISTINCT FROM c.host
 """
+
+
+def quality_by_ending(spark, sf_dir: str) -> DataFrame:
+    """The same with the character a text ends with as its host: texts that one
+    template has cut or closed alike.  Unlike the sources of the given tables,
+    such hosts differ, and some are condemned."""
+    docs = table(spark, sf_dir, "documents")
+    return host_quality(docs.withColumn("source", F.substring(F.coalesce("text", F.lit("")), -1, 1)))
+
+
+BY_ENDING_SQL = OP4_SQL.replace("source AS host", "substr(coalesce(text, ''), -1) AS host")
