@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.plans import catalog
-from quillspark.sources.store import session_folder
+from quillspark.sources.folders import session_folder
 
 from . import answer_questions, ingest_chunks
 
 
 def job1_ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = session_folder(spark, "job1")
+    out = session_folder(spark, "job1", keep=True)
     # A file stream takes a folder or a glob; the table may be a single file.
     for _ in range(2):
         ingest_chunks.run(spark, f"{sf_dir}/documents.parque[t]", f"{out}/chunks", f"{out}/checkpoint")
@@ -22,7 +22,7 @@ def job1_ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job2_answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = session_folder(spark, "job2")
+    out = session_folder(spark, "job2", keep=True)
     for _ in range(2):
         answer_questions.run(spark, f"{sf_dir}/benchmark.parquet", f"{sf_dir}/documents.parquet", out)
     sources = spark.read.parquet(f"{out}/sources").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("s"))

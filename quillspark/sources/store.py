@@ -3,9 +3,6 @@ table of settings beside them."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import warnings
 
 import numpy as np
@@ -14,21 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embedding
+from .folders import delete_path, session_folder
 
 SETTINGS = ("dimension", "index_type", "metric", "model", "parts")
 
 
-def session_folder(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share, under ``spark.checkpoint.dir``.
-    Only a local session may do without that setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quillspark-")
-    return f"{found.rstrip('/')}/quillspark/{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` as a table: computed once, whatever reads it."""
     df.write.mode("overwrite").parquet(path)
@@ -96,8 +83,7 @@ class EmbeddingCache:
         return embedding.with_cached(df, embedder, self.load(), text_col)
 
     def clear(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, self.path)
 
 
 def save_settings(spark: SparkSession, path: str, **settings) -> None:
