@@ -139,15 +139,21 @@ def encode(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str =
     return rows.withColumn(out, F.coalesce(out, _zeros(embedder)))
 
 
-def cache_misses(texts: DataFrame, cache: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """Distinct texts that the cache (cache_key, model, vector) lacks."""
-    keyed = texts.select(T.cache_key(text_col).alias("cache_key"), T.text_of(text_col).alias(text_col)).dropDuplicates(["cache_key"])
+def _as_is(keyed: DataFrame) -> DataFrame:
+    return keyed
+
+
+def cache_misses(texts: DataFrame, cache: DataFrame, model: str, text_col: str = "text", dealt: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
+    """Distinct texts that the cache (cache_key, model, vector) lacks.  ``dealt``
+    deals rows by key as the cache is, where it is dealt."""
+    keyed = texts.select(T.cache_key(text_col).alias("cache_key"), T.text_of(text_col).alias(text_col))
+    keyed = dealt(keyed).dropDuplicates(["cache_key"])
     return keyed.join(cache.where(F.col("model") == model).select("cache_key"), "cache_key", "left_anti")
 
 
-def with_cached(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text") -> DataFrame:
+def with_cached(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text", dealt: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
     """Rows with their key and their vector, zeros where the cache has none."""
-    keyed = df.withColumn("cache_key", T.cache_key(text_col))
+    keyed = dealt(df.withColumn("cache_key", T.cache_key(text_col)))
     of_model = cache.where(F.col("model") == embedder.name).select("cache_key", "vector")
     return keyed.join(of_model, "cache_key", "left").withColumn("vector", F.coalesce("vector", _zeros(embedder)))
 
@@ -158,10 +164,10 @@ def encode_cached(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col:
     return with_cached(df, embedder, grown, text_col), grown
 
 
-def encode_missing(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text") -> DataFrame:
+def encode_missing(df: DataFrame, embedder: Embedder, cache: DataFrame, text_col: str = "text", dealt: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
     """Cache rows of the distinct texts that the cache lacks.  Texts that the
     encoder fails on get no row, and so are tried again by the next run."""
-    missing = encode_or_null(cache_misses(df, cache, embedder.name, text_col), embedder, text_col, "vector")
+    missing = encode_or_null(cache_misses(df, cache, embedder.name, text_col, dealt), embedder, text_col, "vector")
     return missing.where("vector IS NOT NULL").select("cache_key", F.lit(embedder.name).alias("model"), "vector")
 
 

@@ -3,6 +3,8 @@ table of settings beside them."""
 
 from __future__ import annotations
 
+import urllib.parse
+import uuid
 import warnings
 
 import numpy as np
@@ -59,12 +61,19 @@ def bundle_rows(bundle: DataFrame) -> DataFrame:
 
 
 class EmbeddingCache:
-    """Embeddings by text and model in a table, which a run adds to."""
+    """Embeddings by text and model in a folder, which a run adds to.
+
+    Each model has a table of its own, bucketed by key.  What is looked up is
+    dealt to the same buckets, so a look-up reads the cache where it lies and
+    moves the keys alone.  Every run adds at most a file a bucket; ``compact``
+    makes one of them.  The number of buckets is that of the first run."""
 
     SCHEMA = "cache_key string, vector array<float>, model string"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets
+        self._tables: dict[str, str] = {}
 
     def load(self) -> DataFrame:
         """All rows; none before the first is saved."""
@@ -75,14 +84,54 @@ class EmbeddingCache:
                 raise
             return self.spark.createDataFrame([], self.SCHEMA)
 
+    def _stored_buckets(self) -> int:
+        try:
+            return self.spark.read.parquet(f"{self.path}/_settings").first()["buckets"]
+        except AnalysisException:
+            self.spark.createDataFrame([(self.buckets,)], "buckets int").write.parquet(f"{self.path}/_settings")
+            return self.buckets
+
+    def table(self, model: str) -> str:
+        """The name of a model's table in this session's catalog."""
+        if model not in self._tables:
+            self.buckets = self._stored_buckets()
+            name = f"quillspark_cache_{uuid.uuid4().hex}"
+            at = f"{self.path}/model={urllib.parse.quote(model, safe='')}".replace("'", "%27")
+            self.spark.sql(
+                f"CREATE TABLE {name} (cache_key string, vector array<float>) USING parquet "
+                f"CLUSTERED BY (cache_key) SORTED BY (cache_key) INTO {self.buckets} BUCKETS LOCATION '{at}'"
+            )
+            self._tables[model] = name
+        return self._tables[model]
+
+    def rows(self, model: str) -> DataFrame:
+        """A model's rows, in the buckets that ``dealt`` deals to."""
+        return self.spark.table(self.table(model)).withColumn("model", F.lit(model))
+
+    def dealt(self, keyed: DataFrame) -> DataFrame:
+        return keyed.repartition(self.buckets, "cache_key")
+
     def encode(self, df: DataFrame, embedder: embedding.Embedder, text_col: str = "text") -> DataFrame:
-        """Embedded rows.  Texts that the table lacks are encoded, once, and added;
-        models are folders, so a look-up reads one model's."""
-        new = embedding.encode_missing(df, embedder, self.load(), text_col)
-        new.write.mode("append").partitionBy("model").parquet(self.path)
-        return embedding.with_cached(df, embedder, self.load(), text_col)
+        """Embedded rows.  Texts that the table lacks are encoded, once, and added."""
+        new = embedding.encode_missing(df, embedder, self.rows(embedder.name), text_col, self.dealt)
+        new.select("cache_key", "vector").write.insertInto(self.table(embedder.name))
+        return embedding.with_cached(df, embedder, self.rows(embedder.name), text_col, self.dealt)
+
+    def compact(self, model: str) -> None:
+        """One file a bucket.  A failure while it writes costs cached rows, which
+        the next run makes anew."""
+        name = self.table(model)
+        held = written(self.spark.table(name), session_folder(self.spark, "cache"))
+        self.dealt(held).sortWithinPartitions("cache_key").write.insertInto(name, overwrite=True)
+
+    def close(self) -> None:
+        """Let go of the session's tables; the files stay."""
+        for name in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables = {}
 
     def clear(self) -> None:
+        self.close()
         delete_path(self.spark, self.path)
 
 

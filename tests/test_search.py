@@ -1,5 +1,7 @@
 """Search and store operations against plain numpy."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -182,3 +184,36 @@ def test_a_cache_in_a_table(spark, tmp_path):
     assert cache.load().count() == 0
     with pytest.raises(ValueError):
         embedding.LazyEmbedder(lambda: Counting(str(log)), "wide", 3).encode(["a"])
+
+
+def test_a_look_up_leaves_the_cache_where_it_is(spark, tmp_path):
+    """No exchange between the cache's scan and the join; files are gathered."""
+    names = lambda: {t.name for t in spark.catalog.listTables()}
+    path, before = str(tmp_path / "cache"), names()
+    cache = stores.EmbeddingCache(spark, path, buckets=3)
+    model = embedding.HashingEmbedder(4)
+    for step in range(3):
+        texts = spark.createDataFrame([(i, f"text {i}") for i in range(20 * step, 20 * step + 40)], "i int, text string")
+        cache.encode(texts, model)
+    assert cache.load().count() == 80 == cache.load().select("cache_key").distinct().count()
+    files = lambda: [x for d, _, names in os.walk(path) for x in names if x.endswith(".parquet") and "model=" in d]
+    assert len(files()) > 3
+    cache.compact(model.name)
+    assert len(files()) == 3 and cache.load().count() == 80
+    again = stores.EmbeddingCache(spark, path, buckets=9)  # the stored number holds
+    texts = spark.createDataFrame([(1, "text 1"), (2, "text 1"), (3, None)], "i int, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = again.encode(texts, model)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = {r["i"]: list(r["vector"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert again.buckets == 3 and "Bucketed: true" in plan and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert rows[1] == rows[2] and rows[3] == [0, 0, 0, 0] and any(rows[1])
+    other = type("Named", (embedding.HashingEmbedder,), {"name": "a/b 'c'"})(4)
+    again.encode(texts, other)
+    assert {r[0] for r in again.load().select("model").distinct().collect()} == {model.name, other.name}
+    cache.close()
+    again.close()
+    assert names() == before
