@@ -70,6 +70,7 @@ class Engine:
         self.centroids = None
         self.asked, self.since = 0, time.time()
         self._old = spark.createDataFrame([], _TURNS)
+        self._turns_path: str | None = None
         self._held: list[tuple] = []
 
     @property
@@ -88,12 +89,20 @@ class Engine:
             F.create_map(*(x for k in _META for x in (F.lit(k), F.col(k).cast("string")))).alias("metadata"),
             "vector",
         )
-        return self._keep(stores.numbered(rows), path)
+        return self._kept(lambda folder: stores.numbered(rows, folder=folder), path)
 
     def build_from_bundle(self, bundle: DataFrame, path: str | None = None) -> DataFrame:
         """Index embedded texts (text, vector, and where there are: chunk_id,
         metadata).  Rows without an id are chunk_0, chunk_1, ... by their order."""
-        return self._keep(stores.bundle_rows(bundle), path)
+        return self._kept(lambda folder: stores.bundle_rows(bundle, folder), path)
+
+    def _kept(self, rows, path: str | None) -> DataFrame:
+        """Keep ``rows`` of a folder that goes once they are in the store."""
+        folder = stores.session_folder(self.spark, "numbered")
+        try:
+            return self._keep(rows(folder), path)
+        finally:
+            stores.delete_path(self.spark, folder)
 
     def rebuild(self, pages: DataFrame) -> DataFrame:
         """Build anew, beside the present store, which serves until then."""
@@ -293,13 +302,15 @@ class Engine:
         last = max(held) if held else self._old.where(F.col("conv_id") == conv_id).agg(F.coalesce(F.max("turn"), F.lit(-1))).first()[0]
         self._held += [(conv_id, last + 1, "user", question), (conv_id, last + 2, "assistant", answer)]
         if len(self._held) >= HELD_TURNS:
-            self._old, self._held = stores.written(self.turns, stores.session_folder(self.spark, "turns")), []
+            self._turns_path = self._turns_path or stores.session_folder(self.spark, "turns")
+            self.spark.createDataFrame(self._held, _TURNS).coalesce(1).write.mode("append").parquet(self._turns_path)
+            self._old, self._held = self.spark.read.schema(_TURNS).parquet(self._turns_path), []
 
     def history(self) -> DataFrame:
         return memory.history_pairs(self.turns)
 
     def clear_memory(self) -> None:
-        self._old, self._held, self.asked = memory.clear_memory(self._old), [], 0
+        self._old, self._turns_path, self._held, self.asked = memory.clear_memory(self._old), None, [], 0
 
     def stats(self) -> dict:
         """The store's figures, the conversations' and the session's."""

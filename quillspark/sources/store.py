@@ -24,11 +24,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, column: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, column: str = "pos", folder: str | None = None) -> DataFrame:
     """Rows numbered 0, 1, 2, ... in their order.  They are written first, so the
-    numbers stay; what reaches the driver is a count for each partition."""
+    numbers stay, to ``folder`` or one of the session; what reaches the driver is
+    a count for each partition."""
     low = (1 << 33) - 1
-    rows = written(df.withColumn("_at", F.monotonically_increasing_id()), session_folder(df.sparkSession, "numbered"))
+    rows = written(df.withColumn("_at", F.monotonically_increasing_id()), folder or session_folder(df.sparkSession, "numbered"))
     counts = sorted((r["part"], r["n"]) for r in rows.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
     before = np.cumsum([0, *(n for _, n in counts)]).tolist()
     bases = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_part bigint, _base bigint")
@@ -50,10 +51,10 @@ def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
     return np.array([r["centroid"] for r in rows])
 
 
-def bundle_rows(bundle: DataFrame) -> DataFrame:
+def bundle_rows(bundle: DataFrame, folder: str | None = None) -> DataFrame:
     """Rows of a store from embedded texts (text, vector, and where there are:
     chunk_id, metadata).  Rows without an id are chunk_0, chunk_1, ... by place."""
-    rows = numbered(bundle)
+    rows = numbered(bundle, folder=folder)
     given = F.col("chunk_id").cast("string") if "chunk_id" in bundle.columns else F.lit(None).cast("string")
     metadata = F.col("metadata") if "metadata" in bundle.columns else F.create_map().cast("map<string,string>")
     named = F.coalesce(given, F.concat(F.lit("chunk_"), "pos"))
