@@ -10,7 +10,7 @@ store that is written by cell is pruned to them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -56,7 +56,7 @@ class _Top:
 
 def topk(
     vectors: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | list[tuple[int, Sequence[float]]],
     k: int = 10,
     metric: str = "cosine",
     threshold: float | None = None,
@@ -65,7 +65,8 @@ def topk(
     query_col: str = "query_id",
     cells: tuple[np.ndarray, int] | None = None,
 ) -> DataFrame:
-    """query_id, vec_id, score (6 decimals), rank.  ``threshold`` is inclusive;
+    """query_id, vec_id, score (6 decimals), rank.  Queries are a table, or a list
+    of (id, vector) that is at hand.  ``threshold`` is inclusive;
     it commutes with the ranking, so it is applied below it.  ``cells`` makes
     the search approximate: (centroids, probes), for vectors with a ``cell``."""
     if metric not in METRICS:
@@ -97,7 +98,7 @@ def topk(
             rows = rows.where(F.col("cell").isin(np.unique(_probes(metric, block[1], *cells)).tolist()))
         return rows.select(*columns).mapInPandas(run, f"{query_col} bigint, {id_col} bigint, score double")
 
-    rows = queries.where(F.col(vector_col).isNotNull()).select(query_col, vector_col).toLocalIterator()
+    rows = queries if isinstance(queries, list) else queries.where(F.col(vector_col).isNotNull()).select(query_col, vector_col).toLocalIterator()
     ids, vecs = [], []
 
     def flush() -> None:

@@ -10,6 +10,7 @@ import uuid
 from concurrent.futures import Future
 from dataclasses import asdict, dataclass, fields, replace
 
+import numpy as np
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,14 +204,16 @@ class Engine:
         elif self.store is not None:
             self.store = self.spark.createDataFrame([], self.store.schema)
 
-    def _searched(self, queries: DataFrame, text_col: str, k: int, threshold: float | None, c: Config) -> tuple[DataFrame, DataFrame]:
-        """Embedded queries (query_id, text), and what each finds in the store."""
+    def _hits(self, queries, k: int, threshold: float | None, c: Config) -> DataFrame:
+        """What queries, embedded, find in the store."""
         if self.store is None:
             raise RuntimeError("no store: build or load one first")
-        prefixed = queries.select("query_id", F.concat(F.lit("query: "), F.trim(text_col)).alias("q"))
-        encoded = embedding.encode(prefixed, self.embedder, "q", "vector", prefix=False)
         cells = None if self.centroids is None else (self.centroids, c.probes)
-        return encoded, search.topk(self.store, encoded, k, c.metric, threshold, "pos", "vector", cells=cells)
+        return search.topk(self.store, queries, k, c.metric, threshold, "pos", "vector", cells=cells)
+
+    def _queries(self, texts: DataFrame, text_col: str) -> DataFrame:
+        prefixed = texts.select("query_id", F.concat(F.lit("query: "), F.trim(text_col)).alias("q"))
+        return embedding.encode(prefixed, self.embedder, "q", "vector", prefix=False)
 
     def _contents(self) -> DataFrame:
         return self.store.select("pos", "chunk_id", F.col("text").alias("content"), "metadata")
@@ -218,7 +221,7 @@ class Engine:
     def search(self, queries: DataFrame, k: int | None = None, threshold: float | None = None) -> DataFrame:
         """query_id, rank, score, chunk_id, content, metadata: the k chunks nearest
         to each text of queries (query_id, text), of at least ``threshold``."""
-        _, hits = self._searched(queries, "text", k or self.config.max_chunks, threshold, self.config)
+        hits = self._hits(self._queries(queries, "text"), k or self.config.max_chunks, threshold, self.config)
         return answering.with_content(hits, self._contents(), "pos").select("query_id", "source.*")
 
     def search_text(self, text: str, k: int | None = None, threshold: float | None = None) -> list[dict]:
@@ -229,38 +232,48 @@ class Engine:
     def ask_batch(self, questions: DataFrame, include_sources: bool = True, **overrides) -> DataFrame:
         """Answers of questions (query_id, question) with their sources; settings
         can be overridden: max_chunks 1 to 20, threshold 0 to 1."""
+        c = self._overridden(overrides)
+        valid = answering.valid_questions(questions)
+        out = self._answers(valid, self._hits(self._queries(valid, "question"), c.max_chunks, c.threshold, c), c)
+        return out if include_sources else out.drop("context", "sources")
+
+    def _overridden(self, overrides: dict) -> Config:
         c = replace(self.config, **overrides)
         if not 1 <= c.max_chunks <= 20 or not 0 <= c.threshold <= 1:
             raise ValueError("max_chunks must be 1 to 20 and threshold 0 to 1")
-        valid = answering.valid_questions(questions)
-        queries, hits = self._searched(valid, "question", c.max_chunks, c.threshold, c)
-        context = answering.retrieve_context(hits, self._contents(), queries, "pos")
-        recent = memory.recent_memory(self.turns, c.memory_turns).select(F.col("conv_id").alias("query_conv"), "memory")
-        rows = valid.join(context, "query_id")
-        if "conv_id" in questions.columns:
+        return c
+
+    def _answers(self, valid: DataFrame, hits: DataFrame, c: Config) -> DataFrame:
+        rows = valid.join(answering.retrieve_context(hits, self._contents(), valid, "pos"), "query_id")
+        if "conv_id" in valid.columns:
+            recent = memory.recent_memory(self.turns, c.memory_turns).select(F.col("conv_id").alias("query_conv"), "memory")
             rows = rows.join(recent, F.col("conv_id") == F.col("query_conv"), "left").drop("query_conv")
         else:
             rows = rows.withColumn("memory", F.lit(None).cast("string"))
-        out = answering.answer(rows, self.generator, c.semantics)
-        return out if include_sources else out.drop("context", "sources")
+        return answering.answer(rows, self.generator, c.semantics)
 
     def ask(self, question: str, conv_id: int | None = None, timeout: float | None = None, **overrides) -> dict:
         """One answer, with the time it took.  In a conversation the last turns
         join the prompt, and an answer that was found joins the conversation.
         After ``timeout`` seconds (else the config's; 0 for none) its Spark jobs
         are cancelled and a row with ``model_used`` "timeout" comes back."""
-        began = time.time()
-        row = [(0, question, conv_id)]
-        asked = self.spark.createDataFrame(row, "query_id bigint, question string, conv_id bigint")
-        limit = self.config.timeout_s if timeout is None else timeout
-        got = self._within(limit, lambda: self.ask_batch(asked, **overrides).first())
-        if got is None:
+        began, c = time.time(), self._overridden(overrides)
+        if question is None or not 1 <= len(question) <= 1000:
             raise ValueError("a question has 1 to 1000 characters")
+
+        def work():
+            # One text is embedded here, which saves a job; the rest is one plan.
+            vector = embedding.contained(self.embedder, ["query: " + question.strip(" ")])[0]
+            hits = self._hits([(0, np.zeros(self.embedder.dimension) if vector is None else vector)], c.max_chunks, c.threshold, c)
+            asked = self.spark.createDataFrame([(0, question, conv_id)], "query_id bigint, question string, conv_id bigint")
+            return self._answers(asked if conv_id is not None else asked.drop("conv_id"), hits, c).first()
+
+        got = self._within(self.config.timeout_s if timeout is None else timeout, work)
         self.asked += 1
         if got is TIMED_OUT:
             answer = {"query_id": 0, "question": question, "conv_id": conv_id, "answer": answering.TIMED_OUT, "model_used": "timeout", "confidence": 0.0, "n_sources": 0, "sources": []}
         else:
-            answer = got.asDict()
+            answer = {"conv_id": conv_id} | got.asDict()
             if conv_id is not None and got["model_used"] not in ("none", "error"):
                 self.remember(conv_id, question, got["answer"])
         now = time.time()
