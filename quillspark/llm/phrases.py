@@ -42,7 +42,7 @@ from .linededup import Filter
 
 MIN_COUNT, LONGEST, TOP = 30, 4, 2_000  # fixed by the contract
 SCALE, CONTAINED = 2_000_000, (100, 80)
-HOT, MOST_HOT = 500_000, 200_000
+HOT, MOST_HOT = 50_000, 200_000
 FLUSH = 1_500_000  # places a task gathers before it aggregates them
 CHUNK = 500_000  # rows of whole prefixes that are grown together
 PARTITION_WORDS, MAX_PARTITIONS = 4_000_000, 20_000
