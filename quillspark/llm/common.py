@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,72 +11,46 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import delete_path, file_system, session_folder
+
 # The white space that separates words, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
 _NEWLINE = 10
 _SLICE_BYTES = 1 << 19
 PART_BYTES = 4 << 20
-_written: list[tuple[SparkSession, str]] = []
-_own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session that names none (tests, a laptop) gets a temporary
-    folder; on a cluster, where no other machine would see it, that's an error.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = _own_dirs.get(sc.applicationId) or tempfile.mkdtemp(prefix="quillspark-")
-        _own_dirs[sc.applicationId] = found
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    files, target = _file_system(spark, path)
-    files.delete(target, True)
-
-
-def _file_system(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+    """A new path under the folder that all executors share; what is written
+    there goes when the session has ended."""
+    return session_folder(spark, label)
 
 
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, none if there is no such folder."""
-    files, target = _file_system(spark, path)
+    files, target = file_system(spark, path)
     return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, complete or not there: written aside and renamed."""
-    files, aside = _file_system(spark, f"{path}.part")
+    files, aside = file_system(spark, f"{path}.part")
     out = files.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if not files.rename(aside, _file_system(spark, path)[1]):
+    if not files.rename(aside, file_system(spark, path)[1]):
         raise OSError(f"can't rename to {path}")
 
 
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
     """A small file that wasn't there; False if it was.  Of several that try at
     once, one succeeds."""
-    files, target = _file_system(spark, path)
+    files, target = file_system(spark, path)
     try:
         out = files.create(target, False)
     except Py4JJavaError as error:
@@ -93,7 +63,7 @@ def create_text(spark: SparkSession, path: str, text: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    files, target = _file_system(spark, path)
+    files, target = file_system(spark, path)
     stream = files.open(target)
     try:
         return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -103,21 +73,12 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that
-    survives lost executors.  The table is deleted when the driver exits."""
+    survives lost executors.  The table is deleted once the session has ended."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _cleanup() -> None:
-    for spark, path in _written:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            return
-
-
 def join_bounded(left: DataFrame, right: DataFrame, on, how: str, max_rows: int) -> DataFrame:
     """Broadcast ``right`` only once its counted size is at most ``max_rows``;
     above that Spark shuffles both sides (adaptive execution splits hot keys).
