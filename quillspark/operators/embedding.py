@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.trigrams import spelled, trigrams
 
 
 class Embedder(Protocol):
@@ -42,12 +42,12 @@ class HashingEmbedder:
         self.dimension = dimension
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
-        for row, text in zip(out, texts, strict=True):
-            # Once for each distinct trigram: whole numbers add up the same.
-            for gram, n in Counter(map("".join, zip(text, text[1:], text[2:], strict=False))).items():
-                h, sign = _hash(gram)
-                row[h % self.dimension] += sign * n
+        codes, of = trigrams(texts)
+        distinct, at = np.unique(codes, return_inverse=True)
+        hashed = np.array([_hash(spelled(c)) for c in distinct.tolist()], np.int64).reshape(-1, 2)
+        # Whole numbers add up the same in any order.
+        out = np.bincount(of * self.dimension + (hashed[:, 0] % self.dimension)[at], hashed[:, 1][at], len(texts) * self.dimension)
+        out = out.reshape(len(texts), self.dimension)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.trigrams import spelled, trigrams
 
 GRAMS, LANGUAGES = 2_000, 64
 SCALE = 1_000
-_BITS = 21  # a code point has at most 21
 
 
 def letters(c: str | Column) -> Column:
@@ -34,31 +34,15 @@ def letters(c: str | Column) -> Column:
     return F.concat(F.lit(" "), T.strip(F.regexp_replace(F.lower(T.text_of(c)), r"\P{L}+", " ")), F.lit(" "))
 
 
-def _codes(texts: list[str]) -> np.ndarray:
-    """Trigrams of all texts as numbers, none across texts."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
-    if len(points) < 3:
-        return np.empty(0, np.int64)
-    grams = points[:-2] << 2 * _BITS | points[1:-1] << _BITS | points[2:]
-    return grams[left[:-2] >= 3]
-
-
-def _spelled(code: int) -> str:
-    mask = (1 << _BITS) - 1
-    return "".join(chr(code >> s & mask) for s in (2 * _BITS, _BITS, 0))
-
-
 def gram_counts(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, gram, n over all labelled texts, pre-aggregated in each batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                codes, n = np.unique(_codes(part["t"].tolist()), return_counts=True)
+                codes, n = np.unique(trigrams(part["t"].tolist())[0], return_counts=True)
                 if len(codes):
-                    yield pd.DataFrame({"lang": lang, "gram": [_spelled(c) for c in codes.tolist()], "n": n})
+                    yield pd.DataFrame({"lang": lang, "gram": [spelled(c) for c in codes.tolist()], "n": n})
 
     rows = texts.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), letters(text_col).alias("t"))
     return rows.mapInPandas(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -86,7 +70,7 @@ class Detector:
         rows = model.collect()  # bounded: see fit
         self.languages = sorted({r["lang"] for r in rows})
         grams = sorted({r["gram"] for r in rows})
-        codes = np.array([_codes([g])[0] for g in grams], np.int64)
+        codes = np.array([trigrams([g])[0][0] for g in grams], np.int64)
         place = {g: i for i, g in enumerate(grams)}
         weights = np.zeros((len(grams), len(self.languages)), np.int64)
         for r in rows:
@@ -105,7 +89,7 @@ class Detector:
                 out = np.full(len(texts), None, object)
                 if len(codes):
                     for i, text in enumerate(texts.tolist()):
-                        found = _codes([text])
+                        found = trigrams([text])[0]
                         at = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
                         at = at[codes[at] == found]
                         if len(at):
