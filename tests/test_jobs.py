@@ -6,15 +6,17 @@ import subprocess
 import sys
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from jobs import answer_questions, common, ingest_chunks
+from jobs import answer_questions, catalog, common, ingest_chunks
 from quillspark.operators import chunking
 
 from .conftest import ROOT
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string"
 
 
@@ -91,6 +93,35 @@ def test_ingest_of_an_empty_table_and_of_repeats(spark, at):
     assert len(contents) == len(set(contents)) > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_both_jobs_on_growing_copies_of_the_tables(spark, tmp_path, at):
+    """Two runs, on a part of the documents and then on the rest too; the output
+    is then that of the SQL over the whole tables."""
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.where("doc_id % 3 = 0").write.parquet(at.input)
+    first = ingest_chunks.run(spark, **vars(at), max_files=2)
+    docs.where("doc_id % 3 > 0").write.mode("append").parquet(at.input)
+    second = ingest_chunks.run(spark, **vars(at), max_files=2)
+    assert first["documents"] + second["documents"] == docs.count() and min(first["chunks"], second["chunks"]) > 0
+    columns = ["doc_id", "chunk_id", "language", "content_type", "char_count", "content"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()['job1_ingest_chunks']})").fetchall()
+    assert sorted(tuple(r) for r in spark.read.parquet(at.output).select(*columns).collect()) == sorted(want)
+
+    questions, out = str(tmp_path / "questions"), str(tmp_path / "answers")
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet")
+    asked.where("item_id % 2 = 0").write.parquet(questions)
+    few = answer_questions.run(spark, questions, at.input, out)
+    asked.where("item_id % 2 = 1").write.mode("append").parquet(questions)
+    all_ = answer_questions.run(spark, questions, at.input, out)
+    assert few["answers"] < all_["answers"] == asked.count()
+    columns = ["query_id", "question", "answer", "model_used", "confidence", "groundedness", "question_type"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()['job2_answer_questions']})").fetchall()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/answers").select(*columns).collect()) == sorted(want)
+
+
 def test_settings_are_restored(spark, at):
     key, other = "spark.sql.streaming.numRecentProgressUpdates", "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key, None), spark.conf.get(other, None)
