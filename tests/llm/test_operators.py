@@ -962,3 +962,24 @@ def test_ranges_follow_the_rows(spark, monkeypatch):
 def test_sharding_of_little(spark):
     assert sharding.shard(frame(spark, EMPTY)).count() == 0
     assert got(sharding.shard(frame(spark, [(1, None)])), "size", "text_crc32", "slot") == [(16, 0, 0)]
+
+
+def test_texts_of_megabytes(spark):
+    """Through licenses, decontamination and near-duplicates: found at their end,
+    and alike in all but a few words."""
+    rng = random.Random(51)
+    vocabulary = [f"m{i}" for i in range(50_000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(250_000))
+    near = long.replace(" m7 ", " changed ")
+    item = " ".join(f"b{i}" for i in range(30))
+    with open(os.path.join(os.path.dirname(licenses.__file__), "license_texts", "MIT.txt")) as f:
+        notice = f.read()
+    rows = [(1, long), (2, near + " " + item.replace("b9", "x9")), (3, long[: len(long) // 2]), (4, long + "\n" + notice)]
+    assert min(len(t) for _, t in rows) > 700_000
+    docs = frame(spark, rows)
+    out = dict(got(neardup.near_duplicates(docs, 85), "doc_id", "component_id"))
+    assert out == {1: 1, 2: 1, 3: 3, 4: 1}
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.match_items(docs, benchmark).select("doc_id", "item_id", "distance").collect()] == [(2, 7, 1)]
+    found = licenses.scan_licenses(docs).collect()
+    assert {(r["doc_id"], r["license"]) for r in found} == {(4, "MIT")} and min(r["start_word"] for r in found) >= 249_000
