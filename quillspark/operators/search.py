@@ -3,9 +3,9 @@
 Exact search scores blocks of queries against Arrow batches of vectors by matrix
 product and keeps a running top k for each partition, so a partition ships k
 rows a query whatever its size; a window ranks what is left.  Queries travel in
-blocks of bounded size.  The approximate index assigns every vector to its
-nearest centroid and reads and scores only the cells that some query probes; a
-store that is written by cell is pruned to them.
+blocks of bounded size.  The approximate indexes assign every vector to a cell,
+its nearest centroid's or its sides of random hyperplanes, and read and score only
+the cells that some query probes; a store that is written by cell is pruned to them.
 """
 
 from __future__ import annotations
@@ -63,12 +63,13 @@ def topk(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     query_col: str = "query_id",
-    cells: tuple[np.ndarray, int] | None = None,
+    cells: tuple[np.ndarray | Hyperplanes, int] | None = None,
 ) -> DataFrame:
     """query_id, vec_id, score (6 decimals), rank.  Queries are a table, or a list
     of (id, vector) that is at hand.  ``threshold`` is inclusive;
     it commutes with the ranking, so it is applied below it.  ``cells`` makes
-    the search approximate: (centroids, probes), for vectors with a ``cell``."""
+    the search approximate: (centroids or hyperplanes, probes), for vectors with a
+    ``cell``."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     sc, out = vectors.sparkSession.sparkContext, None
@@ -120,14 +121,45 @@ def topk(
     return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def _probes(metric: str, queries: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+class Hyperplanes:
+    """Cells of a locality-sensitive hash: a bit for each plane, by the side of it
+    that a vector is on.  Vectors at a small angle share most bits, so a query
+    probes its own cell and then those that it is least far from, by the summed
+    distances to the planes between."""
+
+    def __init__(self, center: np.ndarray, planes: np.ndarray):
+        self.center, self.planes = center, planes
+
+    def __len__(self) -> int:
+        return 1 << len(self.planes)
+
+    def _sides(self, v: np.ndarray) -> np.ndarray:
+        return (v - self.center) @ self.planes.T
+
+    def assign(self, v: np.ndarray) -> np.ndarray:
+        return (self._sides(v) >= 0) @ (1 << np.arange(len(self.planes)))
+
+    def probes(self, queries: np.ndarray, probes: int) -> np.ndarray:
+        sides = self._sides(queries)
+        bits = np.arange(len(self))[:, None] >> np.arange(len(self.planes)) & 1
+        between = (sides >= 0)[:, None, :] != (bits == 1)[None, :, :]
+        return np.argsort((between * np.abs(sides)[:, None, :]).sum(axis=2), axis=1, kind="stable")[:, :probes]
+
+    def matrix(self) -> np.ndarray:
+        return np.vstack([self.center, self.planes])
+
+
+def _probes(metric: str, queries: np.ndarray, cells: np.ndarray | Hyperplanes, probes: int) -> np.ndarray:
     """The cells that each query probes, the nearest by the metric."""
-    return np.argsort(-_scores(metric, queries, centroids), axis=1, kind="stable")[:, :probes]
+    if isinstance(cells, Hyperplanes):
+        return cells.probes(queries, probes)
+    return np.argsort(-_scores(metric, queries, cells), axis=1, kind="stable")[:, :probes]
 
 
-def assign_cells(vectors: DataFrame, centroids: np.ndarray, metric: str = "cosine", vector_col: str = "embedding") -> DataFrame:
-    """Vectors with the cell of the nearest centroid, by angle for cosine and by
-    distance otherwise (by inner product one long centroid would take them all)."""
+def assign_cells(vectors: DataFrame, cells: np.ndarray | Hyperplanes, metric: str = "cosine", vector_col: str = "embedding") -> DataFrame:
+    """Vectors with their cell: that of the nearest centroid, by angle for cosine
+    and by distance otherwise (by inner product one long centroid would take them
+    all), or of the hyperplanes."""
     near = "cosine" if metric == "cosine" else "l2"
 
     @F.pandas_udf("int")
@@ -135,12 +167,33 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray, metric: str = "cosin
         out = np.full(len(v), -1, np.int32)
         some = v.notna().to_numpy()
         if some.any():
-            out[some] = _scores(near, np.stack(v[some].to_numpy()).astype(np.float64), centroids).argmax(axis=1)
+            known = np.stack(v[some].to_numpy()).astype(np.float64)
+            out[some] = cells.assign(known) if isinstance(cells, Hyperplanes) else _scores(near, known, cells).argmax(axis=1)
         return pd.Series(out)
 
     return vectors.withColumn("cell", cell(vector_col))
 
 
+def build_lsh(vectors: DataFrame, bits: int = 5, vector_col: str = "embedding", seed: int = 1, metric: str = "cosine") -> tuple[DataFrame, Hyperplanes]:
+    """Vectors with their cell, and the hyperplanes: random and, as far as the
+    dimension allows, at right angles, through the vectors' mean (for cosine
+    through the origin).  Nothing is fitted but that mean; every row is indexed,
+    vectors without a value in cell -1."""
+    known = vectors.where(F.col(vector_col).isNotNull())
+    first = known.select(F.size(vector_col)).first()
+    if first is None:
+        return vectors.withColumn("cell", F.lit(-1)), Hyperplanes(np.zeros(1), np.ones((1, 1)))
+    center = np.zeros(first[0])
+    if metric != "cosine":
+        means = known.select(F.posexplode(vector_col)).groupBy("pos").agg(F.avg("col").alias("m")).collect()  # one row a dimension
+        for r in means:
+            center[r["pos"]] = r["m"]
+    drawn = np.random.default_rng(seed).normal(size=(first[0], bits))
+    planes = np.linalg.qr(drawn)[0].T if bits <= first[0] else drawn.T
+    cells = Hyperplanes(center, planes)
+    return assign_cells(vectors, cells, metric, vector_col), cells
+
+
 def build_ivf(vectors: DataFrame, n_cells: int = 32, vector_col: str = "embedding", seed: int = 1, metric: str = "cosine") -> tuple[DataFrame, np.ndarray]:
     """Vectors with their cell, and the centroids.  The centroids are fitted on
     at most about ``SAMPLE_ROWS`` rows (as unit vectors for cosine); every row is

@@ -629,6 +629,31 @@ Q["ivf_recall"] = (
 )
 
 
+LSH_BITS, LSH_PROBES = 5, 24
+
+
+def _lsh_recall(s: SparkSession, d: str) -> DataFrame:
+    """The search by sides of hyperplanes, with the first vectors as planes."""
+    vectors = _read(s, d, "embeddings")
+    planes = np.array([r[0] for r in vectors.orderBy("vec_id").limit(LSH_BITS).select("embedding").collect()], np.float64)
+    cells = search.Hyperplanes(np.zeros(planes.shape[1]), planes)
+    found = search.topk(search.assign_cells(vectors, cells), _queries(vectors), 10, cells=(cells, LSH_PROBES))
+    exact = search.topk(vectors, _queries(vectors), 10)
+    return search.recall(found, exact).withColumn("recall", F.round("recall", 4))
+
+
+_SIDE = "list_inner_product({0}.embedding::DOUBLE[], p.embedding::DOUBLE[])"
+Q["lsh_recall"] = (
+    _lsh_recall,
+    f"WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS bit, embedding FROM embeddings ORDER BY vec_id LIMIT {LSH_BITS}), "
+    f"sides AS (SELECT v.vec_id, bit, {_SIDE.format('v')} AS side FROM embeddings v, p), a AS (SELECT vec_id, sum(CASE WHEN side >= 0 THEN 1 << bit::INT ELSE 0 END) AS cell FROM sides GROUP BY 1), "
+    f"costs AS (SELECT vec_id AS query_id, cell, sum(CASE WHEN (side >= 0) <> ((cell >> bit::INT) & 1 = 1) THEN abs(side) ELSE 0 END) AS cost FROM sides, range({1 << LSH_BITS}) AS r(cell) WHERE vec_id % 50 = 0 GROUP BY ALL), "
+    f"pr AS (SELECT query_id, cell FROM costs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, cell) <= {LSH_PROBES}), "
+    f"e AS ({_sql_search('cosine', 10)}), f AS (SELECT e.query_id, e.vec_id FROM e JOIN a USING (vec_id) JOIN pr ON pr.query_id = e.query_id AND pr.cell = a.cell) "
+    "SELECT (SELECT count(*) FROM e) AS wanted, (SELECT count(*) FROM f) AS found, round((SELECT count(*) FROM f) / (SELECT count(*) FROM e), 4) AS recall",
+)
+
+
 def _pairwise(s: SparkSession, d: str) -> DataFrame:
     v = _read(s, d, "embeddings")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))

@@ -62,7 +62,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, config: Config | None = None, embedder=None, generator=None):
         self.spark, self.config = spark, config or Config()
-        if self.config.index_type not in ("flat", "ivf"):
+        if self.config.index_type not in ("flat", "ivf", "lsh"):
             raise ValueError(f"unknown index type {self.config.index_type!r}")
         self.embedder = embedder or embedding.HashingEmbedder()
         self.generator = generator or answering.ExtractiveGenerator()
@@ -134,6 +134,9 @@ class Engine:
         try:
             if self.config.index_type == "ivf":
                 self.store, self.centroids = search.build_ivf(rows, self.config.cells, "vector", metric=self.config.metric)
+            elif self.config.index_type == "lsh":
+                bits = max(1, (self.config.cells - 1).bit_length())
+                self.store, self.centroids = search.build_lsh(rows, bits, "vector", metric=self.config.metric)
             self.save(path)
             self.load(path)
         except Exception:
@@ -141,6 +144,9 @@ class Engine:
             raise
         return self.store
 
+    def _kind(self) -> str:
+        return "flat" if self.centroids is None else "lsh" if isinstance(self.centroids, search.Hyperplanes) else "ivf"
+
     def _place(self):
         return changing.hashed(self.config.parts) if self.centroids is None else changing.by_cell(self.centroids, self.config.metric)
 
@@ -148,11 +154,10 @@ class Engine:
         return changing.ChangingStore(self.spark, f"{path}/vectors", self._place())
 
     def save(self, path: str) -> None:
-        kind = "flat" if self.centroids is None else "ivf"
         if self.centroids is not None:
-            stores.save_centroids(self.spark, self.centroids, path)
+            stores.save_cells(self.spark, self.centroids, path)
         self._table(path).create(self.store)
-        stores.save_settings(self.spark, path, metric=self.config.metric, index_type=kind, dimension=self.embedder.dimension, model=self.embedder.name, parts=self.config.parts)
+        stores.save_settings(self.spark, path, metric=self.config.metric, index_type=self._kind(), dimension=self.embedder.dimension, model=self.embedder.name, parts=self.config.parts)
 
     def load(self, path: str) -> bool:
         """Open the store at ``path``; further changes are made there."""
@@ -161,7 +166,7 @@ class Engine:
             self.store = self.path = None
             return False
         self.config = replace(self.config, parts=int(settings["parts"] or self.config.parts))
-        self.centroids = stores.load_centroids(self.spark, path) if settings["index_type"] == "ivf" else None
+        self.centroids = stores.load_cells(self.spark, path, settings["index_type"]) if settings["index_type"] in ("ivf", "lsh") else None
         self.path = path
         self._reopen()
         return True
@@ -327,8 +332,7 @@ class Engine:
 
     def stats(self) -> dict:
         """The store's figures, the conversations' and the session's."""
-        kind = "flat" if self.centroids is None else "ivf"
-        found = {"total_vectors": 0} if self.store is None else search.store_statistics(self.store, kind, self.config.metric).first().asDict()
+        found = {"total_vectors": 0} if self.store is None else search.store_statistics(self.store, self._kind(), self.config.metric).first().asDict()
         state = "not_available" if self.store is None else "ready"
         return found | {"status": state, "conversation_count": max(self.asked, self.history().count()), "uptime_seconds": time.time() - self.since}
 

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import embedding
+from ..operators import embedding, search
 from .folders import delete_path, session_folder
 
 SETTINGS = ("dimension", "index_type", "metric", "model", "parts")
@@ -37,18 +37,21 @@ def numbered(df: DataFrame, column: str = "pos", folder: str | None = None) -> D
     return joined.withColumn(column, F.col("_base") + F.col("_at").bitwiseAND(F.lit(low))).drop("_at", "_part", "_base")
 
 
-def save_centroids(spark: SparkSession, centroids: np.ndarray, path: str) -> None:
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
+def save_cells(spark: SparkSession, cells: np.ndarray | search.Hyperplanes, path: str) -> None:
+    """The centroids, or the hyperplanes with their center first."""
+    matrix = cells.matrix() if isinstance(cells, search.Hyperplanes) else cells
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(matrix)]
     spark.createDataFrame(rows, "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
 
 
-def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
-    """The centroids of a store's cells, or None for a store without cells."""
+def load_cells(spark: SparkSession, path: str, index_type: str = "ivf") -> np.ndarray | search.Hyperplanes | None:
+    """The cells of a store, or None for a store without."""
     try:
         rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
     except AnalysisException:
         return None
-    return np.array([r["centroid"] for r in rows])
+    matrix = np.array([r["centroid"] for r in rows])
+    return search.Hyperplanes(matrix[0], matrix[1:]) if index_type == "lsh" else matrix
 
 
 def bundle_rows(bundle: DataFrame, folder: str | None = None) -> DataFrame:

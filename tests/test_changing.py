@@ -92,7 +92,7 @@ def test_only_touched_parts_are_written(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in plan
 
 
-@pytest.mark.parametrize("index_type", ["flat", "ivf"])
+@pytest.mark.parametrize("index_type", ["flat", "ivf", "lsh"])
 def test_engine_changes_its_store(spark, tmp_path, index_type):
     path = str(tmp_path / "s")
     engine = Engine(spark, Config(index_type=index_type, cells=4, probes=4, threshold=0.1))

@@ -106,6 +106,34 @@ def test_a_few_cells_find_most_neighbours(spark, tmp_path, metric):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, found.where("query_id = 50").collect()))
 
 
+@pytest.mark.parametrize("metric", search.METRICS)
+def test_a_few_sides_find_most_neighbours(spark, tmp_path, metric):
+    """8 of the 32 cells of 5 hyperplanes, under a third of the rows; saved and
+    loaded by an engine's store."""
+    df = frame(spark, clustered(np.random.default_rng(4), 3000))
+    indexed, cells = search.build_lsh(df, 5, metric=metric)
+    stores.save_cells(spark, cells, str(tmp_path))
+    loaded = stores.load_cells(spark, str(tmp_path), "lsh")
+    assert isinstance(loaded, search.Hyperplanes) and np.array_equal(loaded.planes, cells.planes) and np.array_equal(loaded.center, cells.center)
+    queries = df.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding")
+    exact, found = search.topk(df, queries, 10, metric), search.topk(indexed, queries, 10, metric, cells=(loaded, 8))
+    assert search.recall(found, exact).first()["recall"] >= 0.9
+    vectors = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], float)
+    own, probed = cells.assign(vectors), cells.probes(vectors[::50], 8)
+    assert np.mean([np.isin(own, p).mean() for p in probed]) < 1 / 3
+    assert [p[0] for p in probed] == own[::50].tolist()  # its own cell first
+    every = search.topk(indexed, queries, 10, metric, cells=(cells, 32))
+    assert search.recall(every, exact).first()["recall"] == 1
+
+
+def test_sides_of_nothing_and_of_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0])], VECTOR)
+    indexed, cells = search.build_lsh(df, 5, metric="l2")  # more planes than dimensions
+    assert {r["vec_id"]: r["cell"] >= 0 for r in indexed.collect()} == {1: False, 2: True, 3: True, 4: True}
+    assert [r["vec_id"] for r in search.topk(indexed, [(7, [1.0, 0.0])], 1, "l2", cells=(cells, 1)).collect()] == [2]
+    assert search.build_lsh(df.limit(0))[0].count() == 0
+
+
 def test_cells_of_nothing_and_of_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0])], VECTOR)
     indexed, centroids = search.build_ivf(df, 2)
