@@ -17,7 +17,7 @@ def job1_ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = session_folder(spark, "job1", keep=True)
     # A file stream takes a folder or a glob; the table may be a single file.
     for _ in range(2):
-        ingest_chunks.run(spark, f"{sf_dir}/documents.parque[t]", f"{out}/chunks", f"{out}/checkpoint")
+        ingest_chunks.run(spark, f"{sf_dir}/documents.parque[t]", f"{out}/chunks", f"{out}/checkpoint", spread=spark.sparkContext.defaultParallelism)
     return spark.read.parquet(f"{out}/chunks").withColumn("content_key", F.lower(F.hex("content_key")))
 
 

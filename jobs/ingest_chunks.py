@@ -10,7 +10,9 @@ a document that is delivered again adds nothing, and a changed one adds what
 changed.  A run that finds nothing new leaves the table as it is; one that was
 stopped goes on where it was, and the sink's log makes each batch count once.
 
-``input`` is a folder or a glob; paths may be remote.  The number of shuffle
+``input`` is a folder or a glob; paths may be remote.  Where batches are few large
+files, fewer than there are cores, ``spread`` deals their documents to so many
+tasks; 0 leaves them as they are read.  The number of shuffle
 partitions of the first run stays with the checkpoint.
 """
 
@@ -35,6 +37,7 @@ DEFAULTS = {
     "size": chunking.SIZE,
     "min_size": chunking.MIN_SIZE,
     "max_files": 1_000,
+    "spread": 0,
     "settings": {},
 }
 
@@ -48,6 +51,7 @@ def run(
     size: int = chunking.SIZE,
     min_size: int = chunking.MIN_SIZE,
     max_files: int = 1_000,
+    spread: int = 0,
     settings: dict[str, str] | None = None,
 ) -> dict[str, int]:
     """Take up new documents into a table of chunks."""
@@ -57,6 +61,8 @@ def run(
         schema = spark.read.parquet(input).select("doc_id", "text").schema
         arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(input)
         pages = arriving.selectExpr("doc_id", "1 AS page_number", "text")
+        if spread:
+            pages = pages.repartition(spread, "doc_id")
         log.info("reading what is new in %s (checkpoint %s)", input, checkpoint)
         query = ingest_pages(pages, output, checkpoint, strategy, size, min_size)
         query.awaitTermination()

@@ -102,9 +102,9 @@ def test_both_jobs_on_growing_copies_of_the_tables(spark, tmp_path, at):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.where("doc_id % 3 = 0").write.parquet(at.input)
-    first = ingest_chunks.run(spark, **vars(at), max_files=2)
+    first = ingest_chunks.run(spark, **vars(at), max_files=2, spread=3)
     docs.where("doc_id % 3 > 0").write.mode("append").parquet(at.input)
-    second = ingest_chunks.run(spark, **vars(at), max_files=2)
+    second = ingest_chunks.run(spark, **vars(at), max_files=2, spread=3)
     assert first["documents"] + second["documents"] == docs.count() and min(first["chunks"], second["chunks"]) > 0
     columns = ["doc_id", "chunk_id", "language", "content_type", "char_count", "content"]
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()['job1_ingest_chunks']})").fetchall()
