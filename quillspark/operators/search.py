@@ -220,11 +220,21 @@ def recall(found: DataFrame, exact: DataFrame, on: tuple[str, ...] = ("query_id"
     return hits.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
+def placed_after(new: DataFrame, last: int) -> DataFrame:
+    """``new`` rows with positions above ``last``.  Rows that have a ``pos`` keep
+    their order by it, however Spark deals the files they are read from to tasks;
+    others are placed as they come."""
+    if "pos" not in new.columns:
+        return new.withColumn("pos", F.monotonically_increasing_id() + F.lit(last + 1))
+    least = new.agg(F.coalesce(F.min("pos"), F.lit(0))).first()[0]
+    return new.withColumn("pos", F.col("pos") - F.lit(least) + F.lit(last + 1))
+
+
 def append(store: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` rows after the store's.  Positions rise from the largest one; they
     give an order and may leave gaps, so no global numbering is needed."""
     last = store.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]
-    return store.unionByName(new.withColumn("pos", F.monotonically_increasing_id() + F.lit(last + 1)))
+    return store.unionByName(placed_after(new, last))
 
 
 def latest(store: DataFrame) -> DataFrame:

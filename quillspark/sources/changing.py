@@ -65,10 +65,11 @@ class ChangingStore:
         self._placed(rows).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
-        """Rows (chunk_id, text, metadata, vector) after those of the store; an id
-        may be there already, and the last row of an id is its latest."""
+        """Rows (chunk_id, text, metadata, vector, and where there is: pos, their
+        order) after those of the store; an id may be there already, and the last
+        row of an id is its latest."""
         last = self._raw().agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]
-        self._write(self._placed(rows.withColumn("pos", F.monotonically_increasing_id() + F.lit(last + 1))), "append")
+        self._write(self._placed(search.placed_after(rows, last)), "append")
 
     def update(self, changes: DataFrame) -> None:
         """Text, metadata and vector of the ids in ``changes``; null leaves a

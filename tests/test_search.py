@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quillspark.operators import embedding, search
+from quillspark.sources import changing
 from quillspark.sources import store as stores
 
 VECTOR = "vec_id bigint, embedding array<float>"
@@ -245,3 +246,20 @@ def test_a_look_up_leaves_the_cache_where_it_is(spark, tmp_path):
     cache.close()
     again.close()
     assert names() == before
+
+
+def test_appended_rows_keep_the_order_of_their_positions(spark, tmp_path):
+    """Whatever order their files are read in, the largest first: the latest row of
+    an id is the one with the largest position."""
+    made = spark.range(400).selectExpr("id AS pos", "concat('c', id % 4) AS chunk_id", "concat('t', id) AS text", "map('k', 'v') AS metadata", "array(1.0f) AS vector")
+    for i, part in enumerate((made.where("pos < 10"), made.where("pos >= 10 AND pos < 100"), made.where("pos >= 100"))):
+        part.coalesce(1).write.parquet(str(tmp_path / "new" / f"part={i}"))
+    new = spark.read.parquet(str(tmp_path / "new" / "part=*"))
+    want = [(f"c{i}", f"t{396 + i}") for i in range(4)]
+    with_order = new.sort("pos", ascending=False)  # the last come first
+    latest = search.latest(search.append(made.where("pos < 4"), with_order)).select("chunk_id", "text")
+    assert sorted(map(tuple, latest.collect())) == want
+    store = changing.ChangingStore(spark, str(tmp_path / "store"))
+    store.create(made.where("pos < 4"))
+    store.append(with_order)
+    assert sorted(map(tuple, search.latest(store.read()).select("chunk_id", "text").collect())) == want
