@@ -13,6 +13,8 @@ SPACE = f"[\t-\r\x1c- {_BLANKS}]"
 SPACE_NO_NEWLINE = f"[\t\x0b-\r\x1c- {_BLANKS}]"
 NOT_SPACE = f"[^\t-\r\x1c- {_BLANKS}]"
 
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())  # the same, spelled out
+
 ZERO_WIDTH = "\u200c\u200d\ufeff\u061c"
 WIDE_SPACES = "\xa0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 

@@ -11,11 +11,13 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import patterns as P
+from . import plain
 
 
 def text_of(c: str | Column) -> Column:
@@ -29,7 +31,8 @@ def rewrite(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return rewrite(c, P.TRIM)
+    """``patterns.TRIM``, from the ends inward alone."""
+    return F.trim(c, F.lit(P.SPACES))
 
 
 def words(c: Column) -> Column:
@@ -93,8 +96,13 @@ def clean_ocr(c: str | Column, semantics: str = "intended") -> Column:
     return rewrite(normalize(c, semantics), P.OCR)
 
 
+@F.arrow_udf(StringType())
+def _clean(texts: pa.Array) -> pa.Array:
+    return pa.array((plain.clean(t.as_py()) for t in texts), pa.string())
+
+
 def clean_text(c: str | Column) -> Column:
-    return rewrite(text_of(c), P.CLEAN)
+    return _clean(text_of(c))
 
 
 def text_issues(c: str | Column) -> dict[str, Column]:

@@ -1,16 +1,19 @@
 """Chunking: sentences, paragraphs, sentence windows with overlap, structure.
 
-All folds run in the row, over arrays, as SQL higher-order functions, so a
-document never leaves its task and never crosses into Python.
+The folds run in the row, in Arrow batches, so a document never leaves its task;
+what compares chunks with each other is Spark's.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import batches, plain
 from ..functions import patterns as P
 from ..functions import text as T
 
@@ -42,106 +45,116 @@ def sentences(text: Column, language: Column) -> Column:
     return T.let([text, language], lambda t, lang: T.let([t, split(t, lang)], fall_back))
 
 
+def _windows(parts: list[str], size: int, min_size: int, overlap: int) -> list[str]:
+    own, cur, out = [], "", []
+    for s in parts:
+        if cur and len(cur) + len(s) + 1 > size:
+            if len(cur.strip()) >= min_size:
+                out.append(cur.strip())
+            own = [*own[-overlap:], s] if overlap else [s]
+            cur = " ".join(own)
+        else:
+            own.append(s)
+            cur = f"{cur} {s}" if cur else s
+    return [*out, cur.strip()] if len(cur.strip()) >= min_size else out
+
+
+def _long_split(parts: list[str], size: int, min_size: int) -> list[str]:
+    cur, out = "", []
+    for s in parts:
+        if cur and len(cur) + len(s) + 1 > size:
+            out.append(cur)
+            cur = s
+        else:
+            cur = f"{cur} {s}" if cur else s
+    return [*out, cur] if len(cur.strip()) >= min_size else out
+
+
+def _folded(fold: Callable[[list[str]], list[str]], parts: Column) -> Column:
+    @F.arrow_udf(_STRINGS)
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else fold(r) for r in rows.to_pylist()], pa.list_(pa.string()))
+
+    return run(parts)
+
+
 def sentence_windows(parts: Column, size: int = SIZE, min_size: int = MIN_SIZE, overlap: int = 2) -> Column:
     """Contents of chunks of whole sentences; each begins with the last
     ``overlap`` sentences of the one before."""
-    empty = F.array().cast(_STRINGS)
-
-    def kept(cur: Column) -> Column:
-        return F.when(F.length(T.strip(cur)) >= min_size, F.array(T.strip(cur))).otherwise(empty)
-
-    def step(acc: Column, s: Column) -> Column:
-        longer = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        over = (F.length(acc["cur"]) + F.length(s) + 1 > size) & (acc["cur"] != "")
-        tail = F.slice(acc["own"], F.greatest(F.size(acc["own"]) - (overlap - 1), F.lit(1)), F.lit(overlap)) if overlap else empty
-        own = F.when(over, F.concat(tail, F.array(s))).otherwise(F.concat(acc["own"], F.array(s)))
-        return F.struct(
-            own.alias("own"),
-            F.when(over, F.array_join(F.concat(tail, F.array(s)), " ")).otherwise(longer).alias("cur"),
-            F.when(over, F.concat(acc["out"], kept(acc["cur"]))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(empty.alias("own"), F.lit("").alias("cur"), empty.alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], kept(acc["cur"])))
+    return _folded(lambda p: _windows(p, size, min_size, overlap), parts)
 
 
 def long_split(parts: Column, size: int = SIZE, min_size: int = MIN_SIZE) -> Column:
     """Contents of chunks without overlap; only the last must reach ``min_size``."""
-    empty = F.array().cast(_STRINGS)
-
-    def step(acc: Column, s: Column) -> Column:
-        longer = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        over = (F.length(acc["cur"]) + F.length(s) + 1 > size) & (acc["cur"] != "")
-        return F.struct(
-            F.when(over, s).otherwise(longer).alias("cur"),
-            F.when(over, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"),
-        )
+    return _folded(lambda p: _long_split(p, size, min_size), parts)
+
 
-    last = lambda acc: F.when(F.length(T.strip(acc["cur"])) >= min_size, F.array(acc["cur"])).otherwise(empty)
-    start = F.struct(F.lit("").alias("cur"), empty.alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], last(acc)))
+_CHUNK = "struct<content:string,chunk_id:string,chunk_index:int,language:string,content_type:string,word_count:int,char_count:int>"
+_FIELDS = [("content", pa.string()), ("chunk_id", pa.string()), ("chunk_index", pa.int32()), ("language", pa.string()), ("content_type", pa.string()), ("word_count", pa.int32()), ("char_count", pa.int32())]
 
 
-def _chunk(content: Column, index: Column, chunk_id: Column, language: Column, kind: Column, raw: Column | None = None) -> Column:
+def _chunk(content: str, index: int, chunk_id: str, language: str, kind: str, raw: str | None = None) -> tuple:
     counted = content if raw is None else raw
-    return F.struct(
-        content.alias("content"),
-        chunk_id.alias("chunk_id"),
-        index.cast("int").alias("chunk_index"),
-        language.alias("language"),
-        kind.alias("content_type"),
-        F.size(T.words(counted)).alias("word_count"),
-        F.length(counted).alias("char_count"),
-    )
+    return content, chunk_id, index, language, kind, len(counted.split()), len(counted)
 
 
-_CHUNK = "struct<content:string,chunk_id:string,chunk_index:int,language:string,content_type:string,word_count:int,char_count:int>"
+def _label(page: str | None, *rest) -> str:
+    return "_".join(["page", *([] if page is None else [page]), *map(str, rest)])
 
 
-def _label(page: Column, *rest: Column | str) -> Column:
-    return F.concat_ws("_", F.lit("page"), page, *[F.lit(r) if isinstance(r, str) else r for r in rest])
+def _chunked(chunks: Callable[..., list[tuple]], text: Column, page: Column, *more: Column) -> Column:
+    """A column of arrays of chunks: ``chunks`` of each text, its page and ``more``
+    values, in Arrow batches.  A null text has none."""
 
+    @F.arrow_udf(f"array<{_CHUNK}>")
+    def run(texts: pa.Array, pages: pa.Array, *rest: pa.Array) -> pa.Array:
+        flat: list[list] = [[] for _ in _FIELDS]
+        ends = [0]
+        for t, *row in zip(texts, pages, *rest, strict=True):
+            t = t.as_py()
+            for made in chunks(t, *(x.as_py() for x in row)) if t is not None else ():
+                for column, value in zip(flat, made, strict=True):
+                    column.append(value)
+            ends.append(len(flat[0]))
+        columns = [pa.array(column, kind) for column, (_, kind) in zip(flat, _FIELDS, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in _FIELDS]))
 
-def _split_chunks(text: Column, page: Column, base: Column, language: Column, kind: Column, size: int, min_size: int) -> Column:
-    return F.transform(
-        long_split(sentences(text, language), size, min_size),
-        lambda c, k: _chunk(T.strip(c), base * 100 + k, _label(page, "para", base, "sub", k), language, kind, c),
-    )
+    return run(text, page.cast("string"), *more)
+
+
+def _split_chunks(text: str, page: str | None, base: int, language: str, kind: str, size: int, min_size: int) -> list[tuple]:
+    parts = _long_split(plain.sentences(text, language), size, min_size)
+    return [_chunk(c.strip(), base * 100 + k, _label(page, "para", base, "sub", k), language, kind, c) for k, c in enumerate(parts)]
 
 
 def sentence_chunks(text: Column, page: Column, size: int = SIZE, min_size: int = MIN_SIZE, english: Callable[[Column], Column] | None = None) -> Column:
     """``english`` gives the sentences of English text (``boundaries.Boundaries``
     is one); without one the pattern does."""
 
-    def chunks(t: Column, language: Column, own: Column | None = None) -> Column:
-        parts = sentences(t, language)
-        if own is not None:
-            parts = F.when((language == "en") & (F.size(own) > 0), own).otherwise(parts)
-        return F.transform(
-            sentence_windows(parts, size, min_size),
-            lambda c, k: _chunk(c, k, _label(page, "sent", k), language, T.content_type(c)),
-        )
+    def chunks(t: str, page: str | None, own: list[str] | None = None) -> list[tuple]:
+        language = plain.language(t)
+        parts = own if own and language == "en" else plain.sentences(t, language)
+        return [_chunk(c, k, _label(page, "sent", k), language, plain.content_type(c)) for k, c in enumerate(_windows(parts, size, min_size, 2))]
 
-    if english is None:
-        return T.let([text], lambda t: T.let([t, T.chunk_language(t)], chunks))
-    return T.let([text, T.chunk_language(text), english(text)], chunks)
+    return _chunked(chunks, text, page, *([] if english is None else [english(text)]))
 
 
-def paragraph_chunks(text: Column, page: Column, size: int = SIZE, min_size: int = MIN_SIZE, separator: str | None = None) -> Column:
-    parts = F.transform(F.split(text, separator or f"\n{P.SPACE}*\n+"), T.strip)
+def _sections(separator: str | None) -> re.Pattern:
+    return re.compile(separator or f"\n{P.SPACE}*\n+")
 
-    def chunk(p: Column, i: Column) -> Column:
-        return T.let([T.chunk_language(p), T.content_type(p)], lambda language, kind: typed(p, i, language, kind))
 
-    def typed(p: Column, i: Column, language: Column, kind: Column) -> Column:
-        short = F.array(_chunk(p, i, _label(page, "para", i), language, kind))
-        return (
-            F.when(F.length(p) < min_size, F.array().cast(f"array<{_CHUNK}>"))
-            .when(F.length(p) > size, _split_chunks(p, page, i, language, kind, size, min_size))
-            .otherwise(short)
-        )
+def paragraph_chunks(text: Column, page: Column, size: int = SIZE, min_size: int = MIN_SIZE, separator: str | None = None) -> Column:
+    between = _sections(separator)
 
-    return F.flatten(F.transform(parts, chunk))
+    def chunks(t: str, page: str | None) -> list[tuple]:
+        out = []
+        for i, p in enumerate(x.strip() for x in between.split(t)):
+            if len(p) >= min_size:
+                language, kind = plain.language(p), plain.content_type(p)
+                out += _split_chunks(p, page, i, language, kind, size, min_size) if len(p) > size else [_chunk(p, i, _label(page, "para", i), language, kind)]
+        return out
+
+    return _chunked(chunks, text, page)
 
 
 def structure_chunks(
@@ -149,59 +162,40 @@ def structure_chunks(
 ) -> Column:
     """Sections merged by type.  ``observed`` keeps only the first part of an
     over-long section, as the behaviour to match does; ``intended`` keeps all."""
-    none = F.array().cast(f"array<{_CHUNK}>")
-
-    def section(p: Column) -> Column:
-        return F.struct(p.alias("t"), T.content_type(p).alias("k"), T.chunk_language(p).alias("l"))
-
-    parts = F.filter(F.transform(F.split(text, separator or f"\n{P.SPACE}*\n+"), T.strip), lambda p: F.length(p) >= min_size)
-    parts = F.transform(parts, section)
-
-    def create(content: Column, index: Column, kind: Column, language: Column) -> Column:
-        split = _split_chunks(content, page, index, language, kind, size, min_size)
-        whole = F.array(_chunk(T.strip(content), index, _label(page, kind, index), language, kind, content))
-        return (
-            F.when(F.length(T.strip(content)) < min_size, none)
-            .when(F.length(content) > size, F.slice(split, 1, 1) if semantics == "observed" else split)
-            .otherwise(whole)
-        )
-
-    def bump(index: Column, made: Column) -> Column:
-        return index + F.when(F.size(made) > 0, 1).otherwise(0)
-
-    def state(cur: Column, kind: Column, index: Column, out: Column) -> Column:
-        return F.struct(cur.alias("cur"), kind.alias("kind"), index.cast("int").alias("i"), out.alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        flushed = F.when(acc["cur"] != "", create(acc["cur"], acc["i"], acc["kind"], s["l"])).otherwise(none)
-        return T.let([flushed], lambda flushed: moved(acc, s, flushed))
-
-    def moved(acc: Column, s: Column, flushed: Column) -> Column:
-        is_open, prose = acc["cur"] != "", s["k"].isin("paragraph", "definition")
-        after = bump(acc["i"], flushed)
-        own_now, own_after = create(s["t"], acc["i"], s["k"], s["l"]), create(s["t"], after, s["k"], s["l"])
-        merged = F.when(is_open, F.concat(acc["cur"], F.lit("\n\n"), s["t"])).otherwise(s["t"])
-        attached = F.concat(acc["cur"], F.lit("\n\nTable:\n"), s["t"])
-        return (
-            F.when(prose & is_open & (acc["kind"] != s["k"]), state(s["t"], s["k"], after, F.concat(acc["out"], flushed)))
-            .when(prose, state(merged, s["k"], acc["i"], acc["out"]))
-            .when(
-                s["k"].isin("mcq", "answer_table"),
-                state(F.lit(""), acc["kind"], bump(after, own_after), F.concat(acc["out"], flushed, own_after)),
-            )
-            .when(
-                (s["k"] == "table") & is_open & acc["kind"].isin("paragraph", "definition"),
-                state(attached, acc["kind"], acc["i"], acc["out"]),
-            )
-            .otherwise(state(acc["cur"], acc["kind"], bump(acc["i"], own_now), F.concat(acc["out"], own_now)))
-        )
-
-    def finish(acc: Column) -> Column:
-        last = create(acc["cur"], acc["i"], acc["kind"], T.chunk_language(acc["cur"]))
-        return F.concat(acc["out"], F.when(acc["cur"] != "", last).otherwise(none))
-
-    start = state(F.lit(""), F.lit("paragraph"), F.lit(0), none)
-    return F.aggregate(parts, start, step, finish)
+    between, prose = _sections(separator), ("paragraph", "definition")
+
+    def create(content: str, page: str | None, index: int, kind: str, language: str) -> list[tuple]:
+        if len(content.strip()) < min_size:
+            return []
+        if len(content) > size:
+            split = _split_chunks(content, page, index, language, kind, size, min_size)
+            return split[:1] if semantics == "observed" else split
+        return [_chunk(content.strip(), index, _label(page, kind, index), language, kind, content)]
+
+    def chunks(t: str, page: str | None) -> list[tuple]:
+        out, cur, held, i = [], "", "paragraph", 0
+        for s in (x.strip() for x in between.split(t)):
+            if len(s) < min_size:
+                continue
+            kind, language = plain.content_type(s), plain.language(s)
+            if kind in prose and not (cur and held != kind):
+                cur, held = f"{cur}\n\n{s}" if cur else s, kind
+            elif kind == "table" and cur and held in prose:
+                cur = f"{cur}\n\nTable:\n{s}"
+            elif kind in (*prose, "mcq", "answer_table"):
+                made = create(cur, page, i, held, language) if cur else []
+                out, i = out + made, i + bool(made)
+                if kind in prose:
+                    cur, held = s, kind
+                else:
+                    made = create(s, page, i, kind, language)
+                    out, cur, i = out + made, "", i + bool(made)
+            else:
+                made = create(s, page, i, kind, language)
+                out, i = out + made, i + bool(made)
+        return out + create(cur, page, i, held, plain.language(cur)) if cur else out
+
+    return _chunked(chunks, text, page)
 
 
 def content_key(content: Column) -> Column:
@@ -241,6 +235,7 @@ def chunk_pages(
 
     An unknown strategy is the mixed one: paragraphs where the document has
     multiple-choice questions or the page says so, sentences elsewhere."""
+    batches.bounded(pages.sparkSession)
     rows = pages.where(T.text_of("text") != "").select("doc_id", "page_number", T.clean_text("text").alias("text"))
     text, page = F.col("text"), F.col("page_number")
     if strategy == "structure":
@@ -253,7 +248,8 @@ def chunk_pages(
         flags = pages.where(T.text_of("text").rlike(P.FLAGS["has_mcq"])).select(F.col("doc_id").alias("_doc"), F.lit(True).alias("_mcq")).distinct()
         rows = rows.join(flags, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
         rows = rows.withColumn("mcq", F.coalesce("_mcq", F.lit(False)) | F.contains(F.lower(text), F.lit("mcq")))
-        made = F.when(F.col("mcq"), paragraph_chunks(text, page, size, min_size)).otherwise(sentence_chunks(text, page, size, min_size))
+        # Each text is given to its own chunker alone.
+        made = F.concat(paragraph_chunks(F.when(F.col("mcq"), text), page, size, min_size), sentence_chunks(F.when(~F.col("mcq"), text), page, size, min_size))
     exploded = rows.select("doc_id", "page_number", F.posexplode(made).alias("seq", "c"))
     exploded = exploded.select("doc_id", F.col("page_number").alias("source_page"), "seq", "c.*")
     return dedup_chunks(exploded, min_size=min_size)
@@ -265,6 +261,7 @@ def chunk_rows(
     """``chunk_pages`` without the comparison of a document's pages with each
     other: nothing leaves its row, so it also runs on a stream.  The strategy is
     one of ``STRATEGIES``."""
+    batches.bounded(pages.sparkSession)
     text, page = T.clean_text("text"), F.col("page_number")
     if strategy == "structure":
         made = structure_chunks(F.col("text"), page, size, min_size, semantics=semantics)

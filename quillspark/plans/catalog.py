@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import encoding
+from ..functions import batches, encoding
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import answering, boundaries, chunking, documents, embedding, evaluation, language, memory, search
@@ -59,6 +59,7 @@ EVAL_SAMPLES = [
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batches.bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
