@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BITS = 21  # a code point has at most 21
@@ -19,6 +21,23 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[within], of[:-2][within]
 
 
+SLICE = 1 << 20  # characters
+
+
+def sliced(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about ``SLICE`` characters, as each takes some fifty
+    bytes on the way to its number; a longer text is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > SLICE:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 def spelled(code: int) -> str:
     mask = (1 << _BITS) - 1
     return "".join(chr(code >> s & mask) for s in (2 * _BITS, _BITS, 0))

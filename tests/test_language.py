@@ -85,3 +85,15 @@ def test_held_out_documents():
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     n, accuracy = con.execute(catalog.oracle_sql()["language_accuracy"]).fetchone()
     assert n > 100 and accuracy > 0.97, (n, accuracy)
+
+
+def test_counts_hold_few_texts_at_once(spark, monkeypatch):
+    """Numbers of trigrams take many times their text's bytes, so a batch is
+    counted in slices; a text of more than a slice is one of its own."""
+    from quillspark.functions import trigrams
+
+    texts = ["ab" * 30, "c" * 500, "", "de", "f" * 90, "g" * 20]
+    monkeypatch.setattr(trigrams, "SLICE", 100)
+    got = list(trigrams.sliced(texts))
+    assert [t for run in got for t in run] == texts
+    assert all(sum(map(len, run)) <= 100 or len(run) == 1 for run in got)
