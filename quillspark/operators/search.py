@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from . import embedding
 
 QUERY_BLOCK = 4_096
+TILE = 1 << 20  # scores that a task holds at once
 SAMPLE_ROWS = 50_000
 METRICS = ("cosine", "ip", "l2")
 
@@ -74,23 +76,28 @@ def topk(
         raise ValueError(f"unknown metric {metric!r}")
     sc, out = vectors.sparkSession.sparkContext, None
 
+    batches.bounded(vectors.sparkSession)
+
     def scan(block: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         sent = sc.broadcast(block)  # at most QUERY_BLOCK queries
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
             top = _Top(len(ids), k, threshold)
             probed = None
             if cells is not None:
                 order = _probes(metric, q, *cells)
                 probed = [np.flatnonzero((order == c).any(axis=1)) for c in range(len(cells[0]))]
-            for pdf in batches:
+                del order
+            for pdf in parts:
                 pdf = pdf[pdf[vector_col].notna()]
-                for part in [pdf] if probed is None else [p for _, p in pdf.groupby("cell")]:
+                for part in [pdf] if probed is None else (p for _, p in pdf.groupby("cell")):
                     rows = np.arange(len(ids)) if probed is None else probed[int(part["cell"].iloc[0])]
                     if len(part) and len(rows):
                         v = np.stack(part[vector_col].to_numpy()).astype(np.float64)
-                        top.add(rows, part[id_col].to_numpy(), _scores(metric, q[rows], v))
+                        step = max(1, TILE // len(v))
+                        for tile in (rows[i : i + step] for i in range(0, len(rows), step)):
+                            top.add(tile, part[id_col].to_numpy(), _scores(metric, q[tile], v))
             flat = [(int(ids[i]), d, -s) for i, best in enumerate(top.best) for s, d in best]
             yield pd.DataFrame(flat, columns=[query_col, id_col, "score"])
 
@@ -151,9 +158,15 @@ class Hyperplanes:
 
 def _probes(metric: str, queries: np.ndarray, cells: np.ndarray | Hyperplanes, probes: int) -> np.ndarray:
     """The cells that each query probes, the nearest by the metric."""
-    if isinstance(cells, Hyperplanes):
-        return cells.probes(queries, probes)
-    return np.argsort(-_scores(metric, queries, cells), axis=1, kind="stable")[:, :probes]
+    width = len(cells) * (len(cells.planes) if isinstance(cells, Hyperplanes) else 1)
+    step = max(1, TILE // width)
+
+    def nearest(q: np.ndarray) -> np.ndarray:
+        if isinstance(cells, Hyperplanes):
+            return cells.probes(q, probes)
+        return np.argsort(-_scores(metric, q, cells), axis=1, kind="stable")[:, :probes]
+
+    return np.concatenate([nearest(queries[i : i + step]) for i in range(0, max(1, len(queries)), step)])
 
 
 def assign_cells(vectors: DataFrame, cells: np.ndarray | Hyperplanes, metric: str = "cosine", vector_col: str = "embedding") -> DataFrame:

@@ -263,3 +263,30 @@ def test_appended_rows_keep_the_order_of_their_positions(spark, tmp_path):
     store.create(made.where("pos < 4"))
     store.append(with_order)
     assert sorted(map(tuple, search.latest(store.read()).select("chunk_id", "text").collect())) == want
+
+
+@pytest.mark.parametrize("cells", [False, True])
+def test_scores_are_held_in_tiles(spark, data, monkeypatch, cells):
+    """A task scores a batch against so few queries at once that it never holds
+    more than a tile, and finds the same."""
+    df = frame(spark, data).coalesce(1)
+    queries = df.where("vec_id < 40").selectExpr("vec_id AS query_id", "embedding")
+    vectors, probed = (df, None) if not cells else search.build_ivf(df, 4)
+    of = None if probed is None else (probed, 2)
+    want = sorted(map(tuple, search.topk(vectors, queries, 3, cells=of).collect()))
+    scores = search._scores
+
+    def watched(metric, q, v):
+        assert len(q) * len(v) <= max(search.TILE, len(v))
+        return scores(metric, q, v)
+
+    monkeypatch.setattr(search, "TILE", 400)
+    monkeypatch.setattr(search, "_scores", watched)
+
+
+    batch = vectors.toPandas()
+    runs = []
+    monkeypatch.setattr(type(vectors), "mapInPandas", lambda self, run, schema: runs.append(run) or self.sparkSession.createDataFrame([], schema))
+    search.topk(vectors, queries, 3, cells=of)
+    found = next(runs[0](iter([batch])))
+    assert sorted((r.query_id, r.vec_id, r.score) for r in found.itertuples()) == [w[:3] for w in want]
