@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import text as T
 
 ABBREVIATION, STARTER, KEPT = 0.3, 30.0, 20_000
@@ -129,6 +130,7 @@ class Boundaries:
     def __init__(self, abbreviated: DataFrame, begins: DataFrame):
         # At most KEPT rows each.
         self.abbreviations, self.starters = ({r["type"] for r in df.select("type").collect()} for df in (abbreviated, begins))
+        batches.bounded(abbreviated.sparkSession)
         self._sent = abbreviated.sparkSession.sparkContext.broadcast((self.abbreviations, self.starters))
 
     def __call__(self, c: str | Column) -> Column:
@@ -138,6 +140,7 @@ class Boundaries:
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             known = sent.value
             for column in parts:
-                yield pd.Series([split_words(list(words), *known) for words in column], dtype=object)
+                # Python splits at the same white space as ``text.words``, one text at a time.
+                yield pd.Series([split_words(text.split(), *known) for text in column], dtype=object)
 
-        return run(T.words(T.text_of(c)))
+        return run(T.text_of(c))

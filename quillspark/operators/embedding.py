@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import text as T
 from ..functions.trigrams import spelled, trigrams
 
@@ -121,6 +122,7 @@ def encode_or_null(df: DataFrame, embedder: Embedder, text_col: str, out: str, p
                     found[i] = vector
             yield pd.Series(found, dtype=object)
 
+    batches.bounded(df.sparkSession)
     # So declared, it isn't run once more for a filter on its result.
     once = run.asNondeterministic()
     return df.withColumn(out, once(T.embed_input(text_col) if prefix else T.text_of(text_col)))
