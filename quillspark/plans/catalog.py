@@ -138,7 +138,8 @@ def _repaired(s: SparkSession, d: str) -> DataFrame:
     own = s.createDataFrame(BROKEN_SAMPLES, "doc_id bigint, text string")
     rows = _texts(s, d).unionByName(own)
     # The documents once more, broken by the reader that takes bytes for Latin-1.
-    broken = _read(s, d, "documents").select((-1000 - F.col("doc_id")).alias("doc_id"), F.decode(F.encode(T.text_of("text"), "UTF-8"), "ISO-8859-1").alias("text"))
+    docs = _spread(_read(s, d, "documents").select("doc_id", "text"))
+    broken = docs.select((-1000 - F.col("doc_id")).alias("doc_id"), F.decode(F.encode(T.text_of("text"), "UTF-8"), "ISO-8859-1").alias("text"))
     return rows.unionByName(broken).select("doc_id", encoding.repair_encoding("text").alias("norm"))
 
 

@@ -1,6 +1,7 @@
 """Repair of broken encodings: broken texts come back, clean ones stay."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,28 @@ def test_broken_texts_come_back(spark, table, times):
     assert repaired(spark, mixed) == [f"নদী and {t} and é" for t in texts]
 
 
+@pytest.mark.parametrize("times", [1, 2])
+def test_runs_of_any_length(spark, times):
+    texts = ["नदी" * 20_000, "日本語" * 20_000, "é" * 60_000, "y\né" * 20_000 + "\n", "\n" + "éà\u0085" * 20_000]
+    assert repaired(spark, [broken(t, "latin-1", times) for t in texts]) == texts
+
+
+def test_clean_text_costs_less_than_one_search(spark):
+    # Three rounds of trying each alternative at each letter took three times that search.
+    df = spark.range(0, 100, 1, 4).select(F.repeat(F.lit("Où est la rivière près de là, and how long is it? "), 4_000).alias("text")).cache()
+    assert df.count() == 100
+
+    def took(c):
+        began = time.perf_counter()
+        df.select(F.sum(F.length(c.cast("string")))).collect()
+        return time.perf_counter() - began
+
+    mended = encoding.repair_encoding("text")
+    took(mended)
+    assert min(took(mended) for _ in range(2)) < min(took(F.col("text").rlike(encoding.BROKEN)) for _ in range(2))
+    df.unpersist()
+
+
 def test_normalize_takes_it(spark):
     df = spark.createDataFrame([("cafÃ©   ২abc",)], "text string")
     got = df.select(T.normalize("text", repair=encoding.repair_encoding), T.normalize("text")).first()
