@@ -38,6 +38,16 @@ def sliced(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a text and how often each occurs, taken a slice at a time."""
+    codes, n = np.unique(trigrams([text[: SLICE + 2]])[0], return_counts=True)
+    for i in range(SLICE, len(text) - 2, SLICE):
+        more, m = np.unique(trigrams([text[i : i + SLICE + 2]])[0], return_counts=True)
+        codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, m])).astype(np.int64)
+    return codes, n
+
+
 def spelled(code: int) -> str:
     mask = (1 << _BITS) - 1
     return "".join(chr(code >> s & mask) for s in (2 * _BITS, _BITS, 0))

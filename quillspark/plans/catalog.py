@@ -465,33 +465,43 @@ def held_out() -> F.Column:
     return F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 7), 16, 10).cast("bigint") % 5 == 0
 
 
-def _detected(s: SparkSession, d: str) -> DataFrame:
-    """The language of every document, by a model of those that aren't held out,
-    alone and where the rule for chunks leaves it open."""
+def _detected(s: SparkSession, d: str, grams: int | None, only: str | None = None) -> DataFrame:
+    """The language of every document (or of those where ``only`` holds), by a model
+    of those that aren't held out, alone and where the rule for chunks leaves it open."""
     docs = _spread(_read(s, d, "documents").select("doc_id", "text", "lang")).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     counts = stores.written(language.gram_counts(docs.where("NOT held_out")), stores.session_folder(s, "grams"))
-    model = stores.written(language.fit(counts), stores.session_folder(s, "language-model"))
-    detector = language.Detector(model)
-    return docs.select("doc_id", "held_out", "lang", detector("text").alias("detected"), T.chunk_language("text", detector).alias("chunk_language"))
+    model = stores.written(language.entries(counts, grams), stores.session_folder(s, "language-model"))
+    asked = docs if only is None else docs.where(only)
+    rule = T.chunk_language("text", lambda _: F.lit(_OPEN)).alias("rule")
+    rows = asked.select("doc_id", "held_out", "lang", rule).join(language.detected(asked, model), "doc_id", "left")
+    chunk_language = F.when(F.col("rule") == _OPEN, F.coalesce("detected", F.lit("en"))).otherwise(F.col("rule"))
+    return rows.select("doc_id", "held_out", "lang", "detected", chunk_language.alias("chunk_language"))
 
 
+_OPEN = "?"
 _ONLY_LETTERS = _trim(T.sql_rewrite("lower(x)", [(r"\P{L}+", " ")]))
 _LETTERS = f"' ' || {_ONLY_LETTERS} || ' '"
-_DETECTED = f"""
+_MOST = f"(SELECT gram FROM k QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= {language.GRAMS})"
+
+
+def _detected_sql(known: str) -> str:
+    return f"""
 WITH x AS (SELECT doc_id, lang, coalesce(text, '') AS x, coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % 5 = 0, false) AS held_out FROM documents),
 l AS (SELECT *, {_LETTERS} AS t FROM x), ch AS (SELECT doc_id, lang, held_out, regexp_extract_all(t, '(?s).') AS c FROM l),
 g AS (SELECT doc_id, lang, held_out, gram, count(*) AS n FROM (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM ch) GROUP BY ALL),
 k AS (SELECT lang, gram, sum(n) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
-v AS (SELECT DISTINCT gram FROM (SELECT gram FROM k QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= {language.GRAMS})),
+v AS (SELECT DISTINCT gram FROM {known}),
 tot AS (SELECT lang, sum(n) AS total FROM k JOIN v USING (gram) GROUP BY lang),
 m AS (SELECT v.gram, tot.lang AS of, round(ln((coalesce(k.n, 0) + 1) / (total + (SELECT count(*) FROM v))) * {language.SCALE})::BIGINT AS weight FROM v CROSS JOIN tot LEFT JOIN k ON k.gram = v.gram AND k.lang = tot.lang),
 sc AS (SELECT doc_id, of, sum(n * weight) AS score FROM g JOIN m USING (gram) GROUP BY ALL),
 best AS (SELECT doc_id, of AS detected FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, of) = 1)
 SELECT x.doc_id, held_out, lang, detected, {_CHUNK_LANGUAGE.replace("ELSE 'en'", "ELSE coalesce(detected, 'en')")} AS chunk_language FROM x LEFT JOIN best USING (doc_id)"""
-Q["detect_language"] = _detected, _DETECTED
+
+
+Q["detect_language"] = lambda s, d: _detected(s, d, language.GRAMS), _detected_sql(_MOST)
 Q["language_accuracy"] = (
-    lambda s, d: language.accuracy(_detected(s, d).where("held_out")).withColumn("accuracy", F.round("accuracy", 6)),
-    f"SELECT count(*) AS n, round(count(*) FILTER (detected = lang) / count(*), 6) AS accuracy FROM ({_DETECTED}) WHERE held_out AND lang IS NOT NULL",
+    lambda s, d: language.accuracy(_detected(s, d, None, "held_out")).withColumn("accuracy", F.round("accuracy", 6)),
+    f"SELECT count(*) AS n, round(count(*) FILTER (detected = lang) / count(*), 6) AS accuracy FROM ({_detected_sql("k")}) WHERE held_out AND lang IS NOT NULL",
 )
 
 # --- sentence boundaries ---------------------------------------------------------

@@ -97,3 +97,56 @@ def test_counts_hold_few_texts_at_once(spark, monkeypatch):
     got = list(trigrams.sliced(texts))
     assert [t for run in got for t in run] == texts
     assert all(sum(map(len, run)) <= 100 or len(run) == 1 for run in got)
+
+
+def whole(spark, rows, asked, head, grams=None):
+    counts = language.gram_counts(spark.createDataFrame(rows, "lang string, text string"))
+    df = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string")
+    found = dict(language.detected(df, language.entries(counts, grams), head=head).collect())
+    return [found.get(i) for i in range(len(asked))]
+
+
+@pytest.mark.parametrize("head", [0, 1, 40, 100_000])
+@pytest.mark.parametrize("grams", [None, 5])
+def test_trigrams_beyond_the_broadcast_ones_are_joined(spark, head, grams):
+    asked = ["where the river is", "wo der Fluss ist", "où est la rivière", "", None, "12 + 4", "ж", "x" * 5_000, "straße 😀 nördlich", "nobody knows"]
+    assert whole(spark, TEXTS, asked, head, grams) == plain(TEXTS, asked, grams or 1_000_000)
+
+
+def test_no_trigram_is_too_rare(spark):
+    """Of more than ``GRAMS`` trigrams in a language, the last counts too."""
+    letters = "abcdefghijklmnopqrst"
+    many = " ".join(f"{a}{b}{c}" for a in letters for b in letters for c in letters)
+    rows = [("aa", many), ("aa", many), ("bb", many), ("bb", "zyx"), ("cc", many), ("cc", "uvw")]
+    asked = ["zyxzyx", "uvwuvw"]
+    assert [whole(spark, rows, asked, head) for head in (100, 100_000)] == [["bb", "cc"]] * 2
+
+
+@pytest.mark.parametrize("head", [100, 100_000])
+def test_no_language_is_too_small(spark, head):
+    """All of more than ``LANGUAGES`` languages are told apart."""
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqr"]
+    rows = [(n, f"{n}{n}{n}" + (" word" * (i < 70))) for i, n in enumerate(names)]
+    assert whole(spark, rows, [f"{n}{n}" for n in names], head) == names
+
+
+def test_all_trigrams_and_languages_by_the_queries(spark, tmp_path):
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqr"]
+    rows = [(i, f"{n}{n}{n} {'word ' * (i % 7)}" + " ".join(f"{n}{c}{c}" for c in "stuvwxyz"), n if i % 11 else None) for i, n in enumerate(names * 6)]
+    spark.createDataFrame([*rows, (None, "no id", "ak")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("language_accuracy", "detect_language"):
+        query, sql = catalog.queries()[name], catalog.oracle_sql()[name]
+        got = sorted(map(tuple, query(spark, str(tmp_path)).collect()), key=repr)
+        assert got == sorted(con.execute(sql).fetchall(), key=repr), name
+
+
+def test_long_text_is_counted_in_slices(monkeypatch):
+    from quillspark.functions import trigrams
+
+    text = "abcab" * 50 + "xyz"
+    monkeypatch.setattr(trigrams, "SLICE", 7)
+    codes, n = trigrams.counted(text)
+    assert dict(zip(map(trigrams.spelled, codes.tolist()), n.tolist(), strict=True)) == Counter(text[i : i + 3] for i in range(len(text) - 2))
+    assert all(len(trigrams.counted(t)[0]) == 0 for t in ("", "a", "ab"))
