@@ -507,21 +507,22 @@ Q["language_accuracy"] = (
 # --- sentence boundaries ---------------------------------------------------------
 
 
-def _boundary_model(s: SparkSession, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    types = stores.written(boundaries.word_types(texts), stores.session_folder(s, "word-types"))
-    short = stores.written(boundaries.abbreviations(types), stores.session_folder(s, "abbreviations"))
-    return short, stores.written(boundaries.starters(texts, types, short), stores.session_folder(s, "starters"))
+def _boundary_model(s: SparkSession, texts: DataFrame, kept: int | None) -> tuple[DataFrame, DataFrame]:
+    counts = stores.written(boundaries.word_counts(texts), stores.session_folder(s, "word-counts"))
+    types = stores.written(boundaries.types_of(counts), stores.session_folder(s, "word-types"))
+    short = stores.written(boundaries.abbreviations(types, kept=kept), stores.session_folder(s, "abbreviations"))
+    breaks = stores.written(boundaries.breaks_of(counts, short), stores.session_folder(s, "breaks"))
+    return short, stores.written(boundaries.starters_of(breaks, types, kept=kept), stores.session_folder(s, "starters"))
 
 
 def _boundaries(s: SparkSession, d: str) -> DataFrame:
     """The sentences of every document, by what all documents teach."""
     texts = _spread(_read(s, d, "documents").select("doc_id", "text"))
-    model = boundaries.Boundaries(*_boundary_model(s, texts))
-    return texts.select("doc_id", F.posexplode(model("text")).alias("n", "sentence"))
+    return boundaries.sentences(texts, *_boundary_model(s, texts, None))
 
 
 def _boundary_scores(s: SparkSession, d: str) -> DataFrame:
-    short, begins = _boundary_model(s, _read(s, d, "documents"))
+    short, begins = _boundary_model(s, _read(s, d, "documents"), boundaries.KEPT)
     rows = short.withColumn("kind", F.lit("abbreviation")).unionByName(begins.withColumn("kind", F.lit("starter")))
     return rows.select("kind", "type", F.round("score", 3).alias("score"))
 
@@ -545,26 +546,32 @@ def _sql_clamp(p: str) -> str:
 _B = boundaries
 _RATIO = f"2 * ({_sql_ll('dotted', '(dotted + plain)', str(_B.CERTAIN))} - {_sql_ll('dotted', '(dotted + plain)', _sql_clamp('periods / words'))})"
 _GAIN = f"2 * ({_sql_ll('ab', 'a', _sql_clamp('ab / a'))} + {_sql_ll('(b - ab)', '(n - a)', _sql_clamp('(b - ab) / greatest(n - a, 1)'))} - {_sql_ll('ab', 'a', _sql_clamp('b / n'))} - {_sql_ll('(b - ab)', '(n - a)', _sql_clamp('b / n'))})"
-_BOUNDARY_SQL = f"""
+_BEST = f" ORDER BY score DESC, type LIMIT {_B.KEPT}"
+
+
+def _boundary_sql(kept: str) -> str:
+    return f"""
 wl AS (SELECT doc_id, {W("coalesce(text, '')")} AS w FROM documents),
 o AS (SELECT doc_id, i, w[i] AS w, w[i + 1] AS nxt, i = len(w) AS final, {_sql_core('w[i]')} AS core FROM wl, unnest(range(1, len(w) + 1)) AS u(i)),
 ty AS (SELECT *, {_sql_type('core')} AS type FROM o),
 types AS (SELECT type, (count(*) FILTER (ends_with(core, '.')))::DOUBLE AS dotted, (count(*) FILTER (NOT ends_with(core, '.')))::DOUBLE AS plain FROM ty GROUP BY 1),
 tot AS (SELECT sum(dotted) AS periods, sum(dotted + plain) AS words FROM types),
 ab0 AS (SELECT type, dotted, plain, periods, words, length(type) - length(replace(type, '.', '')) AS inn FROM types, tot WHERE type IS NOT NULL AND dotted > 0),
-abbr AS (SELECT type, round({_RATIO} * exp(-(length(type) - inn)) * (inn + 1) * pow(length(type) - inn, -plain), 6) AS score FROM ab0 WHERE score >= {_B.ABBREVIATION} ORDER BY score DESC, type LIMIT {_B.KEPT}),
+abbr AS (SELECT type, round({_RATIO} * exp(-(length(type) - inn)) * (inn + 1) * pow(length(type) - inn, -plain), 6) AS score FROM ab0 WHERE score >= {_B.ABBREVIATION}{kept}),
 ends AS (SELECT *, {T.sql_match('w', _B.ENDS)} AS ending, {T.sql_match('w', _B.SURE)} AS sure, type IN (SELECT type FROM abbr) AS short, coalesce({T.sql_match('type', _B.INITIAL)}, false) AS initial, {_sql_type(_sql_core('nxt'))} AS nt FROM ty),
 brk AS (SELECT nt AS type, count(*)::DOUBLE AS ab FROM ends WHERE NOT final AND ending AND (sure OR NOT (coalesce(short, false) OR initial)) GROUP BY 1),
 st0 AS (SELECT brk.type, ab, dotted + plain AS b, (SELECT sum(ab) FROM brk) AS a, words AS n FROM brk JOIN types ON types.type = brk.type, tot),
-starter AS (SELECT type, round({_GAIN}, 6) AS score FROM st0 WHERE n / a > b / ab AND score >= {_B.STARTER} ORDER BY score DESC, type LIMIT {_B.KEPT})"""
+starter AS (SELECT type, round({_GAIN}, 6) AS score FROM st0 WHERE n / a > b / ab AND score >= {_B.STARTER}{kept})"""
+
+
 _ENDED = f"ending AND (sure OR NOT (coalesce(short, false) OR initial) OR (coalesce(nt IN (SELECT type FROM starter), false) AND {T.sql_match(_sql_core('nxt'), '^' + chr(92) + 'p{Lu}')}))"
 Q["boundary_scores"] = (
     _boundary_scores,
-    f"WITH {_BOUNDARY_SQL} SELECT 'abbreviation' AS kind, type, round(score, 3) AS score FROM abbr UNION ALL SELECT 'starter', type, round(score, 3) FROM starter",
+    f"WITH {_boundary_sql(_BEST)} SELECT 'abbreviation' AS kind, type, round(score, 3) AS score FROM abbr UNION ALL SELECT 'starter', type, round(score, 3) FROM starter",
 )
 Q["sentence_boundaries"] = (
     _boundaries,
-    f"WITH {_BOUNDARY_SQL}, cut AS (SELECT doc_id, i, w, coalesce(sum(CASE WHEN NOT final AND {_ENDED} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM ends) "
+    f"WITH {_boundary_sql("")}, cut AS (SELECT doc_id, i, w, coalesce(sum(CASE WHEN NOT final AND {_ENDED} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM ends) "
     "SELECT doc_id, n, string_agg(w, ' ' ORDER BY i) AS sentence FROM cut GROUP BY 1, 2",
 )
 

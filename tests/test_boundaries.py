@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import boundaries, chunking
+from quillspark.plans import catalog
 
 SHORT = ["Dr.", "vol.", "e.g.", "Prof.", "no.", "etc."]
 
@@ -97,3 +99,31 @@ def test_chunks_take_learnt_sentences(spark, model):
     assert rows[1]["own"] == rows[1]["plain"] and rows[0]["own"] != rows[0]["plain"]
     starts = {s.split(" ")[0] for s in rows[0]["s"]}
     assert all(c["content"].split(" ")[0] in starts for c in rows[0]["own"])
+
+
+@pytest.mark.parametrize("head", [0, 1, 3])
+def test_types_beyond_the_broadcast_ones_are_joined(spark, head):
+    texts = [" ".join(s) for s in corpus(4, 120)] + [None, "", "Dr. No", "A. Smith came! Did he? Yes.", "A. Smith came! Did he? Yes."]
+    df = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    types = boundaries.word_types(df)
+    short = boundaries.abbreviations(types, kept=None)
+    begins = boundaries.starters(df, types, short, kept=None)
+    assert short.count() > 3 and begins.count() > 3
+    want = df.select("doc_id", F.posexplode(boundaries.Boundaries(short, begins)("text")).alias("n", "sentence"))
+    got = boundaries.sentences(df, short, begins, head=head)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_no_abbreviation_is_too_many(spark, tmp_path):
+    """Above ``KEPT`` abbreviations of one score none ends a sentence, and the rows are
+    those of the query's SQL."""
+    letters = "abcdefghijklmnopqrstuvwxyzàéîõ"
+    short = [f"{a}.{b}.{c}." for a in letters for b in letters for c in letters]
+    assert len(short) > boundaries.KEPT
+    texts = [" ".join(f"{w} one two three four" for w in short[i : i + 100]) for i in range(0, len(short), 100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.queries()["sentence_boundaries"](spark, str(tmp_path)).collect()))
+    assert got == [(i, 0, t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(catalog.oracle_sql()["sentence_boundaries"]).fetchall())
